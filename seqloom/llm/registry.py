@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, kneser_ney, pii, simhash, warc, wavelet
+from . import bpe, decontaminate, iblt, kneser_ney, pii, simhash, suffix_dedup, warc, wavelet
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_fingerprint": iblt.op2_fingerprint,
         "op3_wavelet": wavelet.op3_wavelet,
         "op4_bpe": bpe.op4_bpe,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_pii": pii.op6_pii,
         "op7_simhash": simhash.op7_simhash,
         "op9_quality": kneser_ney.op9_quality,
