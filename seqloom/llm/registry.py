@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, iblt, kneser_ney, pii, simhash, suffix_dedup, warc, wavelet
+from . import attention, bpe, decontaminate, iblt, kneser_ney, pii, simhash, suffix_dedup, warc, wavelet
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_pii": pii.op6_pii,
         "op7_simhash": simhash.op7_simhash,
+        "op8_lm": attention.op8_lm,
         "op9_quality": kneser_ney.op9_quality,
         "op10_warc_fixity": warc.op10_warc_fixity,
     }
