@@ -31,14 +31,14 @@ def _check(k: Column) -> Column:
     return F.xxhash64(k, F.lit(99)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _entry(k: Column, seed: Column) -> Column:
-    return F.struct(k.alias("k"), F.xxhash64(k, seed).alias("p"), _check(k).alias("h"))
+def _places(k: Column, third: Column, seed: Column) -> Column:
+    """A digest's cells, one in each part."""
+    wide = third.cast("bigint")
+    return F.transform(F.array(F.xxhash64(k, seed)), lambda p: F.array(*((F.pmod(F.shiftrightunsigned(p, 16 * i), wide) + wide * i).cast("int") for i in range(3))))[0]
 
 
-def _hits(p: Column, j: Column, third: Column) -> Column:
-    """Whether an entry goes to cell j."""
-    part = F.floor(j / third).cast("int")
-    return F.pmod(F.call_function("shiftrightunsigned", p, part * 16), third.cast("bigint")) == F.pmod(j, third)
+def _entry(k: Column, third: Column, seed: Column) -> Column:
+    return F.struct(k.alias("k"), _places(k, third, seed).alias("at"), _check(k).alias("h"))
 
 
 def _put(cell: Column, e: Column, count: Column) -> Column:
@@ -50,9 +50,9 @@ def sketch(keys: Column, third: Column, seed: Column) -> Column:
     none = F.struct(F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("h"))
 
     def cells(entries):
-        return F.transform(F.sequence(F.lit(0), third * 3 - 1), lambda j: F.aggregate(entries, none, lambda cell, e: F.when(_hits(e["p"], j, third), _put(cell, e, F.lit(1))).otherwise(cell)))
+        return F.transform(F.sequence(F.lit(0), third * 3 - 1), lambda j: F.aggregate(entries, none, lambda cell, e: F.when(F.array_contains(e["at"], j), _put(cell, e, F.lit(1))).otherwise(cell)))
 
-    return F.element_at(F.transform(F.array(F.transform(keys, lambda k: _entry(k, seed))), cells), 1)
+    return F.element_at(F.transform(F.array(F.transform(keys, lambda k: _entry(k, third, seed))), cells), 1)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -64,13 +64,13 @@ def peel(cells: Column, third: Column, seed: Column) -> Column:
 
     def pure(now):
         single = F.filter(now, lambda x: (F.abs(x["c"]) == 1) & (x["h"] == _check(x["k"])))
-        return F.array_distinct(F.transform(single, lambda x: F.struct(x["k"].alias("k"), F.xxhash64(x["k"], seed).alias("p"), x["h"].alias("h"), x["c"].alias("c"))))
+        return F.array_distinct(F.transform(single, lambda x: F.struct(x["k"].alias("k"), _places(x["k"], third, seed).alias("at"), x["h"].alias("h"), x["c"].alias("c"))))
 
     def state(now, out):
         return F.element_at(F.transform(F.array(now), lambda n: F.struct(n.alias("cells"), pure(n).alias("pure"), out.alias("out"))), 1)
 
     def round_(s, _):
-        now = F.transform(s["cells"], lambda x, j: F.aggregate(s["pure"], x, lambda cell, e: F.when(_hits(e["p"], j, third), _put(cell, e, -e["c"])).otherwise(cell)))
+        now = F.transform(s["cells"], lambda x, j: F.aggregate(s["pure"], x, lambda cell, e: F.when(F.array_contains(e["at"], j), _put(cell, e, -e["c"])).otherwise(cell)))
         told = F.concat(s["out"], F.transform(s["pure"], lambda e: F.struct(e["k"].alias("k"), e["c"].alias("c"))))
         return F.when(F.size(s["pure"]) == 0, s).otherwise(state(now, told))
 
