@@ -2,10 +2,455 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from seqloom.functions import bases, names
+from seqloom.operators import alignment, curate, genomes, graph, hits, resolve, supermatrix
+
+from .views import duck, view
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+#: Reference and maximum length of the hits view.
+QLEN, MAXLEN = 1000, 1200
+
+
+def query(name: str, *views: str, sql: str | None = None):
+    """Registers a function of the views as a query, with the SQL that follows their definitions."""
+
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(*(view(spark, sf_dir, v) for v in views))
+        if sql:
+            SQL[name] = duck(*views) + sql
+        return f
+
+    return add
+
+
+@query("header_fields", "info", sql="""
+SELECT accession, header, replace(organism, ' ', '_') AS species, CAST(regexp_extract(header, ':([0-9]+)-', 1) AS INT) AS first, CAST(regexp_extract(header, ':[0-9]+-([0-9]+)', 1) AS INT) AS last, accession LIKE 'D%7.1' AS reversed,
+  regexp_replace(header, ':[0-9]+-[0-9]+', ':5-9') AS moved
+FROM (SELECT accession, organism, concat(accession, ':', greatest(1, len(organism) - 15), '-', greatest(1, len(organism) - 15) + len(lineage) - 1, CASE WHEN accession LIKE '%7.1' THEN '_reverse_complement' ELSE '' END, '|', replace(organism, ' ', '_'), '|', journal) AS header FROM info)""")
+def header_fields(info):
+    h = info.withColumn("header", names.compose(F.col("accession"), F.length("organism") - 15, F.col("lineage"), F.col("accession").like("%7.1"), F.col("organism"), F.col("journal")))
+    first, last, back = names.header_range(F.col("header"))
+    return h.select(names.accession(F.col("header")).alias("accession"), "header", names.species_of_header(F.col("header")).alias("species"), first.alias("first"), last.alias("last"), back.alias("reversed"), names.with_range(F.col("header"), F.lit(5), F.lit(9)).alias("moved"))
+
+
+@query("species_core", "info", sql="""
+SELECT accession, trim(regexp_replace(lower(organism), '(^| )(var\\.|subsp\\.|ssp\\.|f\\.|fma\\.|x)( .*)?$', '')) AS core FROM info""")
+def species_core(info):
+    return info.select("accession", names.species_core(F.col("organism")).alias("core"))
+
+
+@query("infraspecific_merge", "info", sql="""
+SELECT accession, CASE WHEN contains(organism, ' subsp. ') THEN split_part(organism, ' subsp. ', 1) WHEN contains(organism, ' var. ') THEN split_part(organism, ' var. ', 1) ELSE organism END AS organism FROM info""")
+def infraspecific_merge(info):
+    return info.select("accession", names.merged(names.without_apostrophes(F.col("organism"))).alias("organism"))
+
+
+@query("lineage_units", "info", sql="""
+SELECT accession, split_part(lineage, '|', 3) AS genus, split_part(lineage, '|', 2) AS parent, journal <> 'Unpublished' AS published, split_part(organism, ' ', 1) || ' ' || split_part(organism, ' ', 2) AS two_words FROM info""")
+def lineage_units(info):
+    parts = F.split("lineage", r"\|")
+    return info.select("accession", names.genus_of(parts).alias("genus"), names.parent_unit(parts, names.genus_of(parts)).alias("parent"), names.published(F.col("journal")).alias("published"), names.first_two_words(F.col("organism")).alias("two_words"))
+
+
+@query("parsed_dates", "info", sql="""
+SELECT accession, date AS day, CAST(NULL AS DATE) AS broken FROM info""")
+def parsed_dates(info):
+    text = F.when(F.pmod(F.length("accession"), F.lit(2)) == 0, F.date_format("date", "dd-MMM-yyyy")).otherwise(F.date_format("date", "dd/MM/yyyy"))
+    return info.select("accession", names.parsed_date(text).alias("day"), names.parsed_date(F.col("journal")).alias("broken"))
+
+
+@query("base_composition", "dna", sql="""
+SELECT accession, len(regexp_replace(seq, '[^ACGT]', '', 'g')) AS n_plain, len(seq) - len(regexp_replace(seq, '[^ACGT]', '', 'g')) AS n_other, len(regexp_replace(seq, '[RYKMSWBDHVN-]', '', 'g')) AS n_unambiguous,
+  CASE WHEN len(seq) > 0 THEN round(1 - len(regexp_replace(seq, '[^ACGT]', '', 'g')) / len(seq), 9) END AS other_ratio FROM dna""")
+def base_composition(dna):
+    n, plain = F.length("seq"), bases.n_plain(F.col("seq"))
+    return dna.select("accession", plain.cast("bigint").alias("n_plain"), (n - plain).cast("bigint").alias("n_other"), bases.n_unambiguous(F.col("seq")).cast("bigint").alias("n_unambiguous"), F.when(n > 0, F.round(1 - plain / n, 9)).alias("other_ratio"))
+
+
+@query("reverse_complement", "dna", sql="""
+SELECT accession, reverse(translate(seq, 'ACGTRYMN', 'TGCAYRKN')) AS rc FROM dna""")
+def reverse_complement(dna):
+    return dna.select("accession", bases.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query("hsp_chain", "hits")
+def hsp_chain(h):
+    return hits.chain(h, MAXLEN, F.lit(QLEN))
+
+
+@query("extend_hits", "hits")
+def extend_hits(h):
+    return hits.fetch_range(hits.extend(hits.best_per_subject(hits.chain(h, MAXLEN, F.lit(QLEN))), F.lit(QLEN), MAXLEN))
+
+
+SUMS = """, sums AS (SELECT query_acc, subject_acc, sum(alignment_length) AS sum_hits_alignlen, round(sum(bit_score), 2) AS sum_hits_score, min(source_round) AS source_round FROM hits GROUP BY 1, 2)"""
+
+
+def _sums(h):
+    return h.groupBy("query_acc", "subject_acc").agg(F.sum("alignment_length").alias("sum_hits_alignlen"), F.round(F.sum("bit_score"), 2).alias("sum_hits_score"), F.min("source_round").alias("source_round"))
+
+
+@query("best_hit_per_subject", "hits", sql=SUMS + """
+SELECT query_acc, subject_acc, CAST(sum_hits_alignlen AS BIGINT) AS sum_hits_alignlen, sum_hits_score, source_round FROM sums QUALIFY row_number() OVER (PARTITION BY subject_acc ORDER BY sum_hits_score DESC, sum_hits_alignlen DESC, query_acc) = 1""")
+def best_hit_per_subject(h):
+    return hits.best_per_subject(_sums(h))
+
+
+@query("extension_arithmetic", "hits", sql="""
+, x AS (SELECT *, q_start - 1 AS l, greatest(1000 - q_end, 0) AS r, 1200 - abs(s_end - s_start) - 1 AS budget FROM hits),
+y AS (SELECT *, CAST(floor(l * CASE WHEN l + r > budget THEN greatest(budget, 0) / (l + r) ELSE 1.0 END) AS INT) AS el, CAST(floor(r * CASE WHEN l + r > budget THEN greatest(budget, 0) / (l + r) ELSE 1.0 END) AS INT) AS er FROM x)
+SELECT hsp_id, el AS extension_left, er AS extension_right, greatest(1, CASE WHEN s_start <= s_end THEN s_start - el ELSE s_start + el END) AS s_extstart, greatest(1, CASE WHEN s_start <= s_end THEN s_end + er ELSE s_end - er END) AS s_extend FROM y""")
+def extension_arithmetic(h):
+    return hits.extend(h, F.lit(QLEN), MAXLEN).select("hsp_id", "extension_left", "extension_right", "s_extstart", "s_extend")
+
+
+@query("iqr_band", "hits", sql=SUMS + """
+, q AS (SELECT query_acc, quantile_cont(sum_hits_score, 0.25) AS a, quantile_cont(sum_hits_score, 0.75) AS b FROM sums GROUP BY 1)
+SELECT query_acc, subject_acc, sum_hits_score FROM sums JOIN q USING (query_acc) WHERE sum_hits_score BETWEEN a AND b""")
+def iqr_band(h):
+    return hits.quartile_band(_sums(h)).select("query_acc", "subject_acc", "sum_hits_score")
+
+
+@query("hash_sample", "hits", sql=SUMS + """
+SELECT query_acc, subject_acc FROM sums QUALIFY row_number() OVER (PARTITION BY query_acc ORDER BY md5('1' || subject_acc), subject_acc) <= 5""")
+def hash_sample(h):
+    return hits.sampled(_sums(h), "query_acc", "subject_acc", 5).select("query_acc", "subject_acc")
+
+
+@query("new_accessions", "hits", sql="""
+SELECT DISTINCT subject_acc FROM hits WHERE source_round = 4 AND subject_acc NOT IN (SELECT subject_acc FROM hits WHERE source_round = 1 AND n_identity > 45)""")
+def new_accessions(h):
+    return hits.new_accessions(h.where("source_round = 4"), h.where("source_round = 1 AND n_identity > 45"))
+
+
+ROUNDS = """, f AS (SELECT subject_acc, min(source_round) AS source_round, max(CASE WHEN n_identity >= 25 THEN 1 ELSE 0 END) AS ok FROM hits GROUP BY 1),
+p AS (SELECT source_round, count(*) AS n_new, sum(ok) AS n_passing FROM f GROUP BY 1), s AS (SELECT *, sum(n_new) OVER (ORDER BY source_round) AS n_total, lag(n_passing) OVER (ORDER BY source_round) AS prev FROM p)"""
+
+
+@query("round_summary", "hits", sql=ROUNDS + " SELECT source_round, n_new, CAST(n_passing AS BIGINT) AS n_passing, CAST(n_total AS BIGINT) AS n_total FROM s")
+def round_summary(h):
+    return hits.round_summary(h, F.col("n_identity") >= 25)
+
+
+@query("saturation", "hits", sql=ROUNDS + """, t AS (SELECT *, n_total > 1.2 * 300 OR (n_passing < 3 AND coalesce(prev < 3, false)) AS stops FROM s)
+SELECT source_round, n_new, CAST(n_passing AS BIGINT) AS n_passing, CAST(n_total AS BIGINT) AS n_total, stops FROM t WHERE source_round <= coalesce((SELECT min(source_round) FROM t WHERE stops), 99)""")
+def saturation(h):
+    return hits.saturation(h, F.col("n_identity") >= 25, 300)
+
+
+@query("radius_edges", "hits", sql="""
+, p AS (SELECT query_acc, hsp_id, q_start AS x, q_end AS y FROM hits WHERE n_identity >= 49)
+SELECT a.query_acc, a.hsp_id AS i, b.hsp_id AS j FROM p a JOIN p b ON a.query_acc = b.query_acc AND a.hsp_id < b.hsp_id AND abs(a.x - b.x) <= 20 WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 400""")
+def radius_edges(h):
+    return hits.radius_edges(h.where("n_identity >= 49"), F.lit(QLEN), 0.02)
+
+
+@query("annotation_filter", "info", sql="""
+SELECT accession FROM info WHERE NOT (contains(lower(replace(organism, ' ', '')), 'hybrid') OR contains(lower(replace(journal, ' ', '')), 'hybrid') OR contains(lower(replace(organism, ' ', '')), 'sp.0') OR contains(lower(replace(journal, ' ', '')), 'sp.0'))
+  AND (contains(lower(replace(organism, ' ', '')), 'species') OR contains(lower(replace(journal, ' ', '')), 'journal5') OR contains(lower(replace(organism, ' ', '')), 'journal5'))""")
+def annotation_filter(info):
+    return info.where(curate.annotation_passes(F.array("organism", "journal"), ["Species", "journal 5"], ["hybrid", "sp. 0"])).select("accession")
+
+
+@query("taxonomy_whitelist", "info", sql="""
+SELECT accession FROM info WHERE lower(split_part(lineage, '|', 3)) = 'genus3' OR lower(split_part(lineage, '|', 2)) = 'genus3' OR trim(regexp_replace(lower(organism), '(^| )(var\\.|subsp\\.|ssp\\.|f\\.|fma\\.|x)( .*)?$', '')) IN ('genus5 species1', 'genus3')""")
+def taxonomy_whitelist(info):
+    return info.where(curate.taxonomy_passes(F.split("lineage", r"\|"), F.col("organism"), ["Genus3", "Genus5 species1"])).select("accession")
+
+
+@query("exceptional_names", "info", sql="""
+SELECT accession, organism FROM info WHERE NOT regexp_matches(organism, ' (sp\\.|sp|cf\\.|cf|aff\\.|aff|x\\.|x)( |$)')""")
+def exceptional_names(info):
+    return info.where(~names.exceptional(F.col("organism"))).select("accession", "organism")
+
+
+@query("low_quality", "dna", sql="""
+, n AS (SELECT accession, seq, len(regexp_replace(seq, '[^ACGT]', '', 'g')) AS p FROM dna), r AS (SELECT DISTINCT seq AS s FROM dna WHERE accession LIKE '%5.1')
+SELECT accession, CASE WHEN p < 160 THEN 'short' WHEN p < 0.995 * len(seq) THEN 'ambiguous' WHEN s IS NOT NULL THEN 'duplicate' END AS reject_reason FROM n LEFT JOIN r ON seq = s""")
+def low_quality(dna):
+    return curate.low_quality(dna, 800, dna.where("accession LIKE '%5.1'")).select("accession", "reject_reason")
+
+
+RECORDS = """, rec AS (SELECT i.accession, i.organism, i.specimen_voucher, i.journal, i.date, d.seq, d.doc_id FROM info i JOIN dna d USING (accession))"""
+
+
+def _records(info, dna):
+    return info.select("accession", "organism", "specimen_voucher", "journal", "date").join(dna, "accession")
+
+
+@query("dedup_voucher", "info", "dna", sql=RECORDS + """
+SELECT min(accession) AS accession, organism, specimen_voucher FROM rec GROUP BY organism, specimen_voucher, seq""")
+def dedup_voucher(info, dna):
+    return curate.dedup_by_voucher(_records(info, dna)).select("accession", "organism", "specimen_voucher")
+
+
+@query("query_dedup", "info", "dna", sql=RECORDS + """
+, h AS (SELECT concat(organism, '|', journal, '|', specimen_voucher, '|', len(seq)) AS header, min_by(accession, accession) AS accession, min_by(seq, accession) AS seq FROM rec GROUP BY 1)
+SELECT min(accession) AS accession FROM h GROUP BY seq""")
+def query_dedup(info, dna):
+    header = F.concat("organism", F.lit("|"), "journal", F.lit("|"), F.coalesce("specimen_voucher", F.lit("")), F.lit("|"), F.length("seq").cast("string"))
+    return curate.dedup_queries(_records(info, dna).withColumn("header", header)).select("accession")
+
+
+EVAL = RECORDS + """, ev AS (SELECT accession, organism, specimen_voucher, journal, date, len(seq) AS record_length, doc_id % 97 AS sum_hits_score, 1 + doc_id % 4 AS source_round, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 10 END AS consensus_value FROM rec),
+rk AS (SELECT *, rank() OVER (ORDER BY sum_hits_score DESC) + (count(*) OVER (PARTITION BY sum_hits_score) - 1) / 2 AS rank_score, rank() OVER (ORDER BY source_round) + (count(*) OVER (PARTITION BY source_round) - 1) / 2 AS rank_source,
+  rank() OVER (ORDER BY record_length DESC) + (count(*) OVER (PARTITION BY record_length) - 1) / 2 AS rank_length FROM ev)"""
+
+
+def _evaluated(info, dna):
+    r = _records(info, dna)
+    return r.select("accession", "organism", "specimen_voucher", "journal", "date", F.length("seq").alias("record_length"), (F.col("doc_id") % 97).alias("sum_hits_score"), (1 + F.col("doc_id") % 4).alias("source_round"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 10).alias("consensus_value"))
+
+
+@query("average_rank", "info", "dna", sql=EVAL + "SELECT accession, rank_score, rank_source, rank_length, rank_score + rank_length AS sum_of_rank FROM rk")
+def average_rank(info, dna):
+    return curate.ranked(_evaluated(info, dna)).select("accession", "rank_score", "rank_source", "rank_length", "sum_of_rank")
+
+
+@query("representative_per_species", "info", "dna", sql=EVAL + """
+SELECT organism, accession FROM rk QUALIFY row_number() OVER (PARTITION BY organism ORDER BY rank_score + rank_length, consensus_value DESC NULLS LAST, specimen_voucher IS NULL, journal = 'Unpublished', date DESC NULLS LAST, accession) = 1""")
+def representative_per_species(info, dna):
+    return curate.representatives(curate.ranked(_evaluated(info, dna))).select("organism", "accession")
+
+
+@query("curate_marker", "info", "dna", sql=EVAL + """
+, m AS (SELECT * REPLACE (CASE WHEN contains(organism, ' subsp. ') THEN split_part(organism, ' subsp. ', 1) WHEN contains(organism, ' var. ') THEN split_part(organism, ' var. ', 1) ELSE organism END AS organism) FROM rk WHERE record_length >= 100),
+k AS (SELECT * FROM m WHERE NOT regexp_matches(organism, ' (sp\\.|sp|cf\\.|cf|aff\\.|aff|x\\.|x)( |$)'))
+SELECT organism, accession FROM k QUALIFY row_number() OVER (PARTITION BY organism ORDER BY rank_score + rank_length, specimen_voucher IS NULL, journal = 'Unpublished', date DESC, accession) = 1""")
+def curate_marker(info, dna):
+    rows = curate.ranked(_evaluated(info, dna)).withColumn("organism", names.merged(F.col("organism"))).withColumn("consensus_value", F.lit(None).cast("double"))
+    return curate.representatives(rows.where((F.col("record_length") >= 100) & ~names.exceptional(F.col("organism")))).select("organism", "accession")
+
+
+@query("longest_per_taxon", "info", "dna", sql=RECORDS + "SELECT organism, accession, CAST(len(seq) AS INT) AS length FROM rec QUALIFY row_number() OVER (PARTITION BY organism ORDER BY len(seq) DESC, accession) = 1")
+def longest_per_taxon(info, dna):
+    return curate.longest(_records(info, dna).withColumn("length", F.length("seq")), ["organism"], "length", ["accession"]).select("organism", "accession", "length")
+
+
+@query("length_tiers", "info", "dna", sql=RECORDS + """
+, t AS (SELECT accession, split_part(organism, ' ', 1) AS genus, len(seq) AS length FROM rec), n AS (SELECT *, row_number() OVER (PARTITION BY genus ORDER BY length DESC, accession) AS n FROM t),
+c AS (SELECT *, min(CASE WHEN n <= 20 THEN length END) OVER (PARTITION BY genus) AS cut FROM n) SELECT accession, genus, CASE WHEN n <= 20 THEN 1 WHEN length > cut / 2 THEN 2 ELSE 3 END AS tier FROM c""")
+def length_tiers(info, dna):
+    rows = _records(info, dna).select("accession", F.substring_index("organism", " ", 1).alias("genus"), F.length("seq").alias("length"))
+    return curate.length_tiers(rows, "genus", 20).select("accession", "genus", "tier")
+
+
+@query("even_subsets", "info", sql="""
+, n AS (SELECT accession, split_part(organism, ' ', 1) AS genus, row_number() OVER (PARTITION BY split_part(organism, ' ', 1) ORDER BY accession) - 1 AS n, count(*) OVER (PARTITION BY split_part(organism, ' ', 1)) AS c FROM info)
+SELECT accession, genus, CAST(n % CAST(ceil(c / 20) AS BIGINT) AS INT) + 1 AS subset FROM n""")
+def even_subsets(info):
+    return curate.even_subsets(info.select("accession", F.substring_index("organism", " ", 1).alias("genus")), "genus", 20).select("accession", "genus", "subset")
+
+
+CELLS = """, cells AS (SELECT organism, accession, p AS pos, substr(seq, p, 1) AS base, p BETWEEN len(seq) - len(ltrim(seq, '-')) + 1 AND len(rtrim(seq, '-')) AS inside FROM aln, unnest(range(1, 65)) AS t(p)),
+cols AS (SELECT organism, pos, count(*) AS n_rows, count(*) FILTER (base = '-') AS n_gaps FROM cells GROUP BY 1, 2)"""
+SETS = "(VALUES " + ", ".join(f"('{c}', '{b}', {alignment.VOTE[len(bs)]})" for c, bs in {**bases.IUPAC, "-": "-"}.items() for b in bs) + ") AS s(code, b, v)"
+CODES = "(VALUES " + ", ".join(f"('{b}', '{c}')" for c, b in bases.IUPAC.items()) + ") AS k(won, code)"
+
+
+@query("column_gaps", "aln", sql=CELLS + "SELECT organism, CAST(pos AS INT) AS pos, n_rows, n_gaps, round(n_gaps / n_rows, 9) AS gap_fraction FROM cols")
+def column_gaps(aln):
+    return alignment.column_counts(aln, "organism").withColumn("gap_fraction", F.round("gap_fraction", 9))
+
+
+@query("consensus", "aln", sql=CELLS + f""", v AS (SELECT organism, pos, b, round(sum(CASE WHEN inside THEN v ELSE 0 END), 9) AS v FROM cells JOIN {SETS} ON base = code GROUP BY 1, 2, 3),
+w AS (SELECT organism, pos, max(best) AS best, string_agg(b, '' ORDER BY b) AS won FROM (SELECT *, max(v) OVER (PARTITION BY organism, pos) AS best FROM v) WHERE v = best GROUP BY 1, 2)
+SELECT organism, string_agg(CASE WHEN best = 0 THEN 'N' WHEN w.won = '-' THEN '-' WHEN contains(w.won, '-') THEN 'N' ELSE code END, '' ORDER BY pos) AS consensus FROM w LEFT JOIN {CODES} ON w.won = k.won GROUP BY 1""")
+def consensus(aln):
+    return alignment.consensus(aln, "organism").select("organism", "consensus")
+
+
+@query("boundary_trim", "aln", sql=CELLS + """, b AS (SELECT organism, min(pos) AS f, max(pos) AS l FROM cols WHERE n_gaps / n_rows < 0.025 GROUP BY 1)
+SELECT accession, CASE WHEN f IS NULL THEN seq ELSE substr(seq, f, l - f + 1) END AS seq FROM aln LEFT JOIN b USING (organism)""")
+def boundary_trim(aln):
+    return alignment.boundary_trim(aln, "organism").select("accession", "seq")
+
+
+@query("common_ends", "aln", sql=CELLS + "SELECT organism, CAST(min(CASE WHEN n_gaps = 0 THEN pos END) AS INT) AS first, CAST(max(CASE WHEN n_gaps = 0 THEN pos END) + 1 AS INT) AS last FROM cols GROUP BY 1")
+def common_ends(aln):
+    return alignment.common_ends(aln, "organism")
+
+
+@query("rare_insertions", "aln", sql=CELLS + """, o AS (SELECT organism, pos, pos - row_number() OVER (PARTITION BY organism ORDER BY pos) AS i FROM cols WHERE n_rows - n_gaps <= 3)
+SELECT organism, CAST(min(pos) AS INT) AS first, CAST(max(pos) AS INT) AS last FROM o GROUP BY organism, i HAVING max(pos) - min(pos) >= 3""")
+def rare_insertions(aln):
+    return alignment.rare_insertions(aln, "organism", 3, 4)
+
+
+@query("gap_trim", "aln", sql=CELLS + """SELECT organism, CAST(pos AS INT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY organism ORDER BY n_gaps / n_rows, pos) AS n FROM cols) WHERE 1 - n_gaps / n_rows >= 0.95 OR n <= 32""")
+def gap_trim(aln):
+    return alignment.gap_trim(aln, "organism", 0.95, 50)
+
+
+EQ = "(VALUES " + ", ".join(f"('{x}{y}', {bases.equality(x, y)!r})" for x in bases.IUPAC for y in bases.IUPAC if bases.equality(x, y)) + ") AS e(xy, v)"
+PAIRS = CELLS + """, ends AS (SELECT *, len(seq) - len(ltrim(seq, '-')) + 1 AS f, len(rtrim(seq, '-')) AS l FROM aln),
+prs AS (SELECT a.organism, a.accession AS a1, b.accession AS a2, a.seq AS s1, b.seq AS s2, greatest(a.f, b.f) AS f, least(a.l, b.l) AS l FROM ends a JOIN ends b ON a.organism = b.organism AND a.accession < b.accession)"""
+
+
+@query("avg_identity", "aln", sql=PAIRS + f""", pi AS (SELECT organism, a1, a2, sum(coalesce(v, 0)) / count(*) AS pi FROM (SELECT organism, a1, a2, substr(s1, p, 1) AS x, substr(s2, p, 1) AS y FROM prs, unnest(range(f, l + 1)) AS t(p)) LEFT JOIN {EQ} ON xy = x || y WHERE NOT (x = '-' AND y = '-') GROUP BY 1, 2, 3)
+SELECT organism, round(avg(pi), 9) AS avg_pi, count(*) AS n_pairs FROM prs LEFT JOIN pi USING (organism, a1, a2) GROUP BY 1""")
+def avg_identity(aln):
+    return alignment.average_identity(aln, "organism").withColumn("avg_pi", F.round("avg_pi", 9))
+
+
+@query("p_distance_edges", "aln", sql=PAIRS + """, h AS (SELECT organism, a1, a2, len(list_filter(range(1, 65), p -> substr(s1, p, 1) <> substr(s2, p, 1))) / 64 AS distance FROM prs)
+SELECT organism, a1 AS accession, a2 AS accession_2, distance FROM h WHERE distance <= 0.6""")
+def p_distance_edges(aln):
+    return alignment.p_distance_edges(aln, "organism", 0.6)
+
+
+@query("sum_of_pairs", "aln", sql=CELLS + f""", c AS (SELECT organism, pos, base, count(*) AS n FROM cells WHERE base <> '-' GROUP BY 1, 2, 3),
+m AS (SELECT a.organism, sum(CASE WHEN a.base = b.base THEN a.n * (a.n - 1) / 2 ELSE a.n * b.n END * coalesce(v, CASE WHEN contains('ACGT', a.base) AND contains('ACGT', b.base) THEN -2 ELSE -1 END)) AS m FROM c a JOIN c b ON a.organism = b.organism AND a.pos = b.pos AND a.base <= b.base LEFT JOIN {EQ} ON xy = a.base || b.base GROUP BY 1),
+g AS (SELECT organism, sum(len(regexp_replace(trim(seq, '-'), '[^-]', '', 'g')) + len(regexp_extract_all(trim(seq, '-'), '-+'))) AS cost FROM aln GROUP BY 1)
+SELECT organism, round(coalesce(m, 0) - cost, 6) AS sp_score FROM g LEFT JOIN m USING (organism)""")
+def sum_of_pairs(aln):
+    return alignment.sum_of_pairs(aln, "organism").withColumn("sp_score", F.round("sp_score", 6))
+
+
+@query("extension_control", "aln", sql="""
+, x AS (SELECT accession, seq, CASE WHEN len(regexp_replace(substr(seq, 1, 4), '[^-]', '', 'g')) / 4 > 0.25 THEN 4 ELSE 0 END AS a, CASE WHEN len(regexp_replace(substr(seq, 61), '[^-]', '', 'g')) / 4 > 0.25 THEN 4 ELSE 0 END AS b FROM aln)
+SELECT accession, a AS cut_left, b AS cut_right, substr(seq, a + 1, 64 - a - b) AS seq FROM x""")
+def extension_control(aln):
+    return alignment.control_extension(aln, F.lit(4), F.lit(4), 0.25).select("accession", "cut_left", "cut_right", "seq")
+
+
+@query("kmer_similarity", "dna", sql="""
+, k AS (SELECT accession, substr(seq, p, 24) AS kmer, count(*) AS c FROM dna, unnest(range(1, len(seq) - 22)) AS t(p) GROUP BY 1, 2),
+s AS (SELECT a.accession, b.accession AS accession_2, sum(least(a.c, b.c)) AS shared FROM k a JOIN k b ON a.kmer = b.kmer AND a.accession < b.accession GROUP BY 1, 2)
+SELECT s.accession, accession_2, CAST(shared AS BIGINT) AS shared, round(shared / least(len(x.seq) - 23, len(y.seq) - 23), 9) AS similarity FROM s JOIN dna x ON x.accession = s.accession JOIN dna y ON y.accession = accession_2""")
+def kmer_similarity(dna):
+    return alignment.kmer_similarity(dna, 24).withColumn("similarity", F.round("similarity", 9))
+
+
+@query("mcl_clusters", "aln")
+def mcl_clusters(aln):
+    e = alignment.p_distance_edges(aln, "organism", 0.6)
+    return graph.markov_clusters(e.select(F.col("organism").alias("graph_id"), F.col("accession").alias("i"), F.col("accession_2").alias("j")))
+
+
+@query("genome_prefilter", "genomes", sql="""
+SELECT genome, CASE WHEN keywords = 'UNVERIFIED' THEN 'unverified' WHEN contains(organism, ' sp.') THEN 'sp.' WHEN contains(organism, ' x ') THEN 'hybrid' END AS reject_reason FROM genomes""")
+def genome_prefilter(g):
+    return g.select("genome", genomes.reject_reason(F.col("organism"), F.col("keywords")).alias("reject_reason"))
+
+
+ORDER = "CASE WHEN lower(trim(journals)) IN ('', 'unknown', 'unpublished') THEN 1 ELSE 0 END, cds_count DESC NULLS LAST, length DESC, date DESC NULLS LAST, genome"
+
+
+@query("topn_distinct_dates", "genomes", sql=f"""
+, d AS (SELECT * FROM genomes QUALIFY row_number() OVER (PARTITION BY organism, date ORDER BY {ORDER}) = 1)
+SELECT organism, genome, CAST(row_number() OVER (PARTITION BY organism ORDER BY {ORDER}) AS INT) AS choice FROM d QUALIFY choice <= 3""")
+def topn_distinct_dates(g):
+    return genomes.newest_distinct(g).select("organism", "genome", "choice")
+
+
+@query("marker_counts", "genomes", sql="""
+, q AS (SELECT * FROM (VALUES ('early', DATE '1900-01-01', DATE '1994-12-31'), ('late', DATE '1995-01-01', DATE '2100-01-01'), ('none', DATE '2101-01-01', DATE '2102-01-01')) AS t(marker, a, b))
+SELECT marker, count(genome) AS n_records FROM q LEFT JOIN (SELECT * FROM genomes WHERE regexp_matches(organism, '^Genus[135] ') AND length BETWEEN 100000 AND 150000) g ON g.date BETWEEN a AND b GROUP BY 1""")
+def marker_counts(g):
+    q = g.sparkSession.sql("SELECT marker, CAST(a AS DATE) AS a, CAST(b AS DATE) AS b FROM VALUES ('early', '1900-01-01', '1994-12-31'), ('late', '1995-01-01', '2100-01-01'), ('none', '2101-01-01', '2102-01-01') AS t(marker, a, b)")
+    found = g.where(F.col("organism").rlike("^Genus[135] ") & F.col("length").between(100000, 150000)).groupBy("date").agg(F.count("*").alias("n"))
+    return F.broadcast(q).join(found, found.date.between(F.col("a"), F.col("b")), "left").groupBy("marker").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"))
+
+
+GENES = """, f AS (SELECT * FROM features JOIN aliases USING (gene_alias)),
+genes AS (SELECT genome, gene, count(*) AS n, string_agg(concat(start_pos, '..', end_pos), '|' ORDER BY start_pos, concat(start_pos, '..', end_pos)) AS locations, max(end_pos - start_pos) AS length FROM f GROUP BY 1, 2)"""
+
+
+def _genes(features, aliases):
+    return genomes.gene_table(genomes.standard_gene(features, aliases))
+
+
+@query("gene_matrix", "features", "aliases", sql=GENES + "SELECT genome, gene, n, locations, length FROM genes")
+def gene_matrix(features, aliases):
+    return _genes(features, aliases)
+
+
+@query("genome_qc", "features", "aliases", sql=GENES + """
+SELECT genome, count(*) FILTER (type = 'gene') AS n_genes, count(*) FILTER (type = 'CDS') AS n_cds, count(*) FILTER (type = 'tRNA') AS n_trna, count(*) FILTER (type = 'rRNA') AS n_rrna, count(DISTINCT CASE WHEN type = 'CDS' THEN gene END) AS n_distinct_cds, count(*) FILTER (type = 'CDS') < 2 AS flagged FROM f GROUP BY 1""")
+def genome_qc(features, aliases):
+    return genomes.feature_counts(genomes.standard_gene(features, aliases), 2)
+
+
+@query("length_bounds", "features", "aliases", "reference", sql=GENES + "SELECT genome, gene, length FROM genes LEFT JOIN reference USING (gene) WHERE ref_len IS NULL OR length BETWEEN 0.8 * ref_len AND 1.2 * ref_len")
+def length_bounds(features, aliases, reference):
+    return genomes.within_reference(_genes(features, aliases), reference, 0.8, 1.2).select("genome", "gene", "length")
+
+
+@query("species_gene_set", "features", "aliases", "genomes", sql=GENES + """, t AS (SELECT genome, sum(length) AS total_length, count(*) AS n_genes FROM genes GROUP BY 1)
+SELECT organism, genome, CAST(total_length AS BIGINT) AS total_length, n_genes FROM t JOIN genomes USING (genome) QUALIFY row_number() OVER (PARTITION BY organism ORDER BY total_length DESC, genome) = 1""")
+def species_gene_set(features, aliases, g):
+    return genomes.per_species(_genes(features, aliases), g.withColumnRenamed("length", "genome_length")).select("organism", "genome", "total_length", "n_genes")
+
+
+WANTED = [f"gene{i}" for i in range(20)]
+
+
+@query("missing_genes", "features", "aliases", sql=GENES + f"""
+SELECT genome, coalesce((SELECT string_agg(w, ',' ORDER BY w) FROM unnest({WANTED}) AS x(w) WHERE NOT list_contains(h, w)), '') AS missing FROM (SELECT genome, list(DISTINCT gene) AS h FROM genes GROUP BY 1)""")
+def missing_genes(features, aliases):
+    return genomes.missing_genes(_genes(features, aliases), WANTED)
+
+
+@query("duplicate_report", "genomes", sql="SELECT organism, count(*) AS n FROM genomes GROUP BY 1 HAVING count(*) > 1")
+def duplicate_report(g):
+    return g.groupBy("organism").agg(F.count("*").alias("n")).where("n > 1")
+
+
+RESOLVED = """, s AS (SELECT DISTINCT trim(replace(organism, '|', '')) AS n FROM info), ex AS (SELECT n, b.*, 1.0 AS score FROM s JOIN backbone b ON n = name),
+fz AS (SELECT n, b.*, 1 - levenshtein(n, name) / greatest(len(n), len(name)) AS score FROM s JOIN backbone b ON split_part(n, ' ', 1) = split_part(name, ' ', 1) WHERE n NOT IN (SELECT n FROM ex)),
+res AS (SELECT * FROM (SELECT * FROM ex UNION ALL SELECT * FROM fz) QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, name) = 1)"""
+
+
+@query("resolve_names", "info", "backbone", sql=RESOLVED + "SELECT n AS name_submitted, name AS name_matched, accepted_name, accepted_rank, status, round(score, 9) AS score FROM res")
+def resolve_names(info, backbone):
+    return resolve.resolved(info.select(F.col("organism").alias("name")), backbone).withColumn("score", F.round("score", 9))
+
+
+@query("accepted_names", "info", "backbone", sql=RESOLVED + "SELECT accession, accepted_name AS organism FROM info LEFT JOIN (SELECT * FROM res WHERE score >= 0.6 AND accepted_name <> '' AND status IN ('Accepted', 'Synonym') AND accepted_rank <> 'genus') r ON trim(organism) = n")
+def accepted_names(info, backbone):
+    found = resolve.accepted(resolve.resolved(info.select(F.col("organism").alias("name")), backbone), 0.6)
+    return resolve.substituted(info, found).select("accession", "organism")
+
+
+@query("replacement", "markers", sql="""
+, a AS (SELECT taxon, seq FROM markers WHERE marker = 'm1'), b AS (SELECT taxon, seq FROM markers WHERE marker = 'm2') SELECT * FROM a UNION ALL SELECT * FROM b WHERE taxon NOT IN (SELECT taxon FROM a)""")
+def replacement(m):
+    return supermatrix.replaced(m.where("marker = 'm1'").select("taxon", "seq"), m.where("marker = 'm2'").select("taxon", "seq"))
+
+
+GRID = """, grid AS (SELECT t.taxon, m.marker, coalesce(seq, repeat('-', n)) AS seq FROM (SELECT DISTINCT taxon FROM markers) t CROSS JOIN (SELECT marker, max(len(seq)) AS n FROM markers GROUP BY 1) m LEFT JOIN markers x ON x.taxon = t.taxon AND x.marker = m.marker)"""
+
+
+@query("taxon_completion", "markers", sql=GRID + "SELECT taxon, marker, seq FROM grid")
+def taxon_completion(m):
+    return supermatrix.completed(m)
+
+
+@query("concatenate", "markers", sql=GRID + "SELECT taxon, string_agg(seq, '' ORDER BY marker) AS seq FROM grid GROUP BY 1")
+def concatenate(m):
+    return supermatrix.concatenated(supermatrix.completed(m))
+
+
+@query("partitions", "markers", sql="""
+, p AS (SELECT marker, max(len(seq)) AS n FROM markers GROUP BY 1), q AS (SELECT marker, n, sum(n) OVER (ORDER BY marker) AS e FROM p)
+SELECT concat('DNA, ', marker, '_pos', k + 1, ' = ', CAST(e - n + 1 + k AS BIGINT), '-', CAST(e AS BIGINT), '\\3') AS line FROM q, unnest([0, 1, 2]) AS t(k)""")
+def partitions(m):
+    return supermatrix.partition_lines(supermatrix.partitions(m), True)
+
+
+@query("length_status", "markers", sql="SELECT marker, CAST(CASE WHEN min(len(seq)) = max(len(seq)) THEN min(len(seq)) ELSE -1 END AS INT) AS status FROM markers GROUP BY 1")
+def length_status(m):
+    return supermatrix.length_status(m)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
