@@ -37,6 +37,9 @@ class WordIds:
         self.dtype, self.limit, self.known = np.dtype(dtype).newbyteorder("<"), limit, {b"": b""}
         if self.library.get_vocab_size() > np.iinfo(self.dtype).max:
             raise ValueError(f"{path} has too many ids for {self.dtype}")
+        #: Ids that end a word.
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
 
     def _learn(self, words: set) -> None:
         known, halves, new = self.known, {}, set()
@@ -46,12 +49,27 @@ class WordIds:
                 new.update(x for x in (head, m[0]) if x not in known)
             else:
                 new.add(w)
+        plain = [w for w in new if w.decode().isalpha()]
+        for at in range(0, len(plain), 1000):
+            new -= self._together(plain[at : at + 1000])
         order = list(new)
         for w, got in zip(order, self.library.encode_batch_fast([w.decode() for w in order], add_special_tokens=False), strict=True):
             known[w] = np.asarray(got.ids, self.dtype).tobytes()
         for w, (head, tail) in halves.items():
             known[w] = known[head] + known[tail]
 
+    def _together(self, words: list[bytes]) -> set:
+        """Learns words of letters as one text, which is cut after each id that ends a word; none if some word has more
+        than one such id."""
+        ids = np.asarray(self.library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.int64)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words) or cuts[-1] != len(ids):
+            return set()
+        data, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        for w, a, z in zip(words, np.r_[0, cuts[:-1]].tolist(), cuts.tolist(), strict=True):
+            self.known[w] = data[a * width : z * width]
+        return set(words)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes."""
         if len(self.known) > self.limit:
