@@ -297,7 +297,7 @@ def avg_identity(aln):
     return alignment.average_identity(aln, "organism").withColumn("avg_pi", F.round("avg_pi", 9))
 
 
-@query("p_distance_edges", "aln", sql=PAIRS + """, h AS (SELECT organism, a1, a2, len(list_filter(range(1, 65), p -> substr(s1, p, 1) <> substr(s2, p, 1))) / 64 AS distance FROM prs)
+@query("p_distance_edges", "aln", sql=PAIRS + """, h AS (SELECT organism, a1, a2, len(list_filter(range(1, 65), lambda p: substr(s1, p, 1) <> substr(s2, p, 1))) / 64 AS distance FROM prs)
 SELECT organism, a1 AS accession, a2 AS accession_2, distance FROM h WHERE distance <= 0.6""")
 def p_distance_edges(aln):
     return alignment.p_distance_edges(aln, "organism", 0.6)
