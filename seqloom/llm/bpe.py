@@ -66,12 +66,17 @@ class Transducer:
 
     def _merged(self, data: bytes) -> list[int]:
         """The merges done one by one, lowest rank first, for a token or two."""
+        get, never = self.ranks.get, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
+        order = [get(data[i : i + 2], never) for i in range(len(data) - 1)]
+        while order and (rank := min(order)) != never:
+            at = order.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del order[at]
+            if at:
+                order[at - 1] = get(parts[at - 1] + parts[at], never)
+            if at < len(order):
+                order[at] = get(parts[at] + parts[at + 1], never)
         return [self.ranks[p] for p in parts]
 
     def _fit(self, before: int | None, token: int) -> bool:
