@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,11 @@ def default_pattern() -> str:
 
 
 class Transducer:
-    """Ids of one pre-token: next state and emitted ids by state and byte."""
+    """Ids of one pre-token, four little-endian bytes each: a state maps a byte to the next state and what is emitted."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {v: k for k, v in ranks.items()}
+        self.packed = {i: struct.pack("<I", i) for i in self.bytes_of}
         self.kids: list[dict[int, int]] = [{}]
         self.token: list[int | None] = [None]
         for t, i in ranks.items():
@@ -58,18 +60,19 @@ class Transducer:
                 node = self.kids[node][c]
             self.token[node] = i
         self.fits: dict = {}
+        self.halves: dict = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states, self.names, self.moves = [], {}, []
-        self._state(((0, None, ()),))
+        self.states: dict = {}
+        self.start = self._state(((0, None, b""),))
 
-    def _merged(self, data: bytes) -> list[int]:
-        """The merges done one by one, lowest rank first, for a token or two."""
+    def _parts(self, data: bytes) -> list[bytes]:
+        """The merges done one by one, lowest rank first, until one is left to do at most."""
         get, never = self.ranks.get, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
         order = [get(data[i : i + 2], never) for i in range(len(data) - 1)]
-        while order and (rank := min(order)) != never:
+        while len(order) > 1 and (rank := min(order)) != never:
             at = order.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del order[at]
@@ -77,53 +80,85 @@ class Transducer:
                 order[at - 1] = get(parts[at - 1] + parts[at], never)
             if at < len(order):
                 order[at] = get(parts[at] + parts[at + 1], never)
-        return [self.ranks[p] for p in parts]
-
-    def _fit(self, before: int | None, token: int) -> bool:
-        key = (before, token)
-        if key not in self.fits:
-            if len(self.fits) > 1_000_000:
-                self.fits.clear()
-            own = [token] if before is None else [before, token]
-            self.fits[key] = self._merged(b"".join(self.bytes_of[t] for t in own)) == own
-        return self.fits[key]
-
-    def _state(self, items: tuple) -> int:
-        if items not in self.names:
-            self.names[items] = len(self.states)
-            self.states.append(items)
-            self.moves.append({})
-        return self.names[items]
-
-    def _move(self, state: int, c: int) -> tuple[int, tuple]:
-        """Items: (trie node since the guess, last token before it, pending ids), the newest guess last."""
-        live, ending = [], None
-        for node, last, pending in self.states[state]:
-            if (to := self.kids[node].get(c)) is None:
+        return parts
+
+    def _halves(self, token: int) -> tuple | None:
+        """The two tokens that a token is last merged from, () for a single byte, None for a token that merging its
+        bytes doesn't give."""
+        if token not in self.halves:
+            parts = self._parts(self.bytes_of[token])
+            known = tuple(self.ranks[p] for p in parts)
+            if len(parts) == 2 and max(known) > token:
+                raise ValueError(f"token {token} ranks before what it is merged from")
+            self.halves[token] = () if len(parts) == 1 else known if len(parts) == 2 else None
+        return self.halves[token]
+
+    def _fit(self, before: int, token: int) -> bool:
+        """Whether two tokens stay apart. Merges are undone from the last one on, and at every time the parts that meet
+        must not be merged before either one's next merge; of equal ranks the left one comes first."""
+        key = before << 32 | token
+        if key in self.fits:
+            return self.fits[key]
+        if len(self.fits) > 1_000_000:
+            self.fits.clear()
+        rank, data, never = self.ranks.get, self.bytes_of, 1 << 60
+        left, right, left_next, right_next, ok = before, token, never, never, True
+        while True:
+            r = rank(data[left] + data[right], never)
+            if r < left_next and r <= right_next and r != never:
+                ok = False
+                break
+            a, b = self.halves[left], self.halves[right]
+            if b and (right >= left or not a):
+                right_next, right = right, b[0]
+                if b[0] not in self.halves:
+                    self._halves(b[0])
+            elif a:
+                left_next, left = left, a[1]
+                if a[1] not in self.halves:
+                    self._halves(a[1])
+            else:
+                break
+        self.fits[key] = ok
+        return ok
+
+    def _state(self, items: tuple) -> dict:
+        """Items: (trie node since the guess, last token before it, pending ids), the newest guess last; kept at -1."""
+        if (state := self.states.get(items)) is None:
+            state = self.states[items] = {-1: items}
+        return state
+
+    def _move(self, state: dict, c: int) -> tuple[dict, bytes]:
+        live, ending, kids, token = [], None, self.kids, self.token
+        for node, last, pending in state[-1]:
+            if (to := kids[node].get(c)) is None:
                 continue
-            if self.kids[to]:
+            if kids[to]:
                 live.append((to, last, pending))
-            if (t := self.token[to]) is not None and ending is None and self._fit(None, t) and (last is None or self._fit(last, t)):
-                ending = (0, t, (*pending, t))
+            if ending is None and (t := token[to]) is not None and self._halves(t) is not None and (last is None or self._fit(last, t)):
+                ending = (0, t, pending + self.packed[t])
         live.append(ending)  # single bytes are tokens, so one always fits
-        shared = 0
-        first = live[0][2]
-        while all(len(p) > shared and p[shared] == first[shared] for *_, p in live) and len(first) > shared:
-            shared += 1
-        to = self._state(tuple((n, t, p[shared:]) for n, t, p in live))
-        self.moves[state][c] = (to, first[:shared])
-        return self.moves[state][c]
-
-    def encode(self, piece: bytes) -> list[int]:
+        first, shared = live[0][2], 0
+        if first:
+            rest = [p for _, _, p in live[1:]]
+            while shared < len(first) and all(p[shared : shared + 4] == first[shared : shared + 4] for p in rest):
+                shared += 4
+            if shared:
+                live = [(n, t, p[shared:]) for n, t, p in live]
+        move = state[c] = (self._state(tuple(live)), first[:shared])
+        return move
+
+    def encode(self, piece: bytes) -> bytes:
         if (whole := self.ranks.get(piece)) is not None:
-            return [whole]
+            return self.packed[whole]
         if len(self.states) > STATES:
             self._reset()
-        state, out = 0, []
+        state, out = self.start, b""
         for c in piece:
-            state, emitted = self.moves[state].get(c) or self._move(state, c)
-            out += emitted
-        return out + list(self.states[state][-1][2])
+            state, emitted = state.get(c) or self._move(state, c)
+            if emitted:
+                out += emitted
+        return out + state[-1][-1][2]
 
 
 class Codec:
@@ -142,8 +177,7 @@ class Codec:
         self.decoder = Utf8(self.tokens)
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = [i for p in self.pieces.findall(chunk) for i in self.fst.encode(p.encode())]
-        out = np.array(ids, "<u4").tobytes()
+        out = b"".join([self.fst.encode(p.encode()) for p in self.pieces.findall(chunk)])
         if len(self.chunks) >= CHUNKS:
             self.chunks.clear()
         if len(chunk) < 64:
