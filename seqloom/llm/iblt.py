@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import read, staged
 
 #: Cells of each of a fingerprint's three parts, and the digests that share a sketch when it is retried larger.
-THIRD, SHARE, TRIES = 8, 16, 8
+THIRD, SHARE, TRIES = 8, 12, 8
 PARAGRAPH_END = r"\n+|(?<=[.!?])\s+"
 DIFFERENCE = "array<struct<k:bigint,c:int>>"
 
@@ -50,7 +50,10 @@ def sketch(keys: Column, third: Column, seed: Column) -> Column:
     none = F.struct(F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("h"))
 
     def cells(entries):
-        return F.transform(F.sequence(F.lit(0), third * 3 - 1), lambda j: F.aggregate(entries, none, lambda cell, e: F.when(F.array_contains(e["at"], j), _put(cell, e, F.lit(1))).otherwise(cell)))
+        def part(i):
+            return F.transform(F.sequence(third * i, third * (i + 1) - 1), lambda j: F.aggregate(F.filter(entries, lambda e: e["at"][i] == j), none, lambda cell, e: _put(cell, e, F.lit(1))))
+
+        return F.concat(*(part(i) for i in range(3)))
 
     return F.element_at(F.transform(F.array(F.transform(keys, lambda k: _entry(k, third, seed))), cells), 1)
 
@@ -70,7 +73,7 @@ def peel(cells: Column, third: Column, seed: Column) -> Column:
         return F.element_at(F.transform(F.array(now), lambda n: F.struct(n.alias("cells"), pure(n).alias("pure"), out.alias("out"))), 1)
 
     def round_(s, _):
-        now = F.transform(s["cells"], lambda x, j: F.aggregate(s["pure"], x, lambda cell, e: F.when(F.array_contains(e["at"], j), _put(cell, e, -e["c"])).otherwise(cell)))
+        now = F.transform(s["cells"], lambda x, j: F.aggregate(F.filter(s["pure"], lambda e: F.array_contains(e["at"], j)), x, lambda cell, e: _put(cell, e, -e["c"])))
         told = F.concat(s["out"], F.transform(s["pure"], lambda e: F.struct(e["k"].alias("k"), e["c"].alias("c"))))
         return F.when(F.size(s["pure"]) == 0, s).otherwise(state(now, told))
 
@@ -110,9 +113,10 @@ def difference(a: Column, b: Column, a_cells: Column, b_cells: Column) -> Column
     return F.coalesce(peel(subtract(a_cells, b_cells), third, seed), _retried(a, b, shares))
 
 
-def likeness(n_a: Column, n_b: Column, diff: Column) -> Column:
-    """Paragraphs in both by paragraphs in either, by the sizes and the recovered difference; 1 for two empty texts."""
-    both = (n_a + n_b - F.size(diff)) / 2
+def likeness(n_a: Column, n_b: Column, n_diff: Column) -> Column:
+    """Paragraphs in both by paragraphs in either, by the sizes of both and of the recovered difference; 1 for two empty
+    texts. The last is used twice, so it should be a column."""
+    both = (n_a + n_b - n_diff) / 2
     return F.when(n_a + n_b == 0, F.lit(1.0)).otherwise(both / (n_a + n_b - both))
 
 
@@ -164,9 +168,11 @@ def compared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 def op2_fingerprint(spark, sf_dir: str) -> DataFrame:
     rows = compared(read(spark, sf_dir, "documents"))
+    for c in ("edited", "next"):
+        rows = rows.withColumn(f"{c}_differ", F.size(difference(F.col("keys"), F.col(f"{c}_keys"), F.col("cells"), F.col(f"{c}_cells"))))
     size = {c: F.size(c) for c in ("keys", "edited_keys", "next_keys")}
     return rows.select(
         F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("keys"), F.col("cells")).alias("fingerprint"), as_text(F.col("edited_keys"), F.col("edited_cells")).alias("edited_fingerprint"),
-        likeness(size["keys"], size["edited_keys"], difference(F.col("keys"), F.col("edited_keys"), F.col("cells"), F.col("edited_cells"))).alias("near_edited"),
-        likeness(size["keys"], size["next_keys"], difference(F.col("keys"), F.col("next_keys"), F.col("cells"), F.col("next_cells"))).alias("near_next"),
+        likeness(size["keys"], size["edited_keys"], F.col("edited_differ")).alias("near_edited"),
+        likeness(size["keys"], size["next_keys"], F.col("next_differ")).alias("near_next"),
     )
