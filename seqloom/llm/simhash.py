@@ -16,8 +16,15 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, octets, read, staged
 from .components import components
+from .suffix_dedup import _slices
 
 RADIUS = 3
+#: The pipeline's stage: documents whose sets of so many words' shingles have this Jaccard similarity are near copies.
+SHINGLE, ALIKE = 5, 0.8
+#: Candidates share one of BANDS groups of ROWS least hashes: at similarity 0.8 all but (1 - 0.8 ** 4) ** 16 = 0.02%.
+BANDS, ROWS = 16, 4
+#: Rounds in which a bucket's members meet one of them, before members that are still apart meet each other.
+ROUNDS = 3
 #: Fingerprints of one bucket that are compared in one place; larger buckets are compared block against block.
 BLOCK = 2048
 
@@ -29,18 +36,23 @@ def masks(radius: int) -> list[int]:
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, n)]
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """A hash of every `shingle` words; of all words where there are fewer."""
     words = text.translate(SPACED).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = ends - np.fromiter(map(len, words), np.int64, len(words))
     k = min(shingle, len(words))
     spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    total, n, part = np.zeros(64, np.int64), len(words) - k + 1, []
     digest = xxhash.xxh64_intdigest
-    part = np.fromiter((digest(line[a:b], 42) for a, b in spans), np.uint64, n)
+    return np.fromiter((digest(line[a:b], 42) for a, b in spans), np.uint64, len(words) - k + 1)
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    part = shingles(text, shingle)
+    n, total = len(part), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         total += np.unpackbits(part[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
@@ -137,7 +149,85 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), as_hex("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def _bands(own: np.ndarray) -> list[int]:
+    """A key of each band of a set's least hashes."""
+    rng = np.random.default_rng(11)
+    mix, odd = (rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None] * np.uint64(2) + np.uint64(1) for _ in range(2))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(own), 1 << 13):
+        x = (own[None, at : at + (1 << 13)] ^ mix) * odd
+        x = (x ^ (x >> np.uint64(32))) * mix
+        least = np.minimum(least, x.min(1))
+    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
+
+
+def shingle_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
+    """(id, v, h, keys): a name of the text's set of shingles, the sorted set itself and its bands' keys."""
+
+    def make(batches):
+        for b in _slices(batches):
+            own = [np.unique(shingles(t, shingle)) for t in b[1].to_pylist()]
+            name = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64)
+            keys = np.array([_bands(x) for x in own], np.uint64).reshape(-1).view(np.int64)
+            held = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * BANDS, pa.int32()), pa.array(keys, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b[0], pa.array(name, pa.int64()), pa.array([x.tobytes() for x in own], pa.binary()), held], ["id", "v", "h", "keys"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), octets(text_col).alias("t"))
+    return rows.mapInArrow(make, "id long, v long, h binary, keys array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
+    """The pairs (u, v) whose sets have the similarity, each pair counted exactly."""
+
+    def confirm(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= alike * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b["u"], b["v"]], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    one = sets.select(F.col("v").alias("u"), F.col("h").alias("a"))
+    two = sets.select("v", F.col("h").alias("b"))
+    sized = F.least(F.length("a"), F.length("b")) >= alike * F.greatest(F.length("a"), F.length("b")) - 1e-6
+    return pairs.distinct().join(one, "u").join(two, "v").where(sized).select("u", "v", "a", "b").mapInArrow(confirm, "u long, v long")
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, alike: float = ALIKE, rounds: int = ROUNDS) -> DataFrame:
+    """One row for every row of docs: id and component (the smallest id that a chain of documents reaches, each with a
+    Jaccard similarity of `alike` or more to the next).
+
+    Equal sets are one vertex. Candidates are vertices that share a bucket; in each of some rounds a bucket's members are
+    compared with one of them, so a large group of near copies gives a star and not all pairs; then members of
+    different components are all compared. Every link is confirmed on the whole sets. Bounds of recall are the bands'.
+    """
+    full = staged(shingle_sets(docs, id_col=id_col, text_col=text_col, shingle=shingle))
+    keyed = full.select("v", F.explode("keys").alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = staged(keyed.join(shared, "key"))
+    sets = staged(full.join(members.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.first("h").alias("h")))
+    edges = docs.sparkSession.createDataFrame([], "u long, v long")
+    named = members.withColumn("root", F.col("v"))
+    for r in range(rounds + 1):
+        if r < rounds:
+            center = named.groupBy("key").agg(F.min_by(F.struct("v", "root"), F.xxhash64("v", F.lit(r))).alias("c"))
+            met = named.join(center, "key").where("root != c.root").select(F.col("c.v").alias("u"), "v")
+        else:
+            one = named.select("key", F.col("v").alias("u"), F.col("root").alias("other"))
+            met = one.join(named, "key").where("other < root").select("u", "v")
+        edges = staged(edges.unionByName(_alike(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), sets, alike)))
+        found = components(edges).withColumnRenamed("node", "v")
+        if r < rounds:
+            named = members.join(found, "v", "left").withColumn("root", F.coalesce("root", "v"))
+            apart = named.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("key")
+            named = staged(named.join(apart, "key", "left_semi"))
+    names = full.select("id", "v").join(found, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    return names.select("id", "root").join(names.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
+
+
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id; documents without an id stay."""
-    kept = near_duplicates(docs).where("id = component").select("id").distinct()
+    """Of each group of near copies (five-word shingles, similarity 0.8), the document with the smallest doc_id; documents
+    without an id stay."""
+    kept = near_copies(docs).where("id = component").select("id").distinct()
     return docs.join(kept, docs.doc_id == kept.id, "left_semi").unionByName(docs.where("doc_id is null"))
