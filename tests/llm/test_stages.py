@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parents[2]}:{os.environ.get('PYTHONPATH', '')}"
-from seqloom.llm import simhash  # noqa: E402
+from seqloom.llm import kneser_ney, simhash  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -63,3 +63,25 @@ def test_near_copies_of_the_stage(spark):
     got = {r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()}
     want = kept_by_pairs(texts)
     assert got == want and len(want) < len(texts) - 100
+
+
+def test_toxic_documents_are_rejected(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"{a}{b}{c}" for a in "bdgklmnprst" for b in "aeiou" for c in ("n", "r", "st", "l")]
+    bad = ["moron", "scum", "trash"]
+    rows, labels = [], []
+    for i in range(900):
+        words = [vocab[x] for x in rng.integers(0, len(vocab), 150)]
+        toxic = i % 9 == 0
+        for _ in range(3 if toxic else 0):
+            words.insert(int(rng.integers(0, 150)), bad[int(rng.integers(0, 3))])
+        rows.append((i, " ".join(words), "en", "x", 1))
+        if i < 450:
+            labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.accepted for r in kneser_ney.quality(docs, labels, keep=("doc_id",)).collect()}
+    assert not any(got[i] for i in range(900) if i % 9 == 0)  # labelled or not
+    assert sum(got[i] for i in range(900) if i % 9) >= 0.96 * 800
+    none = kneser_ney.quality(docs, labels.where("toxic = 0"), keep=("doc_id",))
+    assert none.where("toxic").count() == 0
