@@ -1,4 +1,4 @@
-"""The pipeline's stages on planted rows, against brute force."""
+"""The pipeline's stages and the language model on planted rows, against brute force."""
 
 import os
 import re
@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parents[2]}:{os.environ.get('PYTHONPATH', '')}"
-from seqloom.llm import kneser_ney, simhash  # noqa: E402
+from seqloom.llm import attention, kneser_ney, simhash  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -85,3 +85,10 @@ def test_toxic_documents_are_rejected(spark):
     assert sum(got[i] for i in range(900) if i % 9) >= 0.96 * 800
     none = kneser_ney.quality(docs, labels.where("toxic = 0"), keep=("doc_id",))
     assert none.where("toxic").count() == 0
+
+
+def test_every_window_trains(spark):
+    rng = np.random.default_rng(2)
+    seqs = [rng.integers(0, 3000, n).astype("<u2") for n in (1, 5, 31, 32, 33, 64, 65, 2048, 2049, 5000, *rng.integers(1, 200, 150))]
+    ids = spark.createDataFrame([(bytearray(s.tobytes()),) for s in seqs], "ids binary").repartition(3)
+    assert attention.trained(ids, 49408).seen == sum(-(-len(s) // 32) for s in seqs)
