@@ -92,3 +92,18 @@ def test_every_window_trains(spark):
     seqs = [rng.integers(0, 3000, n).astype("<u2") for n in (1, 5, 31, 32, 33, 64, 65, 2048, 2049, 5000, *rng.integers(1, 200, 150))]
     ids = spark.createDataFrame([(bytearray(s.tobytes()),) for s in seqs], "ids binary").repartition(3)
     assert attention.trained(ids, 49408).seen == sum(-(-len(s) // 32) for s in seqs)
+
+
+def test_rare_ids_have_their_true_share(spark):
+    rng = np.random.default_rng(4)
+    rare = rng.random(200_000) < 0.3  # of some 3,000 ids, each rarer than any of the 1,024 frequent ones
+    ids = np.where(rare, rng.integers(2000, 5000, 200_000), rng.integers(0, 1023, 200_000))
+    ids[:: 1000] = 49407
+    seqs = [x.astype("<u2").tobytes() for x in np.split(ids, 100)]
+    model = attention.trained(spark.createDataFrame([(bytearray(s),) for s in seqs], "ids binary").repartition(3).limit(100), 49408)
+    logits = model.w["s"] @ model.w["u"] + model.w["c"]
+    share = np.exp(logits)[:, -1] / np.exp(logits).sum(1)
+    assert abs(np.median(share[:-1]) - 0.3) < 0.1 and abs(share[-1] - 0.3) < 0.1
+    one = [np.array([a, b]) for a in (5, 3000) for b in range(49408)]
+    score = 10.0 ** (model.score(one) - np.repeat([model.score([np.array([a])])[0] for a in (5, 3000)], 49408))
+    assert np.allclose(score.reshape(2, -1).sum(1), 1, atol=0.01)
