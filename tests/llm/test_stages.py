@@ -107,3 +107,12 @@ def test_rare_ids_have_their_true_share(spark):
     one = [np.array([a, b]) for a in (5, 3000) for b in range(49408)]
     score = 10.0 ** (model.score(one) - np.repeat([model.score([np.array([a])])[0] for a in (5, 3000)], 49408))
     assert np.allclose(score.reshape(2, -1).sum(1), 1, atol=0.01)
+
+
+def test_a_long_text_leaves_the_sample_to_others(spark):
+    docs = spark.createDataFrame([(i, "x" * (5000 if i % 2 else 90), "en", "x", 1) for i in range(40)], SCHEMA)
+    good = docs.selectExpr("doc_id AS _good")
+    got = [len(r.t) for r in kneser_ney.sample(docs, good, 100, 1000, id_col="doc_id", text_col="text").collect()]
+    assert got == [90] * 11
+    with pytest.raises(ValueError):
+        kneser_ney.sample(docs, good, 100, 80, id_col="doc_id", text_col="text")
