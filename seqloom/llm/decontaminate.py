@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, octets, read
+from .common import ALNUM, arrow_type, kept, octets, quoted, read, slices, staged, unpacked
 
 SHINGLE = 3
 #: Windows of one block of the benchmark. A block is held by every worker (about 100 MB at most); more windows make more blocks.
 BLOCK = 100_000
+#: Text bytes that a task works on at once.
+AT_ONCE = 1 << 21
 
 
 def windows_of(words: list, window: int) -> set:
@@ -96,38 +98,58 @@ def _matches(words: list, index: dict, keys: dict) -> tuple[list[tuple[int, int]
     return spans, found
 
 
-def _block_step(held):
+def _told(text: bytes, spans: list, items: list, fraction: int) -> tuple:
+    n = len(text.translate(ALNUM).split())
+    mask = bytearray(n)
+    for start, end in zip(spans[::2], spans[1::2], strict=True):
+        mask[start:end] = b"\1" * (end - start)
+    hit = sum(mask)
+    return n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0 and fraction * hit >= n
+
+
+RESULTS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def _contamination(docs: DataFrame, items: DataFrame, keep: tuple, text_col: str, item_col: str, item_text_col: str, window: int, shingle: int, fraction: int, block: int) -> DataFrame:
+    sc = docs.sparkSession.sparkContext
+    texts = docs.select(octets(quoted(text_col)).alias("t"))
+    windows = staged(benchmark_windows(items, window, item_col, item_text_col))
+    blocks = max(1, -(-windows.count() // block))
+    found = "spans array<bigint>, items array<string>"
+    none = (F.lit(None).cast(x.split(" ", 1)[1]).alias(x.split(" ", 1)[0]) for x in found.split(", "))
+    state = docs.select(kept(keep), *none, octets(quoted(text_col)).alias("octets"))
+    last = None
+    for k in range(blocks):
+        rows = [(tuple(bytes(r.words).split()), r.item) for r in windows.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == k).collect()]
+        often = _frequencies(texts, {s for w in {w for w, _ in rows} for s in shingles_of(w, min(shingle, len(w)))})
+        if index := _prefix_index(rows, often, shingle):
+            if last is not None:
+                state = _stepped(state, last, None)
+            last = sc.broadcast(index)
+    return _stepped(state, last, fraction)
+
+
+def _stepped(state: DataFrame, held, fraction: int | None) -> DataFrame:
+    """The state with the spans and items of one more block; the report in their place if a fraction is given."""
+    results, names = T._parse_datatype_string(RESULTS), state.columns
+    kind = state.schema if fraction is None else T.StructType([state.schema["kept"], *results])
+
     def step(batches):
-        index = held.value
+        index = held.value if held else {}
         keys = {w: frozenset(x) for w, x in index.items()}
-        for b in batches:
-            spans, items = [], []
-            for t, s, i in zip(b["_octets"].to_pylist(), b["_spans"].to_pylist(), b["_items"].to_pylist(), strict=True):
-                got, who = _matches(t.translate(ALNUM).split(), index, keys)
+        for b in slices(batches, AT_ONCE):
+            texts, spans, items = b["octets"].to_pylist(), [], []
+            for t, s, i in zip(texts, b["spans"].to_pylist(), b["items"].to_pylist(), strict=True):
+                got, who = _matches(t.translate(ALNUM).split(), index, keys) if keys else ((), ())
                 spans.append((s or []) + [x for g in got for x in g])
                 items.append(sorted({*(i or []), *who}))
-            yield b.set_column(b.schema.get_field_index("_spans"), "_spans", pa.array(spans, pa.list_(pa.int64()))).set_column(b.schema.get_field_index("_items"), "_items", pa.array(items, pa.list_(pa.string())))
-
-    return step
+            if fraction is None:
+                yield pa.RecordBatch.from_arrays([b["kept"], pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), b["octets"]], names)
+            else:
+                rows = [_told(t, s, i, fraction) for t, s, i in zip(texts, spans, items, strict=True)]
+                yield pa.RecordBatch.from_arrays([b["kept"], *(pa.array([r[x] for r in rows], arrow_type(f.dataType)) for x, f in enumerate(results))], ["kept", *results.names])
 
-
-def _report(fraction: int):
-    def report(batches):
-        for b in batches:
-            rest = [n for n in b.schema.names if not n.startswith("_")]
-            cols = [[], [], [], [], []]
-            for t, s, i in zip(b["_octets"].to_pylist(), b["_spans"].to_pylist(), b["_items"].to_pylist(), strict=True):
-                n = len(t.translate(ALNUM).split())
-                mask = bytearray(n)
-                for start, end in zip((s or [])[::2], (s or [])[1::2], strict=True):
-                    mask[start:end] = b"\1" * (end - start)
-                hit = sum(mask)
-                for c, v in zip(cols, (n, hit, len(i or []), hashlib.sha256(",".join(i or []).encode()).hexdigest(), hit > 0 and fraction * hit >= n), strict=True):
-                    c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([b[n] for n in rest] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], rest + ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return report
+    return state.mapInArrow(step, kind)
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, text_col: str = "text", keep: tuple = ("doc_id",), item_col: str = "item_id", item_text_col: str = "text", window: int = 13, shingle: int = SHINGLE, fraction: int = 20, block: int = BLOCK) -> DataFrame:
@@ -136,23 +158,13 @@ def contamination(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
 
     The benchmark goes round in blocks of about `block` (window, item) rows, each against all documents, so what is
     broadcast is bounded whatever the benchmark's size; one block is one extra pass for frequencies and one for the
-    join, without a shuffle of documents. Null and empty texts have no words and no hits. Repeated documents give a row
-    each; repeated items count once. Items with a null id are left out. An empty table gives an empty result, an empty
-    benchmark no hits. Columns of docs that are not in `keep` do not matter, whatever their names.
+    join, without a shuffle of documents. Null and empty texts have no words and no hits; very long ones are searched
+    whole. Repeated documents give a row each; repeated items count once. Items with a null id are left out. An empty
+    table gives an empty result, an empty benchmark no hits. Columns of docs that are not in `keep` do not matter,
+    whatever their names; a kept one that has a result's name comes back as kept_<name>.
     """
-    sc = docs.sparkSession.sparkContext
-    texts = docs.select(octets(text_col).alias("t"))
-    windows = benchmark_windows(items, window, item_col, item_text_col)
-    blocks = max(1, -(-windows.count() // block))
-    kind = T.StructType([docs.schema[c] for c in keep])
-    state = docs.select(*keep, octets(text_col).alias("_octets"), F.lit(None).cast("array<bigint>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
-    for k in range(blocks):
-        rows = [(tuple(bytes(r.words).split()), r.item) for r in windows.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == k).collect()]
-        often = _frequencies(texts, {s for w in {w for w, _ in rows} for s in shingles_of(w, min(shingle, len(w)))})
-        if index := _prefix_index(rows, often, shingle):
-            state = state.mapInArrow(_block_step(sc.broadcast(index)), state.schema)
-    out = T.StructType([*kind, *T._parse_datatype_string("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")])
-    return state.mapInArrow(_report(fraction), out)
+    found = _contamination(docs, items, keep, text_col, item_col, item_text_col, window, shingle, fraction, block)
+    return unpacked(found, found.columns[1:])
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -160,9 +172,10 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not contaminated."""
-    found = contamination(docs, read(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    """The documents that are not contaminated by the contract's rule (windows of 13 words, a twentieth of the words), every
+    column as it was, whatever its name. Null and empty texts stay; of repeated rows all stay or none."""
+    found = _contamination(docs, read(spark, sf_dir, "benchmark"), tuple(docs.columns), "text", "item_id", "text", 13, SHINGLE, 20, BLOCK)
+    return found.where("not contaminated").select("kept.*")
 
 
 #: The windows as strings, and every window length that the benchmark has, against all runs of as many document words.

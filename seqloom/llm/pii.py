@@ -5,12 +5,10 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import read
+from .common import beside, kept, quoted, read, unpacked
 
 # The contract's patterns, and those of the added kinds.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -107,23 +105,26 @@ def redact(text: str | None, spans: list) -> str | None:
     return "".join(out) + text[at:] if spans else text
 
 
+RESULTS = "spans array<struct<kind string, start int, end int, score double>>, redacted string"
+
+
+def _found(docs: DataFrame, keep: tuple, text_col: str) -> DataFrame:
+    def work(texts):
+        found = [spans_of(t) for t in texts]
+        rows = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in x] for x in found]
+        return [rows, [redact(t, x) for t, x in zip(texts, found, strict=True)]]
+
+    return beside(docs.select(kept(keep), quoted(text_col)), RESULTS, work)
+
+
 def personal_data(docs: DataFrame, *, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
     """One row for every row of docs: the columns of `keep`, spans (array of kind, start, end, score) and redacted text.
 
     Works row by row without a shuffle. A null text has no spans and stays null; an empty one has none. Very long texts
-    are searched whole. Repeated rows give a row each.
+    are searched whole. Repeated rows give a row each; an empty table gives an empty result. Columns that aren't kept
+    don't matter; a kept one that has a result's name comes back as kept_<name>.
     """
-    kind = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string("spans array<struct<kind string, start int, end int, score double>>, redacted string")])
-
-    def find(batches):
-        as_list = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-        for b in batches:
-            texts = b["_text"].to_pylist()
-            found = [spans_of(t) for t in texts]
-            rows = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in x] for x in found]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(rows, as_list), pa.array([redact(t, x) for t, x in zip(texts, found, strict=True)], pa.string())], [*keep, "spans", "redacted"])
-
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(find, kind)
+    return unpacked(_found(docs, keep, text_col), ("spans", "redacted"))
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
@@ -142,6 +143,8 @@ def op6_pii(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_pii(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their personal data replaced by the names of its kinds, n_chars counted anew."""
-    found = personal_data(docs.drop("spans", "redacted"), keep=tuple(c for c in docs.columns))
-    return found.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents, their personal data replaced by the names of its kinds, n_chars counted anew. Null texts stay null,
+    with a null count; other columns are carried along, whatever their names."""
+    found, kind = _found(docs, tuple(docs.columns), "text"), docs.schema["n_chars"].dataType
+    now = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast(kind)}
+    return found.select(*(now.get(c, F.col("kept").getField(c)).alias(c) for c in docs.columns))

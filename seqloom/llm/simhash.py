@@ -14,9 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, octets, read, staged
+from .common import SPACED, octets, read, slices, staged
 from .components import components
-from .suffix_dedup import _slices
 
 RADIUS = 3
 #: The pipeline's stage: documents whose sets of so many words' shingles have this Jaccard similarity are near copies.
@@ -27,6 +26,8 @@ BANDS, ROWS = 16, 4
 ROUNDS = 3
 #: Fingerprints of one bucket that are compared in one place; larger buckets are compared block against block.
 BLOCK = 2048
+#: Text bytes that a task works on at once.
+AT_ONCE = 1 << 22
 
 
 def masks(radius: int) -> list[int]:
@@ -62,7 +63,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(id, fp): fp is the fingerprint as a signed long. A null or blank text has fingerprint 0."""
 
     def make(batches):
-        for b in batches:
+        for b in slices(batches, AT_ONCE):
             fps = np.array([fingerprint(t, shingle) for t in b[1].to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b[0], pa.array(fps, pa.int64())], ["id", "fp"])
 
@@ -165,7 +166,7 @@ def shingle_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int =
     """(id, v, h, keys): a name of the text's set of shingles, the sorted set itself and its bands' keys."""
 
     def make(batches):
-        for b in _slices(batches):
+        for b in slices(batches, AT_ONCE):
             own = [np.unique(shingles(t, shingle)) for t in b[1].to_pylist()]
             name = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64)
             keys = np.array([_bands(x) for x in own], np.uint64).reshape(-1).view(np.int64)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import octets, read, staged
+from .common import octets, read, slices, staged
 
 LENGTH, K = 50, 24
 #: Text bytes to a bucket; most bits of the bitmap (32 MB), in which collisions only let more stretches through.
@@ -88,15 +88,6 @@ def _all(texts: list, length: int, k: int):
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 3
 
 
-def _slices(batches):
-    """The batches in slices of about AT_ONCE bytes of text, which is their last column."""
-    for b in batches:
-        sizes = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in b.column(b.num_columns - 1)])
-        for cut in np.flatnonzero(np.diff(np.r_[-1, sizes // AT_ONCE])):
-            stop = np.searchsorted(sizes // AT_ONCE, sizes[cut] // AT_ONCE, "right")
-            yield b.slice(cut, stop - cut)
-
-
 def _rest(h: np.ndarray, bits: int) -> np.ndarray:
     """The 40 bits after the bucket's."""
     return (h << np.uint64(bits)) >> np.uint64(24)
@@ -121,7 +112,7 @@ def _bitmap(texts: DataFrame, bits: int, slice_bits: int, length: int, k: int) -
     once, and twice if it has it in two documents."""
 
     def told(batches):
-        for b in _slices(batches):
+        for b in slices(batches, AT_ONCE):
             key = b[0].to_numpy()
             h, doc, _, _ = _all(b[1].to_pylist(), length, k)
             order = np.argsort(h, kind="stable")
@@ -153,7 +144,7 @@ def _send(held, bits: int, slice_bits: int, length: int, k: int):
     def send(batches):
         bitmap = held.value
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for b in _slices(batches):
+        for b in slices(batches, AT_ONCE):
             key, row, texts = b["k"].to_numpy(), b["u"].to_numpy(), b["t"].to_pylist()
             h, doc, start, end = _all(texts, length, k)
             bucket, rest = h >> np.uint64(64 - bits), _rest(h, bits)
