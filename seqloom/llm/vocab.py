@@ -72,12 +72,15 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes."""
+        return self.encode_words([t.translate(LOWER).split(b" ") for t in texts])
+
+    def encode_words(self, split: list[list[bytes]]) -> list[bytes]:
+        """The same of texts that are split at white space and lower-cased (A-Z) already."""
         if len(self.known) > self.limit:
             self.known = {b"": b""}
-        split = [t.translate(LOWER).split(b" ") for t in texts]
-        new = set().union(*split).difference(self.known)
+        new = list(set().union(*split).difference(self.known))
         for at in range(0, len(new), 50_000):
-            self._learn(set(list(new)[at : at + 50_000]))
+            self._learn(set(new[at : at + 50_000]))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

@@ -1,7 +1,11 @@
 """The pipeline's stages and the language model on planted rows, against brute force."""
 
+import math
 import os
 import re
+import zlib
+from collections import Counter
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
@@ -9,7 +13,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parents[2]}:{os.environ.get('PYTHONPATH', '')}"
-from seqloom.llm import attention, kneser_ney, simhash  # noqa: E402
+from seqloom.llm import attention, kneser_ney, simhash, vocab  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -87,26 +91,120 @@ def test_toxic_documents_are_rejected(spark):
     assert none.where("toxic").count() == 0
 
 
-def test_every_window_trains(spark):
-    rng = np.random.default_rng(2)
-    seqs = [rng.integers(0, 3000, n).astype("<u2") for n in (1, 5, 31, 32, 33, 64, 65, 2048, 2049, 5000, *rng.integers(1, 200, 150))]
-    ids = spark.createDataFrame([(bytearray(s.tobytes()),) for s in seqs], "ids binary").repartition(3)
-    assert attention.trained(ids, 49408).seen == sum(-(-len(s) // 32) for s in seqs)
-
-
-def test_rare_ids_have_their_true_share(spark):
-    rng = np.random.default_rng(4)
-    rare = rng.random(200_000) < 0.3  # of some 3,000 ids, each rarer than any of the 1,024 frequent ones
-    ids = np.where(rare, rng.integers(2000, 5000, 200_000), rng.integers(0, 1023, 200_000))
-    ids[:: 1000] = 49407
-    seqs = [x.astype("<u2").tobytes() for x in np.split(ids, 100)]
-    model = attention.trained(spark.createDataFrame([(bytearray(s),) for s in seqs], "ids binary").repartition(3).limit(100), 49408)
-    logits = model.w["s"] @ model.w["u"] + model.w["c"]
-    share = np.exp(logits)[:, -1] / np.exp(logits).sum(1)
-    assert abs(np.median(share[:-1]) - 0.3) < 0.1 and abs(share[-1] - 0.3) < 0.1
-    one = [np.array([a, b]) for a in (5, 3000) for b in range(49408)]
-    score = 10.0 ** (model.score(one) - np.repeat([model.score([np.array([a])])[0] for a in (5, 3000)], 49408))
-    assert np.allclose(score.reshape(2, -1).sum(1), 1, atol=0.01)
+def forward(model, seq, pairs, follow, less=0):
+    """ln p of each id, by loops: attention in windows of 16 that lie 14 apart, the first two places for context alone."""
+    out = []
+    w, size = model.w, attention.WINDOW
+    for i, y in enumerate(seq):
+        first = 0 if i < size else (i - attention.OVERLAP) // (size - attention.OVERLAP) * (size - attention.OVERLAP)
+        x = [model.start if j == 0 else seq[j - 1] for j in range(first, i + 1)]
+        p0 = float(model.base[y])
+        total = num = 0.0
+        for d, j in enumerate(reversed(range(len(x)))):
+            e = math.exp(float(w["q"][x[-1]] @ w["k"][x[j]]) + float(w["b"][d]))
+            if d:
+                value = float(model.far[y, model.cls[x[j]]])
+            else:
+                after = follow.get(x[-1], {})
+                taken = sum(n - attention.DISCOUNT for n in after.values())
+                c = sum(after.values())
+                value = max(after.get(y, 0) - attention.DISCOUNT, 0) / max(c, 1) + (1 - taken / c if c else 1) * p0
+            num, total = num + e * value, total + e
+        s = math.exp(float(w["s"][x[-1]]))
+        out.append(math.log((num + s * p0) / (total + s)))
+    return out
+
+
+def test_lm_score_by_hand(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 120 or doc_id % 7 = 0")
+    rows = docs.select("doc_id", "text").collect()
+    library = vocab.word_ids(vocab.default_path())
+    seqs = {r.doc_id: [*np.frombuffer(b, "<u2").tolist(), 49407] for r, b in zip(rows, library.encode([(r.text or "").encode() for r in rows]), strict=True)}
+    train = [i for i in seqs if zlib.crc32(str(i).encode()) % 5 != 1]
+    words = Counter(w for r in rows if r.doc_id in set(train) for w in re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(LOW)))
+    table = spark.createDataFrame([(bytearray(np.array(seqs[i], "<u2").tobytes()),) for i in train], "ids binary").repartition(3)
+    model, _ = attention.trained(table, vocab.default_path(), ([w.encode() for w in words], list(words.values())))
+    assert model.seen == sum(len(seqs[i]) for i in train)  # every window trains
+    follow = {}
+    for i in train:
+        for x, y in pairwise([49407, *seqs[i]]):
+            follow.setdefault(x, Counter())[y] += 1
+    starts = Counter()
+
+    def units(seq):
+        """Chunks of words, words as tuples of ids."""
+        out, word, now = [], [], []
+        for n, y in enumerate(seq):
+            word.append(y)
+            if library.ends[y] or n == len(seq) - 1:
+                now.append(tuple(word))
+                key = attention.rolled(np.array(word, np.uint64), np.array([0]))[0]
+                if int(key) >> 40 & 15 == 0 or n == len(seq) - 1:
+                    out.append(tuple(now))
+                    now = []
+                word = []
+        return out
+
+    known = Counter()
+    for w, n in words.items():
+        ids = np.frombuffer(library.encode([w.encode()])[0], "<u2").tolist()
+        for chunk in units(ids):
+            for u in chunk:
+                known[u] += n * (len(u) > 1)
+    cut = Counter(c for i in train for c in units(seqs[i]))
+    for c, n in cut.items():
+        for u in c:
+            starts[u[0]] += n * (len(u) > 1)
+    taken = Counter()
+    for u, n in known.items():
+        taken[u[0]] += max(n - attention.DISCOUNT, 0)
+    once, twice, all_ = sum(n == 1 for n in cut.values()), sum(n == 2 for n in cut.values()), cut.total()
+    less = once / (once + 2 * twice)
+    got = {r.id: r for r in attention.scored(docs).collect()}
+    for i in [*train[:12], *(i for i in seqs if i not in set(train))][:30]:
+        p, at, want = forward(model, seqs[i], None, follow), 0, 0.0
+        for chunk in units(seqs[i]):
+            low = 0.0
+            for u in chunk:
+                one, rest, at = p[at], sum(p[at + 1 : at + len(u)]), at + len(u)
+                if len(u) > 1:
+                    c = max(starts[u[0]], 1)
+                    bow = 1 - taken[u[0]] / c if starts[u[0]] else 1
+                    low += one + math.log(max(known[u] - attention.DISCOUNT, 0) / c + bow * math.exp(rest))
+                else:
+                    low += one
+            n = cut[chunk]
+            own = (n - less) / all_ if n else 0
+            want += math.log10(own + less * len(cut) / all_ * 10 ** (low / math.log(10))) if own else low / math.log(10) + math.log10(less * len(cut) / all_)
+        assert math.isclose(got[i].score, want, rel_tol=2e-4), i
+
+
+def test_lm_mixture_sums_to_one():
+    rng = np.random.default_rng(3)
+    seqs = [rng.integers(0, 60, n) for n in rng.integers(1, 90, 80)]
+    target, lengths = np.concatenate(seqs), np.array([len(s) for s in seqs])
+    n = np.bincount(target, minlength=200)
+    key, c = np.unique(attention.shifted(target, lengths, 199) * 200 + target, return_counts=True)
+    model = attention.Model(n, (key // 200, key % 200, c), 199, rng.random(200) < 0.4)
+    model.set_far(np.bincount(target * 32 + model.cls[attention.shifted(target, lengths, 199, 3)], minlength=6400).reshape(200, 32))
+    assert model.step(model.gradient(target, lengths)) == len(target)
+    for ctx in ([], [5], [7, 150, 3], rng.integers(0, 200, 40).tolist()):
+        every = np.array([[*ctx, y] for y in range(200)]).ravel()
+        p = model.tokens(every, np.full(200, len(ctx) + 1)).reshape(200, -1)[:, -1]
+        assert math.isclose(np.exp(p.astype(float)).sum(), 1, rel_tol=1e-4)
+
+
+def test_lm_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    two, seven = ({r.id: r.score for r in attention.scored(docs.repartition(n, "text")).collect()} for n in (2, 7))
+    assert two.keys() == seven.keys() and all(math.isclose(two[i], seven[i], rel_tol=1e-5) for i in two)
+
+
+def test_lm_pruned_counts_leave_their_share(spark):
+    rows = spark.createDataFrame([(i, 1 + i % 9) for i in range(1000)], "key long, c long")
+    kept = attention.most(rows, 400)
+    assert kept.count() <= 400 and kept.agg({"c": "min"}).first()[0] > 5
+    assert attention.most(rows, 1000).count() == 1000
 
 
 def test_a_long_text_leaves_the_sample_to_others(spark):
