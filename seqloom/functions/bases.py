@@ -21,11 +21,28 @@ def reverse_complement(seq: Column | str) -> Column:
     return F.reverse(complement(seq))
 
 
+def location_parts(location: Column) -> Column:
+    """A feature's parts (start and end, 0-based and half open, and strand), in the order in which they are read, of its
+    location text: each part has its own strand, and a complement around a join turns its order too."""
+    plain = F.regexp_replace(F.regexp_replace(location, r"\s", ""), r"[A-Za-z][A-Za-z0-9_.]*:", "")
+    whole = F.regexp_like(plain, F.lit(r"^complement\((join|order)\("))
+
+    def part(p):
+        first = F.regexp_extract(p, r"(\d+)", 1).cast("int")
+        last = F.regexp_extract(p, r"(\d+)$", 1).cast("int")
+        return F.struct((first - 1).alias("start"), last.alias("end"), F.when(whole != F.startswith(p, F.lit("complement")), -1).otherwise(1).alias("strand"))
+
+    parts = F.transform(F.regexp_extract_all(plain, F.lit(r"(?:complement\()?[<>]?\d+(?:(?:\.\.|\^)[<>]?\d+)?"), F.lit(0)), part)
+    return F.when(whole, F.reverse(parts)).otherwise(parts)
+
+
 def splice(seq: Column, parts: Column) -> Column:
-    """Joins 0-based half-open parts (start, end, strand); a part on strand -1 is reverse-complemented."""
+    """Joins 0-based half-open parts (start, end, strand) as listed; one on strand -1 is reverse-complemented."""
+
     def one(p):
         piece = F.substring(seq, p["start"] + 1, p["end"] - p["start"])
         return F.when(p["strand"] == -1, reverse_complement(piece)).otherwise(piece)
+
     return F.array_join(F.transform(parts, one), "")
 
 

@@ -97,3 +97,13 @@ def subject_of_hit(hit_id: Column) -> Column:
     parts = F.filter(F.split(hit_id, r"\|"), lambda p: p != "")
     last = F.element_at(parts, -1)
     return F.when((F.length(last) <= 2) & (F.size(parts) > 1), F.concat_ws("_", F.try_element_at(parts, F.lit(-2)), last)).otherwise(last)
+
+
+def picked(qualifiers: Column, name: str, default: str = "unknown") -> Column:
+    """The first value of a qualifier, or the default; qualifiers are a map of lists."""
+    return F.coalesce(F.get(F.try_element_at(qualifiers, F.lit(name)), F.lit(0)), F.lit(default))
+
+
+def content_key(*columns: Column) -> Column:
+    """A hash of inputs, the same for the same ones; nulls are told from blanks."""
+    return F.sha2(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns)), 256)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.functions.bases import CODE_OF, IUPAC, ends, equality, equality_of
+from seqloom.functions.bases import CODE_OF, IUPAC, ends, equality, equality_of, expanded, kmer_index, kmers
 
 # What a code of one, two, three or four bases gives each of them in a vote.
 VOTE = {1: 1.0, 2: 0.5, 3: 0.33333, 4: 0.25}
@@ -15,7 +15,7 @@ VOTE = {1: 1.0, 2: 0.5, 3: 0.33333, 4: 0.25}
 def long_form(aln: DataFrame, group: str) -> DataFrame:
     """(group, accession, pos, base): one row a place, and whether it lies within the sequence's ends."""
     first, last = ends(F.col("seq"))
-    cells = aln.select(group, "accession", first.alias("_f"), last.alias("_l"), F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("p", "base"))
+    cells = aln.select(group, "accession", first.alias("_f"), last.alias("_l"), F.posexplode(F.filter(F.split(F.upper("seq"), ""), lambda c: c != "")).alias("p", "base"))
     return cells.select(group, "accession", (F.col("p") + 1).alias("pos"), "base", F.coalesce((F.col("p") + 1).between(F.col("_f"), F.col("_l")), F.lit(False)).alias("inside"))
 
 
@@ -50,35 +50,53 @@ def identity(a: Column, b: Column) -> Column:
     """Mean agreement of two aligned sequences between their common ends, without columns in which both have gaps; null
     where nothing is left."""
     start, stop = _overlap(a, b)
-    cut = lambda s: F.split(F.substring(s, start, stop - start + 1), "")
+    cut = lambda s: F.split(F.substring(F.upper(s), start, stop - start + 1), "")
     pairs = F.filter(F.zip_with(cut(a), cut(b), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: (p["x"] != "") & ~((p["x"] == "-") & (p["y"] == "-")))
     total = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + equality_of(p["x"], p["y"]))
     return F.when((start <= stop) & (F.size(pairs) > 0), total / F.size(pairs))
 
 
+def whole_identity(a: Column, b: Column) -> Column:
+    """identity() over the whole width, ends or not."""
+    cut = lambda s: F.split(F.upper(s), "")
+    cells = F.filter(F.zip_with(cut(a), cut(b), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: (p["x"] != "") & ~((p["x"] == "-") & (p["y"] == "-")))
+    return F.when(F.size(cells) > 0, F.aggregate(cells, F.lit(0.0), lambda s, p: s + equality_of(p["x"], p["y"])) / F.size(cells))
+
+
+def distinct_rows(aln: DataFrame, group: str) -> DataFrame:
+    """(group, seq, accession, n): each different sequence of a group once, with its least accession and how many have it."""
+    return aln.groupBy(group, "seq").agg(F.min("accession").alias("accession"), F.count("*").alias("n"))
+
+
 def pairs(aln: DataFrame, group: str) -> DataFrame:
-    """Pairs of one group's rows, each once."""
-    b = aln.select(group, F.col("accession").alias("accession_2"), F.col("seq").alias("seq_2"))
-    return aln.select(group, "accession", "seq").join(b, group).where(F.col("accession") < F.col("accession_2"))
+    """Pairs of one group's different sequences, each once: copies make no pairs."""
+    a = distinct_rows(aln, group)
+    b = a.select(group, F.col("accession").alias("accession_2"), F.col("seq").alias("seq_2"), F.col("n").alias("n_2"))
+    return a.join(b, group).where(F.col("accession") < F.col("accession_2"))
 
 
 def average_identity(aln: DataFrame, group: str) -> DataFrame:
-    return pairs(aln, group).withColumn("pi", identity(F.col("seq"), F.col("seq_2"))).groupBy(group).agg(F.avg("pi").alias("avg_pi"), F.count("*").alias("n_pairs"))
+    """(group, avg_pi, n_pairs) over all pairs of rows: different sequences are compared once and counted by their copies."""
+    different = pairs(aln, group).select(group, identity(F.col("seq"), F.col("seq_2")).alias("pi"), (F.col("n") * F.col("n_2")).alias("n"))
+    same = distinct_rows(aln, group).where("n > 1").select(group, identity(F.col("seq"), F.col("seq")).alias("pi"), (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("n"))
+    known = F.sum(F.when(F.col("pi").isNotNull(), F.col("n")))
+    return different.unionByName(same).groupBy(group).agg((F.sum(F.col("pi") * F.col("n")) / known).alias("avg_pi"), F.sum("n").alias("n_pairs"))
 
 
-def sum_of_pairs(aln: DataFrame, group: str) -> DataFrame:
-    """By counts of bases in columns, not pairs of rows: each pair's agreement, or -2 for two plain bases that differ and -1
-    for others that do; inner gaps cost 2 to open and 1 to go on."""
+def sum_of_pairs(aln: DataFrame, group: str, conservative: bool = True) -> DataFrame:
+    """By counts of bases in columns, not pairs of rows: each pair's agreement, or where it is 0 a penalty of 2 (1 if not
+    `conservative`); inner gaps cost 2 to open and 1 to go on."""
     counts = long_form(aln, group).where("base != '-'").groupBy(group, "pos", "base").agg(F.count("*").alias("n"))
     other = counts.select(group, "pos", F.col("base").alias("b2"), F.col("n").alias("n2"))
     both = counts.join(other, [group, "pos"]).where("base <= b2")
     number = F.when(F.col("base") == F.col("b2"), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("n2"))
-    table = {f"{x}{y}": equality(x, y) or (-2.0 if len(IUPAC[x]) == len(IUPAC[y]) == 1 else -1.0) for x in IUPAC for y in IUPAC}
+    table = {f"{x}{y}": equality(x, y) or (-2.0 if conservative else -1.0) for x in IUPAC for y in IUPAC}
     value = F.create_map(*(F.lit(v) for p in table.items() for v in p))[F.concat("base", "b2")]
     match = both.groupBy(group).agg(F.sum(number * value).alias("match"))
     inner = F.regexp_replace(F.regexp_replace("seq", "^-+", ""), "-+$", "")
-    gaps = aln.select(group, F.length(F.regexp_replace(inner, "[^-]", "")).alias("g"), F.size(F.regexp_extract_all(inner, F.lit("-+"), F.lit(0))).alias("r")).groupBy(group).agg(F.sum(F.col("g") + F.col("r")).alias("cost"))
-    return gaps.join(match, group, "left").select(group, (F.coalesce("match", F.lit(0.0)) - F.col("cost")).alias("sp_score"))
+    gaps, runs = F.length(F.regexp_replace(inner, "[^-]", "")), F.size(F.regexp_extract_all(inner, F.lit("-+"), F.lit(0)))
+    cost = aln.groupBy(group).agg(F.sum(gaps + runs).alias("cost"))
+    return cost.join(match, group, "left").select(group, (F.coalesce("match", F.lit(0.0)) - F.col("cost")).alias("sp_score"))
 
 
 def boundaries(aln: DataFrame, group: str, threshold: float = 0.025) -> DataFrame:
@@ -114,6 +132,12 @@ def rare_insertions(aln: DataFrame, group: str, rare: int = 1, run: int = 20) ->
     return runs.where(F.col("last") - F.col("first") + 1 >= run).drop("_i")
 
 
+def without_insertions(aln: DataFrame, group: str, rare: int = 1, run: int = 20) -> DataFrame:
+    """Rows without the columns of their group's rare insertions, of every run of these."""
+    runs = rare_insertions(aln, group, rare, run)
+    return without_columns(aln, group, runs.select(group, F.explode(F.sequence("first", "last")).alias("pos")))
+
+
 def gap_trim(aln: DataFrame, group: str, gt: float, cons: float = 0.0) -> DataFrame:
     """Columns to keep: a non-gap fraction of gt or more, and the fullest ones up to `cons` percent of all columns."""
     w = W.partitionBy(group)
@@ -131,19 +155,50 @@ def control_extension(aln: DataFrame, left: Column, right: Column, threshold: fl
 
 
 def p_distance_edges(aln: DataFrame, group: str, most: float = 0.3) -> DataFrame:
-    """Pairs of a group whose share of differing places is `most` or less; ambiguity codes are classes of their own."""
+    """Pairs of a group's rows whose share of differing places is `most` or less; ambiguity codes are classes of their own.
+    Only different sequences are compared; rows that have them then make the pairs, copies at distance 0."""
     p = pairs(aln, group)
     differ = F.aggregate(F.zip_with(F.split("seq", ""), F.split("seq_2", ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, d: s + d)
-    return p.withColumn("distance", differ / F.length("seq")).where(F.col("distance") <= most).select(group, "accession", "accession_2", "distance")
-
-
-def kmer_similarity(records: DataFrame, k: int) -> DataFrame:
-    """Pairs with common k-mers: the multisets' intersection by the smaller one's size. Pairs without any are absent."""
-    from seqloom.functions.bases import kmers
-
-    c = records.select("accession", F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy("accession", "kmer").agg(F.count("*").alias("c"))
-    size = records.select("accession", (F.length("seq") - k + 1).alias("n"))
-    other = c.select(F.col("accession").alias("accession_2"), "kmer", F.col("c").alias("c2"))
-    both = c.join(other, "kmer").where("accession < accession_2").groupBy("accession", "accession_2").agg(F.sum(F.least("c", "c2")).alias("shared"))
-    both = both.join(size, "accession").join(size.select(F.col("accession").alias("accession_2"), F.col("n").alias("n2")), "accession_2")
-    return both.select("accession", "accession_2", "shared", (F.col("shared") / F.least("n", "n2")).alias("similarity"))
+    near = p.withColumn("distance", differ / F.length("seq")).where(F.col("distance") <= most)
+    same = distinct_rows(aln, group).where("n > 1").select(group, "accession", F.col("accession").alias("accession_2"), F.lit(0.0).alias("distance"))
+    classes = near.select(group, F.col("accession").alias("_1"), F.col("accession_2").alias("_2"), "distance").unionByName(same.toDF(group, "_1", "_2", "distance"))
+    member = aln.select(group, "seq", "accession").join(distinct_rows(aln, group).select(group, "seq", F.col("accession").alias("_c")), [group, "seq"]).select(group, "_c", "accession")
+    left = member.select(group, F.col("_c").alias("_1"), F.col("accession").alias("a"))
+    right = member.select(group, F.col("_c").alias("_2"), F.col("accession").alias("b"))
+    both = classes.join(left, [group, "_1"]).join(right, [group, "_2"]).where((F.col("_1") != F.col("_2")) | (F.col("a") < F.col("b")))
+    return both.select(group, F.least("a", "b").alias("accession"), F.greatest("a", "b").alias("accession_2"), "distance")
+
+
+def _kmer_counts(sequences: DataFrame, k: int, ambiguity: str) -> DataFrame:
+    """(sid, kmer, c): how often each sequence has each plain k-mer, as its index in base 4."""
+    if ambiguity == "drop":
+        cut = kmers(F.regexp_replace("seq", "[^ACGT]", ""), k)
+    else:
+        cut = F.flatten(F.transform(kmers(F.regexp_replace("seq", "[^A-Z]", ""), k), expanded))
+    return sequences.select("sid", F.explode(F.transform(cut, kmer_index)).alias("kmer")).groupBy("sid", "kmer").agg(F.count("*").alias("c"))
+
+
+def kmer_similarity(records: DataFrame, k: int, ambiguity: str = "drop") -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): sid, sid_2, shared and similarity of different sequences with common k-mers, the multisets'
+    intersection by the smaller one's size; and the sequence, sid, of each accession (its least accession). Pairs without
+    a common k-mer are absent; copies are one sequence, so they make no pairs.
+
+    Ambiguity codes are dropped before k-mers are cut, or else ('expand') a k-mer counts for every plain one that it may
+    stand for. K-mers of one sequence alone go before the join. K-mers that the same sequences have equally often are
+    joined once, and count by their number: a passage that many share is one list of them, not one a k-mer.
+    """
+    if not 0 < k <= 31 or ambiguity not in ("drop", "expand"):
+        raise ValueError("k must be 1 to 31, and ambiguity drop or expand")
+    rows = records.select("accession", F.upper("seq").alias("seq"))
+    sequences = rows.groupBy("seq").agg(F.min("accession").alias("sid"))
+    members = rows.join(sequences, "seq").select("accession", "sid")
+    counts = _kmer_counts(sequences, k, ambiguity)
+    size = counts.groupBy("sid").agg(F.sum("c").alias("n"))
+    told = [F.sum(F.xxhash64(F.lit(seed), "sid", "c").cast("decimal(20,0)")).alias(f"h{seed}") for seed in (1, 2)]
+    lists = counts.groupBy("kmer").agg(*told, F.count("*").alias("of")).where("of > 1")  # equal sums: the same sequences, as often
+    alike = lists.groupBy("h1", "h2", "of").agg(F.min("kmer").alias("kmer"), F.count("*").alias("times"))
+    held = counts.join(alike.select("kmer", "times"), "kmer")
+    other = held.select("kmer", F.col("sid").alias("sid_2"), F.col("c").alias("c2"))
+    both = held.join(other, "kmer").where("sid < sid_2").groupBy("sid", "sid_2").agg(F.sum(F.least("c", "c2") * F.col("times")).alias("shared"))
+    both = both.join(size, "sid").join(size.select(F.col("sid").alias("sid_2"), F.col("n").alias("n2")), "sid_2")
+    return both.select("sid", "sid_2", "shared", (F.col("shared") / F.least("n", "n2")).alias("similarity")), members

@@ -59,12 +59,21 @@ def longest(rows: DataFrame, by: list, length: str, tie: list) -> DataFrame:
     return first_of(rows, by, [F.desc(length), *tie])
 
 
-def average_rank(rows: DataFrame, column: str, descending: bool, name: str) -> DataFrame:
-    """Ties share the mean of their ranks. Counts by value are summed in order, so rows never meet in one task."""
+def average_rank(rows: DataFrame, column: str, descending: bool, name: str, buckets: int = 64) -> DataFrame:
+    """Ties share the mean of their ranks; the column is a number. Counts by value are summed within ranges of values, and
+    ranges by their sums, so neither rows nor values meet in one task."""
+    key = F.col(column).cast("double")
     per = rows.groupBy(column).agg(F.count("*").alias("_c"))
+    edges = sorted(set(per.select(key.alias("_v")).approxQuantile("_v", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
+    sign = -1 if descending else 1
+    bucket = (F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= key)) if edges else F.lit(0)) * sign
+    per = per.withColumn("_b", bucket)
     order = F.desc(column) if descending else F.asc(column)
-    upto = F.sum("_c").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0))  # a row a value
-    return rows.join(per.withColumn(name, upto - F.col("_c") + (F.col("_c") + 1) / 2).drop("_c"), column)
+    upto = F.sum("_c").over(W.partitionBy("_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    sums = per.groupBy("_b").agg(F.sum("_c").alias("_s"))  # `buckets` rows at most, and so is what its window sorts
+    below = sums.withColumn("_s", F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s"))
+    told = per.join(below, "_b").withColumn(name, F.col("_s") + upto - F.col("_c") + (F.col("_c") + 1) / 2)
+    return rows.join(told.select(column, name), column)
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -83,6 +92,59 @@ def representatives(rows: DataFrame, by_consensus: bool = True) -> DataFrame:
     return first_of(rows, ["organism"], order)
 
 
+def evaluated(records: DataFrame, hits: DataFrame, min_records: int = 4) -> DataFrame:
+    """records (accession, organism, aligned seq and what else they hold) with the sums of their best hit (accession,
+    sum_hits_score, source_round), record_length without gaps, and consensus_value: the identity to the species'
+    consensus over the whole width, -1 where it has fewer than min_records records. Records without a hit go."""
+    from .alignment import consensus, whole_identity
+
+    common = consensus(records, "organism", min_records).select("organism", "consensus")
+    value = F.coalesce(F.when(F.col("consensus").isNotNull(), whole_identity(F.col("seq"), F.col("consensus"))), F.lit(-1.0))
+    rows = records.join(common, "organism", "left").withColumn("consensus_value", value).drop("consensus")
+    return rows.withColumn("record_length", F.length(F.replace("seq", F.lit("-"), F.lit("")))).join(hits, "accession")
+
+
+def reduced(records: DataFrame, hits: DataFrame, least: int = 0, min_records: int = 4) -> DataFrame:
+    """One record of each species: names without apostrophes and ranks below species; without names that are not one
+    species' and records under `least` bases; one of each (organism, sequence, voucher); evaluated, ranked and chosen."""
+    named = records.withColumn("organism", names.merged(names.without_apostrophes(F.col("organism"))))
+    long_enough = F.length(F.replace("seq", F.lit("-"), F.lit(""))) >= least
+    kept = dedup_by_voucher(named.where(~names.exceptional(F.col("organism")) & long_enough))
+    chosen = representatives(ranked(evaluated(kept, hits, min_records)))
+    return kept.join(chosen.select("accession"), "accession", "left_semi")
+
+
+def query_set(records: DataFrame) -> DataFrame:
+    """dedup_queries(), of which two must be left."""
+    out = dedup_queries(records)
+    if len(out.select("accession").take(2)) < 2:
+        raise ValueError("fewer than two different queries")
+    return out
+
+
+def counted(rows: DataFrame, reason: str = "reject_reason", by: str | None = None) -> DataFrame:
+    """How many rows there are, are kept and are rejected."""
+    told = [F.count("*").alias("n_total"), F.count_if(F.col(reason).isNull()).alias("n_kept"), F.count_if(F.col(reason).isNotNull()).alias("n_rejected")]
+    return (rows.groupBy(by) if by else rows.groupBy()).agg(*told)
+
+
+def encodable(headers: DataFrame, column: str = "header", allowed: str = r"\x20-\x7E") -> DataFrame:
+    """reject_reason: 'encoding' where a header has a character that is not allowed."""
+    return headers.withColumn("reject_reason", F.when(~F.regexp_like(F.col(column), F.lit(rf"^[{allowed}]*\z")), "encoding"))
+
+
+def clade_reference(small: DataFrame, ready: DataFrame) -> DataFrame:
+    """For each genus of small (genus, family) the ready alignment (genus, family) to add it to: of its family, the least by
+    name, or else the least of all. It is never its own. The least two of all and of each family are enough to tell."""
+    w = W.partitionBy("family").orderBy("genus")
+    firsts = ready.withColumn("_n", F.row_number().over(w)).where("_n <= 2")
+    own = small.alias("s").join(firsts.alias("r"), (F.col("s.family") == F.col("r.family")) & (F.col("s.genus") != F.col("r.genus")), "left")
+    own = own.groupBy(F.col("s.genus").alias("genus"), F.col("s.family").alias("family")).agg(F.min("r.genus").alias("_own"))
+    two = ready.select("genus").orderBy("genus").limit(2).agg(F.sort_array(F.collect_list("genus")).alias("_all"))  # one row
+    other = F.try_element_at(F.filter("_all", lambda g: g != F.col("genus")), F.lit(1))
+    return own.join(F.broadcast(two)).select("genus", "family", F.coalesce("_own", other).alias("reference"))
+
+
 def length_tiers(rows: DataFrame, by: str, backbone: int = 100) -> DataFrame:
     """tier 1: the longest ones; 2: over half of the last of these; 3: the rest."""
     n = F.row_number().over(W.partitionBy(by).orderBy(F.desc("length"), "accession"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.functions import names
+from seqloom.functions import bases, names
 
 
 def reject_reason(organism: Column, keywords: Column) -> Column:
@@ -27,9 +27,28 @@ def feature_counts(features: DataFrame, least_cds: int = 80) -> DataFrame:
     return out.withColumn("flagged", F.col("n_cds") < least_cds)
 
 
+def quality(counts: DataFrame, sequences: DataFrame, most_unclear: float = 0.2) -> DataFrame:
+    """feature_counts() with sequence_length, unclear_bases and unclear_ratio of each genome's sequence; flagged too where the
+    ratio is over most_unclear. A genome without features has none of each and is flagged."""
+    n = F.length("seq")
+    unclear = n - F.length(F.regexp_replace(F.upper("seq"), "[^ACGT]", ""))
+    made = sequences.select("genome", n.alias("sequence_length"), unclear.alias("unclear_bases"), F.when(n > 0, unclear / n).otherwise(0.0).alias("unclear_ratio"))
+    out = made.join(counts, "genome", "left").withColumn("flagged", F.coalesce("flagged", F.lit(True)) | (F.col("unclear_ratio") > most_unclear))
+    return out.na.fill(0, [c for c in counts.columns if c.startswith("n_")])
+
+
 def standard_gene(features: DataFrame, aliases: DataFrame) -> DataFrame:
-    """gene: the standard name of each feature's alias; features of unknown genes go. aliases is a small fixed dictionary."""
-    return features.join(F.broadcast(aliases), "gene_alias")
+    """gene: the standard name of each feature's alias; features of unknown genes go."""
+    return features.join(aliases, "gene_alias")
+
+
+def named_gene(features: DataFrame, aliases: DataFrame) -> DataFrame:
+    """gene: the standard name of gene_alias, or the alias itself where it is none; without an alias that of the product, or
+    else unknown."""
+    by = aliases.select("gene_alias", "gene")
+    out = features.join(by.toDF("gene_alias", "_g"), "gene_alias", "left").join(by.toDF("product", "_p"), "product", "left")
+    gene = F.when(F.col("gene_alias").isNotNull(), F.coalesce("_g", "gene_alias")).otherwise(F.coalesce("_p", F.lit("unknown")))
+    return out.withColumn("gene", gene).drop("_g", "_p")
 
 
 def gene_table(features: DataFrame) -> DataFrame:
@@ -42,7 +61,7 @@ def within_reference(genes: DataFrame, reference: DataFrame, low: float, high: f
     """Genes whose length is within bounds of the reference's, or that have none."""
     if not 0 < low < high <= 3:
         raise ValueError("bounds must be in (0, 3], the low one less")
-    return genes.join(F.broadcast(reference), "gene", "left").where(F.col("ref_len").isNull() | F.col("length").between(low * F.col("ref_len"), high * F.col("ref_len"))).drop("ref_len")
+    return genes.join(reference, "gene", "left").where(F.col("ref_len").isNull() | F.col("length").between(low * F.col("ref_len"), high * F.col("ref_len"))).drop("ref_len")
 
 
 def per_species(genes: DataFrame, genomes: DataFrame) -> DataFrame:
@@ -58,6 +77,34 @@ def missing_genes(genes: DataFrame, wanted: list[str]) -> DataFrame:
     return have.select("genome", F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, wanted)), "h")), ",").alias("missing"))
 
 
+def spliced(features: DataFrame, sequences: DataFrame) -> DataFrame:
+    """features (genome, location) with seq, the bases their location text names."""
+    joined = features.join(sequences.select("genome", F.upper("seq").alias("_s")), "genome")
+    return joined.withColumn("seq", bases.splice(F.col("_s"), bases.location_parts(F.col("location")))).drop("_s")
+
+
+def with_counts(info: DataFrame, counts: DataFrame) -> DataFrame:
+    """Every row of counts, with what is known of its genome."""
+    return info.join(counts, "genome", "right")
+
+
+def gene_set(genomes: DataFrame, features: DataFrame, sequences: DataFrame, aliases: DataFrame, reference: DataFrame, wanted: list[str], *, keep: int = 3, least_cds: int = 80, most_unclear: float = 0.2, low: float = 0.8, high: float = 1.2) -> DataFrame:
+    """From genomes to one gene set a species: (organism, genome, total_length, n_genes, missing).
+
+    Rejected genomes go, at most `keep` of an organism stay, those whose quality is flagged go; genes get their standard
+    names, the longest copy of each counts if it is within the reference's bounds, and each organism gets the genome with
+    the greatest total length and the list of the wanted genes it lacks.
+    """
+    chosen = newest_distinct(genomes.where(reject_reason(F.col("organism"), F.col("keywords")).isNull()), keep)
+    own = standard_gene(features, aliases).join(chosen.select("genome"), "genome", "left_semi")
+    good = quality(feature_counts(own, least_cds), sequences.join(chosen.select("genome"), "genome", "left_semi"), most_unclear).where("not flagged")
+    genes = within_reference(gene_table(own.join(good.select("genome"), "genome", "left_semi")), reference, low, high)
+    one = per_species(genes, chosen).select("organism", "genome", "total_length", "n_genes")
+    return one.join(missing_genes(genes, wanted), "genome")
+
+
 def merged_annotations(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The new features of a genome where there are any, its other fields as they were."""
-    return old.join(new.select("genome", F.col("features").alias("_new")), "genome", "left").withColumn("features", F.coalesce("_new", "features")).drop("_new")
+    """The new features of a genome where there are any, and with them its new topology and date; its other fields stay."""
+    taken = [c for c in ("features", "topology", "date") if c in old.columns and c in new.columns]
+    out = old.join(new.select("genome", *(F.col(c).alias(f"_{c}") for c in taken)), "genome", "left")
+    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in taken}).drop(*(f"_{c}" for c in taken))

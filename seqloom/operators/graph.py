@@ -9,11 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder, its lineage cut."""
-    sc = df.sparkSession.sparkContext
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder, its lineage cut. Where no folder is named, a local session, whose
+    tasks run in this process, gets one of this machine's own; any other is an error."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -21,23 +26,26 @@ def _normalised(m: DataFrame) -> DataFrame:
     return m.withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy("graph_id", "j")))
 
 
-def markov_clusters(edges: DataFrame, inflation: float = 2.0, rounds: int = 100, prune: float = 1e-3) -> DataFrame:
+def markov_clusters(edges: DataFrame, nodes: DataFrame | None = None, inflation: float = 2.0, rounds: int = 100, prune: float = 1e-3) -> DataFrame:
     """(graph_id, cluster, node) of undirected edges (graph_id, i, j): the diagonal is 1, columns are normalised; each round
     squares the matrix, raises it to `inflation`, normalises and prunes what is small but for each column's maximum.
-    Graphs that no longer change leave the loop. A cluster is named by its least attractor."""
+    A graph whose entries change by no more than 1e-8 and 1e-5 of its greatest one leaves the loop. A cluster is named by its
+    least attractor. nodes (graph_id, i) names nodes that may have no edge: these are clusters of their own."""
     e = edges.select("graph_id", "i", "j").where("i != j")
     both = e.unionByName(e.select("graph_id", F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
-    loops = edges.select("graph_id", F.explode(F.array("i", "j")).alias("i")).distinct()
-    m = _cut(_normalised(both.unionByName(loops.select("graph_id", "i", F.col("i").alias("j"))).withColumn("w", F.lit(1.0))))
+    loops = edges.select("graph_id", F.explode(F.array("i", "j")).alias("i"))
+    loops = (loops if nodes is None else loops.unionByName(nodes.select("graph_id", "i"))).distinct()
+    m = cut(_normalised(both.unionByName(loops.select("graph_id", "i", F.col("i").alias("j"))).withColumn("w", F.lit(1.0))))
     done = []
     for _ in range(rounds):
         right = m.select("graph_id", F.col("i").alias("k"), "j", F.col("w").alias("w2"))
         sq = m.withColumnRenamed("j", "k").join(right, ["graph_id", "k"]).groupBy("graph_id", "i", "j").agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
         new = _normalised(sq.withColumn("w", F.pow("w", inflation)))
         w = W.partitionBy("graph_id", "j")
-        new = _cut(new.withColumn("_m", F.max("w").over(w)).where((F.col("w") >= prune) | (F.col("w") == F.col("_m"))).drop("_m"))
-        diff = m.withColumnRenamed("w", "w1").join(new, ["graph_id", "i", "j"], "full").withColumn("d", F.abs(F.coalesce("w1", F.lit(0.0)) - F.coalesce("w", F.lit(0.0))) - 1e-5 * F.coalesce("w", F.lit(0.0)))
-        moving = _cut(diff.groupBy("graph_id").agg(F.max("d").alias("d")).where("d > 1e-8").select("graph_id"))
+        new = cut(new.withColumn("_m", F.max("w").over(w)).where((F.col("w") >= prune) | (F.col("w") == F.col("_m"))).drop("_m"))
+        change = F.abs(F.coalesce("w1", F.lit(0.0)) - F.coalesce("w", F.lit(0.0)))
+        diff = m.withColumnRenamed("w", "w1").join(new, ["graph_id", "i", "j"], "full").groupBy("graph_id").agg(F.max(change).alias("d"), F.max("w").alias("m"))
+        moving = cut(diff.where("d > 1e-8 + 1e-5 * m").select("graph_id"))
         done.append(new.join(moving, "graph_id", "left_anti"))
         m = new.join(moving, "graph_id", "left_semi")
         if moving.isEmpty():
@@ -49,3 +57,10 @@ def markov_clusters(edges: DataFrame, inflation: float = 2.0, rounds: int = 100,
     attractors = final.where("i = j and w > 0").select("graph_id", "i")
     member = final.where("w > 0").join(attractors, ["graph_id", "i"]).select("graph_id", F.col("i").alias("attractor"), F.col("j").alias("node"))
     return member.groupBy("graph_id", "node").agg(F.min("attractor").alias("cluster"))
+
+
+def cluster_representatives(clusters: DataFrame, rows: DataFrame, key: str, order: list) -> DataFrame:
+    """Of each cluster (graph_id, node, cluster) the first of its rows, which carry the node as `key`, in the given order."""
+    w = W.partitionBy("graph_id", "cluster").orderBy(*order, key)
+    both = clusters.join(rows.withColumnRenamed(key, "node"), "node").withColumnRenamed("node", key)
+    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -11,45 +11,58 @@ def chain(hits: DataFrame, max_len: int, query_len: Column) -> DataFrame:
     """One row for each (query, subject): the span that its best HSP and those in line with it cover, their number and the
     sums of their lengths and scores.
 
-    The best HSP by score, length, identity (then places and id) is the seed. Others need its strands and must lie on one
-    side of it with both ends, the same side on query and subject as the strand has it. The span widens greedily in that
-    order while it stays within min(1.05 * query length, max_len).
+    The best HSP by score, length, identity (then places and id) is the seed. Others need its strands on query and
+    subject, and must be shifted against it the same way at both ends of the query, at both ends of the subject, and
+    alike on both as the strands have it. The span widens greedily in that order while it stays within
+    min(1.05 * query length, max_len); a query end follows only where the subject's end on its side does.
     """
-    plus = F.col("s_start") <= F.col("s_end")
     row = F.struct(
-        (-F.col("bit_score")).alias("r1"), (-F.col("alignment_length")).alias("r2"), (-F.col("n_identity")).alias("r3"), F.col("s_start").alias("ss"), F.col("q_start").alias("qs"), F.col("hsp_id").alias("hsp"),
-        F.col("q_end").alias("qe"), F.col("s_end").alias("se"), plus.alias("plus"), F.least("s_start", "s_end").alias("lo"), F.greatest("s_start", "s_end").alias("hi"), F.col("alignment_length").alias("len"), F.col("bit_score").alias("score"),
+        (-F.col("bit_score")).alias("r1"), (-F.col("alignment_length")).alias("r2"), (-F.col("n_identity")).alias("r3"),
+        F.col("s_start").alias("ss"), F.col("q_start").alias("qs"), F.col("hsp_id").alias("hsp"), F.col("q_end").alias("qe"), F.col("s_end").alias("se"),
+        F.when(F.col("s_end") > F.col("s_start"), 1).otherwise(-1).alias("s"), F.when(F.col("q_end") > F.col("q_start"), 1).otherwise(-1).alias("q"),
+        F.col("alignment_length").alias("len"), F.col("bit_score").alias("score"),
     )
-    grouped = hits.withColumn("_limit", F.least(F.lit(1.05) * query_len, F.lit(float(max_len)))).groupBy("query_acc", "subject_acc").agg(F.array_sort(F.collect_list(row)).alias("h"), F.max("_limit").alias("_limit"))
-    seed = F.col("h")[0]
+    limit = F.least(F.lit(1.05) * query_len, F.lit(float(max_len)))
+    ordered = F.array_sort(F.collect_list(row))
+    grouped = hits.withColumn("_limit", limit).groupBy("query_acc", "subject_acc").agg(ordered.alias("h"), F.max("_limit").alias("_limit"))
+    grouped = grouped.withColumn("seed", F.col("h")[0])
 
-    def side(a, b, x, y):  # where (a, b) lies of (x, y): -1, 1, or 0 if their ends disagree
-        return F.when((a <= x) & (b <= y), -1).when((a >= x) & (b >= y), 1).otherwise(0)
+    def shift(h, end):
+        return F.signum(h[end] - F.col(f"seed.{end}"))
 
     def in_line(h):
-        q = side(h["qs"], h["qe"], F.col("seed.qs"), F.col("seed.qe"))
-        s = side(h["lo"], h["hi"], F.col("seed.lo"), F.col("seed.hi"))
-        s = F.when(F.col("seed.plus"), s).otherwise(-s)
-        same = (h["qs"] == F.col("seed.qs")) & (h["qe"] == F.col("seed.qe")) | (h["lo"] == F.col("seed.lo")) & (h["hi"] == F.col("seed.hi"))
-        return (h["plus"] == F.col("seed.plus")) & (q != 0) & (s != 0) & ((q == s) | same)
+        same = (h["s"] == F.col("seed.s")) & (h["q"] == F.col("seed.q"))
+        ends = (shift(h, "qs") == shift(h, "qe")) & (shift(h, "ss") == shift(h, "se"))
+        return same & ends & (shift(h, "ss") * F.col("seed.s") * F.col("seed.q") == shift(h, "qs"))
 
-    kept = grouped.withColumn("seed", seed).withColumn("kept", F.filter("h", in_line))
-    start = F.struct(F.col("seed.lo").alias("lo"), F.col("seed.hi").alias("hi"), F.col("seed.qs").alias("qs"), F.col("seed.qe").alias("qe"))
+    kept = grouped.withColumn("kept", F.filter("h", in_line))
+    start = F.struct(*(F.col(f"seed.{c}").alias(c) for c in ("ss", "se", "qs", "qe")))
 
-    def widen(acc, h):
-        lo, hi = F.least(acc["lo"], h["lo"]), F.greatest(acc["hi"], h["hi"])
-        wide = F.struct(lo.alias("lo"), hi.alias("hi"), F.least(acc["qs"], h["qs"]).alias("qs"), F.greatest(acc["qe"], h["qe"]).alias("qe"))
-        return F.when((hi - lo + 1) <= F.col("_limit"), wide).otherwise(acc)
+    def width(span):
+        return F.abs(span["ss"] - span["se"]) + 1
 
-    fits = F.col("seed.hi") - F.col("seed.lo") + 1 <= F.col("_limit")
+    def widen(span, h):
+        before, after = (h["ss"] - span["ss"]) * F.col("seed.s") < 0, (h["se"] - span["se"]) * F.col("seed.s") > 0
+        ends = {c: F.when(wider, h[c]).otherwise(span[c]).alias(c) for c, wider in (("ss", before), ("se", after), ("qs", before), ("qe", after))}
+        wide = F.struct(*(ends[c] for c in ("ss", "se", "qs", "qe")))
+        return F.when(width(wide) <= F.col("_limit"), wide).otherwise(span)
+
+    fits = F.abs(F.col("seed.ss") - F.col("seed.se")) + 1 <= F.col("_limit")
     out = kept.withColumn("span", F.when(fits, F.aggregate("kept", start, widen)).otherwise(start))
-    up = F.col("seed.plus")
+    length = F.aggregate("kept", F.lit(0).cast("bigint"), lambda a, h: a + h["len"])
+    score = F.aggregate("kept", F.lit(0.0), lambda a, h: a + h["score"].cast("double"))
     return out.select(
-        "query_acc", "subject_acc", F.col("seed.hsp").alias("hsp_id"), F.col("span.qs").alias("q_start"), F.col("span.qe").alias("q_end"), F.when(up, F.col("span.lo")).otherwise(F.col("span.hi")).alias("s_start"), F.when(up, F.col("span.hi")).otherwise(F.col("span.lo")).alias("s_end"),
-        up.alias("s_strand"), F.size("kept").alias("hits_num"), F.aggregate("kept", F.lit(0).cast("bigint"), lambda a, h: a + h["len"]).alias("sum_hits_alignlen"), F.aggregate("kept", F.lit(0.0), lambda a, h: a + h["score"].cast("double")).alias("sum_hits_score"),
+        "query_acc", "subject_acc", F.col("seed.hsp").alias("hsp_id"), F.col("span.qs").alias("q_start"), F.col("span.qe").alias("q_end"),
+        F.col("span.ss").alias("s_start"), F.col("span.se").alias("s_end"), (F.col("seed.q") > 0).alias("q_strand"), (F.col("seed.s") > 0).alias("s_strand"),
+        F.size("kept").alias("hits_num"), length.alias("sum_hits_alignlen"), score.alias("sum_hits_score"),
     )
 
 
+def with_length(hits: DataFrame, requests: DataFrame) -> DataFrame:
+    """hits with query_len, by their query; hits of queries that were not asked for go."""
+    return hits.join(requests.select("query_acc", "query_len"), "query_acc")
+
+
 def best_per_subject(joined: DataFrame) -> DataFrame:
     """For each subject the row with the highest summed score, then length, then the least query."""
     w = W.partitionBy("subject_acc").orderBy(F.desc("sum_hits_score"), F.desc("sum_hits_alignlen"), "query_acc")
@@ -120,9 +133,33 @@ def saturation(hits: DataFrame, passing: Column, expected: int, few: int = 3) ->
     return s.withColumn("_b", F.sum(F.col("stops").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1))).where("coalesce(_b, 0) = 0").drop("_b")
 
 
+def mined(find_round, passing: Column, expected: int, few: int = 3, rounds: int = 100, cut=lambda df: df) -> DataFrame:
+    """Rounds of hits until no more are worth having: (subject_acc, source_round, ok) of every subject found.
+
+    find_round(n, found) gives round n's hits (subject_acc and what `passing` looks at), or None where there are no new
+    queries; found is what the rounds before it brought. The loop ends after the round at which the total is over
+    1.2 * expected, or the second one running with fewer than `few` new subjects that pass, or without any query.
+    cut() stores what has been found, so that no round's plan holds the earlier ones'.
+    """
+    found, before, total = None, few, 0
+    for n in range(1, rounds + 1):
+        hits = find_round(n, found)
+        if hits is None:
+            break
+        new = hits.withColumn("_ok", passing).groupBy("subject_acc").agg(F.lit(n).alias("source_round"), F.max("_ok").alias("ok"))
+        found = cut(new if found is None else found.unionByName(new.join(found.select("subject_acc"), "subject_acc", "left_anti")))
+        told = found.where(F.col("source_round") == n).agg(F.count("*").alias("new"), F.count_if("ok").alias("good")).first()
+        total += told["new"]
+        if total > 1.2 * expected or told["good"] < few and before < few:
+            break
+        before = told["good"]
+    return found
+
+
 def radius_edges(hits: DataFrame, query_len: Column, share: float = 0.1) -> DataFrame:
     """Pairs of a query's hits whose (q_start, q_end) are within share * query length of each other: each looks only into
-    its own cell of a grid of that width and the eight around."""
+    its own cell of a grid of that width and the eight around. Hits at one place are best told apart by place_classes()
+    first, and its representatives paired: then no number of copies makes more pairs."""
     r = query_len * share
     p = hits.select("query_acc", F.col("hsp_id").alias("i"), F.col("q_start").alias("x"), F.col("q_end").alias("y"), r.alias("r"))
     p = p.withColumn("cx", F.floor(F.col("x") / F.col("r"))).withColumn("cy", F.floor(F.col("y") / F.col("r")))
@@ -130,3 +167,9 @@ def radius_edges(hits: DataFrame, query_len: Column, share: float = 0.1) -> Data
     near = near.select("query_acc", F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
     both = p.join(near, ["query_acc", "cx", "cy"]).where("i < j")
     return both.where(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2) <= F.pow("r", 2)).select("query_acc", "i", "j")
+
+
+def place_classes(hits: DataFrame) -> DataFrame:
+    """Hits with `place`, the least hsp_id of those that have their query, q_start and q_end."""
+    least = hits.groupBy("query_acc", "q_start", "q_end").agg(F.min("hsp_id").alias("place"))
+    return hits.join(least, ["query_acc", "q_start", "q_end"])

@@ -7,14 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def resolved(submitted: DataFrame, backbone: DataFrame, matches: str = "best", least: float = 0.0) -> DataFrame:
+def resolved(submitted: DataFrame, backbone: DataFrame, matches: str = "best", least: float = 0.0, block=lambda name: F.substring_index(name, " ", 1)) -> DataFrame:
     """(name_submitted, accepted_name, accepted_rank, status, score): exact matches score 1; what has none is compared with
-    the names of its genus, 1 - edit distance / the longer length. The best of each name (ties by name), or all."""
+    the names of its block, its genus if nothing else is said, 1 - edit distance / the longer length. The best of each name (ties by name), or all."""
     s = submitted.select(F.trim(F.replace("name", F.lit("|"), F.lit(""))).alias("name_submitted")).distinct()
     b = backbone.select("name", "accepted_name", "accepted_rank", "status")
     exact = s.join(b, s.name_submitted == b.name).withColumn("score", F.lit(1.0))
-    open_ = s.join(b, s.name_submitted == b.name, "left_anti").withColumn("g", F.substring_index("name_submitted", " ", 1))
-    near = open_.join(b.withColumn("g", F.substring_index("name", " ", 1)), "g").drop("g")
+    open_ = s.join(b, s.name_submitted == b.name, "left_anti").withColumn("g", block(F.col("name_submitted")))
+    near = open_.join(b.withColumn("g", block(F.col("name"))), "g").drop("g")
     near = near.withColumn("score", 1 - F.levenshtein("name_submitted", "name") / F.greatest(F.length("name_submitted"), F.length("name")))
     out = exact.unionByName(near.select(exact.columns)).where(F.col("score") >= least)
     if matches == "best":
@@ -22,6 +22,15 @@ def resolved(submitted: DataFrame, backbone: DataFrame, matches: str = "best", l
     return out.select("name_submitted", F.col("name").alias("name_matched"), "accepted_name", "accepted_rank", "status", "score")
 
 
+def rechecked(submitted: DataFrame, backbone: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """found, and in place of results that score under `least` and of names without any, what a wider block, the names
+    with the same three first letters, gives them; what still scores less goes."""
+    good = found.where(F.col("score") >= least)
+    names = submitted.select(F.trim(F.replace("name", F.lit("|"), F.lit(""))).alias("name_submitted")).distinct()
+    again = names.join(good.select("name_submitted"), "name_submitted", "left_anti").select(F.col("name_submitted").alias("name"))
+    return good.unionByName(resolved(again, backbone, least=least, block=lambda name: F.substring(name, 1, 3)))
+
+
 def accepted(found: DataFrame, accuracy: float = 0.9, genus_too: bool = False) -> DataFrame:
     ok = (F.col("score") >= accuracy) & (F.coalesce("accepted_name", F.lit("")) != "") & F.col("status").isin("Accepted", "Synonym")
     return found.where(ok if genus_too else ok & (F.col("accepted_rank") != "genus"))

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .alignment import boundary_trim
+from .curate import first_of
 
-def replaced(primary: DataFrame, secondary: DataFrame, key: str = "taxon") -> DataFrame:
+
+def replaced(primary: DataFrame, secondary: DataFrame, key: str | list = "taxon") -> DataFrame:
     """All primary rows, and the secondary ones of taxa that the primary lacks."""
-    return primary.unionByName(secondary.join(primary.select(key), key, "left_anti"))
+    keys = [key] if isinstance(key, str) else key
+    return primary.unionByName(secondary.join(primary.select(*keys).distinct(), keys, "left_anti"))
 
 
 def length_status(markers: DataFrame) -> DataFrame:
@@ -19,13 +23,36 @@ def length_status(markers: DataFrame) -> DataFrame:
 
 
 def completed(markers: DataFrame) -> DataFrame:
-    """Every taxon with every marker; gaps of the marker's length where it has none. The grid is the result's own size: each
-    taxon is exploded by the list of markers, which is a small one."""
-    lengths = markers.groupBy("marker").agg(F.max(F.length("seq")).alias("n")).agg(F.array_sort(F.collect_list(F.struct("marker", "n"))).alias("all"))
-    grid = markers.select("taxon").distinct().join(F.broadcast(lengths)).select("taxon", F.explode("all").alias("m")).select("taxon", "m.marker", "m.n")
+    """Every taxon with every marker; gaps of the marker's length where it has none, three where its lengths differ. A
+    marker of empty sequences goes. The grid is the result's own size: each taxon is exploded by the list of markers,
+    which is a small one."""
+    n = F.length("seq")
+    per = markers.groupBy("marker").agg(F.when(F.min(n) == F.max(n), F.min(n)).otherwise(3).alias("n")).where("n > 0")
+    lists = per.agg(F.array_sort(F.collect_list(F.struct("marker", "n"))).alias("all"))
+    grid = markers.select("taxon").distinct().join(F.broadcast(lists)).select("taxon", F.explode("all").alias("m")).select("taxon", "m.marker", "m.n")
     return grid.join(markers, ["taxon", "marker"], "left").select("taxon", "marker", F.coalesce("seq", F.repeat(F.lit("-"), F.col("n"))).alias("seq"))
 
 
+def refuse_uneven(complete: DataFrame) -> DataFrame:
+    """complete, or an error where a marker's sequences differ in length, lacks a taxon or has one twice."""
+    n = F.length("seq")
+    per = complete.groupBy("marker").agg(F.min(n).alias("lo"), F.max(n).alias("hi"), F.count("*").alias("n"), F.countDistinct("taxon").alias("taxa"))
+    taxa = complete.select("taxon").distinct().count()
+    if bad := [r.marker for r in per.where((F.col("lo") != F.col("hi")) | (F.col("n") != taxa) | (F.col("taxa") != taxa)).orderBy("marker").collect()]:  # markers are few
+        raise ValueError(f"not aligned, or not of all taxa: {', '.join(bad)}")
+    return complete
+
+
+def matrix(primary: DataFrame, secondary: DataFrame, threshold: float = 0.025) -> tuple[DataFrame, DataFrame]:
+    """(joined, parts): primary markers (marker, taxon, seq) filled up from secondary ones, ends trimmed by their gaps, names
+    without spaces, the first of equal names, every taxon with every marker, joined in order of marker; and where each
+    marker lies."""
+    rows = replaced(primary, secondary, ["marker", "taxon"]).withColumn("accession", F.col("taxon"))
+    trimmed = boundary_trim(rows, "marker", threshold).withColumn("taxon", F.replace("taxon", F.lit(" "), F.lit("_")))
+    complete = refuse_uneven(completed(first_of(trimmed, ["marker", "taxon"], ["accession"]).select("marker", "taxon", "seq")))
+    return concatenated(complete), partitions(complete)
+
+
 def partitions(markers: DataFrame) -> DataFrame:
     """Start and end of each marker in the joined sequence, markers in order of name."""
     per = markers.groupBy("marker").agg(F.max(F.length("seq")).alias("n"))

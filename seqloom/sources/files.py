@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.functions.bases import location_parts
+
 HIT = """Hit_id string, Hit_def string, Hit_accession string, Hit_hsps struct<Hsp: array<struct<`Hsp_bit-score`: double, Hsp_evalue: double,
   `Hsp_query-from`: int, `Hsp_query-to`: int, `Hsp_hit-from`: int, `Hsp_hit-to`: int, Hsp_identity: int, Hsp_gaps: int, `Hsp_align-len`: int>>>"""
 
@@ -31,11 +33,8 @@ def genbank(spark: SparkSession, path: str) -> DataFrame:
     def feature(c):
         head = F.regexp_replace(F.split_part(c, F.lit("\n                     /"), F.lit(1)), r"\s+", " ")
         location = F.replace(F.regexp_extract(head, r"^\S+ (.*)$", 1), F.lit(" "), F.lit(""))
-        minus = F.contains(location, F.lit("complement"))
-        part = lambda p: F.struct((F.regexp_extract(p, r"(\d+)", 1).cast("int") - 1).alias("start"), F.regexp_extract(p, r"(\d+)$", 1).cast("int").alias("end"), F.when(minus, -1).otherwise(1).alias("strand"))
-        parts = F.transform(F.regexp_extract_all(location, F.lit(r"(\d+(?:\.\.[<>]?\d+)?)"), F.lit(1)), part)
         quals = F.transform(F.regexp_extract_all(c, F.lit(r'(?s)/(\w+="?.*?"?)(?=\n {21}/|$)'), F.lit(1)), lambda q: F.struct(F.split_part(q, F.lit("="), F.lit(1)).alias("name"), F.regexp_replace(F.regexp_replace(q, r'(?s)^\w+="?|"$', ""), r"\s+", " ").alias("value")))
-        return F.struct(F.regexp_extract(c, r"^(\S+)", 1).alias("type"), location.alias("location"), parts.alias("parts"), quals.alias("qualifiers"))
+        return F.struct(F.regexp_extract(c, r"^(\S+)", 1).alias("type"), location.alias("location"), location_parts(location).alias("parts"), quals.alias("qualifiers"))
 
     journals = F.filter(F.transform(F.regexp_extract_all("v", F.lit(r"(?s)\n  JOURNAL   (.*?)(?=\n {0,3}\S)"), F.lit(1)), lambda j: F.regexp_replace(j, r"\s+", " ")), lambda j: j != "Unpublished")
     origin = F.regexp_extract("v", r"(?s)\nORIGIN[^\n]*\n(.*)$", 1)
