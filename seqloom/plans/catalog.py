@@ -77,14 +77,42 @@ def reverse_complement(dna):
     return dna.select("accession", bases.reverse_complement(F.col("seq")).alias("rc"))
 
 
-@query("hsp_chain", "hits")
+CHAIN = """, r AS (SELECT *, row_number() OVER (PARTITION BY query_acc, subject_acc ORDER BY bit_score DESC, alignment_length DESC, n_identity DESC, s_start, q_start, hsp_id) AS n,
+  CASE WHEN s_end > s_start THEN 1 ELSE -1 END AS sd, CASE WHEN q_end > q_start THEN 1 ELSE -1 END AS qd FROM hits),
+seed AS (SELECT query_acc, subject_acc, hsp_id AS seed_id, s_start AS s1, s_end AS s2, q_start AS q1, q_end AS q2, sd AS sd0, qd AS qd0 FROM r WHERE n = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_acc, subject_acc ORDER BY n) AS m FROM r JOIN seed USING (query_acc, subject_acc) WHERE sd = sd0 AND qd = qd0 AND sign(q_start - q1) = sign(q_end - q2)
+  AND sign(s_start - s1) = sign(s_end - s2) AND sign(s_start - s1) * sd * qd = sign(q_start - q1)),
+w AS (SELECT query_acc, subject_acc, CAST(1 AS BIGINT) AS m, s1 AS ss, s2 AS se, q1 AS qs, q2 AS qe FROM seed UNION ALL
+  SELECT query_acc, subject_acc, m, CASE WHEN ok THEN ns ELSE ss END, CASE WHEN ok THEN ne ELSE se END, CASE WHEN ok AND ns <> ss THEN q_start ELSE qs END, CASE WHEN ok AND ne <> se THEN q_end ELSE qe END
+  FROM (SELECT *, abs(ns - ne) + 1 <= 1050 AS ok FROM (SELECT w.query_acc, w.subject_acc, k.m, ss, se, qs, qe, q_start, q_end, CASE WHEN (s_start - ss) * sd < 0 THEN s_start ELSE ss END AS ns, CASE WHEN (s_end - se) * sd > 0 THEN s_end ELSE se END AS ne
+    FROM w JOIN k ON w.query_acc = k.query_acc AND w.subject_acc = k.subject_acc AND k.m = w.m + 1))),
+sums AS (SELECT query_acc, subject_acc, count(*) AS hits_num, sum(alignment_length) AS sum_hits_alignlen, round(sum(bit_score), 2) AS sum_hits_score FROM k GROUP BY 1, 2),
+chained AS (SELECT query_acc, subject_acc, seed_id AS hsp_id, qs AS q_start, qe AS q_end, ss AS s_start, se AS s_end, qd0 > 0 AS q_strand, sd0 > 0 AS s_strand, CAST(hits_num AS INT) AS hits_num, CAST(sum_hits_alignlen AS BIGINT) AS sum_hits_alignlen, sum_hits_score
+  FROM sums JOIN w USING (query_acc, subject_acc) JOIN seed USING (query_acc, subject_acc) WHERE m = hits_num)"""
+
+
+def _chained(h):
+    return hits.chain(h, MAXLEN, F.lit(QLEN)).withColumn("sum_hits_score", F.round("sum_hits_score", 2))
+
+
+@query("hsp_chain", "hits", sql=CHAIN + "SELECT * FROM chained")
 def hsp_chain(h):
-    return hits.chain(h, MAXLEN, F.lit(QLEN))
+    return _chained(h)
 
 
-@query("extend_hits", "hits")
+@query("extend_hits", "hits", sql=CHAIN + """, best AS (SELECT *, q_start - 1 AS l, greatest(1000 - q_end, 0) AS r, 1200 - abs(s_end - s_start) - 1 AS budget FROM chained
+  QUALIFY row_number() OVER (PARTITION BY subject_acc ORDER BY sum_hits_score DESC, sum_hits_alignlen DESC, query_acc) = 1),
+y AS (SELECT *, CAST(floor(l * CASE WHEN l + r > budget THEN greatest(budget, 0) / (l + r) ELSE 1.0 END) AS INT) AS extension_left, CAST(floor(r * CASE WHEN l + r > budget THEN greatest(budget, 0) / (l + r) ELSE 1.0 END) AS INT) AS extension_right FROM best),
+z AS (SELECT *, greatest(1, CASE WHEN s_start <= s_end THEN s_start - extension_left ELSE s_start + extension_left END) AS a, greatest(1, CASE WHEN s_start <= s_end THEN s_end + extension_right ELSE s_end - extension_right END) AS b FROM y)
+SELECT query_acc, subject_acc, hsp_id, hits_num, sum_hits_score, s_start, s_end, extension_left, extension_right, least(a, b) AS first, greatest(a, b) AS last, CASE WHEN a <= b THEN 1 ELSE 2 END AS strand FROM z""")
 def extend_hits(h):
-    return hits.fetch_range(hits.extend(hits.best_per_subject(hits.chain(h, MAXLEN, F.lit(QLEN))), F.lit(QLEN), MAXLEN))
+    out = hits.fetch_range(hits.extend(hits.best_per_subject(_chained(h)), F.lit(QLEN), MAXLEN))
+    return out.select("query_acc", "subject_acc", "hsp_id", "hits_num", "sum_hits_score", "s_start", "s_end", "extension_left", "extension_right", F.col("start").alias("first"), F.col("end").alias("last"), "strand")
+
+
+@query("query_lengths", "hits", "requests", sql="SELECT hsp_id, query_acc, query_len FROM hits JOIN requests USING (query_acc)")
+def query_lengths(h, requests):
+    return hits.with_length(h, requests).select("hsp_id", "query_acc", "query_len")
 
 
 SUMS = """, sums AS (SELECT query_acc, subject_acc, sum(alignment_length) AS sum_hits_alignlen, round(sum(bit_score), 2) AS sum_hits_score, min(source_round) AS source_round FROM hits GROUP BY 1, 2)"""
@@ -121,32 +149,53 @@ def hash_sample(h):
     return hits.sampled(_sums(h), "query_acc", "subject_acc", 5).select("query_acc", "subject_acc")
 
 
-@query("new_accessions", "hits", sql="""
-SELECT DISTINCT subject_acc FROM hits WHERE source_round = 4 AND subject_acc NOT IN (SELECT subject_acc FROM hits WHERE source_round = 1 AND n_identity > 45)""")
-def new_accessions(h):
-    return hits.new_accessions(h.where("source_round = 4"), h.where("source_round = 1 AND n_identity > 45"))
+@query("new_accessions", "rounds", sql="""
+SELECT DISTINCT subject_acc FROM rounds WHERE source_round = 4 AND subject_acc NOT IN (SELECT subject_acc FROM rounds WHERE source_round < 4)""")
+def new_accessions(r):
+    return hits.new_accessions(r.where("source_round = 4"), r.where("source_round < 4"))
 
 
-ROUNDS = """, f AS (SELECT subject_acc, min(source_round) AS source_round, max(CASE WHEN n_identity >= 25 THEN 1 ELSE 0 END) AS ok FROM hits GROUP BY 1),
+ROUNDS = """, f AS (SELECT subject_acc, min(source_round) AS source_round, max(CASE WHEN n_identity >= 48 THEN 1 ELSE 0 END) AS ok FROM rounds GROUP BY 1),
 p AS (SELECT source_round, count(*) AS n_new, sum(ok) AS n_passing FROM f GROUP BY 1), s AS (SELECT *, sum(n_new) OVER (ORDER BY source_round) AS n_total, lag(n_passing) OVER (ORDER BY source_round) AS prev FROM p)"""
+STOPS = ROUNDS + """, t AS (SELECT *, n_total > 1.2 * 200 OR (n_passing < 3 AND coalesce(prev < 3, false)) AS stops FROM s)"""
 
 
-@query("round_summary", "hits", sql=ROUNDS + " SELECT source_round, n_new, CAST(n_passing AS BIGINT) AS n_passing, CAST(n_total AS BIGINT) AS n_total FROM s")
-def round_summary(h):
-    return hits.round_summary(h, F.col("n_identity") >= 25)
+@query("round_summary", "rounds", sql=ROUNDS + " SELECT source_round, n_new, CAST(n_passing AS BIGINT) AS n_passing, CAST(n_total AS BIGINT) AS n_total FROM s")
+def round_summary(r):
+    return hits.round_summary(r, F.col("n_identity") >= 48)
 
 
-@query("saturation", "hits", sql=ROUNDS + """, t AS (SELECT *, n_total > 1.2 * 300 OR (n_passing < 3 AND coalesce(prev < 3, false)) AS stops FROM s)
+@query("saturation", "rounds", sql=STOPS + """
 SELECT source_round, n_new, CAST(n_passing AS BIGINT) AS n_passing, CAST(n_total AS BIGINT) AS n_total, stops FROM t WHERE source_round <= coalesce((SELECT min(source_round) FROM t WHERE stops), 99)""")
-def saturation(h):
-    return hits.saturation(h, F.col("n_identity") >= 25, 300)
+def saturation(r):
+    return hits.saturation(r, F.col("n_identity") >= 48, 200)
 
 
-@query("radius_edges", "hits", sql="""
-, p AS (SELECT query_acc, hsp_id, q_start AS x, q_end AS y FROM hits WHERE n_identity >= 49)
-SELECT a.query_acc, a.hsp_id AS i, b.hsp_id AS j FROM p a JOIN p b ON a.query_acc = b.query_acc AND a.hsp_id < b.hsp_id AND abs(a.x - b.x) <= 20 WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 400""")
+@query("mining_rounds", "rounds", sql="""
+, f AS (SELECT subject_acc, min(source_round) AS source_round FROM rounds GROUP BY 1), o AS (SELECT subject_acc, source_round, max(n_identity) >= 48 AS ok FROM f JOIN rounds USING (subject_acc, source_round) GROUP BY 1, 2),
+p AS (SELECT source_round, count(*) AS n_new, count(*) FILTER (ok) AS n_passing FROM o GROUP BY 1), s AS (SELECT *, sum(n_new) OVER (ORDER BY source_round) AS n_total, lag(n_passing) OVER (ORDER BY source_round) AS prev FROM p)
+SELECT subject_acc, source_round, ok FROM o WHERE source_round <= coalesce((SELECT min(source_round) FROM s WHERE n_total > 1.2 * 200 OR (n_passing < 3 AND coalesce(prev < 3, false))), 99)""")
+def mining_rounds(r):
+    return hits.mined(lambda n, found: r.where(F.col("source_round") == n) if n <= 6 else None, F.col("n_identity") >= 48, 200, cut=graph.cut)
+
+
+BAND = CHAIN + """, q AS (SELECT query_acc, quantile_cont(sum_hits_score, 0.25) AS a, quantile_cont(sum_hits_score, 0.75) AS b FROM chained GROUP BY 1),
+band AS (SELECT chained.* FROM chained JOIN q USING (query_acc) WHERE sum_hits_score BETWEEN a AND b)"""
+
+
+@query("radius_edges", "hits", sql=BAND + """
+SELECT a.query_acc, a.hsp_id AS i, b.hsp_id AS j FROM band a JOIN band b ON a.query_acc = b.query_acc AND a.hsp_id < b.hsp_id WHERE (a.q_start - b.q_start) ** 2 + (a.q_end - b.q_end) ** 2 <= 10000""")
 def radius_edges(h):
-    return hits.radius_edges(h.where("n_identity >= 49"), F.lit(QLEN), 0.02)
+    return hits.radius_edges(hits.quartile_band(_chained(h)), F.lit(QLEN), 0.1)
+
+
+@query("position_clusters", "hits")
+def position_clusters(h):
+    band = hits.sampled(hits.quartile_band(_chained(h)), "query_acc", "subject_acc", 1000)  # as many of a query are clustered
+    edges = hits.radius_edges(band, F.lit(QLEN), 0.1).select(F.col("query_acc").alias("graph_id"), "i", "j")
+    clusters = graph.markov_clusters(edges, band.select(F.col("query_acc").alias("graph_id"), F.col("hsp_id").alias("i")))
+    order = [F.desc("sum_hits_alignlen"), F.asc("sum_hits_score")]
+    return graph.cluster_representatives(clusters, band, "hsp_id", order).select("query_acc", "cluster", "hsp_id", "subject_acc", "sum_hits_alignlen", "sum_hits_score")
 
 
 @query("annotation_filter", "info", sql="""
@@ -275,10 +324,18 @@ def common_ends(aln):
     return alignment.common_ends(aln, "organism")
 
 
-@query("rare_insertions", "aln", sql=CELLS + """, o AS (SELECT organism, pos, pos - row_number() OVER (PARTITION BY organism ORDER BY pos) AS i FROM cols WHERE n_rows - n_gaps <= 3)
-SELECT organism, CAST(min(pos) AS INT) AS first, CAST(max(pos) AS INT) AS last FROM o GROUP BY organism, i HAVING max(pos) - min(pos) >= 3""")
+RUNS = CELLS.replace("FROM aln", "FROM inserted") + """, o AS (SELECT organism, pos, pos - row_number() OVER (PARTITION BY organism ORDER BY pos) AS i FROM cols WHERE n_rows - n_gaps <= 1),
+runs AS (SELECT organism, CAST(min(pos) AS INT) AS first, CAST(max(pos) AS INT) AS last FROM o GROUP BY organism, i HAVING max(pos) - min(pos) >= 19)"""
+
+
+@query("rare_insertions", "inserted", sql=RUNS + "SELECT organism, first, last FROM runs")
 def rare_insertions(aln):
-    return alignment.rare_insertions(aln, "organism", 3, 4)
+    return alignment.rare_insertions(aln, "organism", 1, 20)
+
+
+@query("without_insertions", "inserted", sql=RUNS + """SELECT accession, coalesce(string_agg(base, '' ORDER BY pos) FILTER (first IS NULL), '') AS seq FROM cells c LEFT JOIN runs r ON r.organism = c.organism AND pos BETWEEN first AND last GROUP BY 1""")
+def without_insertions(aln):
+    return alignment.without_insertions(aln, "organism", 1, 20).select("accession", "seq")
 
 
 @query("gap_trim", "aln", sql=CELLS + """SELECT organism, CAST(pos AS INT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY organism ORDER BY n_gaps / n_rows, pos) AS n FROM cols) WHERE 1 - n_gaps / n_rows >= 0.95 OR n <= 32""")
@@ -304,7 +361,7 @@ def p_distance_edges(aln):
 
 
 @query("sum_of_pairs", "aln", sql=CELLS + f""", c AS (SELECT organism, pos, base, count(*) AS n FROM cells WHERE base <> '-' GROUP BY 1, 2, 3),
-m AS (SELECT a.organism, sum(CASE WHEN a.base = b.base THEN a.n * (a.n - 1) / 2 ELSE a.n * b.n END * coalesce(v, CASE WHEN contains('ACGT', a.base) AND contains('ACGT', b.base) THEN -2 ELSE -1 END)) AS m FROM c a JOIN c b ON a.organism = b.organism AND a.pos = b.pos AND a.base <= b.base LEFT JOIN {EQ} ON xy = a.base || b.base GROUP BY 1),
+m AS (SELECT a.organism, sum(CASE WHEN a.base = b.base THEN a.n * (a.n - 1) / 2 ELSE a.n * b.n END * coalesce(v, -2)) AS m FROM c a JOIN c b ON a.organism = b.organism AND a.pos = b.pos AND a.base <= b.base LEFT JOIN {EQ} ON xy = a.base || b.base GROUP BY 1),
 g AS (SELECT organism, sum(len(regexp_replace(trim(seq, '-'), '[^-]', '', 'g')) + len(regexp_extract_all(trim(seq, '-'), '-+'))) AS cost FROM aln GROUP BY 1)
 SELECT organism, round(coalesce(m, 0) - cost, 6) AS sp_score FROM g LEFT JOIN m USING (organism)""")
 def sum_of_pairs(aln):
@@ -319,17 +376,84 @@ def extension_control(aln):
 
 
 @query("kmer_similarity", "dna", sql="""
-, k AS (SELECT accession, substr(seq, p, 24) AS kmer, count(*) AS c FROM dna, unnest(range(1, len(seq) - 22)) AS t(p) GROUP BY 1, 2),
-s AS (SELECT a.accession, b.accession AS accession_2, sum(least(a.c, b.c)) AS shared FROM k a JOIN k b ON a.kmer = b.kmer AND a.accession < b.accession GROUP BY 1, 2)
-SELECT s.accession, accession_2, CAST(shared AS BIGINT) AS shared, round(shared / least(len(x.seq) - 23, len(y.seq) - 23), 9) AS similarity FROM s JOIN dna x ON x.accession = s.accession JOIN dna y ON y.accession = accession_2""")
+, u AS (SELECT min(accession) AS sid, regexp_replace(seq, '[^ACGT]', '', 'g') AS seq FROM dna GROUP BY dna.seq),
+k AS (SELECT sid, substr(seq, p, 24) AS kmer, count(*) AS c FROM u, unnest(range(1, len(seq) - 22)) AS t(p) GROUP BY 1, 2),
+s AS (SELECT a.sid, b.sid AS sid_2, sum(least(a.c, b.c)) AS shared FROM k a JOIN k b ON a.kmer = b.kmer AND a.sid < b.sid GROUP BY 1, 2)
+SELECT s.sid, sid_2, CAST(shared AS BIGINT) AS shared, round(shared / least(len(x.seq) - 23, len(y.seq) - 23), 9) AS similarity FROM s JOIN u x ON x.sid = s.sid JOIN u y ON y.sid = sid_2""")
 def kmer_similarity(dna):
-    return alignment.kmer_similarity(dna, 24).withColumn("similarity", F.round("similarity", 9))
+    return alignment.kmer_similarity(dna, 24)[0].withColumn("similarity", F.round("similarity", 9))
+
+
+@query("kmer_classes", "dna", sql="SELECT accession, min(accession) OVER (PARTITION BY seq) AS sid FROM dna")
+def kmer_classes(dna):
+    return alignment.kmer_similarity(dna, 24)[1]
+
+
+def _clusters(aln):
+    e = alignment.p_distance_edges(aln, "organism", 0.6)
+    edges = e.select(F.col("organism").alias("graph_id"), F.col("accession").alias("i"), F.col("accession_2").alias("j"))
+    return graph.markov_clusters(edges, aln.select(F.col("organism").alias("graph_id"), F.col("accession").alias("i")))
 
 
 @query("mcl_clusters", "aln")
 def mcl_clusters(aln):
-    e = alignment.p_distance_edges(aln, "organism", 0.6)
-    return graph.markov_clusters(e.select(F.col("organism").alias("graph_id"), F.col("accession").alias("i"), F.col("accession_2").alias("j")))
+    return _clusters(aln)
+
+
+@query("sequence_clusters", "aln")
+def sequence_clusters(aln):
+    rows = aln.select("accession", F.length(F.replace("seq", F.lit("-"), F.lit(""))).alias("seq_len"))
+    return graph.cluster_representatives(_clusters(aln), rows, "accession", [F.desc("seq_len")]).select("graph_id", "cluster", "accession", "seq_len")
+
+
+@query("reduce_dataset", "info", "aln", "hits", sql=f"""
+, nm AS (SELECT accession, CASE WHEN contains(i.organism, ' subsp. ') THEN split_part(i.organism, ' subsp. ', 1) WHEN contains(i.organism, ' var. ') THEN split_part(i.organism, ' var. ', 1) ELSE i.organism END AS organism, specimen_voucher, journal, date, seq, 'S' || a.doc_id % 400 AS subject_acc FROM info i JOIN aln a USING (accession)),
+kp AS (SELECT * FROM nm WHERE NOT regexp_matches(organism, ' (sp\\.|sp|cf\\.|cf|aff\\.|aff|x\\.|x)( |$)') AND len(replace(seq, '-', '')) >= 58 QUALIFY row_number() OVER (PARTITION BY organism, seq, specimen_voucher ORDER BY accession) = 1)
+""" + CELLS.replace("FROM aln", "FROM kp") + f""", v AS (SELECT organism, pos, b, round(sum(CASE WHEN inside THEN v ELSE 0 END), 9) AS v FROM cells JOIN {SETS} ON base = code GROUP BY 1, 2, 3),
+wn AS (SELECT organism, pos, max(best) AS best, string_agg(b, '' ORDER BY b) AS won FROM (SELECT *, max(v) OVER (PARTITION BY organism, pos) AS best FROM v) WHERE v = best GROUP BY 1, 2),
+cons AS (SELECT organism, pos, CASE WHEN best = 0 THEN 'N' WHEN wn.won = '-' THEN '-' WHEN contains(wn.won, '-') THEN 'N' ELSE code END AS c FROM wn LEFT JOIN {CODES} ON wn.won = k.won),
+pi AS (SELECT accession, sum(coalesce(e.v, 0)) / count(*) AS pi FROM cells JOIN cons USING (organism, pos) LEFT JOIN @EQ ON xy = base || c WHERE NOT (base = '-' AND c = '-') AND organism IN (SELECT organism FROM kp GROUP BY 1 HAVING count(*) >= 4) GROUP BY 1),
+sm AS (SELECT query_acc, subject_acc, sum(alignment_length) AS al, round(sum(bit_score), 2) AS sum_hits_score, min(source_round) AS source_round FROM hits GROUP BY 1, 2),
+bs AS (SELECT * FROM sm QUALIFY row_number() OVER (PARTITION BY subject_acc ORDER BY sum_hits_score DESC, al DESC, query_acc) = 1),
+ev AS (SELECT kp.*, len(replace(seq, '-', '')) AS record_length, coalesce(pi, -1) AS cv, sum_hits_score FROM kp JOIN bs USING (subject_acc) LEFT JOIN pi USING (accession)),
+rk AS (SELECT *, rank() OVER (ORDER BY sum_hits_score DESC) + (count(*) OVER (PARTITION BY sum_hits_score) - 1) / 2 + rank() OVER (ORDER BY record_length DESC) + (count(*) OVER (PARTITION BY record_length) - 1) / 2 AS rs FROM ev)
+SELECT organism, accession, seq FROM rk QUALIFY row_number() OVER (PARTITION BY organism ORDER BY rs, round(cv, 9) DESC, specimen_voucher IS NULL, journal = 'Unpublished', date DESC NULLS LAST, accession) = 1""".replace("@EQ", EQ))
+def reduce_dataset(info, aln, h):
+    records = info.drop("lineage").join(aln.select("accession", "doc_id", "seq"), "accession")
+    best = hits.best_per_subject(_sums(h)).select("subject_acc", "sum_hits_score", "source_round")
+    own = records.select("accession", F.concat(F.lit("S"), (F.col("doc_id") % 400).cast("string")).alias("subject_acc")).join(best, "subject_acc").drop("subject_acc")
+    return curate.reduced(records.drop("doc_id"), own, 58).select("organism", "accession", "seq")
+
+
+@query("spliced_genes", "located", "dna", sql="""
+, p AS (SELECT genome, CAST(regexp_extract(genome, 'D([0-9]+)', 1) AS BIGINT) AS d, seq FROM located JOIN dna ON genome = accession), q AS (SELECT genome, d, substr(seq, 1 + d % 5, 9) AS a, substr(seq, 13 + d % 5, 7) AS b FROM p),
+r AS (SELECT *, reverse(translate(a, 'ACGTRYMN', 'TGCAYRKN')) AS ra, reverse(translate(b, 'ACGTRYMN', 'TGCAYRKN')) AS rb FROM q)
+SELECT genome, CASE d % 4 WHEN 0 THEN rb || ra WHEN 1 THEN ra || b WHEN 2 THEN a || b ELSE ra END AS seq FROM r""")
+def spliced_genes(located, dna):
+    return genomes.spliced(located, dna.select(F.col("accession").alias("genome"), "seq")).select("genome", "seq")
+
+
+@query("encodable_headers", "headers", sql=r"""
+SELECT doc_id, CASE WHEN NOT regexp_matches(header, '^[\x20-\x7E]*\z') THEN 'encoding' END AS reject_reason FROM headers""")
+def encodable_headers(h):
+    return curate.encodable(h).select("doc_id", "reject_reason")
+
+
+@query("filter_counters", "headers", sql=r"""
+SELECT count(*) AS n_total, count(*) FILTER (regexp_matches(header, '^[\x20-\x7E]*\z')) AS n_kept, count(*) FILTER (NOT regexp_matches(header, '^[\x20-\x7E]*\z')) AS n_rejected FROM headers""")
+def filter_counters(h):
+    return curate.counted(curate.encodable(h))
+
+
+@query("clade_reference", "info", sql="""
+, g AS (SELECT split_part(lineage, '|', 3) AS genus, max(split_part(lineage, '|', 2)) AS family, count(*) AS n FROM info GROUP BY 1), f AS (SELECT genus, concat('Family', len(genus) + CAST(right(genus, 1) AS INT) % 3) AS family FROM g),
+r AS (SELECT * FROM f WHERE CAST(right(genus, 1) AS INT) % 2 = 1)
+SELECT genus, family, coalesce((SELECT min(genus) FROM r WHERE r.family = f.family AND r.genus <> f.genus), (SELECT min(genus) FROM r WHERE r.genus <> f.genus)) AS reference FROM f""")
+def clade_reference(info):
+    genus = info.select(F.split("lineage", r"\|")[2].alias("genus")).distinct()
+    digit = F.right("genus", F.lit(1)).cast("int")
+    small = genus.select("genus", F.concat(F.lit("Family"), (F.length("genus") + digit % 3).cast("string")).alias("family"))
+    return curate.clade_reference(small, small.where(digit % 2 == 1))
 
 
 @query("genome_prefilter", "genomes", sql="""
@@ -390,6 +514,32 @@ def species_gene_set(features, aliases, g):
 WANTED = [f"gene{i}" for i in range(20)]
 
 
+@query("genome_counts", "genomes", "features", "aliases", sql=GENES + """
+SELECT genome, organism, n FROM (SELECT genome, count(*) AS n FROM f GROUP BY 1) LEFT JOIN (SELECT * FROM genomes WHERE keywords <> 'UNVERIFIED') USING (genome)""")
+def genome_counts(g, features, aliases):
+    counts = genomes.standard_gene(features, aliases).groupBy("genome").agg(F.count("*").alias("n"))
+    return genomes.with_counts(g.where("keywords != 'UNVERIFIED'").select("genome", "organism"), counts)
+
+
+@query("genome_quality", "features", "aliases", "genome_seqs", sql=GENES + """, c AS (SELECT genome, count(*) FILTER (type = 'CDS') AS n_cds FROM f GROUP BY 1)
+SELECT genome, coalesce(n_cds, 0) AS n_cds, len(seq) - len(replace(seq, 'N', '')) AS unclear_bases, coalesce(n_cds, 0) < 2 OR (len(seq) - len(replace(seq, 'N', ''))) / len(seq) > 0.08 AS flagged FROM genome_seqs LEFT JOIN c USING (genome)""")
+def genome_quality(features, aliases, seqs):
+    return genomes.quality(genomes.feature_counts(genomes.standard_gene(features, aliases), 2), seqs, 0.08).select("genome", "n_cds", F.col("unclear_bases").cast("bigint").alias("unclear_bases"), "flagged")
+
+
+@query("genome_gene_set", "genomes", "features", "genome_seqs", "aliases", "reference", sql=f"""
+, d AS (SELECT * FROM genomes WHERE keywords <> 'UNVERIFIED' AND NOT contains(organism, ' sp.') AND NOT contains(organism, ' x ') QUALIFY row_number() OVER (PARTITION BY organism, date ORDER BY {ORDER}) = 1),
+ch AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY organism ORDER BY {ORDER}) <= 3),
+ow AS (SELECT * FROM features JOIN aliases USING (gene_alias) WHERE genome IN (SELECT genome FROM ch)), ct AS (SELECT genome, count(*) FILTER (type = 'CDS') AS n_cds FROM ow GROUP BY 1),
+gd AS (SELECT genome FROM genome_seqs JOIN ct USING (genome) WHERE n_cds >= 1 AND (len(seq) - len(replace(seq, 'N', ''))) / len(seq) <= 0.08),
+gn AS (SELECT genome, gene, max(end_pos - start_pos) AS length FROM ow WHERE genome IN (SELECT genome FROM gd) GROUP BY 1, 2), bd AS (SELECT gn.* FROM gn LEFT JOIN reference USING (gene) WHERE ref_len IS NULL OR length BETWEEN 0.5 * ref_len AND 1.5 * ref_len),
+tt AS (SELECT genome, sum(length) AS total_length, count(*) AS n_genes, list(gene) AS h FROM bd GROUP BY 1)
+SELECT organism, genome, CAST(total_length AS BIGINT) AS total_length, n_genes, coalesce((SELECT string_agg(w, ',' ORDER BY w) FROM unnest({WANTED}) AS x(w) WHERE NOT list_contains(h, w)), '') AS missing
+FROM tt JOIN ch USING (genome) QUALIFY row_number() OVER (PARTITION BY organism ORDER BY total_length DESC, genome) = 1""")
+def genome_gene_set(g, features, seqs, aliases, reference):
+    return genomes.gene_set(g.withColumnRenamed("length", "genome_length").withColumn("length", F.col("genome_length")), features, seqs, aliases, reference, WANTED, least_cds=1, most_unclear=0.08, low=0.5, high=1.5)
+
+
 @query("missing_genes", "features", "aliases", sql=GENES + f"""
 SELECT genome, coalesce((SELECT string_agg(w, ',' ORDER BY w) FROM unnest({WANTED}) AS x(w) WHERE NOT list_contains(h, w)), '') AS missing FROM (SELECT genome, list(DISTINCT gene) AS h FROM genes GROUP BY 1)""")
 def missing_genes(features, aliases):
@@ -417,6 +567,15 @@ def accepted_names(info, backbone):
     return resolve.substituted(info, found).select("accession", "organism")
 
 
+@query("rechecked_names", "info", "backbone", sql=RESOLVED + """, ag AS (SELECT n FROM s WHERE n NOT IN (SELECT n FROM res WHERE score >= 0.9)),
+wd AS (SELECT n, b.*, 1 - levenshtein(n, name) / greatest(len(n), len(name)) AS score FROM ag JOIN backbone b ON substr(n, 1, 3) = substr(name, 1, 3)),
+w1 AS (SELECT * FROM wd WHERE score >= 0.9 QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, name) = 1)
+SELECT n AS name_submitted, name AS name_matched, round(score, 9) AS score FROM (SELECT * FROM res WHERE score >= 0.9 UNION ALL SELECT * FROM w1)""")
+def rechecked_names(info, backbone):
+    submitted = info.select(F.col("organism").alias("name"))
+    return resolve.rechecked(submitted, backbone, resolve.resolved(submitted, backbone), 0.9).select("name_submitted", "name_matched", F.round("score", 9).alias("score"))
+
+
 @query("replacement", "markers", sql="""
 , a AS (SELECT taxon, seq FROM markers WHERE marker = 'm1'), b AS (SELECT taxon, seq FROM markers WHERE marker = 'm2') SELECT * FROM a UNION ALL SELECT * FROM b WHERE taxon NOT IN (SELECT taxon FROM a)""")
 def replacement(m):
@@ -436,6 +595,16 @@ def concatenate(m):
     return supermatrix.concatenated(supermatrix.completed(m))
 
 
+@query("supermatrix", "markers", sql="""
+, a AS (SELECT * FROM markers WHERE taxon NOT LIKE '%7'), rp AS (SELECT * FROM a UNION ALL SELECT taxon, marker, reverse(seq) FROM markers m WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.taxon = m.taxon AND a.marker = m.marker)),
+cl AS (SELECT marker, p, avg(CASE WHEN substr(seq, p, 1) = '-' THEN 1.0 ELSE 0 END) AS g FROM rp, unnest(range(1, 65)) AS t(p) GROUP BY 1, 2), bd AS (SELECT marker, min(p) AS f, max(p) AS l FROM cl WHERE g < 0.1 GROUP BY 1),
+tr AS (SELECT replace(taxon, ' ', '_') AS taxon, marker, CASE WHEN f IS NULL THEN seq ELSE substr(seq, f, l - f + 1) END AS seq FROM rp LEFT JOIN bd USING (marker)),
+gr AS (SELECT t.taxon, m.marker, coalesce(seq, repeat('-', n)) AS seq FROM (SELECT DISTINCT taxon FROM tr) t CROSS JOIN (SELECT marker, max(len(seq)) AS n FROM tr GROUP BY 1) m LEFT JOIN tr x ON x.taxon = t.taxon AND x.marker = m.marker)
+SELECT taxon, string_agg(seq, '' ORDER BY marker) AS seq FROM gr GROUP BY 1""")
+def supermatrix_(m):
+    return supermatrix.matrix(m.where("taxon NOT LIKE '%7'"), m.withColumn("seq", F.reverse("seq")), 0.1)[0]
+
+
 @query("partitions", "markers", sql="""
 , p AS (SELECT marker, max(len(seq)) AS n FROM markers GROUP BY 1), q AS (SELECT marker, n, sum(n) OVER (ORDER BY marker) AS e FROM p)
 SELECT concat('DNA, ', marker, '_pos', k + 1, ' = ', CAST(e - n + 1 + k AS BIGINT), '-', CAST(e AS BIGINT), '\\3') AS line FROM q, unnest([0, 1, 2]) AS t(k)""")

@@ -19,6 +19,17 @@ VIEWS = {
   CAST(CASE WHEN l_returnflag = 'R' THEN 5040 + (l_partkey * 11) % 900 + (l_suppkey * 13) % 300 ELSE 5000 + (l_partkey * 11) % 900 END AS INT) AS s_start,
   CAST(CASE WHEN l_returnflag = 'R' THEN 5000 + (l_partkey * 11) % 900 ELSE 5040 + (l_partkey * 11) % 900 + (l_suppkey * 13) % 300 END AS INT) AS s_end,
   CAST(41 + (l_suppkey * 13) % 300 AS INT) AS alignment_length, CAST(l_quantity AS INT) AS n_identity, CAST(l_extendedprice AS DOUBLE) AS bit_score, CAST(1 + l_suppkey % 4 AS INT) AS source_round FROM lineitem""",
+    "rounds": """SELECT concat('Q', l_orderkey % 7) AS query_acc, concat('S', l_orderkey % 400) AS subject_acc, CAST(l_quantity AS INT) AS n_identity,
+  CAST(1 + greatest((l_orderkey % 400) % 6, l_suppkey % 4) AS INT) AS source_round FROM lineitem""",
+    "requests": """SELECT DISTINCT concat('Q', l_orderkey % 7) AS query_acc, CAST(900 + 50 * (l_orderkey % 7) AS INT) AS query_len FROM lineitem WHERE l_orderkey % 7 <> 3""",
+    "located": """SELECT concat('D', doc_id, '.1') AS genome, CASE doc_id % 4 WHEN 0 THEN concat('complement(join(', 1 + doc_id % 5, '..', 9 + doc_id % 5, ',', 13 + doc_id % 5, '..', 19 + doc_id % 5, '))')
+    WHEN 1 THEN concat('join(complement(', 1 + doc_id % 5, '..', 9 + doc_id % 5, '),', 13 + doc_id % 5, '..', 19 + doc_id % 5, ')')
+    WHEN 2 THEN concat('join(', 1 + doc_id % 5, '..', 9 + doc_id % 5, ',', 13 + doc_id % 5, '..', 19 + doc_id % 5, ')')
+    ELSE concat('complement(<', 1 + doc_id % 5, '..', 9 + doc_id % 5, ')') END AS location FROM documents""",
+    "inserted": """SELECT concat('D', doc_id, '.1') AS accession, concat('Genus', doc_id % 13, ' species', doc_id % 5) AS organism,
+  translate(concat(md5(concat(lang, doc_id % 65)), CASE WHEN doc_id % 61 = 0 THEN substr(md5(concat('i', doc_id)), 1, 24) ELSE repeat('f', 24) END, substr(md5(text), 1, 8)), '0123456789abcdef', 'ACGTACGTACGTRYN-') AS seq FROM documents""",
+    "headers": """SELECT doc_id, concat('D', doc_id, '.1|', substr(text, 1, 40)) AS header FROM documents""",
+    "genome_seqs": """SELECT concat('G', o_orderkey) AS genome, translate(concat(md5(concat('a', o_orderkey)), md5(concat('b', o_orderkey))), '0123456789abcdef', 'ACGTACGTACGTACGN') AS seq FROM orders""",
     "genomes": """SELECT concat('G', o_orderkey) AS genome, concat('Genus', o_custkey % 13, CASE WHEN o_orderkey % 19 = 0 THEN ' sp. ' WHEN o_orderkey % 29 = 0 THEN ' x species' ELSE ' species' END, o_custkey % 29) AS organism,
   CASE WHEN o_orderkey % 23 = 0 THEN 'UNVERIFIED' ELSE '.' END AS keywords, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderpriority LIKE '1%' THEN '' ELSE concat('Journal ', o_custkey % 8) END AS journals,
   100000 + CAST(floor(o_totalprice) AS BIGINT) % 60000 AS length, o_custkey % 90 AS cds_count FROM orders""",
@@ -31,7 +42,7 @@ VIEWS = {
     "reference": """SELECT DISTINCT concat('gene', l_partkey % 20) AS gene, 600 + 10 * (l_partkey % 20) AS ref_len FROM lineitem WHERE l_partkey % 20 <> 7""",
     "markers": """SELECT concat('Genus', doc_id % 13, ' species', doc_id % 29) AS taxon, concat('m', doc_id % 5) AS marker, min(translate(concat(md5(text), md5(lang)), '0123456789abcdef', 'ACGTACGTACGTRYN-')) AS seq FROM documents GROUP BY 1, 2""",
 }
-NEEDS = {"aln": ["documents"], "dna": ["documents"], "info": ["documents"], "backbone": ["documents"], "markers": ["documents"], "hits": ["lineitem"], "features": ["lineitem"], "aliases": ["lineitem"], "reference": ["lineitem"], "genomes": ["orders"]}
+NEEDS = {"aln": ["documents"], "dna": ["documents"], "info": ["documents"], "backbone": ["documents"], "markers": ["documents"], "hits": ["lineitem"], "rounds": ["lineitem"], "requests": ["lineitem"], "located": ["documents"], "inserted": ["documents"], "headers": ["documents"], "genome_seqs": ["orders"], "features": ["lineitem"], "aliases": ["lineitem"], "reference": ["lineitem"], "genomes": ["orders"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,4 +52,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck(*names: str) -> str:
     """The views as the head of a DuckDB query."""
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names).format(re_all=", 'g'", date="DATE '2010-01-01' + CAST(doc_id % 4000 AS INTEGER)")
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names).format(re_all=", 'g'", date="DATE '2010-01-01' + CAST(doc_id % 4000 AS INTEGER)")

@@ -68,7 +68,7 @@ def test_fasta_and_genbank(spark, tmp_path):
     r = files.genbank(spark, str(tmp_path / "x.gb")).first()
     assert (r.accession, r.organism, r.date, r.journals, r.seq, r.has_body) == ("X1", "Rosa alba", "05-MAR-2020", ["Plant J. 1 (2)"], "ACGTACGTACGT", True)
     f = r.features[0]
-    assert (f.type, [(p.start, p.end, p.strand) for p in f.parts], {q.name: q.value for q in f.qualifiers}) == ("CDS", [(0, 3, -1), (6, 9, -1)], {"gene": "rbcL", "product": "a b"})
+    assert (f.type, [(p.start, p.end, p.strand) for p in f.parts], {q.name: q.value for q in f.qualifiers}) == ("CDS", [(6, 9, -1), (0, 3, -1)], {"gene": "rbcL", "product": "a b"})
 
 
 def test_small_functions(spark):
