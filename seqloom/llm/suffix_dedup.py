@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import octets, read, slices, staged
+from .common import octets, quoted, read, slices
 
 LENGTH, K = 50, 24
 #: Text bytes to a bucket; most bits of the bitmap (32 MB), in which collisions only let more stretches through.
 BUCKET, MOST_BITS = 1 << 22, 28
 #: Strings of one stretch at most; text bytes that a task works on at once.
 RUN, AT_ONCE = 64, 1 << 23
+#: A minimizer that more slices have than this is hot: of its stretches only strings that two documents have are sent.
+HOT = 128
 MIX, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BYTES = (np.arange(1, 257, dtype=np.uint64) * ODD) ^ ((np.arange(1, 257, dtype=np.uint64) * MIX) >> np.uint64(31))
 
@@ -107,14 +109,24 @@ def _probes(rest: np.ndarray, slice_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return rest >> np.uint64(40 - slice_bits), (rest * MIX) >> np.uint64(64 - slice_bits)
 
 
-def _bitmap(texts: DataFrame, bits: int, slice_bits: int, length: int, k: int) -> np.ndarray:
-    """One bit or two for each minimizer that two documents have, by bucket. A batch tells of each of its minimizers
-    once, and twice if it has it in two documents."""
+def _lit(bitmap: np.ndarray, h: np.ndarray, bits: int, slice_bits: int) -> np.ndarray:
+    """Which hashes have all their bits in a bitmap."""
+    bucket, rest, out = h >> np.uint64(64 - bits), _rest(h, bits), np.ones(len(h), bool)
+    for p in _probes(rest, slice_bits):
+        at = (bucket << np.uint64(slice_bits)) | p
+        out &= (bitmap[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def _bitmaps(texts: DataFrame, found, bits: int, slice_bits: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits, by bucket, for each hash that two documents have, and for each that more than `hot` slices tell of. found(texts)
+    gives the hashes and the texts they come from. A slice tells of each of its hashes once, and twice if it has it in
+    two documents."""
 
     def told(batches):
         for b in slices(batches, AT_ONCE):
             key = b[0].to_numpy()
-            h, doc, _, _ = _all(b[1].to_pylist(), length, k)
+            h, doc = found(b[1].to_pylist())
             order = np.argsort(h, kind="stable")
             h, who = h[order], key[doc[order]]
             new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
@@ -126,15 +138,42 @@ def _bitmap(texts: DataFrame, bits: int, slice_bits: int, length: int, k: int) -
 
     def met(table: pa.Table) -> pa.Table:
         values, n = np.unique(np.concatenate([_unpack5(x.as_py()) for x in table["rest"]]), return_counts=True)
-        flags = np.zeros(1 << slice_bits, bool)
-        for p in _probes(values[n > 1], slice_bits):
-            flags[p] = True
-        return pa.table({"bucket": table["bucket"].slice(0, 1).cast(pa.int32()), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
-
-    out = np.zeros((1 << bits, max(1, (1 << slice_bits) // 8)), np.uint8)
-    for r in texts.mapInArrow(told, "bucket int, rest binary").groupBy("bucket").applyInArrow(met, "bucket int, flags binary").toLocalIterator():
-        out[r["bucket"]] = np.frombuffer(r["flags"], np.uint8)
-    return out.reshape(-1)
+        cells = []
+        for some in (values[n > 1], values[n > 2 * hot]):
+            flags = np.zeros(1 << slice_bits, bool)
+            for p in _probes(some, slice_bits):
+                flags[p] = True
+            cells.append(pa.array([np.packbits(flags).tobytes() if len(some) else None], pa.binary()))
+        return pa.table({"bucket": table["bucket"].slice(0, 1).cast(pa.int32()), "flags": cells[0], "hot": cells[1]})
+
+    shared, often = (np.zeros((1 << bits, max(1, (1 << slice_bits) // 8)), np.uint8) for _ in range(2))
+    for r in texts.mapInArrow(told, "bucket int, rest binary").groupBy("bucket").applyInArrow(met, "bucket int, flags binary, hot binary").toLocalIterator():
+        for out, flags in ((shared, r["flags"]), (often, r["hot"])):
+            if flags is not None:
+                out[r["bucket"]] = np.frombuffer(flags, np.uint8)
+    return shared.reshape(-1), often.reshape(-1)
+
+
+def _strings(texts: list, doc: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, stretch number, start) of every string of stretches."""
+    begin = np.cumsum([0, *map(len, texts)])
+    count = end - start - length + 1
+    which = np.repeat(np.arange(len(doc)), count)
+    at = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    if not len(which):
+        return np.empty(0, np.uint64), which, at
+    return _grams(np.frombuffer(b"".join(texts), np.uint8), length)[begin[doc][which] + at] * MIX, which, at
+
+
+def _narrowed(texts: list, h, doc, start, end, narrow: np.ndarray, test, length: int):
+    """The stretches, those marked in `narrow` cut down to their strings that pass a test of hashes."""
+    g, which, at = _strings(texts, doc[narrow], start[narrow], end[narrow], length)
+    ok = test(g)
+    which, at = np.flatnonzero(narrow)[which[ok]], at[ok]
+    fresh = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)]) if len(which) else np.empty(0, np.int64)
+    last = np.r_[fresh[1:], len(which)] - 1 if len(fresh) else fresh
+    of = which[fresh]
+    return tuple(np.concatenate([x[~narrow], y]) for x, y in ((h, h[of]), (doc, doc[of]), (start, at[fresh]), (end, at[last] + length)))
 
 
 def _send(held, bits: int, slice_bits: int, length: int, k: int):
@@ -142,17 +181,17 @@ def _send(held, bits: int, slice_bits: int, length: int, k: int):
     go, the others are decided here: bucket -1 holds their spans."""
 
     def send(batches):
-        bitmap = held.value
+        shared, often, strings = held.value
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in slices(batches, AT_ONCE):
             key, row, texts = b["k"].to_numpy(), b["u"].to_numpy(), b["t"].to_pylist()
             h, doc, start, end = _all(texts, length, k)
+            some = _lit(shared, h, bits, slice_bits)
+            h, doc, start, end = h[some], doc[some], start[some], end[some]
+            if strings is not None:
+                h, doc, start, end = _narrowed(texts, h, doc, start, end, _lit(often, h, bits, slice_bits), lambda g: _lit(strings, g, bits, slice_bits), length)
             bucket, rest = h >> np.uint64(64 - bits), _rest(h, bits)
-            pass_ = np.ones(len(h), bool)
-            for p in _probes(rest, slice_bits):
-                at = (bucket << np.uint64(slice_bits)) | p
-                pass_ &= (bitmap[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
-            keep = np.flatnonzero(pass_)
+            keep = np.arange(len(h))
             keep = keep[np.lexsort((key[doc[keep]], h[keep]))]
             least: dict = {}
             go, done = [], []
@@ -283,14 +322,31 @@ def _spans(data: np.ndarray) -> pa.Table:
     return pa.table({n: pa.array(data[:, i], t) for i, (n, t) in enumerate((("k", pa.int64()), ("u", pa.int64()), ("s", pa.int32()), ("e", pa.int32())))})
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): docs as (id, k, u, t) and the bytes [s, e) of rows (k, u) that a smaller document has too."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), octets(text_col).alias("t")).withColumn("k", F.coalesce("id", F.lit((1 << 63) - 1))).withColumn("u", F.xxhash64("k", "t"))
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): docs as (id, k, u, t) and the bytes [s, e) of rows (k, u) that a smaller document has too.
+
+    A minimizer of a line that very many documents have has a stretch a document at the line's borders, most of them of
+    strings that no other has. Where there are such minimizers, their strings are counted in a pass of their own, so
+    that what meets in one bucket is what really repeats.
+    """
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), octets(quoted(text_col)).alias("t")).withColumn("k", F.coalesce("id", F.lit((1 << 63) - 1))).withColumn("u", F.xxhash64("k", "t"))
     spark = docs.sparkSession
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 1
     bits = max(4, (total // BUCKET).bit_length())
     slice_bits = max(3, min(MOST_BITS, total.bit_length()) - bits)
-    held = spark.sparkContext.broadcast(_bitmap(rows.select("k", "t"), bits, slice_bits, length, k))
+    shared, often = _bitmaps(rows.select("k", "t"), lambda texts: _all(texts, length, k)[:2], bits, slice_bits, hot)
+    strings = None
+    if often.any():
+        told = spark.sparkContext.broadcast(often)
+
+        def hot_strings(texts):
+            h, doc, start, end = _all(texts, length, k)
+            some = _lit(told.value, h, bits, slice_bits)
+            g, which, _ = _strings(texts, doc[some], start[some], end[some], length)
+            return g, doc[some][which]
+
+        strings = _bitmaps(rows.select("k", "t"), hot_strings, bits, slice_bits, 1 << 60)[0]
+    held = spark.sparkContext.broadcast((shared, often, strings))
     sent = rows.select("k", "u", "t").mapInArrow(_send(held, bits, slice_bits, length, k), "bucket int, body binary")
     salted = sent.withColumn("part", F.when(F.col("bucket") < 0, F.xxhash64("body")).otherwise(F.col("bucket").cast("long")))
 
@@ -304,14 +360,15 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return rows, salted.groupBy("part").applyInArrow(settle, "k long, u long, s int, e int")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """One row for every row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes): each byte
     is removed that is in a string of `length` bytes which also starts in a document with a smaller id.
 
     Null and empty texts have no strings. Rows with equal ids are one document for this, and lose nothing to each other;
-    a null id is larger than any. Repeats within a document stay. What is removed is judged on the input.
+    a null id is larger than any. Repeats within a document stay. What is removed is judged on the input. Very long texts
+    count whole; an empty table gives an empty result; other columns of docs don't matter, whatever their names.
     """
-    rows, spans = repeated_spans(docs, id_col=id_col, text_col=text_col, length=length)
+    rows, spans = repeated_spans(docs, id_col=id_col, text_col=text_col, length=length, hot=hot)
     found = spans.groupBy("k", "u").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
     kind = T._parse_datatype_string("id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

@@ -128,8 +128,9 @@ def test_stream_decoding_cuts_between_characters():
     assert "".join(p.decode() for p in parts) == text
 
 
-def test_suffix_dedup(docs, rows):
-    got, first = by_id(suffix_dedup.deduplicated(docs), "id"), {}
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 0])
+def test_suffix_dedup(docs, rows, hot):
+    got, first = by_id(suffix_dedup.deduplicated(docs, hot=hot), "id"), {}
     texts = sorted((i, (t or "").encode()) for i, t, *_ in rows)
     for i, t in texts:
         for p in range(len(t) - 49):
