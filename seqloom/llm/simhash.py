@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, octets, read, slices, staged
+from .common import SPACED, octets, quoted, read, slices, staged
 from .components import components
 
 RADIUS = 3
@@ -22,8 +22,8 @@ RADIUS = 3
 SHINGLE, ALIKE = 5, 0.8
 #: Candidates share one of BANDS groups of ROWS least hashes: at similarity 0.8 all but (1 - 0.8 ** 4) ** 16 = 0.02%.
 BANDS, ROWS = 16, 4
-#: Rounds in which a bucket's members meet one of them, before members that are still apart meet each other.
-ROUNDS = 3
+#: Vertices, and bytes of their sets, of one bucket that are compared in one place; larger buckets are split into blocks.
+TOGETHER, TOGETHER_BYTES = 512, 1 << 23
 #: Fingerprints of one bucket that are compared in one place; larger buckets are compared block against block.
 BLOCK = 2048
 #: Text bytes that a task works on at once.
@@ -131,7 +131,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Equal fingerprints are one vertex, so copies are never paired. Documents without words have fingerprint 0 and link
     like any other. Rows with equal ids are one document with several fingerprints in the result, each linked by its
     own; a null id never is a component's name, and a component of null ids alone has none. Very long texts are hashed
-    whole, empty tables give empty results.
+    whole, empty tables give empty results. Other columns of docs don't matter, whatever their names.
     """
     all_fps = staged(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     least = staged(all_fps.groupBy("fp").agg(F.min("id").alias("least")))
@@ -162,19 +162,50 @@ def _bands(own: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
 
 
-def shingle_sets(docs: DataFrame, *, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """(id, v, h, keys): a name of the text's set of shingles, the sorted set itself and its bands' keys."""
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The text's different shingles, in order, by 40 bits of their hashes: two sets of 2,000 that have no shingle in common
+    seem to have one with a chance of 4 in a million."""
+    return np.unique(shingles(text, shingle) >> np.uint64(24))
+
+
+def _pack5(own: np.ndarray) -> bytes:
+    return own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpack5(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view("<u8")
+
+
+def _name(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes())
+
+
+def signatures(rows: DataFrame, shingle: int) -> DataFrame:
+    """(id, tk, v, keys) of rows (id, tk, t): a name of the text's set of shingles and its bands' keys."""
 
     def make(batches):
         for b in slices(batches, AT_ONCE):
-            own = [np.unique(shingles(t, shingle)) for t in b[1].to_pylist()]
-            name = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64)
+            own = [shingle_set(t, shingle) for t in b["t"].to_pylist()]
+            name = np.array([_name(x) for x in own], np.uint64).view(np.int64)
             keys = np.array([_bands(x) for x in own], np.uint64).reshape(-1).view(np.int64)
             held = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * BANDS, pa.int32()), pa.array(keys, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b[0], pa.array(name, pa.int64()), pa.array([x.tobytes() for x in own], pa.binary()), held], ["id", "v", "h", "keys"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["tk"], pa.array(name, pa.int64()), held], ["id", "tk", "v", "keys"])
+
+    return rows.mapInArrow(make, "id long, tk long, v long, keys array<long>")
+
+
+def sets_of(rows: DataFrame, shingle: int) -> DataFrame:
+    """(v, h): the sets themselves of rows (id, tk, t), each once."""
+
+    def make(batches):
+        for b in slices(batches, AT_ONCE):
+            own = [shingle_set(t, shingle) for t in b["t"].to_pylist()]
+            name = np.array([_name(x) for x in own], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array([_pack5(x) for x in own], pa.binary())], ["v", "h"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), octets(text_col).alias("t"))
-    return rows.mapInArrow(make, "id long, v long, h binary, keys array<long>")
+    return rows.mapInArrow(make, "v long, h binary").dropDuplicates(["v"])
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
@@ -184,7 +215,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
         for b in batches:
             ok = []
             for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = _unpack5(x), _unpack5(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= alike * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b["u"], b["v"]], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
@@ -195,40 +226,112 @@ def _alike(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
     return pairs.distinct().join(one, "u").join(two, "v").where(sized).select("u", "v", "a", "b").mapInArrow(confirm, "u long, v long")
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, alike: float = ALIKE, rounds: int = ROUNDS) -> DataFrame:
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two sets share: by products of rows for what many of them have, by pairs for the rest."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    out, row = np.zeros((n, n), np.float32), np.repeat(np.arange(n), size)
+    _, back, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > 32
+    number = np.cumsum(often) - 1
+    some = often[back]
+    col, who = number[back[some]], row[some]
+    for at in range(0, int(often.sum()), 2048):
+        here = (col >= at) & (col < at + 2048)
+        x = np.zeros((n, 2048), np.float32)
+        x[who[here], col[here] - at] = 1
+        out += x @ x.T
+    order = np.argsort(back, kind="stable")
+    starts = np.cumsum(times) - times
+    for k in range(2, 33):
+        if len(first := starts[times == k]):
+            lists = row[order[first[:, None] + np.arange(k)]]
+            out += np.bincount((lists[:, :, None] * n + lists[:, None, :]).ravel(), minlength=n * n).reshape(n, n)
+    np.fill_diagonal(out, size)
+    return out
+
+
+def joining(v: np.ndarray, root: np.ndarray, sets: list[np.ndarray], alike: float) -> list[tuple[int, int]]:
+    """Enough pairs with the similarity to join all components that such pairs join."""
+    both, size = common_counts(sets), np.array([len(x) for x in sets])
+    near = both >= alike * (size[:, None] + size[None] - both) - 1e-9
+    label, edges = np.unique(root, return_inverse=True)[1], []
+    for i in range(len(v)):
+        other = np.flatnonzero(near[i] & (label != label[i]))
+        for j in other[np.unique(label[other], return_index=True)[1]]:
+            edges.append((int(v[i]), int(v[j])))
+            label[label == label[j]] = label[i]
+    return edges
+
+
+def _joined(members: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
+    """(u, v): pairs with the similarity that join members (key, v, root) of one bucket whose roots differ. A large bucket
+    is split into blocks, and each pair of blocks is compared by itself; only what joins comes out, not all pairs."""
+    held = members.join(sets, "v")
+    size = held.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / TOGETHER, F.sum(F.length("h")) / TOGETHER_BYTES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("v", F.lit(5)), F.col("blocks")).cast("int")
+    dealt = held.join(size, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "v", "root", "h")
+
+    def compare(batches):
+        rest = None
+
+        def told(t):
+            g, edges = t["g"].to_numpy(), []
+            cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True]) if len(g) else [0]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                part = t.slice(a, z - a)
+                v, first = np.unique(part["v"].to_numpy(), return_index=True)
+                root = part["root"].to_numpy()[first]
+                if len(np.unique(root)) > 1:
+                    hashes = part["h"].to_pylist()
+                    edges += joining(v, root, [_unpack5(hashes[i]) for i in first], alike)
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            g = t["g"].to_numpy()
+            last = int(np.searchsorted(g, g[-1])) if len(g) else 0  # the last group may go on
+            yield told(t.slice(0, last))
+            rest = t.slice(last)
+        if rest is not None:
+            yield told(rest)
+
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "u long, v long").distinct()
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, alike: float = ALIKE) -> DataFrame:
     """One row for every row of docs: id and component (the smallest id that a chain of documents reaches, each with a
     Jaccard similarity of `alike` or more to the next).
 
-    Equal sets are one vertex. Candidates are vertices that share a bucket; in each of some rounds a bucket's members are
-    compared with one of them, so a large group of near copies gives a star and not all pairs; then members of
-    different components are all compared. Every link is confirmed on the whole sets. Bounds of recall are the bands'.
+    Equal sets are one vertex, so copies are never paired. Candidates are vertices that share a bucket. First a bucket's
+    members are compared with one of them, which makes a star of a group of near copies; then, in buckets whose members
+    are still apart, blocks of members against blocks. Every link is confirmed on the whole sets. Bounds of recall are
+    the bands'. Sets are made again for those vertices alone that share a bucket. Null and blank texts have the empty
+    set, and are copies of each other; very long texts count whole. A null id never names a component, and a component
+    of null ids alone has none. Repeated rows have a row each. An empty table gives an empty result.
     """
-    full = staged(shingle_sets(docs, id_col=id_col, text_col=text_col, shingle=shingle))
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), octets(quoted(text_col)).alias("t")).select("id", F.xxhash64("t").alias("tk"), "t")
+    full = staged(signatures(rows, shingle))
     keyed = full.select("v", F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = staged(keyed.join(shared, "key"))
-    sets = staged(full.join(members.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.first("h").alias("h")))
-    edges = docs.sparkSession.createDataFrame([], "u long, v long")
-    named = members.withColumn("root", F.col("v"))
-    for r in range(rounds + 1):
-        if r < rounds:
-            center = named.groupBy("key").agg(F.min_by(F.struct("v", "root"), F.xxhash64("v", F.lit(r))).alias("c"))
-            met = named.join(center, "key").where("root != c.root").select(F.col("c.v").alias("u"), "v")
-        else:
-            one = named.select("key", F.col("v").alias("u"), F.col("root").alias("other"))
-            met = one.join(named, "key").where("other < root").select("u", "v")
-        edges = staged(edges.unionByName(_alike(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), sets, alike)))
-        found = components(edges).withColumnRenamed("node", "v")
-        if r < rounds:
-            named = members.join(found, "v", "left").withColumn("root", F.coalesce("root", "v"))
-            apart = named.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("key")
-            named = staged(named.join(apart, "key", "left_semi"))
+    one = full.join(members.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.min(F.struct("id", "tk")).alias("x")).select("x.id", "x.tk")
+    asked = one.select(F.col("id").alias("_i"), F.col("tk").alias("_k")).distinct()
+    sets = staged(sets_of(rows.join(asked, rows["id"].eqNullSafe(F.col("_i")) & (rows["tk"] == F.col("_k")), "left_semi"), shingle), "none")
+    center = members.groupBy("key").agg(F.min_by("v", F.xxhash64("v")).alias("u"))
+    met = members.join(center, "key").where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    stars = staged(_alike(met, sets, alike))
+    named = members.join(components(stars).withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    apart = named.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("key")
+    more = _joined(named.join(apart, "key", "left_semi"), sets, alike)
+    found = components(stars.unionByName(more)).withColumnRenamed("node", "v")
     names = full.select("id", "v").join(found, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    return names.select("id", "root").join(names.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
+    least = names.groupBy("root").agg(F.min("id").alias("component"))
+    return names.select("id", "root").join(least, "root").select("id", "component")
 
 
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8), the document with the smallest doc_id; documents
-    without an id stay."""
+    without an id stay. Of repeated rows with the kept id all stay. Other columns are as they were, whatever their names."""
     kept = near_copies(docs).where("id = component").select("id").distinct()
     return docs.join(kept, docs.doc_id == kept.id, "left_semi").unionByName(docs.where("doc_id is null"))
