@@ -92,7 +92,7 @@ def test_toxic_documents_are_rejected(spark):
 
 
 def forward(model, seq, pairs, follow, less=0):
-    """ln p of each id, by loops: attention in windows of 16 that lie 14 apart, the first two places for context alone."""
+    """ln p of each id, by loops: attention in windows that overlap, their first places for context alone."""
     out = []
     w, size = model.w, attention.WINDOW
     for i, y in enumerate(seq):
@@ -139,7 +139,7 @@ def test_lm_score_by_hand(spark):
             if library.ends[y] or n == len(seq) - 1:
                 now.append(tuple(word))
                 key = attention.rolled(np.array(word, np.uint64), np.array([0]))[0]
-                if int(key) >> 40 & 15 == 0 or n == len(seq) - 1:
+                if (int(key) >> 40) % attention.CHUNK == 0 or n == len(seq) - 1:
                     out.append(tuple(now))
                     now = []
                 word = []
