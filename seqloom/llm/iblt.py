@@ -5,6 +5,7 @@ parts of `third` cells; a digest goes to one cell of each part, which adds one t
 check of it in by exclusive or. The cells of two versions subtract, what both hold cancels, and peeling recovers the
 rest: a cell that holds one digest gives it up, which leaves others with one. Where peeling gets stuck, it is retried on
 sketches that are larger: the digests are dealt to more sketches, and each that fails again is doubled with other seeds.
+A share of digests that fails all TRIES times is compared as it is, so that every difference is whole.
 """
 
 from __future__ import annotations
@@ -149,7 +150,8 @@ def compared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     The next document is the one with the next smaller id, after the smallest the largest. A null text counts as empty,
     a null id as the least. Of rows with equal ids each is compared, and the greatest text stands for them as a next
-    document. A table of one document has itself as next. The text is shuffled once, by id, and its second use reads
+    document. A table of one document has itself as next; an empty table gives an empty result. Very long texts count
+    whole. Other columns of docs don't matter, whatever their names. The text is shuffled once, by id, and its second use reads
     the same exchange.
     """
     least = -(1 << 63)

@@ -29,7 +29,8 @@ def record(url: Column, name: Column, body: Column) -> Column:
 def archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
     """The manifest (id, file, ordinal, offset, length, digest) of the pages' records, written to files of
     fanout ** levels consecutive ids each, ordered by id, then digest. Rows with equal ids are records of their own.
-    Rows with a null id are dealt by digest to files below 0."""
+    Rows with a null id are dealt by digest to files below 0. Null addresses and bodies count as empty, very long bodies
+    whole; an empty table gives an empty manifest. Other columns of pages don't matter, whatever their names."""
     per = fanout**levels
     text = record(F.col(url_col), F.col(id_col), F.col(body_col))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), text.alias("_r")).select("id", F.octet_length("_r").cast("long").alias("length"), F.sha2("_r", 256).alias("digest"))

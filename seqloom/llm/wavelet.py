@@ -141,7 +141,9 @@ def write_shards(docs: DataFrame, *, path: str | None = None, id_col: str = "doc
     files in the shared folder: rows of part, shard, start (tokens of the part before it), n_tokens, file.
 
     Documents are range-partitioned by id, so parts are in order and none depends on another; a null id comes first,
-    equal ids lie together, in the order of their texts; null and empty texts are an end alone. A task holds one shard.
+    equal ids lie together, in the order of their texts; null and empty texts are an end alone. A very long text is
+    encoded whole, in the shard that it fills. A task holds one shard. An empty table gives no shards. Other columns of
+    docs don't matter, whatever their names.
     """
     path = path or default_path()
 
