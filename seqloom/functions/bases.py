@@ -97,3 +97,12 @@ def ends(seq: Column) -> tuple[Column, Column]:
     first = F.length(seq) - F.length(F.regexp_replace(seq, "^-+", "")) + 1
     last = F.length(F.regexp_replace(seq, "-+$", ""))
     return F.when(last > 0, first), F.when(last > 0, last)
+
+
+def aligned_place(seq: Column, n: Column, from_left: bool = True) -> Column:
+    """The column (from 1, from the left) of base number n of an aligned sequence, counted from either end; null where it
+    has fewer."""
+    length = F.length(seq)
+    every = F.when(length > 0, F.sequence(F.lit(1), length)).otherwise(F.array().cast("array<int>"))
+    places = F.filter(every, lambda i: F.substring(seq, i, F.lit(1)) != "-")
+    return F.when(n > 0, F.try_element_at(places, (n if from_left else -n).cast("int")))

@@ -107,3 +107,25 @@ def picked(qualifiers: Column, name: str, default: str = "unknown") -> Column:
 def content_key(*columns: Column) -> Column:
     """A hash of inputs, the same for the same ones; nulls are told from blanks."""
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns)), 256)
+
+
+def published_between(date: Column, first: str | None, last: str | None) -> Column:
+    """Within the days, from 1900 on where none is given; any day without a last one."""
+    if not last:
+        return F.lit(True)
+    return date.between(F.lit(first or "1900-01-01").cast("date"), F.lit(last).cast("date"))
+
+
+def marker_record(organism: Column, qualifier: Column, date: Column, taxa: list[str], first: str | None = None, last: str | None = None) -> Column:
+    """Of one of the taxa (any where none is listed; an organism's first words, or an element of its lineage), with the
+    marker's qualifier, in the span of publication."""
+    some = reduce(Column.__or__, ((organism == t) | F.startswith(organism, F.lit(f"{t} ")) for t in taxa), F.lit(not taxa))
+    return some & qualifier & published_between(date, first, last)
+
+
+def genome_record(organism: Column, title: Column, length: Column, date: Column, taxa: list[str], least: int = 100_000, most: int = 300_000, first: str | None = None, last: str | None = None) -> Column:
+    """A chloroplast genome of one of the taxa: its title names the plastid and no other source, its length is within bounds."""
+    low = F.lower(title)
+    plastid = F.contains(low, F.lit("plastid")) | F.contains(low, F.lit("chloroplast"))
+    other = reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in ("mitochondrion", "mitochondrial", "chromosome")))
+    return marker_record(organism, plastid & ~other & length.between(least, most), date, taxa, first, last)

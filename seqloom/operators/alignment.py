@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.functions.bases import CODE_OF, IUPAC, ends, equality, equality_of, expanded, kmer_index, kmers
+from seqloom.functions.bases import CODE_OF, IUPAC, aligned_place, ends, equality, equality_of, expanded, kmer_index, kmers
+from seqloom.functions.names import header_range, with_range
 
 # What a code of one, two, three or four bases gives each of them in a vote.
 VOTE = {1: 1.0, 2: 0.5, 3: 0.33333, 4: 0.25}
@@ -154,6 +155,29 @@ def control_extension(aln: DataFrame, left: Column, right: Column, threshold: fl
     return aln.withColumn("cut_left", a).withColumn("cut_right", b).withColumn("seq", F.substring("seq", a + 1, n - a - b))
 
 
+def extension_controlled(records: DataFrame, hits: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """records (accession, header with a range, aligned seq) without gaps, their extensions cut off where these are mostly
+    gaps: (accession, header, seq). hits (accession, s_start, s_end) tells where the hit itself lies.
+
+    An extension's gappiness is the share of gaps among the columns from the record's end to the hit's. Where it is over
+    the threshold the record begins, or ends, with the hit, and its header says so. Records without a hit stay whole.
+    """
+    first, last, _ = header_range(F.col("header"))
+    rows = records.withColumns({"_r1": F.least(first, last), "_r2": F.greatest(first, last), "_raw": F.replace("seq", F.lit("-"), F.lit(""))})
+    rows = rows.join(hits.select("accession", F.least("s_start", "s_end").alias("_s1"), F.greatest("s_start", "s_end").alias("_s2")), "accession", "left")
+    left, right = F.col("_s1") - F.col("_r1"), F.col("_r2") - F.col("_s2")
+
+    def gappy(bases_, from_left):
+        a, b = (aligned_place(F.col("seq"), n, from_left) for n in (F.greatest(bases_ + 1, F.lit(1)), F.lit(1)))
+        return F.coalesce(F.when(a != b, 1 - bases_ / F.abs(a - b)), F.lit(0.0)) > threshold
+
+    rows = rows.withColumn("_n1", F.when(gappy(left, True), F.col("_s1")).otherwise(F.col("_r1"))).withColumn("_n2", F.when(gappy(right, False), F.col("_s2")).otherwise(F.col("_r2")))
+    cut = (F.col("_n1") != F.col("_r1")) | (F.col("_n2") != F.col("_r2"))
+    kept = F.substring("_raw", F.col("_n1") - F.col("_r1") + 1, F.col("_n2") - F.col("_n1") + 1)
+    header = F.when(cut, with_range(F.col("header"), F.col("_n1"), F.col("_n2"))).otherwise(F.col("header"))
+    return rows.select("accession", header.alias("header"), F.when(cut, kept).otherwise(F.col("_raw")).alias("seq"))
+
+
 def p_distance_edges(aln: DataFrame, group: str, most: float = 0.3) -> DataFrame:
     """Pairs of a group's rows whose share of differing places is `most` or less; ambiguity codes are classes of their own.
     Only different sequences are compared; rows that have them then make the pairs, copies at distance 0."""

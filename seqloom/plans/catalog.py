@@ -375,6 +375,25 @@ def extension_control(aln):
     return alignment.control_extension(aln, F.lit(4), F.lit(4), 0.25).select("accession", "cut_left", "cut_right", "seq")
 
 
+@query("controlled_extensions", "aln", sql="""
+, x AS (SELECT accession, seq, replace(seq, '-', '') AS raw, 100 + doc_id % 7 AS r1, 99 + doc_id % 7 + len(replace(seq, '-', '')) AS r2, doc_id % 9 AS a, doc_id % 5 AS b, list_filter(range(1, 65), lambda i: substr(seq, i, 1) <> '-') AS p FROM aln),
+y AS (SELECT *, CASE WHEN a > 0 AND 1 - a / (p[a + 1] - p[1]) > 0.1 THEN a ELSE 0 END AS ca, CASE WHEN b > 0 AND 1 - b / (p[len(p)] - p[len(p) - b]) > 0.1 THEN b ELSE 0 END AS cb FROM x)
+SELECT accession, concat(accession, ':', r1 + ca, '-', r2 - cb, '|x') AS header, substr(raw, CAST(1 + ca AS BIGINT), CAST(len(raw) - ca - cb AS BIGINT)) AS seq FROM y""")
+def controlled_extensions(aln):
+    r1 = (100 + F.col("doc_id") % 7).cast("int")
+    r2 = (r1 - 1 + F.length(F.replace("seq", F.lit("-"), F.lit("")))).cast("int")
+    records = aln.select("accession", "seq", F.concat("accession", F.lit(":"), r1.cast("string"), F.lit("-"), r2.cast("string"), F.lit("|x")).alias("header"))
+    found = aln.select("accession", (r1 + F.col("doc_id") % 9).cast("int").alias("s_start"), (r2 - F.col("doc_id") % 5).cast("int").alias("s_end"))
+    return alignment.extension_controlled(records, found, 0.1)
+
+
+@query("genome_search", "genomes", sql="""
+SELECT genome FROM genomes WHERE regexp_matches(organism, '^Genus[135] ') AND NOT contains(journals, '3') AND length BETWEEN 110000 AND 150000 AND date BETWEEN DATE '1993-01-01' AND DATE '1996-12-31'""")
+def genome_search(g):
+    title = F.when(F.contains("journals", F.lit("3")), "a mitochondrial chloroplast").otherwise("Chloroplast genome")
+    return g.where(names.genome_record(F.col("organism"), title, F.col("length"), F.col("date"), ["Genus1", "Genus3", "Genus5"], 110_000, 150_000, "1993-01-01", "1996-12-31")).select("genome")
+
+
 @query("kmer_similarity", "dna", sql="""
 , u AS (SELECT min(accession) AS sid, regexp_replace(seq, '[^ACGT]', '', 'g') AS seq FROM dna GROUP BY dna.seq),
 k AS (SELECT sid, substr(seq, p, 24) AS kmer, count(*) AS c FROM u, unnest(range(1, len(seq) - 22)) AS t(p) GROUP BY 1, 2),
@@ -477,7 +496,8 @@ def topn_distinct_dates(g):
 SELECT marker, count(genome) AS n_records FROM q LEFT JOIN (SELECT * FROM genomes WHERE regexp_matches(organism, '^Genus[135] ') AND length BETWEEN 100000 AND 150000) g ON g.date BETWEEN a AND b GROUP BY 1""")
 def marker_counts(g):
     q = g.sparkSession.sql("SELECT marker, CAST(a AS DATE) AS a, CAST(b AS DATE) AS b FROM VALUES ('early', '1900-01-01', '1994-12-31'), ('late', '1995-01-01', '2100-01-01'), ('none', '2101-01-01', '2102-01-01') AS t(marker, a, b)")
-    found = g.where(F.col("organism").rlike("^Genus[135] ") & F.col("length").between(100000, 150000)).groupBy("date").agg(F.count("*").alias("n"))
+    wanted = names.marker_record(F.col("organism"), F.col("length").between(100000, 150000), F.col("date"), ["Genus1", "Genus3", "Genus5"])
+    found = g.where(wanted).groupBy("date").agg(F.count("*").alias("n"))
     return F.broadcast(q).join(found, found.date.between(F.col("a"), F.col("b")), "left").groupBy("marker").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"))
 
 
