@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,16 +28,62 @@ def _normalised(m: DataFrame) -> DataFrame:
     return m.withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy("graph_id", "j")))
 
 
-def markov_clusters(edges: DataFrame, nodes: DataFrame | None = None, inflation: float = 2.0, rounds: int = 100, prune: float = 1e-3) -> DataFrame:
-    """(graph_id, cluster, node) of undirected edges (graph_id, i, j): the diagonal is 1, columns are normalised; each round
+#: Nodes of a graph that is clustered as one matrix in a task (8 MB); larger ones go round as edge tables.
+DENSE = 1_000
+
+
+def _clustered(n: int, cells: np.ndarray, inflation: float, rounds: int, prune: float) -> np.ndarray:
+    """For each node of one graph the least attractor of its columns; cells are pairs of numbers, the diagonal among them."""
+    m = np.zeros((n, n))
+    m[cells[:, 0], cells[:, 1]] = 1
+    m /= m.sum(0)
+    for _ in range(rounds):
+        new = (m @ m) ** inflation
+        new /= new.sum(0)
+        new[(new < prune) & (new < new.max(0))] = 0
+        change, m = np.abs(new - m).max(), new
+        if change <= 1e-8 + 1e-5 * new.max():
+            break
+    reached = (m > 0) & (m.diagonal() > 0)[:, None]
+    return np.where(reached.any(0), reached.argmax(0), -1)
+
+
+def _small_graphs(cells: DataFrame, inflation: float, rounds: int, prune: float) -> DataFrame:
+    graph_type, node_type = cells.schema["graph_id"].dataType.simpleString(), cells.schema["i"].dataType.simpleString()
+
+    def one(table: pa.Table) -> pa.Table:
+        names = sorted(set(table["i"].to_pylist()))
+        number = {x: k for k, x in enumerate(names)}
+        pairs = np.array([[number[x] for x in table[c].to_pylist()] for c in ("i", "j")]).T
+        least = _clustered(len(names), pairs, inflation, rounds, prune)
+        some = np.flatnonzero(least >= 0).tolist()
+        graph = pa.array([table["graph_id"][0].as_py()] * len(some), table["graph_id"].type)
+        return pa.table({"graph_id": graph, "node": pa.array([names[k] for k in some], table["i"].type), "cluster": pa.array([names[least[k]] for k in some], table["i"].type)})
+
+    return cells.groupBy("graph_id").applyInArrow(one, f"graph_id {graph_type}, node {node_type}, cluster {node_type}")
+
+
+def markov_clusters(edges: DataFrame, nodes: DataFrame | None = None, inflation: float = 2.0, rounds: int = 100, prune: float = 1e-3, dense: int = DENSE) -> DataFrame:
+    """(graph_id, node, cluster) of undirected edges (graph_id, i, j): the diagonal is 1, columns are normalised; each round
     squares the matrix, raises it to `inflation`, normalises and prunes what is small but for each column's maximum.
     A graph whose entries change by no more than 1e-8 and 1e-5 of its greatest one leaves the loop. A cluster is named by its
-    least attractor. nodes (graph_id, i) names nodes that may have no edge: these are clusters of their own."""
+    least attractor. nodes (graph_id, i) names nodes that may have no edge: these are clusters of their own.
+
+    Graphs of up to `dense` nodes are matrices in a task each; larger ones go through the rounds together as one edge table.
+    """
     e = edges.select("graph_id", "i", "j").where("i != j")
     both = e.unionByName(e.select("graph_id", F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
     loops = edges.select("graph_id", F.explode(F.array("i", "j")).alias("i"))
     loops = (loops if nodes is None else loops.unionByName(nodes.select("graph_id", "i"))).distinct()
-    m = cut(_normalised(both.unionByName(loops.select("graph_id", "i", F.col("i").alias("j"))).withColumn("w", F.lit(1.0))))
+    cells = cut(both.unionByName(loops.select("graph_id", "i", F.col("i").alias("j"))))
+    small = cells.where("i = j").groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") <= dense).select("graph_id")
+    found = _small_graphs(cells.join(small, "graph_id", "left_semi"), inflation, rounds, prune)
+    large = cells.join(small, "graph_id", "left_anti")
+    return found if large.isEmpty() else found.unionByName(_large_graphs(large, inflation, rounds, prune))
+
+
+def _large_graphs(cells: DataFrame, inflation: float, rounds: int, prune: float) -> DataFrame:
+    m = cut(_normalised(cells.withColumn("w", F.lit(1.0))))
     done = []
     for _ in range(rounds):
         right = m.select("graph_id", F.col("i").alias("k"), "j", F.col("w").alias("w2"))

@@ -158,12 +158,13 @@ def by_matrix(n, edges):
     return [min(i for i in range(n) if m[i, i] > 0 and m[i, j] > 0) for j in range(n)]
 
 
-def test_markov_clusters_against_a_matrix(spark):
+@pytest.mark.parametrize("dense", [graph.DENSE, 0])
+def test_markov_clusters_against_a_matrix(spark, dense):
     rng = np.random.default_rng(4)
     n, edges = 24, {(a, b) for a, b in rng.integers(0, 20, (34, 2)).tolist() if a < b}
     e = spark.createDataFrame([("g", f"{a:02}", f"{b:02}") for a, b in edges], "graph_id string, i string, j string")
     nodes = spark.createDataFrame([("g", f"{a:02}") for a in range(n)] + [("h", "alone")], "graph_id string, i string")
-    got = {(r.graph_id, r.node): r.cluster for r in graph.markov_clusters(e, nodes).collect()}
+    got = {(r.graph_id, r.node): r.cluster for r in graph.markov_clusters(e, nodes, dense=dense).collect()}
     assert got == {("g", f"{j:02}"): f"{c:02}" for j, c in enumerate(by_matrix(n, edges))} | {("h", "alone"): "alone"}
 
 
