@@ -26,7 +26,7 @@ WHITE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2000))) + "-" + "".join(
 #: Cuts a text where the pre-tokenizing pattern always cuts it: around white space, one space staying with what follows.
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Bytes that a worker keeps of encoded chunks, of moves and states, and of pairs of tokens, each about.
-CHUNK_BYTES, MOVE_BYTES, FIT_BYTES = 48 << 20, 48 << 20, 16 << 20
+CHUNK_BYTES, MOVE_BYTES, FIT_BYTES = 96 << 20, 120 << 20, 24 << 20
 #: What an entry of these costs besides its text and ids, about.
 CHUNK_COST, MOVE_COST, STATE_COST, FIT_COST = 200, 80, 480, 110
 #: Bytes of a piece after which what is settled is emitted.
@@ -196,6 +196,8 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         inside = pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
         self.pieces, self.fst = regex.compile(inside), Transducer(self.ranks)
+        #: Whether letters after a space, or none, are always one piece: so they are where this alternative is the pattern's.
+        self.letters = r" ?\p{L}+" in pattern
         self.chunks, self.older, self.size = {}, {}, 0
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for t, i in self.ranks.items():
@@ -205,7 +207,9 @@ class Codec:
     def _chunk(self, chunk: str) -> bytes:
         """One that is not among the newer chunks; when these are full, they become the older ones."""
         if (out := self.older.get(chunk)) is None:
-            out = b"".join([self.fst.encode(p.encode()) for p in self.pieces.findall(chunk)])
+            one = self.letters and chunk.removeprefix(" ").isalpha()
+            pieces = (chunk,) if one else self.pieces.findall(chunk)
+            out = b"".join([self.fst.encode(p.encode()) for p in pieces])
         if len(chunk) < 64:
             self.chunks[chunk] = out
             self.size += CHUNK_COST + len(chunk) + len(out)
