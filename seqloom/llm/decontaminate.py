@@ -5,6 +5,9 @@ contained in a document where its words occur consecutively. Containment needs e
 shingle is a sufficient prefix: all shingles are ordered by how often they occur in the documents, and only the rarest
 of each window is joined. A candidate passes a length bound (the document has as many words as the window), a
 positional bound (the shingle's offset must leave room on both sides), and then the words themselves are compared.
+
+A benchmark of one block is an index that every task holds; a larger one is joined by its prefixes' hashes in Spark, and
+tasks hold a bitmap of these. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -12,7 +15,9 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +25,10 @@ from pyspark.sql import types as T
 from .common import ALNUM, arrow_type, kept, octets, quoted, read, slices, staged, unpacked
 
 SHINGLE = 3
-#: Windows of one block of the benchmark. A block is held by every worker (about 100 MB at most); more windows make more blocks.
+#: Windows of a benchmark that every worker holds (about 100 MB at most); larger ones are joined.
 BLOCK = 100_000
+#: Bits of a bitmap of hashes (16 MB); where it fills up, more rows are joined.
+BITS = 27
 #: Text bytes that a task works on at once.
 AT_ONCE = 1 << 21
 
@@ -114,51 +121,131 @@ def _contamination(docs: DataFrame, items: DataFrame, keep: tuple, text_col: str
     sc = docs.sparkSession.sparkContext
     texts = docs.select(octets(quoted(text_col)).alias("t"))
     windows = staged(benchmark_windows(items, window, item_col, item_text_col))
-    blocks = max(1, -(-windows.count() // block))
-    found = "spans array<bigint>, items array<string>"
-    none = (F.lit(None).cast(x.split(" ", 1)[1]).alias(x.split(" ", 1)[0]) for x in found.split(", "))
-    state = docs.select(kept(keep), *none, octets(quoted(text_col)).alias("octets"))
-    last = None
-    for k in range(blocks):
-        rows = [(tuple(bytes(r.words).split()), r.item) for r in windows.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == k).collect()]
-        often = _frequencies(texts, {s for w in {w for w, _ in rows} for s in shingles_of(w, min(shingle, len(w)))})
-        if index := _prefix_index(rows, often, shingle):
-            if last is not None:
-                state = _stepped(state, last, None)
-            last = sc.broadcast(index)
-    return _stepped(state, last, fraction)
-
-
-def _stepped(state: DataFrame, held, fraction: int | None) -> DataFrame:
-    """The state with the spans and items of one more block; the report in their place if a fraction is given."""
-    results, names = T._parse_datatype_string(RESULTS), state.columns
-    kind = state.schema if fraction is None else T.StructType([state.schema["kept"], *results])
+    if windows.count() > block:
+        return _joined(docs, windows, keep, text_col, window, shingle, fraction)
+    state = docs.select(kept(keep), octets(quoted(text_col)).alias("octets"))
+    rows = [(tuple(bytes(r.words).split()), r.item) for r in windows.collect()]
+    often = _frequencies(texts, {s for w in {w for w, _ in rows} for s in shingles_of(w, min(shingle, len(w)))})
+    index = _prefix_index(rows, often, shingle)
+    return _reported(state, sc.broadcast(index) if index else None, fraction)
+
+
+def _reported(state: DataFrame, held, fraction: int) -> DataFrame:
+    """kept and the results of (kept, octets), by an index of the whole benchmark."""
+    results = T._parse_datatype_string(RESULTS)
 
     def step(batches):
         index = held.value if held else {}
         keys = {w: frozenset(x) for w, x in index.items()}
         for b in slices(batches, AT_ONCE):
-            texts, spans, items = b["octets"].to_pylist(), [], []
-            for t, s, i in zip(texts, b["spans"].to_pylist(), b["items"].to_pylist(), strict=True):
+            rows = []
+            for t in b["octets"].to_pylist():
                 got, who = _matches(t.translate(ALNUM).split(), index, keys) if keys else ((), ())
-                spans.append((s or []) + [x for g in got for x in g])
-                items.append(sorted({*(i or []), *who}))
-            if fraction is None:
-                yield pa.RecordBatch.from_arrays([b["kept"], pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), b["octets"]], names)
-            else:
-                rows = [_told(t, s, i, fraction) for t, s, i in zip(texts, spans, items, strict=True)]
-                yield pa.RecordBatch.from_arrays([b["kept"], *(pa.array([r[x] for r in rows], arrow_type(f.dataType)) for x, f in enumerate(results))], ["kept", *results.names])
+                rows.append(_told(t, [x for g in got for x in g], sorted(who), fraction))
+            yield pa.RecordBatch.from_arrays([b["kept"], *(pa.array([r[x] for r in rows], arrow_type(f.dataType)) for x, f in enumerate(results))], ["kept", *results.names])
+
+    return state.mapInArrow(step, T.StructType([state.schema["kept"], *results]))
+
+
+def _hash(words) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words), len(words))
+
+
+def _hashes(words: list, width: int) -> np.ndarray:
+    return np.fromiter(map(_hash, shingles_of(words, width)), np.uint64, max(0, len(words) - width + 1))
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """2 ** BITS bits, those of the hashes (h) set: rows of 64 bits each are combined before and after the shuffle."""
+    place = F.shiftrightunsigned(F.col("h"), 64 - BITS + 6).alias("place")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.col("h"), 64 - BITS).bitwiseAND(F.lit(63)).cast("int"))
+    rows = hashes.select(place, bit.alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[rows["place"].to_numpy()] = rows["bit"].to_numpy().view(np.uint64)
+    return out
+
+
+def _among(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h >> np.uint64(64 - BITS)
+    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _joined(docs: DataFrame, windows: DataFrame, keep: tuple, text_col: str, window: int, shingle: int, fraction: int) -> DataFrame:
+    """kept and the results, for a benchmark of any size: nothing of it goes through the driver but bitmaps of hashes."""
+    sc = docs.sparkSession.sparkContext
+    state = staged(docs.select(kept(keep), octets(quoted(text_col)).alias("octets")).withColumn("uid", F.monotonically_increasing_id()))
+
+    def cut(batches):
+        for b in batches:
+            rows = [(w, _hash(x) - (1 << 63), i, len(words)) for w in b["words"].to_pylist() for words in [w.split()] for i, x in enumerate(shingles_of(words, min(shingle, len(words))))]
+            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["words", "h", "at", "n"])
+
+    own = staged(windows.select("words").distinct().mapInArrow(cut, "words binary, h long, at int, n int"))
+    widths = [r["w"] for r in own.select(F.least("n", F.lit(shingle)).alias("w")).distinct().collect()]  # `shingle` at most
+    every = sc.broadcast(_bitmap(own.select(_raw("h").alias("h"))))
+
+    def count(batches):
+        for b in slices(batches, AT_ONCE):
+            found = [np.empty(0, np.uint64)]
+            for t in b["octets"].to_pylist():
+                words = t.translate(ALNUM).split()
+                found += [np.unique(h[_among(every.value, h)]) for w in widths for h in [_hashes(words, w)]]
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((h ^ np.uint64(1 << 63)).view(np.int64)), pa.array(n, pa.int64())], ["h", "often"])
+
+    often = state.select("octets").mapInArrow(count, "h long, often long").groupBy("h").agg(F.sum("often").alias("often"))
+    rarest = F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "h", "at")).alias("x")
+    prefix = own.join(often, "h", "left").groupBy("words", "n").agg(rarest).where("x.often > 0")  # a shingle of no document rules its window out
+    prefix = staged(prefix.select("words", "n", "x.h", "x.at"))
+    some = sc.broadcast(_bitmap(prefix.select(_raw("h").alias("h"))))
+
+    def propose(batches):
+        for b in slices(batches, AT_ONCE):
+            rows = []
+            for u, t in zip(b["uid"].to_pylist(), b["octets"].to_pylist(), strict=True):
+                words = t.translate(ALNUM).split()
+                for w in widths:
+                    h = _hashes(words, w)
+                    for i in np.flatnonzero(_among(some.value, h)).tolist():
+                        first = max(0, i - window + 1)
+                        rows.append((u, int(h[i]) - (1 << 63), i, i - first, b" ".join(words[first : i + window])))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["uid", "h", "i", "before", "near"])
+
+    met = state.select("uid", "octets").mapInArrow(propose, "uid long, h long, i int, before int, near binary").join(prefix, "h").where("before >= at")
+
+    def confirm(batches):
+        for b in batches:
+            ok = [n.split()[e - a : e - a + k] == w.split() for n, e, a, k, w in zip(*(b[c].to_pylist() for c in ("near", "before", "at", "n", "words")), strict=True)]
+            start = pa.array(np.array(b["i"].to_pylist(), np.int64) - np.array(b["at"].to_pylist(), np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([b["uid"], start, b["n"], b["words"]], ["uid", "start", "n", "words"]).filter(pa.array(ok, pa.bool_()))
+
+    hits = staged(met.mapInArrow(confirm, "uid long, start long, n int, words binary").distinct())
+    spans = hits.select("uid", "start", "n").distinct().groupBy("uid").agg(F.flatten(F.collect_list(F.array("start", F.col("start") + F.col("n")))).alias("spans"))
+    who = hits.select("uid", "words").distinct().join(windows, "words").select("uid", "item").distinct().groupBy("uid").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    results = T._parse_datatype_string(RESULTS)
+
+    def report(batches):
+        for b in slices(batches, AT_ONCE, "octets"):
+            rows = [_told(t, x or [], i or [], fraction) for t, x, i in zip(*(b[c].to_pylist() for c in ("octets", "spans", "items")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["kept"], *(pa.array([r[x] for r in rows], arrow_type(f.dataType)) for x, f in enumerate(results))], ["kept", *results.names])
+
+    both = state.join(spans, "uid", "left").join(who, "uid", "left").select("kept", "octets", "spans", "items")
+    return both.mapInArrow(report, T.StructType([state.schema["kept"], *results]))
+
 
-    return state.mapInArrow(step, kind)
+def _raw(h: str):
+    """A hash as its bits, from the signed number that orders alike."""
+    return F.col(h).bitwiseXOR(F.lit(-(1 << 63)))
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, text_col: str = "text", keep: tuple = ("doc_id",), item_col: str = "item_id", item_text_col: str = "text", window: int = 13, shingle: int = SHINGLE, fraction: int = 20, block: int = BLOCK) -> DataFrame:
     """One row for every row of docs: the columns of `keep`, n_words, n_hit (words inside a contained window), n_items,
     items_sha256 (of the sorted, comma-joined item ids) and contaminated (n_hit > 0 and fraction * n_hit >= n_words).
 
-    The benchmark goes round in blocks of about `block` (window, item) rows, each against all documents, so what is
-    broadcast is bounded whatever the benchmark's size; one block is one extra pass for frequencies and one for the
-    join, without a shuffle of documents. Null and empty texts have no words and no hits; very long ones are searched
+    A benchmark of up to `block` (window, item) rows is broadcast, and takes one pass for frequencies and one for the join
+    without a shuffle; a larger one is joined by its windows' rarest shingles, of which tasks hold a bitmap. Null and empty texts have no words and no hits; very long ones are searched
     whole. Repeated documents give a row each; repeated items count once. Items with a null id are left out. An empty
     table gives an empty result, an empty benchmark no hits. Columns of docs that are not in `keep` do not matter,
     whatever their names; a kept one that has a result's name comes back as kept_<name>.
