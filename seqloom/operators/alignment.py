@@ -111,8 +111,11 @@ def boundary_trim(aln: DataFrame, group: str, threshold: float = 0.025) -> DataF
     return out.withColumn("seq", F.when(F.col("first").isNotNull(), F.substring("seq", F.col("first"), F.col("last") - F.col("first") + 1)).otherwise(F.col("seq"))).drop("first", "last")
 
 
-def common_ends(aln: DataFrame, group: str) -> DataFrame:
-    """First column without gaps, and one past the last; nulls where there is none."""
+def common_ends(aln: DataFrame, group: str, rows: int | None = None) -> DataFrame:
+    """First column without gaps, and one past the last; nulls where there is none. `rows`: only the first so many of each
+    group, by accession, are looked at."""
+    if rows:
+        aln = aln.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy("accession"))).where(F.col("_n") <= rows).drop("_n")
     full = F.when(F.col("n_gaps") == 0, F.col("pos"))
     return column_counts(aln, group).groupBy(group).agg(F.min(full).alias("first"), (F.max(full) + 1).alias("last"))
 

@@ -108,8 +108,7 @@ def reduced(records: DataFrame, hits: DataFrame, least: int = 0, min_records: in
     """One record of each species: names without apostrophes and ranks below species; without names that are not one
     species' and records under `least` bases; one of each (organism, sequence, voucher); evaluated, ranked and chosen."""
     named = records.withColumn("organism", names.merged(names.without_apostrophes(F.col("organism"))))
-    long_enough = F.length(F.replace("seq", F.lit("-"), F.lit(""))) >= least
-    kept = dedup_by_voucher(named.where(~names.exceptional(F.col("organism")) & long_enough))
+    kept = dedup_by_voucher(named.where(~names.exceptional(F.col("organism")) & long_enough(F.col("seq"), least)))
     chosen = representatives(ranked(evaluated(kept, hits, min_records)))
     return kept.join(chosen.select("accession"), "accession", "left_semi")
 
@@ -152,6 +151,29 @@ def length_tiers(rows: DataFrame, by: str, backbone: int = 100) -> DataFrame:
     return out.withColumn("tier", F.when(F.col("_n") <= backbone, 1).when(F.col("length") > F.col("_cut") / 2, 2).otherwise(3)).drop("_n", "_cut")
 
 
+def length_split(rows: DataFrame, by: str, share: float = 0.6) -> DataFrame:
+    """longer: whether a row has at least `share` of its group's greatest length."""
+    most = rows.groupBy(by).agg(F.max("length").alias("_m"))
+    return rows.join(most, by).withColumn("longer", F.col("length") >= share * F.col("_m")).drop("_m")
+
+
+def long_enough(seq: Column, least: int, ignore_gaps: bool = True) -> Column:
+    return F.length(F.replace(seq, F.lit("-"), F.lit("")) if ignore_gaps else seq) >= least
+
+
+def without_duplicates(rows: DataFrame, key: str, policy: str = "keep_longest", length: str = "length", tie: str = "accession") -> DataFrame:
+    """Rows whose key occurs once, and of keys that occur more than once the longest row (keep_longest) or none (skip); with
+    'error' such keys are one."""
+    if policy == "keep_longest":
+        return longest(rows, [key], length, [tie])
+    if policy not in ("skip", "error"):
+        raise ValueError("the policy must be keep_longest, skip or error")
+    twice = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    if policy == "error" and (some := [r[0] for r in twice.orderBy(key).limit(5).collect()]):
+        raise ValueError(f"occur more than once: {', '.join(map(str, some))}")
+    return rows.join(twice, key, "left_anti")
+
+
 def even_subsets(rows: DataFrame, by: str, most: int = 200) -> DataFrame:
     """Numbered subsets of each group, of sizes that differ by one at most and do not exceed `most`."""
     w = W.partitionBy(by)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.bases import location_parts
+from seqloom.functions.names import accession, species_of_header
 
 HIT = """Hit_id string, Hit_def string, Hit_accession string, Hit_hsps struct<Hsp: array<struct<`Hsp_bit-score`: double, Hsp_evalue: double,
   `Hsp_query-from`: int, `Hsp_query-to`: int, `Hsp_hit-from`: int, `Hsp_hit-to`: int, Hsp_identity: int, Hsp_gaps: int, `Hsp_align-len`: int>>>"""
@@ -17,6 +18,13 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file", F.trim(F.regexp_replace(F.split_part("v", F.lit("\n"), F.lit(1)), "\r", "")).alias("header"), F.regexp_replace(F.regexp_extract("v", r"(?s)^[^\n]*\n?(.*)$", 1), r"\s", "").alias("seq"))
 
 
+def markers(spark: SparkSession, path: str) -> DataFrame:
+    """(marker, accession, species, header, seq) of the records of many markers' files; the marker is the file's name without
+    its ending."""
+    marker = F.regexp_replace("file", r"\.[^.]*$", "")
+    return fasta(spark, path).select(marker.alias("marker"), accession(F.col("header")).alias("accession"), species_of_header(F.col("header")).alias("species"), "header", "seq")
+
+
 def write_fasta(records: DataFrame, path: str, by: str | None = None) -> None:
     """One record a header line and a sequence line; a folder for each value of `by`."""
     lines = records.select(*([by] if by else []), F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("value"))

@@ -300,3 +300,41 @@ def test_quality_flags(spark):
     got = {r.genome: (r.n_cds, r.unclear_ratio, r.flagged) for r in genomes.quality(genomes.feature_counts(f, 2), s, 0.2).collect()}
     assert got == {"g": (2, 0.25, True), "h": (1, 0.0, True), "i": (0, 0.0, True)}
     assert not genomes.quality(genomes.feature_counts(f, 2), s, 0.3).where("genome = 'g'").first().flagged
+
+
+def test_duplicate_policies_and_lengths(spark):
+    d = spark.createDataFrame([("a", "x", 5), ("b", "x", 9), ("c", "y", 4)], "accession string, organism string, length int")
+    assert sorted(r.accession for r in curate.without_duplicates(d, "organism").collect()) == ["b", "c"]
+    assert [r.accession for r in curate.without_duplicates(d, "organism", "skip").collect()] == ["c"]
+    with pytest.raises(ValueError, match="x"):
+        curate.without_duplicates(d, "organism", "error")
+    assert curate.without_duplicates(d.where("length < 9"), "organism", "error").count() == 2
+    assert {r.accession: r.longer for r in curate.length_split(d, "organism").collect()} == {"a": False, "b": True, "c": True}
+    s = spark.createDataFrame([("A--C",)], "seq string").select(curate.long_enough(F.col("seq"), 3).alias("a"), curate.long_enough(F.col("seq"), 3, False).alias("b")).first()
+    assert tuple(s) == (False, True)
+
+
+def test_common_ends_of_first_rows(spark):
+    aln = spark.createDataFrame([("g", "1", "-ACGT"), ("g", "2", "AACG-"), ("g", "3", "---G-")], "g string, accession string, seq string")
+    assert tuple(alignment.common_ends(aln, "g").first())[1:] == (4, 5)
+    assert tuple(alignment.common_ends(aln, "g", 2).first())[1:] == (2, 5)
+
+
+def test_markers_of_many_files(spark, tmp_path):
+    (tmp_path / "ITS.fasta").write_text(">A1.1:5-9|Rosa_alba|x\nACGT\n")
+    (tmp_path / "rbcL.fasta").write_text(">B2.1|Rosa_canina\nTT\n>B3.1 plain\nGG\n")
+    got = rows(files.markers(spark, str(tmp_path / "*.fasta")).drop("header"))
+    assert got == [("ITS", "A1.1", "Rosa_alba", "ACGT"), ("rbcL", "B2.1", "Rosa_canina", "TT"), ("rbcL", "B3.1", "B3.1 plain", "GG")]
+
+
+def test_aligned_places(spark):
+    s = F.lit("A-ACC-TG-G")
+    r = spark.range(1).select(*(bases.aligned_place(s, F.lit(n), left).alias(f"{n}{left}") for n, left in ((5, True), (1, False), (3, False), (9, True), (0, True)))).first()
+    assert tuple(r) == (7, 10, 7, None, None)
+
+
+def test_extension_headers(spark):
+    recs = spark.createDataFrame([("a", "a:100-107|x", "A----CGTACGT"), ("b", "b:50-53|y", "ACGT"), ("c", "c:10-17_reverse_complement|z", "ACGTAC----GT")], "accession string, header string, seq string")
+    found = spark.createDataFrame([("a", 101, 107), ("c", 15, 10)], "accession string, s_start int, s_end int")
+    got = rows(alignment.extension_controlled(recs, found))
+    assert got == [("a", "a:101-107|x", "CGTACGT"), ("b", "b:50-53|y", "ACGT"), ("c", "c:10-15_reverse_complement|z", "ACGTAC")]
