@@ -182,7 +182,7 @@ def _send(held, bits: int, slice_bits: int, length: int, k: int):
 
     def send(batches):
         shared, often, strings = held.value
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in slices(batches, AT_ONCE):
             key, row, texts = b["k"].to_numpy(), b["u"].to_numpy(), b["t"].to_pylist()
             h, doc, start, end = _all(texts, length, k)
