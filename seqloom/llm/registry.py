@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attention, bpe, decontaminate, iblt, kneser_ney, manifest, pii, simhash, suffix_dedup, warc, wavelet
+from . import attention, bpe, decontaminate, divergence, iblt, kneser_ney, manifest, pii, simhash, suffix_dedup, warc, wavelet
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_quality": kneser_ney.op9_quality,
         "op10_warc_fixity": warc.op10_warc_fixity,
         "op11_manifest": manifest.op11_manifest,
+        "op13_source_divergence": divergence.op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op10_warc_fixity": warc.OP10_SQL, "op11_manifest": manifest.OP11_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op10_warc_fixity": warc.OP10_SQL, "op11_manifest": manifest.OP11_SQL, "op13_source_divergence": divergence.OP13_SQL}
