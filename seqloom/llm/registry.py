@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attention, bpe, decontaminate, divergence, iblt, kneser_ney, manifest, pii, simhash, suffix_dedup, warc, wavelet
+from . import attention, bpe, decontaminate, divergence, iblt, kneser_ney, manifest, pii, simhash, suffix_dedup, toxicity, warc, wavelet
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_quality": kneser_ney.op9_quality,
         "op10_warc_fixity": warc.op10_warc_fixity,
         "op11_manifest": manifest.op11_manifest,
+        "op12_toxicity": toxicity.op12_toxicity,
         "op13_source_divergence": divergence.op13_source_divergence,
     }
 
