@@ -25,7 +25,7 @@ SCALE = 1_000_000_000
 #: What separates terms.
 SPLIT = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Text bytes that are split at once, and rows of counts that a task holds before it sends them.
-AT_ONCE, HELD = 1 << 21, 1 << 21
+AT_ONCE, HELD = 1 << 20, 1 << 20
 #: Counts in a shard, about, and sources that one takes as rows of its matrix.
 SHARD, SOURCES = 500_000, 256
 #: Cells of a shard's matrix that are worked on at once.
@@ -65,12 +65,17 @@ def term_counts(texts: DataFrame) -> DataFrame:
             size += len(held[-1])
             if size > HELD:
                 held = [_merged(held)]
-                size = len(held[0])
-                if size > HELD // 2:
-                    yield from held[0].to_batches(1 << 16)
-                    held, size = [], 0
+                if len(held[0]) > HELD // 2:  # what one document has goes; frequent terms are summed further
+                    rare = pc.equal(held[0]["df"], 1)
+                    yield from held[0].filter(rare).to_batches(1 << 14)
+                    held = [held[0].filter(pc.invert(rare))]
+                    if len(held[0]) > HELD // 2:
+                        yield from held[0].to_batches(1 << 14)
+                        held = []
+                    pa.default_memory_pool().release_unused()
+                size = sum(map(len, held))
         if held:
-            yield from _merged(held).to_batches(1 << 16)
+            yield from _merged(held).to_batches(1 << 14)
 
     return texts.mapInArrow(count, "lang string, source string, term string, n long, df long").groupBy(*KEYS).agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
