@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.functions.bases import CODE_OF, IUPAC, aligned_place, ends, equality, equality_of, expanded, kmer_index, kmers
+from seqloom.functions.bases import CODE_OF, IUPAC, aligned_place, ends, equality, equality_of
 from seqloom.functions.names import header_range, with_range
 
+from . import compare
+from .graph import cut
+
 # What a code of one, two, three or four bases gives each of them in a vote.
 VOTE = {1: 1.0, 2: 0.5, 3: 0.33333, 4: 0.25}
 
@@ -48,13 +51,13 @@ def _overlap(a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def identity(a: Column, b: Column) -> Column:
-    """Mean agreement of two aligned sequences between their common ends, without columns in which both have gaps; null
-    where nothing is left."""
+    """Mean agreement of two aligned sequences between their common ends, without columns in which both have gaps; 0 where
+    nothing is left, null where either is."""
     start, stop = _overlap(a, b)
     cut = lambda s: F.split(F.substring(F.upper(s), start, stop - start + 1), "")
     pairs = F.filter(F.zip_with(cut(a), cut(b), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: (p["x"] != "") & ~((p["x"] == "-") & (p["y"] == "-")))
     total = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + equality_of(p["x"], p["y"]))
-    return F.when((start <= stop) & (F.size(pairs) > 0), total / F.size(pairs))
+    return F.when((start <= stop) & (F.size(pairs) > 0), total / F.size(pairs)).when(a.isNotNull() & b.isNotNull(), 0.0)
 
 
 def whole_identity(a: Column, b: Column) -> Column:
@@ -69,19 +72,11 @@ def distinct_rows(aln: DataFrame, group: str) -> DataFrame:
     return aln.groupBy(group, "seq").agg(F.min("accession").alias("accession"), F.count("*").alias("n"))
 
 
-def pairs(aln: DataFrame, group: str) -> DataFrame:
-    """Pairs of one group's different sequences, each once: copies make no pairs."""
-    a = distinct_rows(aln, group)
-    b = a.select(group, F.col("accession").alias("accession_2"), F.col("seq").alias("seq_2"), F.col("n").alias("n_2"))
-    return a.join(b, group).where(F.col("accession") < F.col("accession_2"))
-
-
 def average_identity(aln: DataFrame, group: str) -> DataFrame:
-    """(group, avg_pi, n_pairs) over all pairs of rows: different sequences are compared once and counted by their copies."""
-    different = pairs(aln, group).select(group, identity(F.col("seq"), F.col("seq_2")).alias("pi"), (F.col("n") * F.col("n_2")).alias("n"))
-    same = distinct_rows(aln, group).where("n > 1").select(group, identity(F.col("seq"), F.col("seq")).alias("pi"), (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("n"))
-    known = F.sum(F.when(F.col("pi").isNotNull(), F.col("n")))
-    return different.unionByName(same).groupBy(group).agg((F.sum(F.col("pi") * F.col("n")) / known).alias("avg_pi"), F.sum("n").alias("n_pairs"))
+    """(group, avg_pi, n_pairs) over all pairs of rows, those without a common place at 0: different sequences are compared
+    once, block against block, and counted by their copies."""
+    sums = compare.average_identity(distinct_rows(aln, group), group).groupBy(group).agg(F.sum("total").alias("total"), F.sum("n").alias("n_pairs"))
+    return sums.where("n_pairs > 0").select(group, (F.col("total") / F.col("n_pairs")).alias("avg_pi"), "n_pairs")
 
 
 def sum_of_pairs(aln: DataFrame, group: str, conservative: bool = True) -> DataFrame:
@@ -184,9 +179,7 @@ def extension_controlled(records: DataFrame, hits: DataFrame, threshold: float =
 def p_distance_edges(aln: DataFrame, group: str, most: float = 0.3) -> DataFrame:
     """Pairs of a group's rows whose share of differing places is `most` or less; ambiguity codes are classes of their own.
     Only different sequences are compared; rows that have them then make the pairs, copies at distance 0."""
-    p = pairs(aln, group)
-    differ = F.aggregate(F.zip_with(F.split("seq", ""), F.split("seq_2", ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, d: s + d)
-    near = p.withColumn("distance", differ / F.length("seq")).where(F.col("distance") <= most)
+    near = compare.near_rows(distinct_rows(aln, group), group, most)
     same = distinct_rows(aln, group).where("n > 1").select(group, "accession", F.col("accession").alias("accession_2"), F.lit(0.0).alias("distance"))
     classes = near.select(group, F.col("accession").alias("_1"), F.col("accession_2").alias("_2"), "distance").unionByName(same.toDF(group, "_1", "_2", "distance"))
     member = aln.select(group, "seq", "accession").join(distinct_rows(aln, group).select(group, "seq", F.col("accession").alias("_c")), [group, "seq"]).select(group, "_c", "accession")
@@ -196,36 +189,21 @@ def p_distance_edges(aln: DataFrame, group: str, most: float = 0.3) -> DataFrame
     return both.select(group, F.least("a", "b").alias("accession"), F.greatest("a", "b").alias("accession_2"), "distance")
 
 
-def _kmer_counts(sequences: DataFrame, k: int, ambiguity: str) -> DataFrame:
-    """(sid, kmer, c): how often each sequence has each plain k-mer, as its index in base 4."""
-    if ambiguity == "drop":
-        cut = kmers(F.regexp_replace("seq", "[^ACGT]", ""), k)
-    else:
-        cut = F.flatten(F.transform(kmers(F.regexp_replace("seq", "[^A-Z]", ""), k), expanded))
-    return sequences.select("sid", F.explode(F.transform(cut, kmer_index)).alias("kmer")).groupBy("sid", "kmer").agg(F.count("*").alias("c"))
-
-
 def kmer_similarity(records: DataFrame, k: int, ambiguity: str = "drop") -> tuple[DataFrame, DataFrame]:
     """(pairs, members): sid, sid_2, shared and similarity of different sequences with common k-mers, the multisets'
     intersection by the smaller one's size; and the sequence, sid, of each accession (its least accession). Pairs without
     a common k-mer are absent; copies are one sequence, so they make no pairs.
 
     Ambiguity codes are dropped before k-mers are cut, or else ('expand') a k-mer counts for every plain one that it may
-    stand for. K-mers of one sequence alone go before the join. K-mers that the same sequences have equally often are
-    joined once, and count by their number: a passage that many share is one list of them, not one a k-mer.
+    stand for. K-mers of one sequence alone go before sequences meet, block against block.
     """
     if not 0 < k <= 31 or ambiguity not in ("drop", "expand"):
         raise ValueError("k must be 1 to 31, and ambiguity drop or expand")
     rows = records.select("accession", F.upper("seq").alias("seq"))
     sequences = rows.groupBy("seq").agg(F.min("accession").alias("sid"))
     members = rows.join(sequences, "seq").select("accession", "sid")
-    counts = _kmer_counts(sequences, k, ambiguity)
-    size = counts.groupBy("sid").agg(F.sum("c").alias("n"))
-    told = [F.sum(F.xxhash64(F.lit(seed), "sid", "c").cast("decimal(20,0)")).alias(f"h{seed}") for seed in (1, 2)]
-    lists = counts.groupBy("kmer").agg(*told, F.count("*").alias("of")).where("of > 1")  # equal sums: the same sequences, as often
-    alike = lists.groupBy("h1", "h2", "of").agg(F.min("kmer").alias("kmer"), F.count("*").alias("times"))
-    held = counts.join(alike.select("kmer", "times"), "kmer")
-    other = held.select("kmer", F.col("sid").alias("sid_2"), F.col("c").alias("c2"))
-    both = held.join(other, "kmer").where("sid < sid_2").groupBy("sid", "sid_2").agg(F.sum(F.least("c", "c2") * F.col("times")).alias("shared"))
-    both = both.join(size, "sid").join(size.select(F.col("sid").alias("sid_2"), F.col("n").alias("n2")), "sid_2")
-    return both.select("sid", "sid_2", "shared", (F.col("shared") / F.least("n", "n2")).alias("similarity")), members
+    numbered = cut(sequences.withColumn("uid", F.monotonically_increasing_id()))
+    counts = cut(compare.kmer_counts(numbered, k, ambiguity))
+    size = counts.groupBy("uid").agg(F.sum("c").alias("n")).join(numbered.select("uid", "sid"), "uid")
+    both = compare.shared_kmers(counts).join(size, "uid").join(size.toDF("uid_2", "n_2", "sid_2"), "uid_2")
+    return both.select(F.least("sid", "sid_2").alias("sid"), F.greatest("sid", "sid_2").alias("sid_2"), "shared", (F.col("shared") / F.least("n", "n_2")).alias("similarity")), members
