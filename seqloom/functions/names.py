@@ -82,9 +82,11 @@ def first_two_words(name: Column) -> Column:
     return F.substring_index(name, " ", 2)
 
 
-def published(journal: Column) -> Column:
-    low = F.lower(F.trim(F.coalesce(journal, F.lit("unknown"))))
-    return ~(low.isin(*UNPUBLISHED) | (low == ""))
+def published(journal: Column, unpublished: tuple = UNPUBLISHED, missing: bool = False) -> Column:
+    """Whether no word of `unpublished` is a part of it, whatever its case; null and blank ones count as `missing` says."""
+    low = F.lower(F.trim(journal))
+    part = reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in unpublished), F.lit(False))
+    return F.when(journal.isNull() | (low == ""), F.lit(missing)).otherwise(~part)
 
 
 def parsed_date(text: Column) -> Column:

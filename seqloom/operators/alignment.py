@@ -31,7 +31,7 @@ def column_counts(aln: DataFrame, group: str) -> DataFrame:
 
 def consensus(aln: DataFrame, group: str, min_records: int = 1) -> DataFrame:
     """The consensus of each group of min_records or more: the winners of each column's votes as one code; a tie with a gap
-    gives N, a gap alone -, and a column that lies outside all ends N."""
+    gives N, a gap alone -, and a column that lies outside all ends N. A group of one record has that as it is."""
     cells = long_form(aln, group)
     counts = cells.groupBy(group, "pos", "base").agg(F.count_if("inside").alias("n"))
     votes = F.create_map(*(x for c, b in {**IUPAC, "-": "-"}.items() for x in (F.lit(c), F.array(*(F.struct(F.lit(y).alias("b"), F.lit(VOTE[len(b)]).alias("v")) for y in b)))))
@@ -40,9 +40,9 @@ def consensus(aln: DataFrame, group: str, min_records: int = 1) -> DataFrame:
     won = F.array_join(F.transform(F.filter("all", lambda x: x["v"] == F.col("best")), lambda x: x["b"]), "")
     code = F.create_map(*(F.lit(x) for p in CODE_OF.items() for x in p))
     base = F.when(F.col("best") == 0, "N").when(won == "-", "-").when(F.contains(won, F.lit("-")), "N").otherwise(code[won])
-    n = aln.groupBy(group).agg(F.count("*").alias("n_records")).where(F.col("n_records") >= min_records)
+    n = aln.groupBy(group).agg(F.count("*").alias("n_records"), F.max("seq").alias("_only")).where(F.col("n_records") >= min_records)
     out = top.select(group, "pos", base.alias("base")).groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("consensus"))
-    return out.join(n, group)
+    return n.join(out, group, "left").select(group, F.when(F.col("n_records") == 1, F.col("_only")).otherwise(F.coalesce("consensus", F.lit(""))).alias("consensus"), "n_records")
 
 
 def _overlap(a: Column, b: Column) -> tuple[Column, Column]:

@@ -60,10 +60,10 @@ def longest(rows: DataFrame, by: list, length: str, tie: list) -> DataFrame:
 
 
 def average_rank(rows: DataFrame, column: str, descending: bool, name: str, buckets: int = 64) -> DataFrame:
-    """Ties share the mean of their ranks; the column is a number. Counts by value are summed within ranges of values, and
-    ranges by their sums, so neither rows nor values meet in one task."""
+    """Ties share the mean of their ranks; the column is a number, and where it is null there is no rank. Counts by value
+    are summed within ranges of values, and ranges by their sums, so neither rows nor values meet in one task."""
     key = F.col(column).cast("double")
-    per = rows.groupBy(column).agg(F.count("*").alias("_c"))
+    per = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_c"))
     edges = sorted(set(per.select(key.alias("_v")).approxQuantile("_v", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
     sign = -1 if descending else 1
     bucket = (F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= key)) if edges else F.lit(0)) * sign
@@ -73,35 +73,52 @@ def average_rank(rows: DataFrame, column: str, descending: bool, name: str, buck
     sums = per.groupBy("_b").agg(F.sum("_c").alias("_s"))  # `buckets` rows at most, and so is what its window sorts
     below = sums.withColumn("_s", F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s"))
     told = per.join(below, "_b").withColumn(name, F.col("_s") + upto - F.col("_c") + (F.col("_c") + 1) / 2)
-    return rows.join(told.select(column, name), column)
+    return rows.join(told.select(column, name), column, "left")
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """Ranks by score, round and length, and the sum of those by score and length."""
+    """Ranks by score, round and length, and the sum of those by score and length; what has no value has no rank, and adds
+    nothing to the sum."""
     out = average_rank(rows, "sum_hits_score", True, "rank_score")
     out = average_rank(out, "source_round", False, "rank_source")
     out = average_rank(out, "record_length", True, "rank_length")
-    return out.withColumn("sum_of_rank", F.col("rank_score") + F.col("rank_length"))
+    return out.withColumn("sum_of_rank", F.coalesce("rank_score", F.lit(0.0)) + F.coalesce("rank_length", F.lit(0.0)))
 
 
-def representatives(rows: DataFrame, by_consensus: bool = True) -> DataFrame:
-    """One row a species. The steps (least rank sum and highest consensus if asked for, a voucher, published, newest) narrow
-    one after another, and each only if some row passes: that is one lexicographic order with missing values last."""
-    order = [F.asc("sum_of_rank"), F.desc_nulls_last("consensus_value")] if by_consensus else []
-    order += [F.col("specimen_voucher").isNotNull().desc(), names.published(F.col("journal")).desc(), F.desc_nulls_last("date"), F.asc("sum_of_rank"), F.asc("accession")]
-    return first_of(rows, ["organism"], order)
+#: The steps by which one of a species' rows is chosen, in this order.
+STEPS = ("consensus", "voucher", "published", "newest")
+
+
+def representatives(rows: DataFrame, steps: tuple = STEPS, blank: tuple = ("unknown",), unpublished: tuple = names.UNPUBLISHED, by: tuple = ("organism",)) -> DataFrame:
+    """One row a species (or other key, `by`). The steps narrow one after another, and each only if some row passes: that is one
+    lexicographic order with missing values last.
+
+    consensus: the least sum of ranks, and of these the highest consensus. voucher: any but null, blank and `blank` ones,
+    whatever their case. published: a journal without any word of `unpublished`; one that is null is no objection. newest: the last
+    date. A step that isn't named is left out. What still ties goes by the sum of ranks, then the accession.
+    """
+    if set(steps) - set(STEPS):
+        raise ValueError(f"steps are {', '.join(STEPS)}")
+    voucher = F.lower(F.trim("specimen_voucher"))
+    order = {
+        "consensus": [F.asc_nulls_last("sum_of_rank"), F.desc_nulls_last("consensus_value")],
+        "voucher": [F.coalesce(~voucher.isin("", *blank), F.lit(False)).desc()],
+        "published": [names.published(F.col("journal"), unpublished, missing=True).desc()],
+        "newest": [F.desc_nulls_last("date")],
+    }
+    return first_of(rows, list(by), [o for s in STEPS if s in steps for o in order[s]] + [F.asc_nulls_last("sum_of_rank"), F.asc("accession")])
 
 
 def evaluated(records: DataFrame, hits: DataFrame, min_records: int = 4) -> DataFrame:
     """records (accession, organism, aligned seq and what else they hold) with the sums of their best hit (accession,
-    sum_hits_score, source_round), record_length without gaps, and consensus_value: the identity to the species'
+    sum_hits_score, source_round), record_length without gaps and ambiguity codes, and consensus_value: the identity to the species'
     consensus over the whole width, -1 where it has fewer than min_records records. Records without a hit go."""
     from .alignment import consensus, whole_identity
 
     common = consensus(records, "organism", min_records).select("organism", "consensus")
     value = F.coalesce(F.when(F.col("consensus").isNotNull(), whole_identity(F.col("seq"), F.col("consensus"))), F.lit(-1.0))
     rows = records.join(common, "organism", "left").withColumn("consensus_value", value).drop("consensus")
-    return rows.withColumn("record_length", F.length(F.replace("seq", F.lit("-"), F.lit("")))).join(hits, "accession")
+    return rows.withColumn("record_length", bases.n_unambiguous(F.col("seq"))).join(hits, "accession")
 
 
 def reduced(records: DataFrame, hits: DataFrame, least: int = 0, min_records: int = 4) -> DataFrame:

@@ -51,8 +51,34 @@ def named_gene(features: DataFrame, aliases: DataFrame) -> DataFrame:
     return out.withColumn("gene", gene).drop("_g", "_p")
 
 
-def gene_table(features: DataFrame) -> DataFrame:
-    """(genome, gene, n, locations, length): locations joined by bars in order of place; length is the longest copy's."""
+#: Features that are a gene's product; its own and introns' spans are others.
+CODING = ("CDS", "rRNA")
+
+
+def known_genes(features: DataFrame, aliases: DataFrame, types: tuple = CODING) -> DataFrame:
+    """named_gene() of features of the given types, without genes that no alias stands for."""
+    return named_gene(features.where(F.col("type").isin(*types)), aliases).join(aliases.select("gene").distinct(), "gene", "left_semi")
+
+
+def gene_sequences(genes: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(gene, genome, header, seq) of genes (genome, gene, location): what their location text names, which the header has
+    too. A genome's sequence meets the list of its genes once, so long sequences aren't copied for each; genes of a place are one,
+    and empty ones none."""
+    lists = genes.groupBy("genome").agg(F.collect_set(F.struct("gene", "location")).alias("_f"))  # a genome's features
+    joined = sequences.select("genome", F.upper("seq").alias("_s")).join(lists, "genome")
+    cut = F.transform("_f", lambda f: F.struct(f["gene"].alias("gene"), F.concat(F.col("genome"), F.lit("|"), f["location"]).alias("header"), bases.splice(F.col("_s"), bases.location_parts(f["location"])).alias("seq")))
+    return joined.select("genome", F.explode(cut).alias("x")).select("x.gene", "genome", "x.header", "x.seq").where("seq != ''")
+
+
+def renewed(features: DataFrame, newer: DataFrame) -> DataFrame:
+    """Features of genomes that were annotated again from there, all others as they were."""
+    return features.join(newer.select("genome").distinct(), "genome", "left_anti").unionByName(newer.select(*features.columns))
+
+
+def gene_table(features: DataFrame, types: tuple = CODING) -> DataFrame:
+    """(genome, gene, n, locations, length) of features of the given types: locations joined by bars in order of place; length
+    is the longest copy's."""
+    features = features.where(F.col("type").isin(*types))
     place = F.struct("start_pos", F.concat(F.col("start_pos").cast("string"), F.lit(".."), F.col("end_pos").cast("string")).alias("p"))
     return features.groupBy("genome", "gene").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["p"]), "|").alias("locations"), F.max(F.col("end_pos") - F.col("start_pos")).alias("length"))
 
@@ -103,6 +129,30 @@ def gene_set(genomes: DataFrame, features: DataFrame, sequences: DataFrame, alia
     return one.join(missing_genes(genes, wanted), "genome")
 
 
+def gene_sequence_set(genomes: DataFrame, features: DataFrame, sequences: DataFrame, aliases: DataFrame, reference: DataFrame, wanted: list[str], *, newer: DataFrame | None = None, accepted: DataFrame | None = None, keep: int = 3, least_cds: int = 80, most_unclear: float = 0.2, low: float = 0.8, high: float = 1.2) -> tuple[DataFrame, DataFrame]:
+    """From genomes to one set of gene sequences a species: (organism, genome, total_length, n_genes, missing), and
+    (organism, gene, header, seq).
+
+    Features (genome, type, gene_alias, product, location) of genomes annotated again come from `newer`. Rejected genomes
+    go, at most `keep` of an organism stay, those whose quality is flagged go. Coding features of known genes
+    are spliced; copies whose length is not within bounds of the reference's go, and of each gene the longest counts. An organism has its
+    accepted name (name_submitted, accepted_name), and those without one go; each gets the genome with the greatest total length.
+    """
+    from .curate import first_of
+    from .resolve import substituted
+
+    chosen = newest_distinct(genomes.where(reject_reason(F.col("organism"), F.col("keywords")).isNull()), keep)
+    own = (features if newer is None else renewed(features, newer)).join(chosen.select("genome"), "genome", "left_semi")
+    counts = feature_counts(known_genes(own, aliases, ("gene", "CDS", "tRNA", "rRNA")), least_cds)
+    good = quality(counts, sequences.join(chosen.select("genome"), "genome", "left_semi"), most_unclear).where("not flagged")
+    seqs = gene_sequences(known_genes(own.join(good.select("genome"), "genome", "left_semi"), aliases), sequences)
+    copies = within_reference(seqs.withColumn("length", F.length("seq")), reference, low, high)
+    genes = first_of(copies, ["genome", "gene"], [F.desc("length"), F.asc("header")])
+    named = chosen.select("genome", "organism") if accepted is None else substituted(chosen.select("genome", "organism"), accepted, "inner").where("organism is not null")
+    one = per_species(genes, named).select("organism", "genome", "total_length", "n_genes")
+    return one.join(missing_genes(genes, wanted), "genome"), one.select("organism", "genome").join(genes, "genome").select("organism", "gene", "header", "seq")
+
+
 def merged_annotations(old: DataFrame, new: DataFrame) -> DataFrame:
     """The new features of a genome where there are any, and with them its new topology and date; its other fields stay."""
     taken = [c for c in ("features", "topology", "date") if c in old.columns and c in new.columns]

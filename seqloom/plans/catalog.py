@@ -49,8 +49,8 @@ def infraspecific_merge(info):
     return info.select("accession", names.merged(names.without_apostrophes(F.col("organism"))).alias("organism"))
 
 
-@query("lineage_units", "info", sql="""
-SELECT accession, split_part(lineage, '|', 3) AS genus, split_part(lineage, '|', 2) AS parent, journal <> 'Unpublished' AS published, split_part(organism, ' ', 1) || ' ' || split_part(organism, ' ', 2) AS two_words FROM info""")
+@query("lineage_units", "vouched", sql="""
+SELECT accession, split_part(lineage, '|', 3) AS genus, split_part(lineage, '|', 2) AS parent, journal IS NOT NULL AND NOT regexp_matches(lower(journal), 'unknown|unpublished|published only in database') AS published, split_part(organism, ' ', 1) || ' ' || split_part(organism, ' ', 2) AS two_words FROM vouched""")
 def lineage_units(info):
     parts = F.split("lineage", r"\|")
     return info.select("accession", names.genus_of(parts).alias("genus"), names.parent_unit(parts, names.genus_of(parts)).alias("parent"), names.published(F.col("journal")).alias("published"), names.first_two_words(F.col("organism")).alias("two_words"))
@@ -245,31 +245,43 @@ def query_dedup(info, dna):
     return curate.dedup_queries(_records(info, dna).withColumn("header", header)).select("accession")
 
 
-EVAL = RECORDS + """, ev AS (SELECT accession, organism, specimen_voucher, journal, date, len(seq) AS record_length, doc_id % 97 AS sum_hits_score, 1 + doc_id % 4 AS source_round, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 10 END AS consensus_value FROM rec),
-rk AS (SELECT *, rank() OVER (ORDER BY sum_hits_score DESC) + (count(*) OVER (PARTITION BY sum_hits_score) - 1) / 2 AS rank_score, rank() OVER (ORDER BY source_round) + (count(*) OVER (PARTITION BY source_round) - 1) / 2 AS rank_source,
-  rank() OVER (ORDER BY record_length DESC) + (count(*) OVER (PARTITION BY record_length) - 1) / 2 AS rank_length FROM ev)"""
+PUBLISHED = "(journal IS NULL OR NOT regexp_matches(lower(journal), 'unknown|unpublished|published only in database'))"
+NO_VOUCHER = "(specimen_voucher IS NULL OR lower(specimen_voucher) = 'unknown')"
+EVAL = RECORDS.replace("FROM info", "FROM vouched") + """, ev AS (SELECT accession, organism, specimen_voucher, journal, date, len(seq) AS record_length, CASE WHEN doc_id % 31 <> 0 THEN doc_id % 97 END AS sum_hits_score, 1 + doc_id % 4 AS source_round, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 10 END AS consensus_value FROM rec),
+rk AS (SELECT *, CASE WHEN sum_hits_score IS NOT NULL THEN rank() OVER (ORDER BY sum_hits_score DESC NULLS LAST) + (count(*) OVER (PARTITION BY sum_hits_score) - 1) / 2 END AS rank_score, rank() OVER (ORDER BY source_round) + (count(*) OVER (PARTITION BY source_round) - 1) / 2 AS rank_source,
+  rank() OVER (ORDER BY record_length DESC) + (count(*) OVER (PARTITION BY record_length) - 1) / 2 AS rank_length FROM ev),
+sr AS (SELECT *, coalesce(rank_score, 0) + rank_length AS sum_of_rank FROM rk)"""
 
 
 def _evaluated(info, dna):
-    r = _records(info, dna)
-    return r.select("accession", "organism", "specimen_voucher", "journal", "date", F.length("seq").alias("record_length"), (F.col("doc_id") % 97).alias("sum_hits_score"), (1 + F.col("doc_id") % 4).alias("source_round"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 10).alias("consensus_value"))
+    r, n = _records(info, dna), F.col("doc_id")
+    return r.select("accession", "organism", "specimen_voucher", "journal", "date", F.length("seq").alias("record_length"), F.when(n % 31 != 0, n % 97).alias("sum_hits_score"), (1 + n % 4).alias("source_round"), F.when(n % 5 != 0, n % 10).alias("consensus_value"))
 
 
-@query("average_rank", "info", "dna", sql=EVAL + "SELECT accession, rank_score, rank_source, rank_length, rank_score + rank_length AS sum_of_rank FROM rk")
+@query("average_rank", "vouched", "dna", sql=EVAL + "SELECT accession, rank_score, rank_source, rank_length, sum_of_rank FROM sr")
 def average_rank(info, dna):
     return curate.ranked(_evaluated(info, dna)).select("accession", "rank_score", "rank_source", "rank_length", "sum_of_rank")
 
 
-@query("representative_per_species", "info", "dna", sql=EVAL + """
-SELECT organism, accession FROM rk QUALIFY row_number() OVER (PARTITION BY organism ORDER BY rank_score + rank_length, consensus_value DESC NULLS LAST, specimen_voucher IS NULL, journal = 'Unpublished', date DESC NULLS LAST, accession) = 1""")
+@query("representative_per_species", "vouched", "dna", sql=EVAL + f"""
+SELECT organism, accession FROM sr QUALIFY row_number() OVER (PARTITION BY organism ORDER BY sum_of_rank, consensus_value DESC NULLS LAST, {NO_VOUCHER}, NOT {PUBLISHED}, date DESC NULLS LAST, accession) = 1""")
 def representative_per_species(info, dna):
     return curate.representatives(curate.ranked(_evaluated(info, dna))).select("organism", "accession")
 
 
-@query("curate_marker", "info", "dna", sql=EVAL + """
-, m AS (SELECT * REPLACE (CASE WHEN contains(organism, ' subsp. ') THEN split_part(organism, ' subsp. ', 1) WHEN contains(organism, ' var. ') THEN split_part(organism, ' var. ', 1) ELSE organism END AS organism) FROM rk WHERE record_length >= 100),
+def _by_source(steps):
+    """The choice without ranks first, by the steps alone."""
+    return lambda info, dna: curate.representatives(curate.ranked(_evaluated(info, dna)), steps).select("organism", "accession")
+
+
+for _name, _steps, _order in (("voucher_first", ("voucher", "published", "newest"), f"{NO_VOUCHER}, NOT {PUBLISHED}, date DESC NULLS LAST"), ("published_first", ("published", "newest"), f"NOT {PUBLISHED}, date DESC NULLS LAST"), ("newest_first", ("newest",), "date DESC NULLS LAST")):
+    query(_name, "vouched", "dna", sql=EVAL + f" SELECT organism, accession FROM sr QUALIFY row_number() OVER (PARTITION BY organism ORDER BY {_order}, sum_of_rank, accession) = 1")(_by_source(_steps))
+
+
+@query("curate_marker", "vouched", "dna", sql=EVAL + f"""
+, m AS (SELECT * REPLACE (CASE WHEN contains(organism, ' subsp. ') THEN split_part(organism, ' subsp. ', 1) WHEN contains(organism, ' var. ') THEN split_part(organism, ' var. ', 1) ELSE organism END AS organism) FROM sr WHERE record_length >= 100),
 k AS (SELECT * FROM m WHERE NOT regexp_matches(organism, ' (sp\\.|sp|cf\\.|cf|aff\\.|aff|x\\.|x)( |$)'))
-SELECT organism, accession FROM k QUALIFY row_number() OVER (PARTITION BY organism ORDER BY rank_score + rank_length, specimen_voucher IS NULL, journal = 'Unpublished', date DESC, accession) = 1""")
+SELECT organism, accession FROM k QUALIFY row_number() OVER (PARTITION BY organism ORDER BY sum_of_rank, {NO_VOUCHER}, NOT {PUBLISHED}, date DESC, accession) = 1""")
 def curate_marker(info, dna):
     rows = curate.ranked(_evaluated(info, dna)).withColumn("organism", names.merged(F.col("organism"))).withColumn("consensus_value", F.lit(None).cast("double"))
     return curate.representatives(rows.where((F.col("record_length") >= 100) & ~names.exceptional(F.col("organism")))).select("organism", "accession")
@@ -306,9 +318,10 @@ def column_gaps(aln):
     return alignment.column_counts(aln, "organism").withColumn("gap_fraction", F.round("gap_fraction", 9))
 
 
-@query("consensus", "aln", sql=CELLS + f""", v AS (SELECT organism, pos, b, round(sum(CASE WHEN inside THEN v ELSE 0 END), 9) AS v FROM cells JOIN {SETS} ON base = code GROUP BY 1, 2, 3),
-w AS (SELECT organism, pos, max(best) AS best, string_agg(b, '' ORDER BY b) AS won FROM (SELECT *, max(v) OVER (PARTITION BY organism, pos) AS best FROM v) WHERE v = best GROUP BY 1, 2)
-SELECT organism, string_agg(CASE WHEN best = 0 THEN 'N' WHEN w.won = '-' THEN '-' WHEN contains(w.won, '-') THEN 'N' ELSE code END, '' ORDER BY pos) AS consensus FROM w LEFT JOIN {CODES} ON w.won = k.won GROUP BY 1""")
+@query("consensus", "patchy", sql=CELLS.replace("FROM aln", "FROM patchy") + f""", v AS (SELECT organism, pos, b, round(sum(CASE WHEN inside THEN v ELSE 0 END), 9) AS v FROM cells JOIN {SETS} ON base = code GROUP BY 1, 2, 3),
+w AS (SELECT organism, pos, max(best) AS best, string_agg(b, '' ORDER BY b) AS won FROM (SELECT *, max(v) OVER (PARTITION BY organism, pos) AS best FROM v) WHERE v = best GROUP BY 1, 2),
+c AS (SELECT organism, string_agg(CASE WHEN best = 0 THEN 'N' WHEN w.won = '-' THEN '-' WHEN contains(w.won, '-') THEN 'N' ELSE code END, '' ORDER BY pos) AS consensus FROM w LEFT JOIN {CODES} ON w.won = k.won GROUP BY 1)
+SELECT organism, CASE WHEN count(*) = 1 THEN max(seq) ELSE max(consensus) END AS consensus FROM patchy JOIN c USING (organism) GROUP BY 1""")
 def consensus(aln):
     return alignment.consensus(aln, "organism").select("organism", "consensus")
 
@@ -348,8 +361,8 @@ PAIRS = CELLS + """, ends AS (SELECT *, len(seq) - len(ltrim(seq, '-')) + 1 AS f
 prs AS (SELECT a.organism, a.accession AS a1, b.accession AS a2, a.seq AS s1, b.seq AS s2, greatest(a.f, b.f) AS f, least(a.l, b.l) AS l FROM ends a JOIN ends b ON a.organism = b.organism AND a.accession < b.accession)"""
 
 
-@query("avg_identity", "aln", sql=PAIRS + f""", pi AS (SELECT organism, a1, a2, sum(coalesce(v, 0)) / count(*) AS pi FROM (SELECT organism, a1, a2, substr(s1, p, 1) AS x, substr(s2, p, 1) AS y FROM prs, unnest(range(f, l + 1)) AS t(p)) LEFT JOIN {EQ} ON xy = x || y WHERE NOT (x = '-' AND y = '-') GROUP BY 1, 2, 3)
-SELECT organism, round(avg(pi), 9) AS avg_pi, count(*) AS n_pairs FROM prs LEFT JOIN pi USING (organism, a1, a2) GROUP BY 1""")
+@query("avg_identity", "patchy", sql=PAIRS.replace("FROM aln", "FROM patchy") + f""", pi AS (SELECT organism, a1, a2, sum(coalesce(v, 0)) / count(*) AS pi FROM (SELECT organism, a1, a2, substr(s1, p, 1) AS x, substr(s2, p, 1) AS y FROM prs, unnest(range(f, l + 1)) AS t(p)) LEFT JOIN {EQ} ON xy = x || y WHERE NOT (x = '-' AND y = '-') GROUP BY 1, 2, 3)
+SELECT organism, round(avg(coalesce(pi, 0)), 9) AS avg_pi, count(*) AS n_pairs FROM prs LEFT JOIN pi USING (organism, a1, a2) GROUP BY 1""")
 def avg_identity(aln):
     return alignment.average_identity(aln, "organism").withColumn("avg_pi", F.round("avg_pi", 9))
 
@@ -425,8 +438,8 @@ def sequence_clusters(aln):
     return graph.cluster_representatives(_clusters(aln), rows, "accession", [F.desc("seq_len")]).select("graph_id", "cluster", "accession", "seq_len")
 
 
-@query("reduce_dataset", "info", "aln", "hits", sql=f"""
-, nm AS (SELECT accession, CASE WHEN contains(i.organism, ' subsp. ') THEN split_part(i.organism, ' subsp. ', 1) WHEN contains(i.organism, ' var. ') THEN split_part(i.organism, ' var. ', 1) ELSE i.organism END AS organism, specimen_voucher, journal, date, seq, 'S' || a.doc_id % 400 AS subject_acc FROM info i JOIN aln a USING (accession)),
+@query("reduce_dataset", "vouched", "aln", "hits", sql=f"""
+, nm AS (SELECT accession, CASE WHEN contains(i.organism, ' subsp. ') THEN split_part(i.organism, ' subsp. ', 1) WHEN contains(i.organism, ' var. ') THEN split_part(i.organism, ' var. ', 1) ELSE i.organism END AS organism, specimen_voucher, journal, date, seq, 'S' || a.doc_id % 400 AS subject_acc FROM vouched i JOIN aln a USING (accession)),
 kp AS (SELECT * FROM nm WHERE NOT regexp_matches(organism, ' (sp\\.|sp|cf\\.|cf|aff\\.|aff|x\\.|x)( |$)') AND len(replace(seq, '-', '')) >= 58 QUALIFY row_number() OVER (PARTITION BY organism, seq, specimen_voucher ORDER BY accession) = 1)
 """ + CELLS.replace("FROM aln", "FROM kp") + f""", v AS (SELECT organism, pos, b, round(sum(CASE WHEN inside THEN v ELSE 0 END), 9) AS v FROM cells JOIN {SETS} ON base = code GROUP BY 1, 2, 3),
 wn AS (SELECT organism, pos, max(best) AS best, string_agg(b, '' ORDER BY b) AS won FROM (SELECT *, max(v) OVER (PARTITION BY organism, pos) AS best FROM v) WHERE v = best GROUP BY 1, 2),
@@ -434,9 +447,9 @@ cons AS (SELECT organism, pos, CASE WHEN best = 0 THEN 'N' WHEN wn.won = '-' THE
 pi AS (SELECT accession, sum(coalesce(e.v, 0)) / count(*) AS pi FROM cells JOIN cons USING (organism, pos) LEFT JOIN @EQ ON xy = base || c WHERE NOT (base = '-' AND c = '-') AND organism IN (SELECT organism FROM kp GROUP BY 1 HAVING count(*) >= 4) GROUP BY 1),
 sm AS (SELECT query_acc, subject_acc, sum(alignment_length) AS al, round(sum(bit_score), 2) AS sum_hits_score, min(source_round) AS source_round FROM hits GROUP BY 1, 2),
 bs AS (SELECT * FROM sm QUALIFY row_number() OVER (PARTITION BY subject_acc ORDER BY sum_hits_score DESC, al DESC, query_acc) = 1),
-ev AS (SELECT kp.*, len(replace(seq, '-', '')) AS record_length, coalesce(pi, -1) AS cv, sum_hits_score FROM kp JOIN bs USING (subject_acc) LEFT JOIN pi USING (accession)),
+ev AS (SELECT kp.*, len(regexp_replace(seq, '[RYKMSWBDHVN-]', '', 'g')) AS record_length, coalesce(pi, -1) AS cv, sum_hits_score FROM kp JOIN bs USING (subject_acc) LEFT JOIN pi USING (accession)),
 rk AS (SELECT *, rank() OVER (ORDER BY sum_hits_score DESC) + (count(*) OVER (PARTITION BY sum_hits_score) - 1) / 2 + rank() OVER (ORDER BY record_length DESC) + (count(*) OVER (PARTITION BY record_length) - 1) / 2 AS rs FROM ev)
-SELECT organism, accession, seq FROM rk QUALIFY row_number() OVER (PARTITION BY organism ORDER BY rs, round(cv, 9) DESC, specimen_voucher IS NULL, journal = 'Unpublished', date DESC NULLS LAST, accession) = 1""".replace("@EQ", EQ))
+SELECT organism, accession, seq FROM rk QUALIFY row_number() OVER (PARTITION BY organism ORDER BY rs, round(cv, 9) DESC, {NO_VOUCHER}, NOT {PUBLISHED}, date DESC NULLS LAST, accession) = 1""".replace("@EQ", EQ))
 def reduce_dataset(info, aln, h):
     records = info.drop("lineage").join(aln.select("accession", "doc_id", "seq"), "accession")
     best = hits.best_per_subject(_sums(h)).select("subject_acc", "sum_hits_score", "source_round")
@@ -481,7 +494,7 @@ def genome_prefilter(g):
     return g.select("genome", genomes.reject_reason(F.col("organism"), F.col("keywords")).alias("reject_reason"))
 
 
-ORDER = "CASE WHEN lower(trim(journals)) IN ('', 'unknown', 'unpublished') THEN 1 ELSE 0 END, cds_count DESC NULLS LAST, length DESC, date DESC NULLS LAST, genome"
+ORDER = "CASE WHEN trim(journals) = '' OR regexp_matches(lower(journals), 'unknown|unpublished|published only in database') THEN 1 ELSE 0 END, cds_count DESC NULLS LAST, length DESC, date DESC NULLS LAST, genome"
 
 
 @query("topn_distinct_dates", "genomes", sql=f"""
@@ -501,8 +514,13 @@ def marker_counts(g):
     return F.broadcast(q).join(found, found.date.between(F.col("a"), F.col("b")), "left").groupBy("marker").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"))
 
 
+RESOLVED = """, s AS (SELECT DISTINCT trim(replace(organism, '|', '')) AS n FROM info), ex AS (SELECT n, b.*, 1.0 AS score FROM s JOIN backbone b ON n = name),
+fz AS (SELECT n, b.*, 1 - levenshtein(n, name) / greatest(len(n), len(name)) AS score FROM s JOIN backbone b ON split_part(n, ' ', 1) = split_part(name, ' ', 1) WHERE n NOT IN (SELECT n FROM ex)),
+res AS (SELECT * FROM (SELECT * FROM ex UNION ALL SELECT * FROM fz) QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, name) = 1)"""
+
+
 GENES = """, f AS (SELECT * FROM features JOIN aliases USING (gene_alias)),
-genes AS (SELECT genome, gene, count(*) AS n, string_agg(concat(start_pos, '..', end_pos), '|' ORDER BY start_pos, concat(start_pos, '..', end_pos)) AS locations, max(end_pos - start_pos) AS length FROM f GROUP BY 1, 2)"""
+genes AS (SELECT genome, gene, count(*) AS n, string_agg(concat(start_pos, '..', end_pos), '|' ORDER BY start_pos, concat(start_pos, '..', end_pos)) AS locations, max(end_pos - start_pos) AS length FROM f WHERE type IN ('CDS', 'rRNA') GROUP BY 1, 2)"""
 
 
 def _genes(features, aliases):
@@ -514,6 +532,16 @@ def gene_matrix(features, aliases):
     return _genes(features, aliases)
 
 
+SPLICED = """, st AS (SELECT * FROM (SELECT n.*, CASE WHEN n.gene_alias IS NOT NULL THEN coalesce(g.gene, n.gene_alias) ELSE coalesce(p.gene, 'unknown') END AS gene FROM annotations n LEFT JOIN aliases g ON g.gene_alias = n.gene_alias LEFT JOIN aliases p ON p.gene_alias = n.product) x WHERE gene IN (SELECT gene FROM aliases)),
+xy AS (SELECT genome, type, gene, location, form, substr(seq, a, 9) AS x, substr(seq, a + 12, 7) AS y FROM st JOIN genome_seqs USING (genome)), rc AS (SELECT *, reverse(translate(x, 'ACGT', 'TGCA')) AS rx, reverse(translate(y, 'ACGT', 'TGCA')) AS ry FROM xy),
+sp AS (SELECT DISTINCT gene, genome, concat(genome, '|', location) AS header, CASE form WHEN 0 THEN ry || rx WHEN 1 THEN rx || y WHEN 2 THEN x || y ELSE rx END AS seq FROM rc WHERE type IN ('CDS', 'rRNA'))"""
+
+
+@query("gene_sequences", "annotations", "aliases", "genome_seqs", sql=SPLICED + "SELECT gene, genome, header, seq FROM sp")
+def gene_sequences(notes, aliases, seqs):
+    return genomes.gene_sequences(genomes.known_genes(notes, aliases), seqs)
+
+
 @query("genome_qc", "features", "aliases", sql=GENES + """
 SELECT genome, count(*) FILTER (type = 'gene') AS n_genes, count(*) FILTER (type = 'CDS') AS n_cds, count(*) FILTER (type = 'tRNA') AS n_trna, count(*) FILTER (type = 'rRNA') AS n_rrna, count(DISTINCT CASE WHEN type = 'CDS' THEN gene END) AS n_distinct_cds, count(*) FILTER (type = 'CDS') < 2 AS flagged FROM f GROUP BY 1""")
 def genome_qc(features, aliases):
@@ -552,7 +580,7 @@ def genome_quality(features, aliases, seqs):
 ch AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY organism ORDER BY {ORDER}) <= 3),
 ow AS (SELECT * FROM features JOIN aliases USING (gene_alias) WHERE genome IN (SELECT genome FROM ch)), ct AS (SELECT genome, count(*) FILTER (type = 'CDS') AS n_cds FROM ow GROUP BY 1),
 gd AS (SELECT genome FROM genome_seqs JOIN ct USING (genome) WHERE n_cds >= 1 AND (len(seq) - len(replace(seq, 'N', ''))) / len(seq) <= 0.08),
-gn AS (SELECT genome, gene, max(end_pos - start_pos) AS length FROM ow WHERE genome IN (SELECT genome FROM gd) GROUP BY 1, 2), bd AS (SELECT gn.* FROM gn LEFT JOIN reference USING (gene) WHERE ref_len IS NULL OR length BETWEEN 0.5 * ref_len AND 1.5 * ref_len),
+gn AS (SELECT genome, gene, max(end_pos - start_pos) AS length FROM ow WHERE type IN ('CDS', 'rRNA') AND genome IN (SELECT genome FROM gd) GROUP BY 1, 2), bd AS (SELECT gn.* FROM gn LEFT JOIN reference USING (gene) WHERE ref_len IS NULL OR length BETWEEN 0.5 * ref_len AND 1.5 * ref_len),
 tt AS (SELECT genome, sum(length) AS total_length, count(*) AS n_genes, list(gene) AS h FROM bd GROUP BY 1)
 SELECT organism, genome, CAST(total_length AS BIGINT) AS total_length, n_genes, coalesce((SELECT string_agg(w, ',' ORDER BY w) FROM unnest({WANTED}) AS x(w) WHERE NOT list_contains(h, w)), '') AS missing
 FROM tt JOIN ch USING (genome) QUALIFY row_number() OVER (PARTITION BY organism ORDER BY total_length DESC, genome) = 1""")
@@ -560,6 +588,23 @@ def genome_gene_set(g, features, seqs, aliases, reference):
     return genomes.gene_set(g.withColumnRenamed("length", "genome_length").withColumn("length", F.col("genome_length")), features, seqs, aliases, reference, WANTED, least_cds=1, most_unclear=0.08, low=0.5, high=1.5)
 
 
+@query("species_gene_sequences", "genomes", "annotations", "genome_seqs", "aliases", "backbone", sql=RESOLVED.replace("FROM info", "FROM genomes") + SPLICED.replace("FROM annotations", "FROM (SELECT * FROM annotations WHERE genome NOT LIKE '%3' UNION ALL SELECT * REPLACE (CASE WHEN type = 'tRNA' THEN 'CDS' ELSE type END AS type) FROM annotations WHERE genome LIKE '%3')") + f"""
+, d AS (SELECT * FROM genomes WHERE keywords <> 'UNVERIFIED' AND NOT contains(organism, ' sp.') AND NOT contains(organism, ' x ') QUALIFY row_number() OVER (PARTITION BY organism, date ORDER BY {ORDER}) = 1),
+ch AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY organism ORDER BY {ORDER}) <= 3),
+ct AS (SELECT genome, count(*) FILTER (type = 'CDS') AS n_cds FROM st WHERE genome IN (SELECT genome FROM ch) GROUP BY 1),
+gd AS (SELECT genome FROM genome_seqs JOIN ct USING (genome) WHERE n_cds >= 1 AND (len(seq) - len(replace(seq, 'N', ''))) / len(seq) <= 0.08),
+gn AS (SELECT * FROM sp WHERE genome IN (SELECT genome FROM gd) AND (gene = 'gene7' OR len(seq) BETWEEN 0.5 * 16 AND 0.9 * 16) QUALIFY row_number() OVER (PARTITION BY genome, gene ORDER BY len(seq) DESC, header) = 1),
+nm AS (SELECT genome, accepted_name AS organism FROM ch JOIN res ON trim(organism) = n WHERE score >= 0.6 AND accepted_name <> '' AND status IN ('Accepted', 'Synonym') AND accepted_rank <> 'genus'),
+tt AS (SELECT genome, sum(len(seq)) AS total FROM gn GROUP BY 1), one AS (SELECT organism, genome FROM tt JOIN nm USING (genome) QUALIFY row_number() OVER (PARTITION BY organism ORDER BY total DESC, genome) = 1)
+SELECT organism, gene, header, seq FROM one JOIN gn USING (genome)""")
+def species_gene_sequences(g, notes, seqs, aliases, backbone):
+    old, newer = notes.where("genome NOT LIKE '%3'"), notes.where("genome LIKE '%3'").withColumn("type", F.when(F.col("type") == "tRNA", "CDS").otherwise(F.col("type")))
+    reference = aliases.select("gene", F.lit(16).alias("ref_len")).distinct().where("gene != 'gene7'")
+    found = resolve.accepted(resolve.resolved(g.select(F.col("organism").alias("name")), backbone), 0.6)
+    stale = old.unionByName(newer.limit(0)).unionByName(notes.where("genome LIKE '%3'"))
+    return genomes.gene_sequence_set(g, stale, seqs, aliases, reference, WANTED, newer=newer, accepted=found, least_cds=1, most_unclear=0.08, low=0.5, high=0.9)[1]
+
+
 @query("missing_genes", "features", "aliases", sql=GENES + f"""
 SELECT genome, coalesce((SELECT string_agg(w, ',' ORDER BY w) FROM unnest({WANTED}) AS x(w) WHERE NOT list_contains(h, w)), '') AS missing FROM (SELECT genome, list(DISTINCT gene) AS h FROM genes GROUP BY 1)""")
 def missing_genes(features, aliases):
@@ -571,11 +616,6 @@ def duplicate_report(g):
     return g.groupBy("organism").agg(F.count("*").alias("n")).where("n > 1")
 
 
-RESOLVED = """, s AS (SELECT DISTINCT trim(replace(organism, '|', '')) AS n FROM info), ex AS (SELECT n, b.*, 1.0 AS score FROM s JOIN backbone b ON n = name),
-fz AS (SELECT n, b.*, 1 - levenshtein(n, name) / greatest(len(n), len(name)) AS score FROM s JOIN backbone b ON split_part(n, ' ', 1) = split_part(name, ' ', 1) WHERE n NOT IN (SELECT n FROM ex)),
-res AS (SELECT * FROM (SELECT * FROM ex UNION ALL SELECT * FROM fz) QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, name) = 1)"""
-
-
 @query("resolve_names", "info", "backbone", sql=RESOLVED + "SELECT n AS name_submitted, name AS name_matched, accepted_name, accepted_rank, status, round(score, 9) AS score FROM res")
 def resolve_names(info, backbone):
     return resolve.resolved(info.select(F.col("organism").alias("name")), backbone).withColumn("score", F.round("score", 9))

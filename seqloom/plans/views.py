@@ -35,6 +35,13 @@ VIEWS = {
   100000 + CAST(floor(o_totalprice) AS BIGINT) % 60000 AS length, o_custkey % 90 AS cds_count FROM orders""",
     "features": """SELECT concat('G', l_orderkey) AS genome, CASE WHEN l_linenumber % 5 = 4 THEN 'tRNA' WHEN l_linenumber % 5 = 0 THEN 'rRNA' WHEN l_linenumber % 2 = 0 THEN 'gene' ELSE 'CDS' END AS type,
   concat('gene', l_partkey % 20, CASE WHEN l_suppkey % 6 = 0 THEN 'S' ELSE '' END) AS gene_alias, l_partkey * 3 AS start_pos, l_partkey * 3 + 90 + (l_suppkey * 17) % 1500 AS end_pos, l_linenumber AS feature_no FROM lineitem""",
+    "annotations": """SELECT concat('G', l_orderkey) AS genome, CASE WHEN l_linenumber % 5 = 4 THEN 'tRNA' WHEN l_linenumber % 5 = 0 THEN 'rRNA' WHEN l_linenumber % 3 = 2 THEN 'gene' ELSE 'CDS' END AS type,
+  CASE WHEN l_partkey % 9 = 0 THEN NULL WHEN l_partkey % 13 = 0 THEN concat('orf', l_partkey % 20) ELSE concat('gene', l_partkey % 20, CASE WHEN l_suppkey % 6 = 0 THEN 'S' ELSE '' END) END AS gene_alias,
+  CASE WHEN l_suppkey % 5 = 0 THEN 'hypothetical' WHEN l_suppkey % 5 = 1 THEN NULL ELSE concat('gene', l_suppkey % 20) END AS product, CAST(1 + l_partkey % 20 AS INT) AS a, CAST(l_suppkey % 4 AS INT) AS form,
+  CASE l_suppkey % 4 WHEN 0 THEN concat('complement(join(', 1 + l_partkey % 20, '..', 9 + l_partkey % 20, ',', 13 + l_partkey % 20, '..', 19 + l_partkey % 20, '))')
+    WHEN 1 THEN concat('join(complement(', 1 + l_partkey % 20, '..', 9 + l_partkey % 20, '),', 13 + l_partkey % 20, '..', 19 + l_partkey % 20, ')')
+    WHEN 2 THEN concat('join(', 1 + l_partkey % 20, '..', 9 + l_partkey % 20, ',', 13 + l_partkey % 20, '..', 19 + l_partkey % 20, ')')
+    ELSE concat('complement(<', 1 + l_partkey % 20, '..', 9 + l_partkey % 20, ')') END AS location FROM lineitem""",
     "backbone": """SELECT DISTINCT concat('Genus', doc_id % 13, ' species', doc_id % 5) AS name, CASE WHEN doc_id % 5 = 4 THEN concat('Genus', doc_id % 13, ' species0') ELSE concat('Genus', doc_id % 13, ' species', doc_id % 5) END AS accepted_name,
   'species' AS accepted_rank, CASE WHEN doc_id % 5 = 4 THEN 'Synonym' WHEN doc_id % 13 = 12 THEN 'No opinion' ELSE 'Accepted' END AS status FROM documents
   UNION ALL SELECT DISTINCT concat('Genus', doc_id % 13), concat('Genus', doc_id % 13), 'genus', 'Accepted' FROM documents""",
@@ -42,7 +49,16 @@ VIEWS = {
     "reference": """SELECT DISTINCT concat('gene', l_partkey % 20) AS gene, 600 + 10 * (l_partkey % 20) AS ref_len FROM lineitem WHERE l_partkey % 20 <> 7""",
     "markers": """SELECT concat('Genus', doc_id % 13, ' species', doc_id % 29) AS taxon, concat('m', doc_id % 5) AS marker, min(translate(concat(md5(text), md5(lang)), '0123456789abcdef', 'ACGTACGTACGTRYN-')) AS seq FROM documents GROUP BY 1, 2""",
 }
-NEEDS = {"aln": ["documents"], "dna": ["documents"], "info": ["documents"], "backbone": ["documents"], "markers": ["documents"], "hits": ["lineitem"], "rounds": ["lineitem"], "requests": ["lineitem"], "located": ["documents"], "inserted": ["documents"], "headers": ["documents"], "genome_seqs": ["orders"], "features": ["lineitem"], "aliases": ["lineitem"], "reference": ["lineitem"], "genomes": ["orders"]}
+#: As info, with vouchers and journals that are none in every form.
+VIEWS["vouched"] = (
+    VIEWS["info"]
+    .replace("WHEN doc_id % 4 = 0 THEN NULL ELSE concat('V'", "WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 7 = 3 THEN 'unknown' WHEN doc_id % 7 = 4 THEN 'Unknown' ELSE concat('V'")
+    .replace("WHEN doc_id % 3 = 0 THEN 'Unpublished'", "WHEN doc_id % 3 = 0 THEN 'Unpublished' WHEN doc_id % 15 = 1 THEN 'Unpublished (2019)' WHEN doc_id % 15 = 2 THEN 'Published Only in Database (2005) In press' WHEN doc_id % 15 = 4 THEN NULL WHEN doc_id % 15 = 5 THEN 'UNKNOWN'")
+)
+#: As aln, with rows that have no place in common and species of one record.
+VIEWS["patchy"] = """SELECT doc_id, accession, CASE WHEN doc_id % 41 = 0 THEN concat('Lone', doc_id) ELSE organism END AS organism,
+  CASE doc_id % 7 WHEN 0 THEN concat(substr(seq, 1, 24), repeat('-', 40)) WHEN 1 THEN concat(repeat('-', 40), substr(seq, 1, 24)) ELSE seq END AS seq FROM (@aln) a""".replace("@aln", VIEWS["aln"])
+NEEDS = {"vouched": ["documents"], "patchy": ["documents"], "annotations": ["lineitem"], "aln": ["documents"], "dna": ["documents"], "info": ["documents"], "backbone": ["documents"], "markers": ["documents"], "hits": ["lineitem"], "rounds": ["lineitem"], "requests": ["lineitem"], "located": ["documents"], "inserted": ["documents"], "headers": ["documents"], "genome_seqs": ["orders"], "features": ["lineitem"], "aliases": ["lineitem"], "reference": ["lineitem"], "genomes": ["orders"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

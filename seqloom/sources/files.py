@@ -44,7 +44,7 @@ def genbank(spark: SparkSession, path: str) -> DataFrame:
         quals = F.transform(F.regexp_extract_all(c, F.lit(r'(?s)/(\w+="?.*?"?)(?=\n {21}/|$)'), F.lit(1)), lambda q: F.struct(F.split_part(q, F.lit("="), F.lit(1)).alias("name"), F.regexp_replace(F.regexp_replace(q, r'(?s)^\w+="?|"$', ""), r"\s+", " ").alias("value")))
         return F.struct(F.regexp_extract(c, r"^(\S+)", 1).alias("type"), location.alias("location"), location_parts(location).alias("parts"), quals.alias("qualifiers"))
 
-    journals = F.filter(F.transform(F.regexp_extract_all("v", F.lit(r"(?s)\n  JOURNAL   (.*?)(?=\n {0,3}\S)"), F.lit(1)), lambda j: F.regexp_replace(j, r"\s+", " ")), lambda j: j != "Unpublished")
+    journals = F.filter(F.transform(F.regexp_extract_all("v", F.lit(r"(?s)\n  JOURNAL   (.*?)(?=\n {0,3}\S)"), F.lit(1)), lambda j: F.regexp_replace(j, r"\s+", " ")), lambda j: ~F.contains(j, F.lit("Unpublished")))
     origin = F.regexp_extract("v", r"(?s)\nORIGIN[^\n]*\n(.*)$", 1)
     return raw.select(
         "file", F.regexp_extract("v", r"ACCESSION\s+(\S+)", 1).alias("accession"), F.regexp_extract("v", r"KEYWORDS\s+([^\n]*)", 1).alias("keywords"), F.regexp_extract("v", r"ORGANISM\s+([^\n]*)", 1).alias("organism"),

@@ -338,3 +338,69 @@ def test_extension_headers(spark):
     found = spark.createDataFrame([("a", 101, 107), ("c", 15, 10)], "accession string, s_start int, s_end int")
     got = rows(alignment.extension_controlled(recs, found))
     assert got == [("a", "a:101-107|x", "CGTACGT"), ("b", "b:50-53|y", "ACGT"), ("c", "c:10-15_reverse_complement|z", "ACGTAC")]
+
+
+def test_published_looks_for_a_part(spark):
+    said = {"Plant J. 1": True, "Unpublished (2019)": False, "Published Only in Database (2005) In press": False, "UNKNOWN": False, " ": False, None: False}
+    got = spark.createDataFrame(list(said.items()), "j string, w boolean").select("w", names.published(F.col("j")).alias("p"), names.published(F.col("j"), missing=True).alias("m"), "j").collect()
+    assert all(r.p == r.w for r in got) and all(r.m == (r.w or not (r.j or "").strip()) for r in got)
+
+
+CHOICE = "organism string, accession string, sum_of_rank double, consensus_value double, specimen_voucher string, journal string, date date"
+
+
+@pytest.mark.parametrize(
+    ("steps", "want"),
+    [(curate.STEPS, "a2"), (("voucher", "published", "newest"), "c"), (("published", "newest"), "d"), (("newest",), "e"), ((), "a"), (("voucher",), "b"), (("published",), "c"), (("consensus", "newest"), "a2")],
+)
+def test_each_step_of_the_choice(spark, steps, want):
+    day = lambda n: __import__("datetime").date(2000, 1, n)
+    rows_ = [
+        ("o", "a", 1.0, 0.9, "unknown", "unpublished", day(1)), ("o", "a2", 1.0, 0.9, None, "Unpublished (2019)", day(2)), ("o", "b", 2.0, None, "V1", "Unknown", day(3)), ("o", "c", 3.0, 1.0, "V2", "Plant J.", day(4)),
+        ("o", "d", 4.0, 1.0, " UNKNOWN", None, day(5)), ("o", "e", 5.0, 1.0, "", "published only in database", day(6)),
+    ]
+    assert curate.representatives(spark.createDataFrame(rows_, CHOICE), steps).first().accession == want
+    with pytest.raises(ValueError, match="steps"):
+        curate.representatives(spark.createDataFrame(rows_, CHOICE), ("oldest",))
+
+
+def test_words_of_the_choice_are_parameters(spark):
+    rows_ = [("o", "a", 1.0, 1.0, "none", "thesis", None), ("o", "b", 2.0, 1.0, "V", "x", None)]
+    df = spark.createDataFrame(rows_, CHOICE)
+    assert curate.representatives(df, ("voucher",)).first().accession == "a"
+    assert curate.representatives(df, ("voucher",), blank=("none",)).first().accession == "b"
+    assert curate.representatives(df, ("published",), unpublished=("thesis",)).first().accession == "b"
+
+
+def test_no_rank_without_a_value(spark):
+    df = spark.createDataFrame([("a", 3, 10, 1), ("b", None, 20, 1), ("c", 5, None, 2)], "id string, sum_hits_score int, record_length int, source_round int")
+    got = {r.id: (r.rank_score, r.rank_length, r.sum_of_rank) for r in curate.ranked(df).collect()}
+    assert got == {"a": (2.0, 2.0, 4.0), "b": (None, 1.0, 1.0), "c": (1.0, None, 1.0)}
+
+
+def test_length_in_ranking_leaves_out_ambiguity_codes(spark):
+    rec = spark.createDataFrame([("a", "o", "ACGTNNNNNN"), ("b", "o", "ACGTACGT--")], "accession string, organism string, seq string")
+    hit = spark.createDataFrame([("a", 1.0, 1), ("b", 1.0, 1)], "accession string, sum_hits_score double, source_round int")
+    assert {r.accession: r.record_length for r in curate.evaluated(rec, hit).collect()} == {"a": 4, "b": 8}
+
+
+def test_consensus_of_one_record_is_itself(spark):
+    aln = spark.createDataFrame([("g", "1", "--Ac-"), ("h", "1", "---"), ("h", "2", "---")], "g string, accession string, seq string")
+    assert rows(alignment.consensus(aln, "g").select("g", "consensus")) == [("g", "--Ac-"), ("h", "NNN")]
+
+
+def test_genes_of_a_genome(spark):
+    features = [("g", "gene", "rbcL", None, "1..9"), ("g", "CDS", "RBCL", "large", "join(1..3,7..9)"), ("g", "tRNA", "rbcL", None, "1..2"), ("g", "CDS", None, "atp B", "complement(1..3)"), ("g", "rRNA", "odd", None, "2..3"), ("g", "CDS", None, None, "4..5"), ("g", "CDS", "rbcL", None, "join(1..3,7..9)"), ("none", "CDS", "rbcL", None, "1..2")]
+    f = spark.createDataFrame(features, "genome string, type string, gene_alias string, product string, location string")
+    aliases = spark.createDataFrame([("rbcL", "rbcL"), ("RBCL", "rbcL"), ("atp B", "atpB")], "gene_alias string, gene string")
+    seqs = spark.createDataFrame([("g", "aaacccggg")], "genome string, seq string")
+    got = genomes.gene_sequences(genomes.known_genes(f, aliases), seqs)
+    assert rows(got) == [("atpB", "g", "g|complement(1..3)", "TTT"), ("rbcL", "g", "g|join(1..3,7..9)", "AAAGGG")]
+    table = f.withColumn("start_pos", F.lit(1)).withColumn("end_pos", F.lit(4)).withColumn("gene", F.lit("x")).where("genome = 'g'")
+    assert genomes.gene_table(table).first().n == 5
+
+
+def test_journals_that_contain_unpublished_go(spark, tmp_path):
+    refs = "".join(f"REFERENCE   {k}\n  JOURNAL   {j}\n" for k, j in enumerate(("Unpublished (2019)", "Plant J. 1", "Submitted, Unpublished"), 1))
+    (tmp_path / "x.gb").write_text(f"LOCUS       X1   4 bp    DNA     PLN 05-MAR-2020\nACCESSION   X1\n{refs}FEATURES             Location/Qualifiers\nORIGIN\n        1 acgt\n//\n")
+    assert files.genbank(spark, str(tmp_path / "x.gb")).first().journals == ["Plant J. 1"]
