@@ -117,7 +117,7 @@ class Table:
     """The model in open-addressed arrays: log10 p and log10 bow by (order, code)."""
 
     def __init__(self, n: np.ndarray, g: np.ndarray, p: np.ndarray, bow: np.ndarray, order: int = ORDER):
-        self.order, self.bits = order, max(4, int(2 * len(n)).bit_length() + 1)
+        self.order, self.bits = order, max(4, (len(n) * 3 // 2).bit_length())  # two thirds full at most
         self.keys, self.logs = np.full(1 << self.bits, -1, np.int64), np.zeros((1 << self.bits, 2), np.float32)
         with np.errstate(divide="ignore", invalid="ignore"):
             values = np.stack([np.nan_to_num(np.log10(x), nan=np.nan, neginf=np.nan) for x in (p, bow)], 1)
