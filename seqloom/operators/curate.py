@@ -62,18 +62,39 @@ def longest(rows: DataFrame, by: list, length: str, tie: list) -> DataFrame:
 def average_rank(rows: DataFrame, column: str, descending: bool, name: str, buckets: int = 64) -> DataFrame:
     """Ties share the mean of their ranks; the column is a number, and where it is null there is no rank. Counts by value
     are summed within ranges of values, and ranges by their sums, so neither rows nor values meet in one task."""
-    key = F.col(column).cast("double")
     per = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_c"))
+    told = running(per, column, [], descending, buckets).withColumn(name, F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2)
+    return rows.join(told.select(column, name), column, "left")
+
+
+def running(per: DataFrame, column: str, by: list[str], descending: bool = False, buckets: int = 64) -> DataFrame:
+    """Counts of values (by, column, _c) with `_upto`, the sum of those up to the value in its group. Values are summed in
+    ranges, `buckets` at most, and ranges by their sums: no task sorts more than a range of a group's values."""
+    key = F.col(column).cast("double")
     edges = sorted(set(per.select(key.alias("_v")).approxQuantile("_v", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
-    sign = -1 if descending else 1
-    bucket = (F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= key)) if edges else F.lit(0)) * sign
+    bucket = (F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= key)) if edges else F.lit(0)) * (-1 if descending else 1)
     per = per.withColumn("_b", bucket)
     order = F.desc(column) if descending else F.asc(column)
-    upto = F.sum("_c").over(W.partitionBy("_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    sums = per.groupBy("_b").agg(F.sum("_c").alias("_s"))  # `buckets` rows at most, and so is what its window sorts
-    below = sums.withColumn("_s", F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s"))
-    told = per.join(below, "_b").withColumn(name, F.col("_s") + upto - F.col("_c") + (F.col("_c") + 1) / 2)
-    return rows.join(told.select(column, name), column, "left")
+    within = F.sum("_c").over(W.partitionBy(*by, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    sums = per.groupBy(*by, "_b").agg(F.sum("_c").alias("_s"))  # `buckets` rows a group at most, and so is what its window sorts
+    below = sums.withColumn("_s", F.sum("_s").over(W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s"))
+    return per.join(below, [*by, "_b"]).withColumn("_upto", F.col("_s") + within).drop("_b", "_s")
+
+
+def quantiles(rows: DataFrame, column: str, by: list[str], at: list[float], buckets: int = 64) -> DataFrame:
+    """(by, q), exact quantiles of each group's values, nulls left out, between two values in proportion. By counts in
+    ranges, so no task holds a group's values."""
+    per = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_c"))
+    told = running(per, column, by, False, buckets)
+    size = told.groupBy(*by).agg(F.max("_upto").alias("_n"))
+    ends = []
+    for k, q in enumerate(at):
+        place = (F.col("_n") - 1) * F.lit(q)
+        for n, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            ends.append(F.min(F.when(F.col("_upto") > rank, F.col(column).cast("double"))).alias(f"_{n}{k}"))
+    found = told.join(size, by).groupBy(*by, "_n").agg(*ends)
+    share = lambda q: (F.col("_n") - 1) * F.lit(q) - F.floor((F.col("_n") - 1) * F.lit(q))
+    return found.select(*by, F.array(*(F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * share(q) for k, q in enumerate(at))).alias("q"))
 
 
 def ranked(rows: DataFrame) -> DataFrame:

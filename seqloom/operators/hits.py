@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .curate import quantiles
+
 
 def chain(hits: DataFrame, max_len: int, query_len: Column) -> DataFrame:
     """One row for each (query, subject): the span that its best HSP and those in line with it cover, their number and the
@@ -98,8 +100,8 @@ def reference_shortfall(aligned_query: Column) -> tuple[Column, Column]:
 
 def quartile_band(joined: DataFrame) -> DataFrame:
     """Rows of each query whose score lies between the quartiles, these included."""
-    q = joined.groupBy("query_acc").agg(F.percentile("sum_hits_score", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    return joined.join(q, "query_acc").where(F.col("sum_hits_score").between(F.col("_q")[0], F.col("_q")[1])).drop("_q")
+    q = quantiles(joined, "sum_hits_score", ["query_acc"], [0.25, 0.75])
+    return joined.join(q, "query_acc").where(F.col("sum_hits_score").between(F.col("q")[0], F.col("q")[1])).drop("q")
 
 
 def sampled(rows: DataFrame, by: str, key: str, n: int, seed: str = "1") -> DataFrame:

