@@ -97,6 +97,18 @@ def quantiles(rows: DataFrame, column: str, by: list[str], at: list[float], buck
     return found.select(*by, F.array(*(F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * share(q) for k, q in enumerate(at))).alias("q"))
 
 
+def numbered(rows: DataFrame, column: str) -> DataFrame:
+    """rows (one a value of a text column) with id, from 1 in the order of the values: each range of values is numbered by
+    itself, after as many as the ranges before have."""
+    from .graph import cut
+
+    dealt = cut(rows.repartitionByRange(column).withColumn("_p", F.spark_partition_id()))
+    size = dealt.groupBy("_p").agg(F.count("*").alias("_s"))  # a row a range
+    before = size.select("_p", (F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).alias("_s"))
+    own = F.row_number().over(W.partitionBy("_p").orderBy(column))
+    return dealt.withColumn("_n", own).join(before, "_p").withColumn("id", (F.col("_s") + F.col("_n")).cast("long")).drop("_p", "_n", "_s")
+
+
 def ranked(rows: DataFrame) -> DataFrame:
     """Ranks by score, round and length, and the sum of those by score and length; what has no value has no rank, and adds
     nothing to the sum."""

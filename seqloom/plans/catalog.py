@@ -631,7 +631,7 @@ def accepted_names(info, backbone):
 
 
 @query("rechecked_names", "info", "backbone", sql=RESOLVED + """, ag AS (SELECT n FROM s WHERE n NOT IN (SELECT n FROM res WHERE score >= 0.9)),
-wd AS (SELECT n, b.*, 1 - levenshtein(n, name) / greatest(len(n), len(name)) AS score FROM ag JOIN backbone b ON substr(n, 1, 3) = substr(name, 1, 3)),
+wd AS (SELECT n, b.*, 1 - levenshtein(n, name) / greatest(len(n), len(name)) AS score FROM ag CROSS JOIN backbone b),
 w1 AS (SELECT * FROM wd WHERE score >= 0.9 QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, name) = 1)
 SELECT n AS name_submitted, name AS name_matched, round(score, 9) AS score FROM (SELECT * FROM res WHERE score >= 0.9 UNION ALL SELECT * FROM w1)""")
 def rechecked_names(info, backbone):
@@ -639,6 +639,19 @@ def rechecked_names(info, backbone):
     return resolve.rechecked(submitted, backbone, resolve.resolved(submitted, backbone), 0.9).select("name_submitted", "name_matched", F.round("score", 9).alias("score"))
 
 
+@query("near_names", "info", "backbone", sql="""
+, s AS (SELECT DISTINCT substr(organism, 2) AS n FROM info), b AS (SELECT DISTINCT name FROM backbone)
+SELECT n AS name_submitted, name, round(1 - levenshtein(n, name) / greatest(len(n), len(name)), 9) AS score FROM s CROSS JOIN b WHERE 1 - levenshtein(n, name) / greatest(len(n), len(name)) >= 0.85 - 1e-12""")
+def near_names(info, backbone):
+    submitted = info.select(F.expr("substring(organism, 2)").alias("name_submitted"))
+    return resolve.near_names(submitted, backbone, 0.85).withColumn("score", F.round("score", 9))
+
+
+@query("distinct_organisms", "info", sql="SELECT organism, row_number() OVER (ORDER BY organism) AS id FROM (SELECT DISTINCT organism FROM info)")
+def distinct_organisms(info):
+    return curate.numbered(info.select("organism").distinct(), "organism")
+
+
 @query("replacement", "markers", sql="""
 , a AS (SELECT taxon, seq FROM markers WHERE marker = 'm1'), b AS (SELECT taxon, seq FROM markers WHERE marker = 'm2') SELECT * FROM a UNION ALL SELECT * FROM b WHERE taxon NOT IN (SELECT taxon FROM a)""")
 def replacement(m):
