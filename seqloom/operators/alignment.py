@@ -153,16 +153,18 @@ def control_extension(aln: DataFrame, left: Column, right: Column, threshold: fl
     return aln.withColumn("cut_left", a).withColumn("cut_right", b).withColumn("seq", F.substring("seq", a + 1, n - a - b))
 
 
-def extension_controlled(records: DataFrame, hits: DataFrame, threshold: float = 0.5) -> DataFrame:
+def extension_controlled(records: DataFrame, hits: DataFrame, threshold: float = 0.5, by: tuple = (), aligned: bool = False) -> DataFrame:
     """records (accession, header with a range, aligned seq) without gaps, their extensions cut off where these are mostly
     gaps: (accession, header, seq). hits (accession, s_start, s_end) tells where the hit itself lies.
 
     An extension's gappiness is the share of gaps among the columns from the record's end to the hit's. Where it is over
     the threshold the record begins, or ends, with the hit, and its header says so. Records without a hit stay whole.
+    `by`: columns beside the accession that tell records, such as a marker; all other columns stay too. `aligned`: gaps stay, and
+    take the place of what is cut.
     """
     first, last, _ = header_range(F.col("header"))
     rows = records.withColumns({"_r1": F.least(first, last), "_r2": F.greatest(first, last), "_raw": F.replace("seq", F.lit("-"), F.lit(""))})
-    rows = rows.join(hits.select("accession", F.least("s_start", "s_end").alias("_s1"), F.greatest("s_start", "s_end").alias("_s2")), "accession", "left")
+    rows = rows.join(hits.select(*by, "accession", F.least("s_start", "s_end").alias("_s1"), F.greatest("s_start", "s_end").alias("_s2")), [*by, "accession"], "left")
     left, right = F.col("_s1") - F.col("_r1"), F.col("_r2") - F.col("_s2")
 
     def gappy(bases_, from_left):
@@ -173,7 +175,15 @@ def extension_controlled(records: DataFrame, hits: DataFrame, threshold: float =
     cut = (F.col("_n1") != F.col("_r1")) | (F.col("_n2") != F.col("_r2"))
     kept = F.substring("_raw", F.col("_n1") - F.col("_r1") + 1, F.col("_n2") - F.col("_n1") + 1)
     header = F.when(cut, with_range(F.col("header"), F.col("_n1"), F.col("_n2"))).otherwise(F.col("header"))
-    return rows.select("accession", header.alias("header"), F.when(cut, kept).otherwise(F.col("_raw")).alias("seq"))
+    if aligned:
+        width = F.length("seq")
+        begin = F.coalesce(aligned_place(F.col("seq"), F.col("_n1") - F.col("_r1") + 1), F.lit(1))
+        stop = F.coalesce(aligned_place(F.col("seq"), F.col("_r2") - F.col("_n2") + 1, False), width)
+        middle = F.concat(F.repeat(F.lit("-"), begin - 1), F.substring("seq", begin, stop - begin + 1))
+        seq = F.when(cut, F.rpad(middle, width, "-")).otherwise(F.col("seq"))
+    else:
+        seq = F.when(cut, kept).otherwise(F.col("_raw"))
+    return rows.select(*(header.alias("header") if c == "header" else seq.alias("seq") if c == "seq" else F.col(c) for c in records.columns))
 
 
 def p_distance_edges(aln: DataFrame, group: str, most: float = 0.3) -> DataFrame:

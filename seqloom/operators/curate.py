@@ -44,9 +44,10 @@ def first_of(rows: DataFrame, by: list, order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def dedup_by_voucher(records: DataFrame) -> DataFrame:
-    """One record of each (organism, sequence, voucher): the least accession."""
-    return first_of(records.withColumn("_h", F.sha2("seq", 256)), ["organism", "_h", "specimen_voucher"], ["accession"]).drop("_h")
+def dedup_by_voucher(records: DataFrame, by: tuple = ()) -> DataFrame:
+    """One record of each (organism, sequence, voucher): the least accession. `by`: columns that keep records apart, such as
+    a marker, here and in what follows."""
+    return first_of(records.withColumn("_h", F.sha2("seq", 256)), [*by, "organism", "_h", "specimen_voucher"], ["accession"]).drop("_h")
 
 
 def dedup_queries(records: DataFrame) -> DataFrame:
@@ -59,12 +60,12 @@ def longest(rows: DataFrame, by: list, length: str, tie: list) -> DataFrame:
     return first_of(rows, by, [F.desc(length), *tie])
 
 
-def average_rank(rows: DataFrame, column: str, descending: bool, name: str, buckets: int = 64) -> DataFrame:
+def average_rank(rows: DataFrame, column: str, descending: bool, name: str, buckets: int = 64, by: tuple = ()) -> DataFrame:
     """Ties share the mean of their ranks; the column is a number, and where it is null there is no rank. Counts by value
     are summed within ranges of values, and ranges by their sums, so neither rows nor values meet in one task."""
-    per = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_c"))
-    told = running(per, column, [], descending, buckets).withColumn(name, F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2)
-    return rows.join(told.select(column, name), column, "left")
+    per = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_c"))
+    told = running(per, column, list(by), descending, buckets).withColumn(name, F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2)
+    return rows.join(told.select(*by, column, name), [*by, column], "left")
 
 
 def running(per: DataFrame, column: str, by: list[str], descending: bool = False, buckets: int = 64) -> DataFrame:
@@ -109,12 +110,12 @@ def numbered(rows: DataFrame, column: str) -> DataFrame:
     return dealt.withColumn("_n", own).join(before, "_p").withColumn("id", (F.col("_s") + F.col("_n")).cast("long")).drop("_p", "_n", "_s")
 
 
-def ranked(rows: DataFrame) -> DataFrame:
+def ranked(rows: DataFrame, by: tuple = ()) -> DataFrame:
     """Ranks by score, round and length, and the sum of those by score and length; what has no value has no rank, and adds
     nothing to the sum."""
-    out = average_rank(rows, "sum_hits_score", True, "rank_score")
-    out = average_rank(out, "source_round", False, "rank_source")
-    out = average_rank(out, "record_length", True, "rank_length")
+    out = average_rank(rows, "sum_hits_score", True, "rank_score", by=by)
+    out = average_rank(out, "source_round", False, "rank_source", by=by)
+    out = average_rank(out, "record_length", True, "rank_length", by=by)
     return out.withColumn("sum_of_rank", F.coalesce("rank_score", F.lit(0.0)) + F.coalesce("rank_length", F.lit(0.0)))
 
 
@@ -142,25 +143,26 @@ def representatives(rows: DataFrame, steps: tuple = STEPS, blank: tuple = ("unkn
     return first_of(rows, list(by), [o for s in STEPS if s in steps for o in order[s]] + [F.asc_nulls_last("sum_of_rank"), F.asc("accession")])
 
 
-def evaluated(records: DataFrame, hits: DataFrame, min_records: int = 4) -> DataFrame:
+def evaluated(records: DataFrame, hits: DataFrame, min_records: int = 4, by: tuple = ()) -> DataFrame:
     """records (accession, organism, aligned seq and what else they hold) with the sums of their best hit (accession,
     sum_hits_score, source_round), record_length without gaps and ambiguity codes, and consensus_value: the identity to the species'
     consensus over the whole width, -1 where it has fewer than min_records records. Records without a hit go."""
     from .alignment import consensus, whole_identity
 
-    common = consensus(records, "organism", min_records).select("organism", "consensus")
+    records = records.withColumn("_of", F.struct(*by, "organism"))
+    common = consensus(records, "_of", min_records).select("_of", "consensus")
     value = F.coalesce(F.when(F.col("consensus").isNotNull(), whole_identity(F.col("seq"), F.col("consensus"))), F.lit(-1.0))
-    rows = records.join(common, "organism", "left").withColumn("consensus_value", value).drop("consensus")
-    return rows.withColumn("record_length", bases.n_unambiguous(F.col("seq"))).join(hits, "accession")
+    rows = records.join(common, "_of", "left").withColumn("consensus_value", value).drop("consensus", "_of")
+    return rows.withColumn("record_length", bases.n_unambiguous(F.col("seq"))).join(hits, [*by, "accession"])
 
 
-def reduced(records: DataFrame, hits: DataFrame, least: int = 0, min_records: int = 4) -> DataFrame:
+def reduced(records: DataFrame, hits: DataFrame, least: int = 0, min_records: int = 4, by: tuple = ()) -> DataFrame:
     """One record of each species: names without apostrophes and ranks below species; without names that are not one
     species' and records under `least` bases; one of each (organism, sequence, voucher); evaluated, ranked and chosen."""
     named = records.withColumn("organism", names.merged(names.without_apostrophes(F.col("organism"))))
-    kept = dedup_by_voucher(named.where(~names.exceptional(F.col("organism")) & long_enough(F.col("seq"), least)))
-    chosen = representatives(ranked(evaluated(kept, hits, min_records)))
-    return kept.join(chosen.select("accession"), "accession", "left_semi")
+    kept = dedup_by_voucher(named.where(~names.exceptional(F.col("organism")) & long_enough(F.col("seq"), least)), by)
+    chosen = representatives(ranked(evaluated(kept, hits, min_records, by), by), by=(*by, "organism"))
+    return kept.join(chosen.select(*by, "accession"), [*by, "accession"], "left_semi")
 
 
 def query_set(records: DataFrame) -> DataFrame:

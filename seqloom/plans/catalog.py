@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqloom.functions import bases, names
-from seqloom.operators import alignment, curate, genomes, graph, hits, resolve, select, supermatrix
+from seqloom.operators import alignment, curate, genomes, graph, hits, markers, resolve, select, supermatrix
 
 from .views import duck, view
 
@@ -441,18 +441,24 @@ def sequence_clusters(aln):
     return select.sequence_representatives(aln, "organism", 0.6).select(F.col("organism").alias("graph_id"), "cluster", "accession", "seq_len")
 
 
-@query("reduce_dataset", "vouched", "aln", "hits", sql=f"""
-, nm AS (SELECT accession, CASE WHEN contains(i.organism, ' subsp. ') THEN split_part(i.organism, ' subsp. ', 1) WHEN contains(i.organism, ' var. ') THEN split_part(i.organism, ' var. ', 1) ELSE i.organism END AS organism, specimen_voucher, journal, date, seq, 'S' || a.doc_id % 400 AS subject_acc FROM vouched i JOIN aln a USING (accession)),
-kp AS (SELECT * FROM nm WHERE NOT regexp_matches(organism, ' (sp\\.|sp|cf\\.|cf|aff\\.|aff|x\\.|x)( |$)') AND len(replace(seq, '-', '')) >= 58 QUALIFY row_number() OVER (PARTITION BY organism, seq, specimen_voucher ORDER BY accession) = 1)
-""" + CELLS.replace("FROM aln", "FROM kp") + f""", v AS (SELECT organism, pos, b, round(sum(CASE WHEN inside THEN v ELSE 0 END), 9) AS v FROM cells JOIN {SETS} ON base = code GROUP BY 1, 2, 3),
+REDUCED = CELLS.replace("FROM aln", "FROM kp") + f""", v AS (SELECT organism, pos, b, round(sum(CASE WHEN inside THEN v ELSE 0 END), 9) AS v FROM cells JOIN {SETS} ON base = code GROUP BY 1, 2, 3),
 wn AS (SELECT organism, pos, max(best) AS best, string_agg(b, '' ORDER BY b) AS won FROM (SELECT *, max(v) OVER (PARTITION BY organism, pos) AS best FROM v) WHERE v = best GROUP BY 1, 2),
 cons AS (SELECT organism, pos, CASE WHEN best = 0 THEN 'N' WHEN wn.won = '-' THEN '-' WHEN contains(wn.won, '-') THEN 'N' ELSE code END AS c FROM wn LEFT JOIN {CODES} ON wn.won = k.won),
-pi AS (SELECT accession, sum(coalesce(e.v, 0)) / count(*) AS pi FROM cells JOIN cons USING (organism, pos) LEFT JOIN @EQ ON xy = base || c WHERE NOT (base = '-' AND c = '-') AND organism IN (SELECT organism FROM kp GROUP BY 1 HAVING count(*) >= 4) GROUP BY 1),
+pi AS (SELECT organism, accession, sum(coalesce(e.v, 0)) / count(*) AS pi FROM cells JOIN cons USING (organism, pos) LEFT JOIN @EQ ON xy = base || c WHERE NOT (base = '-' AND c = '-') AND organism IN (SELECT organism FROM kp GROUP BY 1 HAVING count(*) >= 4) GROUP BY 1, 2),
 sm AS (SELECT query_acc, subject_acc, sum(alignment_length) AS al, round(sum(bit_score), 2) AS sum_hits_score, min(source_round) AS source_round FROM hits GROUP BY 1, 2),
 bs AS (SELECT * FROM sm QUALIFY row_number() OVER (PARTITION BY subject_acc ORDER BY sum_hits_score DESC, al DESC, query_acc) = 1),
-ev AS (SELECT kp.*, len(regexp_replace(seq, '[RYKMSWBDHVN-]', '', 'g')) AS record_length, coalesce(pi, -1) AS cv, sum_hits_score FROM kp JOIN bs USING (subject_acc) LEFT JOIN pi USING (accession)),
-rk AS (SELECT *, rank() OVER (ORDER BY sum_hits_score DESC) + (count(*) OVER (PARTITION BY sum_hits_score) - 1) / 2 + rank() OVER (ORDER BY record_length DESC) + (count(*) OVER (PARTITION BY record_length) - 1) / 2 AS rs FROM ev)
-SELECT organism, accession, seq FROM rk QUALIFY row_number() OVER (PARTITION BY organism ORDER BY rs, round(cv, 9) DESC, {NO_VOUCHER}, NOT {PUBLISHED}, date DESC NULLS LAST, accession) = 1""".replace("@EQ", EQ))
+ev AS (SELECT kp.*, len(regexp_replace(seq, '[RYKMSWBDHVN-]', '', 'g')) AS record_length, coalesce(pi, -1) AS cv, sum_hits_score FROM kp JOIN bs USING (subject_acc) LEFT JOIN pi USING (organism, accession)),
+rk AS (SELECT *, rank() OVER (PARTITION BY marker ORDER BY sum_hits_score DESC) + (count(*) OVER (PARTITION BY marker, sum_hits_score) - 1) / 2 + rank() OVER (PARTITION BY marker ORDER BY record_length DESC) + (count(*) OVER (PARTITION BY marker, record_length) - 1) / 2 AS rs FROM ev),
+one AS (SELECT * FROM rk QUALIFY row_number() OVER (PARTITION BY organism ORDER BY rs, round(cv, 9) DESC, {NO_VOUCHER}, NOT {PUBLISHED}, date DESC NULLS LAST, accession) = 1)
+""".replace("@EQ", EQ)
+SPECIES = "CASE WHEN contains(i.organism, ' subsp. ') THEN split_part(i.organism, ' subsp. ', 1) WHEN contains(i.organism, ' var. ') THEN split_part(i.organism, ' var. ', 1) ELSE i.organism END"
+KEPT = """, kp AS (SELECT * FROM nm WHERE NOT regexp_matches(organism, ' (sp\\.|sp|cf\\.|cf|aff\\.|aff|x\\.|x)( |$)') AND len(replace(seq, '-', '')) >= 58 QUALIFY row_number() OVER (PARTITION BY organism, seq, specimen_voucher ORDER BY accession) = 1)
+"""
+
+
+@query("reduce_dataset", "vouched", "aln", "hits", sql=f"""
+, nm AS (SELECT '' AS marker, accession, {SPECIES} AS organism, specimen_voucher, journal, date, seq, 'S' || a.doc_id % 400 AS subject_acc FROM vouched i JOIN aln a USING (accession))
+""" + KEPT + REDUCED + "SELECT organism, accession, seq FROM one")
 def reduce_dataset(info, aln, h):
     records = info.drop("lineage").join(aln.select("accession", "doc_id", "seq"), "accession")
     best = hits.best_per_subject(_sums(h)).select("subject_acc", "sum_hits_score", "source_round")
@@ -460,6 +466,38 @@ def reduce_dataset(info, aln, h):
     return curate.reduced(records.drop("doc_id"), own, 58).select("organism", "accession", "seq")
 
 
+MARKED = ", mk AS (SELECT *, 'm' || doc_id % 5 AS marker FROM aln UNION ALL SELECT * REPLACE (reverse(seq) AS seq), 'm' || (doc_id + 2) % 5 AS marker FROM aln)"
+
+
+def _marked(info, aln, h):
+    """Each record in two of five markers, as it is and reversed; and each record's best hit."""
+    n = F.col("doc_id")
+    two = aln.select("accession", "doc_id", "seq", F.concat(F.lit("m"), (n % 5).cast("string")).alias("marker"))
+    two = two.unionByName(aln.select("accession", "doc_id", F.reverse("seq").alias("seq"), F.concat(F.lit("m"), ((n + 2) % 5).cast("string")).alias("marker")))
+    records = info.drop("lineage").join(two, "accession").withColumn("header", F.concat("accession", F.lit(":101-"), (100 + F.length(F.replace("seq", F.lit("-"), F.lit("")))).cast("string"), F.lit("|x")))
+    best = hits.best_per_subject(_sums(h)).select("subject_acc", "sum_hits_score", "source_round")
+    own = records.select("marker", "accession", F.lit(109).alias("s_start"), F.lit(150).alias("s_end"), F.concat(F.lit("S"), (n % 400).cast("string")).alias("subject_acc")).join(best, "subject_acc", "left").drop("subject_acc")
+    return records.drop("doc_id"), own
+
+
+@query("marker_runs", "vouched", "aln", "hits", sql=MARKED + f"""
+, nm AS (SELECT marker, accession, marker || '/' || {SPECIES} AS organism, specimen_voucher, journal, date, seq, 'S' || a.doc_id % 400 AS subject_acc FROM vouched i JOIN mk a USING (accession))
+""" + KEPT + REDUCED + "SELECT marker, split_part(organism, '/', 2) AS organism, accession, seq FROM one")
+def marker_runs(info, aln, h):
+    records, own = _marked(info, aln, h)
+    return markers.run(records, own.where("sum_hits_score IS NOT NULL"), markers.REDUCE, least=58).select("marker", "organism", "accession", "seq")
+
+
+@query("marker_control", "vouched", "aln", "hits", sql=MARKED + """
+, pl AS (SELECT marker, accession, seq, list_filter(range(1, 65), lambda p: substr(seq, p, 1) <> '-') AS b FROM mk), q AS (SELECT *, len(b) AS n FROM pl),
+g AS (SELECT *, 1 - 8 / abs(b[9] - b[1]) > 0.05 AS l, CASE WHEN n > 50 THEN 1 - (n - 50) / abs(b[50] - b[n]) > 0.05 ELSE false END AS r FROM q),
+h AS (SELECT *, CASE WHEN l THEN 109 ELSE 101 END AS a, CASE WHEN r THEN 150 ELSE 100 + n END AS z, replace(seq, '-', '') AS raw FROM g)
+SELECT marker, accession, concat(accession, ':', a, '-', z, '|x') AS header, CASE WHEN l OR r THEN substr(raw, a - 100, z - a + 1) ELSE raw END AS seq FROM h""")
+def marker_control(info, aln, h):
+    records, own = _marked(info, aln, h)
+    return markers.run(records, own, markers.CONTROL, threshold=0.05).select("marker", "accession", "header", "seq")
+
+
 @query("spliced_genes", "located", "dna", sql="""
 , p AS (SELECT genome, CAST(regexp_extract(genome, 'D([0-9]+)', 1) AS BIGINT) AS d, seq FROM located JOIN dna ON genome = accession), q AS (SELECT genome, d, substr(seq, 1 + d % 5, 9) AS a, substr(seq, 13 + d % 5, 7) AS b FROM p),
 r AS (SELECT *, reverse(translate(a, 'ACGTRYMN', 'TGCAYRKN')) AS ra, reverse(translate(b, 'ACGTRYMN', 'TGCAYRKN')) AS rb FROM q)
