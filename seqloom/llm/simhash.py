@@ -24,6 +24,8 @@ SHINGLE, ALIKE = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Vertices, and bytes of their sets, of one bucket that are compared in one place; larger buckets are split into blocks.
 TOGETHER, TOGETHER_BYTES = 512, 1 << 23
+#: Pairs of places that are counted at once.
+CELLS = 1 << 20
 #: Fingerprints of one bucket that are compared in one place; larger buckets are compared block against block.
 BLOCK = 2048
 #: Text bytes that a task works on at once.
@@ -244,8 +246,9 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     starts = np.cumsum(times) - times
     for k in range(2, 33):
         if len(first := starts[times == k]):
-            lists = row[order[first[:, None] + np.arange(k)]]
-            out += np.bincount((lists[:, :, None] * n + lists[:, None, :]).ravel(), minlength=n * n).reshape(n, n)
+            for at in range(0, len(first), step := max(1, CELLS // (k * k))):
+                lists = row[order[first[at : at + step, None] + np.arange(k)]]
+                out += np.bincount((lists[:, :, None] * n + lists[:, None, :]).ravel(), minlength=n * n).reshape(n, n)
     np.fill_diagonal(out, size)
     return out
 
