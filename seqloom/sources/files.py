@@ -14,8 +14,14 @@ HIT = """Hit_id string, Hit_def string, Hit_accession string, Hit_hsps struct<Hs
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(file, header, seq) of every record; sequences may be wrapped."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "^>", "").alias("v")).where("trim(v) != ''")
-    return raw.select("file", F.trim(F.regexp_replace(F.split_part("v", F.lit("\n"), F.lit(1)), "\r", "")).alias("header"), F.regexp_replace(F.regexp_extract("v", r"(?s)^[^\n]*\n?(.*)$", 1), r"\s", "").alias("seq"))
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    return fasta_fields(raw.where("trim(regexp_replace(value, '^>', '')) != ''"), "value")
+
+
+def fasta_fields(raw: DataFrame, record: str, *more: str) -> DataFrame:
+    """(file, header, seq) of records' texts, and the columns named beside."""
+    raw = raw.withColumn("v", F.regexp_replace(record, "^>", ""))
+    return raw.select("file", F.trim(F.regexp_replace(F.split_part("v", F.lit("\n"), F.lit(1)), "\r", "")).alias("header"), F.regexp_replace(F.regexp_extract("v", r"(?s)^[^\n]*\n?(.*)$", 1), r"\s", "").alias("seq"), *more)
 
 
 def markers(spark: SparkSession, path: str) -> DataFrame:
@@ -34,7 +40,13 @@ def write_fasta(records: DataFrame, path: str, by: str | None = None) -> None:
 def genbank(spark: SparkSession, path: str) -> DataFrame:
     """(file, accession, keywords, organism, date, journals, features, seq, has_body) of every record; features are arrays
     of (type, location, parts, qualifiers)."""
-    raw = spark.read.option("lineSep", "\n//").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("v")).where(F.contains("v", F.lit("LOCUS")))
+    raw = spark.read.option("lineSep", "\n//").text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    return genbank_fields(raw.where(F.contains("value", F.lit("LOCUS"))), "value")
+
+
+def genbank_fields(raw: DataFrame, record: str, *more: str) -> DataFrame:
+    """The fields of records' texts, each up to the line that ends it, and the columns named beside."""
+    raw = raw.withColumn("v", F.split_part(F.replace(record, F.lit("\r"), F.lit("")), F.lit("\n//"), F.lit(1)))
     block = F.regexp_extract("v", r"(?s)\nFEATURES[^\n]*\n(.*?)(?:\nORIGIN|$)", 1)
     chunks = F.regexp_extract_all(F.concat(F.lit("\n"), block), F.lit(r"(?s)\n {5}(\S.*?)(?=\n {5}\S|$)"), F.lit(1))
 
@@ -48,7 +60,7 @@ def genbank(spark: SparkSession, path: str) -> DataFrame:
     origin = F.regexp_extract("v", r"(?s)\nORIGIN[^\n]*\n(.*)$", 1)
     return raw.select(
         "file", F.regexp_extract("v", r"ACCESSION\s+(\S+)", 1).alias("accession"), F.regexp_extract("v", r"KEYWORDS\s+([^\n]*)", 1).alias("keywords"), F.regexp_extract("v", r"ORGANISM\s+([^\n]*)", 1).alias("organism"),
-        F.regexp_extract("v", r"LOCUS[^\n]*(\d{2}-[A-Z]{3}-\d{4})", 1).alias("date"), journals.alias("journals"), F.transform(chunks, feature).alias("features"), F.upper(F.regexp_replace(origin, r"[\s\d]", "")).alias("seq"), F.regexp_like("v", F.lit(r"(?m)^ORIGIN.*\n\s*\S")).alias("has_body"),
+        F.regexp_extract("v", r"LOCUS[^\n]*(\d{2}-[A-Z]{3}-\d{4})", 1).alias("date"), journals.alias("journals"), F.transform(chunks, feature).alias("features"), F.upper(F.regexp_replace(origin, r"[\s\d]", "")).alias("seq"), F.regexp_like("v", F.lit(r"(?m)^ORIGIN.*\n\s*\S")).alias("has_body"), *more,
     )
 
 
