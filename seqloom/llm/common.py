@@ -13,7 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of an Arrow batch, where the session has Spark's own number, 10,000: a batch of whole texts is in memory several
+#: times over, in Spark and in Python.
+BATCH = 2_000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
