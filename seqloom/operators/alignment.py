@@ -144,6 +144,11 @@ def gap_trim(aln: DataFrame, group: str, gt: float, cons: float = 0.0) -> DataFr
     return cols.where((1 - F.col("gap_fraction") >= gt) | (F.col("_n") <= F.ceil(F.col("_all") * cons / 100))).select(group, "pos")
 
 
+def gap_trimmed(aln: DataFrame, group: str, gt: float, cons: float = 0.0) -> DataFrame:
+    """Every row of its group's kept columns (see gap_trim()) alone."""
+    return without_columns(aln, group, column_counts(aln, group).select(group, "pos").join(gap_trim(aln, group, gt, cons), [group, "pos"], "left_anti"))
+
+
 def control_extension(aln: DataFrame, left: Column, right: Column, threshold: float = 0.5) -> DataFrame:
     """Cuts an end off where more than `threshold` of its extension's columns (left, right: how many) are gaps."""
     share = lambda s, n: F.when(n > 0, F.length(F.regexp_replace(s, "[^-]", "")) / n).otherwise(0.0)

@@ -72,8 +72,9 @@ def best_per_subject(joined: DataFrame) -> DataFrame:
 
 
 def extend(joined: DataFrame, query_len: Column, max_len: int, missing_left: Column | int = 0, missing_right: Column | int = 0) -> DataFrame:
-    """Where the record around a hit should be read: the query's unmatched ends plus what the reference itself lacks,
-    scaled down to what max_len leaves."""
+    """Where the record around a hit should be read: the query's unmatched ends (auto_extension) plus what the reference
+    itself lacks (extra_extension), scaled down to what max_len leaves of the hit's length (max_extension): extension_left
+    and _right, and with them the places on the query (q_extstart, q_extend) and the subject (s_extstart, s_extend)."""
     own_left, own_right = F.col("q_start") - 1, F.greatest(query_len - F.col("q_end"), F.lit(0))
     budget = F.lit(max_len) - F.abs(F.col("s_end") - F.col("s_start")) - 1
     left, right = own_left + missing_left, own_right + missing_right
@@ -83,7 +84,11 @@ def extend(joined: DataFrame, query_len: Column, max_len: int, missing_left: Col
     up = F.col("s_start") <= F.col("s_end")
     begin = F.when(up, F.col("s_start") - F.col("extension_left")).otherwise(F.col("s_start") + F.col("extension_left"))
     stop = F.when(up, F.col("s_end") + F.col("extension_right")).otherwise(F.col("s_end") - F.col("extension_right"))
-    return out.withColumn("s_extstart", F.greatest(begin, F.lit(1))).withColumn("s_extend", F.greatest(stop, F.lit(1)))
+    told = {"hit_len": F.abs(F.col("s_end") - F.col("s_start")) + 1, "auto_extension_left": own_left, "auto_extension_right": own_right}
+    for side, n in (("left", missing_left), ("right", missing_right)):
+        told[f"extra_extension_{side}"] = F.lit(n) if isinstance(n, int) else n
+    told |= {"max_extension": F.lit(max_len) - told["hit_len"], "q_extstart": F.col("q_start") - F.col("extension_left"), "q_extend": F.col("q_end") + F.col("extension_right")}
+    return out.withColumns(told | {"s_extstart": F.greatest(begin, F.lit(1)), "s_extend": F.greatest(stop, F.lit(1))})
 
 
 def fetch_range(extended: DataFrame) -> DataFrame:

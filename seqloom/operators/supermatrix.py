@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .alignment import boundary_trim
+from seqloom.sources.files import write_fasta
+
+from .alignment import boundary_trim, gap_trimmed
 from .curate import first_of
 
 
@@ -38,17 +40,17 @@ def refuse_uneven(complete: DataFrame) -> DataFrame:
     n = F.length("seq")
     per = complete.groupBy("marker").agg(F.min(n).alias("lo"), F.max(n).alias("hi"), F.count("*").alias("n"), F.countDistinct("taxon").alias("taxa"))
     taxa = complete.select("taxon").distinct().count()
-    if bad := [r.marker for r in per.where((F.col("lo") != F.col("hi")) | (F.col("n") != taxa) | (F.col("taxa") != taxa)).orderBy("marker").collect()]:  # markers are few
+    if bad := [r.marker for r in per.where((F.col("lo") != F.col("hi")) | (F.col("n") != taxa) | (F.col("taxa") != taxa)).orderBy("marker").limit(20).collect()]:
         raise ValueError(f"not aligned, or not of all taxa: {', '.join(bad)}")
     return complete
 
 
-def matrix(primary: DataFrame, secondary: DataFrame, threshold: float = 0.025) -> tuple[DataFrame, DataFrame]:
-    """(joined, parts): primary markers (marker, taxon, seq) filled up from secondary ones, ends trimmed by their gaps, names
-    without spaces, the first of equal names, every taxon with every marker, joined in order of marker; and where each
-    marker lies."""
+def matrix(primary: DataFrame, secondary: DataFrame, threshold: float = 0.025, gt: float | None = None, cons: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(joined, parts): primary markers (marker, taxon, seq) filled up from secondary ones, ends trimmed by their gaps, or,
+    with `gt`, columns by gap_trimmed(), names without spaces, the first of equal names, every taxon with every marker,
+    joined in order of marker; and where each marker lies."""
     rows = replaced(primary, secondary, ["marker", "taxon"]).withColumn("accession", F.col("taxon"))
-    trimmed = boundary_trim(rows, "marker", threshold).withColumn("taxon", F.replace("taxon", F.lit(" "), F.lit("_")))
+    trimmed = (boundary_trim(rows, "marker", threshold) if gt is None else gap_trimmed(rows, "marker", gt, cons)).withColumn("taxon", F.replace("taxon", F.lit(" "), F.lit("_")))
     complete = refuse_uneven(completed(first_of(trimmed, ["marker", "taxon"], ["accession"]).select("marker", "taxon", "seq")))
     return concatenated(complete), partitions(complete)
 
@@ -72,6 +74,16 @@ def partition_lines(parts: DataFrame, by_codon: bool = False) -> DataFrame:
     return p.select(F.format_string("DNA, %s_pos%d = %d-%d\\3", "marker", F.col("k") + 1, F.col("start") + F.col("k"), "end").alias("line"))
 
 
+def write_matrix(joined: DataFrame, parts: DataFrame, path: str) -> None:
+    """The matrix as PHYLIP and FASTA, and its partitions by marker and by codon position, in a folder each. Rows of
+    different lengths are refused before anything is written."""
+    phylip = phylip_lines(joined)
+    phylip.coalesce(1).write.text(f"{path}/phylip")  # one file, as its header has to come first
+    write_fasta(joined.select(F.col("taxon").alias("header"), "seq"), f"{path}/fasta")
+    for name, by_codon in (("partitions", False), ("codons", True)):
+        partition_lines(parts, by_codon).coalesce(1).write.text(f"{path}/{name}")
+
+
 def phylip_lines(matrix: DataFrame) -> DataFrame:
     """Header and rows in order; rejects rows of different lengths."""
     size = matrix.agg(F.count("*").alias("n"), F.min(F.length("seq")).alias("lo"), F.max(F.length("seq")).alias("hi")).first()

@@ -131,9 +131,9 @@ def best_hit_per_subject(h):
 @query("extension_arithmetic", "hits", sql="""
 , x AS (SELECT *, q_start - 1 AS l, greatest(1000 - q_end, 0) AS r, 1200 - abs(s_end - s_start) - 1 AS budget FROM hits),
 y AS (SELECT *, CAST(floor(l * CASE WHEN l + r > budget THEN greatest(budget, 0) / (l + r) ELSE 1.0 END) AS INT) AS el, CAST(floor(r * CASE WHEN l + r > budget THEN greatest(budget, 0) / (l + r) ELSE 1.0 END) AS INT) AS er FROM x)
-SELECT hsp_id, el AS extension_left, er AS extension_right, greatest(1, CASE WHEN s_start <= s_end THEN s_start - el ELSE s_start + el END) AS s_extstart, greatest(1, CASE WHEN s_start <= s_end THEN s_end + er ELSE s_end - er END) AS s_extend FROM y""")
+SELECT hsp_id, abs(s_end - s_start) + 1 AS hit_len, 1200 - abs(s_end - s_start) - 1 AS max_extension, l AS auto_extension_left, r AS auto_extension_right, 0 AS extra_extension_left, 0 AS extra_extension_right, q_start - el AS q_extstart, q_end + er AS q_extend, el AS extension_left, er AS extension_right, greatest(1, CASE WHEN s_start <= s_end THEN s_start - el ELSE s_start + el END) AS s_extstart, greatest(1, CASE WHEN s_start <= s_end THEN s_end + er ELSE s_end - er END) AS s_extend FROM y""")
 def extension_arithmetic(h):
-    return hits.extend(h, F.lit(QLEN), MAXLEN).select("hsp_id", "extension_left", "extension_right", "s_extstart", "s_extend")
+    return hits.extend(h, F.lit(QLEN), MAXLEN).select("hsp_id", "hit_len", "max_extension", *(f"{a}_extension_{b}" for a in ("auto", "extra") for b in ("left", "right")), "q_extstart", "q_extend", "extension_left", "extension_right", "s_extstart", "s_extend")
 
 
 @query("iqr_band", "hits", sql=SUMS + """
@@ -719,6 +719,17 @@ def supermatrix_(m):
     return supermatrix.matrix(m.where("taxon NOT LIKE '%7'"), m.withColumn("seq", F.reverse("seq")), 0.1)[0]
 
 
+@query("supermatrix_columns", "markers", sql="""
+, a AS (SELECT * FROM markers WHERE taxon NOT LIKE '%7'), rp AS (SELECT * FROM a UNION ALL SELECT taxon, marker, reverse(seq) FROM markers m WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.taxon = m.taxon AND a.marker = m.marker)),
+cl AS (SELECT marker, p, count(*) FILTER (substr(seq, p, 1) = '-') / count(*) AS g FROM rp, unnest(range(1, 65)) AS t(p) GROUP BY 1, 2),
+kc AS (SELECT marker, p FROM (SELECT *, row_number() OVER (PARTITION BY marker ORDER BY g, p) AS n FROM cl) WHERE 1 - g >= 0.955 OR n <= 16),
+tr AS (SELECT replace(taxon, ' ', '_') AS taxon, marker, string_agg(substr(seq, p, 1), '' ORDER BY p) AS seq FROM rp JOIN kc USING (marker) GROUP BY 1, 2),
+gr AS (SELECT t.taxon, m.marker, coalesce(seq, repeat('-', n)) AS seq FROM (SELECT DISTINCT taxon FROM tr) t CROSS JOIN (SELECT marker, max(len(seq)) AS n FROM tr GROUP BY 1) m LEFT JOIN tr x ON x.taxon = t.taxon AND x.marker = m.marker)
+SELECT taxon, string_agg(seq, '' ORDER BY marker) AS seq FROM gr GROUP BY 1""")
+def supermatrix_columns(m):
+    return supermatrix.matrix(m.where("taxon NOT LIKE '%7'"), m.withColumn("seq", F.reverse("seq")), gt=0.955, cons=25)[0]
+
+
 @query("partitions", "markers", sql="""
 , p AS (SELECT marker, max(len(seq)) AS n FROM markers GROUP BY 1), q AS (SELECT marker, n, sum(n) OVER (ORDER BY marker) AS e FROM p)
 SELECT concat('DNA, ', marker, '_pos', k + 1, ' = ', CAST(e - n + 1 + k AS BIGINT), '-', CAST(e AS BIGINT), '\\3') AS line FROM q, unnest([0, 1, 2]) AS t(k)""")

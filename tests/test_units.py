@@ -404,3 +404,22 @@ def test_journals_that_contain_unpublished_go(spark, tmp_path):
     refs = "".join(f"REFERENCE   {k}\n  JOURNAL   {j}\n" for k, j in enumerate(("Unpublished (2019)", "Plant J. 1", "Submitted, Unpublished"), 1))
     (tmp_path / "x.gb").write_text(f"LOCUS       X1   4 bp    DNA     PLN 05-MAR-2020\nACCESSION   X1\n{refs}FEATURES             Location/Qualifiers\nORIGIN\n        1 acgt\n//\n")
     assert files.genbank(spark, str(tmp_path / "x.gb")).first().journals == ["Plant J. 1"]
+
+
+def test_matrix_to_files_and_back(spark, tmp_path):
+    m = spark.createDataFrame([("m1", "Rosa alba", "AC-T"), ("m1", "Rosa canina", "AC-A"), ("m2", "Rosa alba", "GG-")], "marker string, taxon string, seq string")
+    joined, parts = supermatrix.matrix(m, m, gt=0.5)
+    supermatrix.write_matrix(joined, parts, str(tmp_path / "out"))
+    text = lambda name: "".join(p.read_text() for p in sorted((tmp_path / "out" / name).glob("part*")))
+    assert text("phylip") == " 2  5\nRosa_alba ACTGG\nRosa_canina ACA--\n"
+    assert text("partitions").splitlines() == ["DNA, m1 = 1-3", "DNA, m2 = 4-5"] and text("codons").splitlines()[4] == "DNA, m2_pos2 = 5-5\\3"
+    assert sorted(map(tuple, files.fasta(spark, str(tmp_path / "out/fasta")).select("header", "seq").collect())) == [("Rosa_alba", "ACTGG"), ("Rosa_canina", "ACA--")]
+    with pytest.raises(ValueError, match="aligned"):
+        supermatrix.write_matrix(joined.unionByName(spark.createDataFrame([("x", "A")], joined.schema)), parts, str(tmp_path / "no"))
+    assert not (tmp_path / "no").exists()
+
+
+def test_all_columns_of_an_extension(spark):
+    r = hits.extend(spark.createDataFrame([(11, 90, 500, 401)], "q_start int, q_end int, s_start int, s_end int"), F.lit(120), 130, 4, 6).first()
+    assert (r.hit_len, r.max_extension, r.auto_extension_left, r.auto_extension_right, r.extra_extension_left, r.extra_extension_right) == (100, 30, 10, 30, 4, 6)
+    assert (r.extension_left, r.extension_right) == (8, 21) and (r.q_extstart, r.q_extend, r.s_extstart, r.s_extend) == (3, 111, 508, 380)
