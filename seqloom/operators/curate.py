@@ -63,9 +63,14 @@ def longest(rows: DataFrame, by: list, length: str, tie: list) -> DataFrame:
 def average_rank(rows: DataFrame, column: str, descending: bool, name: str, buckets: int = 64, by: tuple = ()) -> DataFrame:
     """Ties share the mean of their ranks; the column is a number, and where it is null there is no rank. Counts by value
     are summed within ranges of values, and ranges by their sums, so neither rows nor values meet in one task."""
+    return rows.join(_ranks(rows, column, descending, name, buckets, by), [*by, column], "left")
+
+
+def _ranks(rows: DataFrame, column: str, descending: bool, name: str, buckets: int = 64, by: tuple = ()) -> DataFrame:
+    """The rank of each value."""
     per = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_c"))
     told = running(per, column, list(by), descending, buckets).withColumn(name, F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2)
-    return rows.join(told.select(*by, column, name), [*by, column], "left")
+    return told.select(*by, column, name)
 
 
 def running(per: DataFrame, column: str, by: list[str], descending: bool = False, buckets: int = 64) -> DataFrame:
@@ -113,9 +118,11 @@ def numbered(rows: DataFrame, column: str) -> DataFrame:
 def ranked(rows: DataFrame, by: tuple = ()) -> DataFrame:
     """Ranks by score, round and length, and the sum of those by score and length; what has no value has no rank, and adds
     nothing to the sum."""
-    out = average_rank(rows, "sum_hits_score", True, "rank_score", by=by)
-    out = average_rank(out, "source_round", False, "rank_source", by=by)
-    out = average_rank(out, "record_length", True, "rank_length", by=by)
+    from .graph import cut
+
+    out = rows = cut(rows)  # each rank is counted from the same rows, made once
+    for column, descending, name in (("sum_hits_score", True, "rank_score"), ("source_round", False, "rank_source"), ("record_length", True, "rank_length")):
+        out = out.join(_ranks(rows, column, descending, name, by=by), [*by, column], "left")
     return out.withColumn("sum_of_rank", F.coalesce("rank_score", F.lit(0.0)) + F.coalesce("rank_length", F.lit(0.0)))
 
 
