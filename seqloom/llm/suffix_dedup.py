@@ -10,6 +10,7 @@ than `length` bytes stays together as one interval, whose smallest document keep
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +106,17 @@ def _unpack5(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+class Bits:
+    """A bitmap that travels compressed: a broadcast lies on the disk of every executor, and few bits are set."""
+
+    def __init__(self, bitmap: np.ndarray):
+        self.blob = zstandard.ZstdCompressor(level=3).compress(bitmap.tobytes())
+
+    @cached_property
+    def map(self) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self.blob), np.uint8)
+
+
 def _probes(rest: np.ndarray, slice_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return rest >> np.uint64(40 - slice_bits), (rest * MIX) >> np.uint64(64 - slice_bits)
 
@@ -181,7 +193,7 @@ def _send(held, bits: int, slice_bits: int, length: int, k: int):
     go, the others are decided here: bucket -1 holds their spans."""
 
     def send(batches):
-        shared, often, strings = held.value
+        shared, often, strings = (x and x.map for x in held.value)
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in slices(batches, AT_ONCE):
             key, row, texts = b["k"].to_numpy(), b["u"].to_numpy(), b["t"].to_pylist()
@@ -337,16 +349,16 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shared, often = _bitmaps(rows.select("k", "t"), lambda texts: _all(texts, length, k)[:2], bits, slice_bits, hot)
     strings = None
     if often.any():
-        told = spark.sparkContext.broadcast(often)
+        told = spark.sparkContext.broadcast(Bits(often))
 
         def hot_strings(texts):
             h, doc, start, end = _all(texts, length, k)
-            some = _lit(told.value, h, bits, slice_bits)
+            some = _lit(told.value.map, h, bits, slice_bits)
             g, which, _ = _strings(texts, doc[some], start[some], end[some], length)
             return g, doc[some][which]
 
         strings = _bitmaps(rows.select("k", "t"), hot_strings, bits, slice_bits, 1 << 60)[0]
-    held = spark.sparkContext.broadcast((shared, often, strings))
+    held = spark.sparkContext.broadcast((Bits(shared), Bits(often), None if strings is None else Bits(strings)))
     sent = rows.select("k", "u", "t").mapInArrow(_send(held, bits, slice_bits, length, k), "bucket int, body binary")
     salted = sent.withColumn("part", F.when(F.col("bucket") < 0, F.xxhash64("body")).otherwise(F.col("bucket").cast("long")))
 
