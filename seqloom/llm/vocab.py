@@ -28,12 +28,14 @@ class WordIds:
     Right where the tokenizer lower-cases, turns white space into single spaces and drops these, as the word-end
     vocabulary does: then its ids of a text are those of its space-separated words, one after another. New words are
     encoded together by the library; a word with punctuation at its end is cut there if it is made of letters before.
+    Where no dtype is given, ids take 16 bits, or 32 if the vocabulary needs them.
     """
 
-    def __init__(self, path: str, dtype=np.uint16, limit: int = LIMIT):
+    def __init__(self, path: str, dtype: type | None = np.uint16, limit: int = LIMIT):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        dtype = dtype or (np.uint16 if self.library.get_vocab_size() <= np.iinfo(np.uint16).max else np.uint32)
         self.dtype, self.limit, self.known = np.dtype(dtype).newbyteorder("<"), limit, {b"": b""}
         if self.library.get_vocab_size() > np.iinfo(self.dtype).max:
             raise ValueError(f"{path} has too many ids for {self.dtype}")
@@ -88,9 +90,9 @@ class WordIds:
 _held: dict = {}
 
 
-def word_ids(path: str, dtype=np.uint16) -> WordIds:
+def word_ids(path: str, dtype: type | None = np.uint16) -> WordIds:
     """One for each Python worker, which its next tasks use again."""
-    key = (path, np.dtype(dtype).str)
+    key = (path, dtype)
     if key not in _held:
         _held[key] = WordIds(path, dtype)
     return _held[key]
