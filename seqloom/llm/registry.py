@@ -24,4 +24,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op10_warc_fixity": warc.OP10_SQL, "op11_manifest": manifest.OP11_SQL, "op13_source_divergence": divergence.OP13_SQL}
+    return {
+        "op1_decontaminate": decontaminate.OP1_SQL,
+        "op5_suffix_dedup": suffix_dedup.OP5_SQL,
+        "op10_warc_fixity": warc.OP10_SQL,
+        "op11_manifest": manifest.OP11_SQL,
+        "op13_source_divergence": divergence.OP13_SQL,
+    }

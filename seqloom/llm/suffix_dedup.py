@@ -408,3 +408,20 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     found = deduplicated(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP5_SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, b, substring(h, 512 * b + 1, 610) AS p FROM (SELECT *, unnest(range(0, (length(h) + 511) // 512)) AS b FROM h)),
+s AS (SELECT doc_id, 256 * b + i AS i, substring(p, 2 * i + 1, 100) AS g FROM (SELECT *, unnest(range(0, least(256, (length(p) - 98) // 2))) AS i FROM c)),
+f AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT s.doc_id, s.i FROM s JOIN f ON s.g = f.g WHERE f.first < s.doc_id),
+o AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM r),
+n AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM o),
+x AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM n GROUP BY doc_id, run),
+y AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY run), 0) AS upto FROM x),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last, string_agg(substring(h, 2 * upto + 1, 2 * (a - upto)), '' ORDER BY run) AS head FROM y JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN k USING (doc_id)
+"""
