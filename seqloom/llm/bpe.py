@@ -307,5 +307,5 @@ def op4_bpe(spark, sf_dir: str) -> DataFrame:
 
 def stage_bpe(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, the digests and ids of every document, as a loader reads them; nulls, repeated rows and
-    other columns as encoded() has it."""
+    other columns as encoded() has it. An empty table gives an empty result."""
     return encoded(docs, keep=("doc_id", "lang", "source"), with_ids=True)

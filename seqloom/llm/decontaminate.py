@@ -260,7 +260,8 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not contaminated by the contract's rule (windows of 13 words, a twentieth of the words), every
-    column as it was, whatever its name. Null and empty texts stay; of repeated rows all stay or none."""
+    column as it was, whatever its name. Null and empty texts stay; of repeated rows all stay or none. An
+    empty table gives an empty one, and an empty benchmark takes nothing away."""
     found = _contamination(docs, read(spark, sf_dir, "benchmark"), tuple(docs.columns), "text", "item_id", "text", 13, SHINGLE, 20, BLOCK)
     return found.where("not contaminated").select("kept.*")
 

@@ -249,7 +249,8 @@ def joined_perplexities(rows: DataFrame, model: DataFrame, order: int = ORDER) -
     often it has them, are joined to the model's table (n, g, p, bow), which Spark shards by n-gram; those that are not
     there go on to the order below with what their context leaves to it, and the logarithms are summed by document.
 
-    No task holds the model. The rows of (document, n-gram) that are shuffled are several times the text, so quality()
+    uid is each row's own. Null and empty texts have a null perplexity; no rows give none; other columns of rows don't
+    matter; very long texts count whole. No task holds the model. The rows of (document, n-gram) that are shuffled are several times the text, so quality()
     scores by the bounded table instead; both give the same perplexities.
     """
 
@@ -318,5 +319,6 @@ def op9_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier accepts, every column as it was, whatever its name. Null and empty texts go."""
+    """The documents that the classifier accepts, every column as it was, whatever its name. Null and empty texts go;
+    of repeated rows all stay or none; an empty table gives an empty one."""
     return _judged(docs, read(spark, sf_dir, "labels"), tuple(docs.columns)).where("accepted").select("kept.*")

@@ -144,7 +144,8 @@ def op6_pii(spark, sf_dir: str) -> DataFrame:
 
 def stage_pii(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their personal data replaced by the names of its kinds, n_chars counted anew. Null texts stay null,
-    with a null count; other columns are carried along, whatever their names."""
+    with a null count; repeated rows stay; other columns are carried along, whatever their names. An empty table gives an
+    empty one."""
     found, kind = _found(docs, tuple(docs.columns), "text"), docs.schema["n_chars"].dataType
     now = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast(kind)}
     return found.select(*(now.get(c, F.col("kept").getField(c)).alias(c) for c in docs.columns))

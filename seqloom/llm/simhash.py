@@ -88,7 +88,7 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(u, v): enough pairs of fingerprints within the radius to connect all that such pairs connect.
 
-    distinct: fp, each value once. Buckets of one fingerprint go first, by a count that Spark combines before it
+    distinct: fp, each value once, none null; other columns don't matter; no rows give no links. Buckets of one fingerprint go first, by a count that Spark combines before it
     shuffles. A bucket of more than `block` is split by hash into blocks, and each pair of blocks is compared by
     itself, so no task holds more than about two blocks of one bucket. Within a group a breadth-first forest is given,
     not all pairs.
@@ -335,6 +335,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8), the document with the smallest doc_id; documents
-    without an id stay. Of repeated rows with the kept id all stay. Other columns are as they were, whatever their names."""
+    without an id stay. Of repeated rows with the kept id all stay. Null and empty texts are copies of each other. Other
+    columns are as they were, whatever their names. An empty table gives an empty one."""
     kept = near_copies(docs).where("id = component").select("id").distinct()
     return docs.join(kept, docs.doc_id == kept.id, "left_semi").unionByName(docs.where("doc_id is null"))

@@ -335,7 +335,8 @@ def _spans(data: np.ndarray) -> pa.Table:
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): docs as (id, k, u, t) and the bytes [s, e) of rows (k, u) that a smaller document has too.
+    """(rows, spans): docs as (id, k, u, t) and the bytes [s, e) of rows (k, u) that a smaller document has too. Spans of a
+    row may touch and overlap; nulls, ties, empty and very long texts are as in deduplicated(), and other columns don't matter.
 
     A minimizer of a line that very many documents have has a stretch a document at the line's borders, most of them of
     strings that no other has. Where there are such minimizers, their strings are counted in a pass of their own, so

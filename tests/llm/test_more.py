@@ -1,7 +1,11 @@
-"""Byte-level BPE of every code point, decontamination by join with clashing names, and equal partitions for quality."""
+"""Byte-level BPE of every code point, decontamination by join with clashing names, quality by loops and by other partitions, stages
+of no documents."""
 
 import base64
+import math
 import os
+import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -11,7 +15,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parents[2]}:{os.environ.get('PYTHONPATH', '')}"
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 from seqloom.llm import bpe, decontaminate, kneser_ney, warc  # noqa: E402
+from seqloom.llm.common import ALNUM  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +67,44 @@ def test_audit_of_pages_with_clashing_names(spark):
     other = told.withColumn("html", F.when(F.col("page_id") == 11, "changed").otherwise(F.col("html")))
     found = warc.audit(warc.archive(told, fanout=3, levels=2), warc.archive(other, fanout=3, levels=2), fanout=3, levels=2).collect()
     assert [r.status for r in found if r.status == "altered"] == ["altered"]
+
+
+def test_toxicity_of_quality_by_loops(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    told: dict = {}
+    for r in labels.collect():
+        told[r.doc_id] = max(told.get(r.doc_id, 0), r.toxic or 0)
+    words = {i: set(t.translate(ALNUM).split()) for i, t in texts.items()}
+    sizes = [sum(told[i] == k for i in told if i in texts) for k in (1, 0)]
+    n = {k: Counter(w for i in told if told[i] == k and i in texts for w in words[i]) for k in (1, 0)}
+    some = {w for w, t in n[1].items() if t >= 2 and (t + 0.5) * (sizes[1] + 1) > n[0][w] * (sizes[0] + 1)}
+
+    def worst(i):
+        own = [told.get(i) == k for k in (1, 0)]
+        base = math.log(sizes[1] + 1 - own[1]) - math.log(sizes[0] + 1 - own[0])
+        return max([0.0, *(math.log((n[1][w] - own[0] + 0.5) / (n[0][w] - own[1] + 0.5)) + base for w in words[i] & some)])
+
+    got = {r.doc_id: r for r in kneser_ney.quality(docs, labels, keep=("doc_id",)).collect()}
+    want = {i: worst(i) for i in texts}
+    assert sizes[0] > 5 and some and all(got[i].toxicity == pytest.approx(x, abs=1e-9) for i, x in want.items())
+    cut = np.quantile([round(want[i], 3) for i in texts if told.get(i) == 0], kneser_ney.CLEAN)
+    assert {i for i, r in got.items() if r.toxic} == {i for i, x in want.items() if round(x, 3) > cut} != set()
+
+
+def test_stages_of_no_documents(spark):
+    import corpus_pipeline
+
+    none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, SF)
+        assert out.count() == 0, name
+        assert stage is corpus_pipeline.STAGES[-1][1] or out.columns == none.columns, name
+
+
+def test_joined_perplexities_of_odd_rows(spark):
+    model = kneser_ney.train(spark.createDataFrame([(b"abracadabra",)], "t binary"))
+    rows = spark.createDataFrame([(1, None, "x"), (2, b"", "y"), (3, b"abra", "z")], "uid long, octets binary, g string")
+    got = {r.uid: (r.n_bytes, r.perplexity) for r in kneser_ney.joined_perplexities(rows, model).collect()}
+    assert got[1] == (None, None) and got[2] == (0, None) and got[3][0] == 4 and got[3][1] > 1
+    assert kneser_ney.joined_perplexities(rows.limit(0), model).count() == 0
