@@ -11,6 +11,9 @@ from seqloom.sources.files import write_fasta
 from .alignment import boundary_trim, gap_trimmed
 from .curate import first_of
 
+#: Lists of markers that each taxon meets.
+LISTS = 64
+
 
 def replaced(primary: DataFrame, secondary: DataFrame, key: str | list = "taxon") -> DataFrame:
     """All primary rows, and the secondary ones of taxa that the primary lacks."""
@@ -26,12 +29,13 @@ def length_status(markers: DataFrame) -> DataFrame:
 
 def completed(markers: DataFrame) -> DataFrame:
     """Every taxon with every marker; gaps of the marker's length where it has none, three where its lengths differ. A
-    marker of empty sequences goes. The grid is the result's own size: each taxon is exploded by the list of markers,
-    which is a small one."""
+    marker of empty sequences goes. The grid is the result's own size: each taxon is exploded by the lists of markers, dealt
+    to so many lists by hash; Spark broadcasts them only if they turn out to be small."""
     n = F.length("seq")
     per = markers.groupBy("marker").agg(F.when(F.min(n) == F.max(n), F.min(n)).otherwise(3).alias("n")).where("n > 0")
-    lists = per.agg(F.array_sort(F.collect_list(F.struct("marker", "n"))).alias("all"))
-    grid = markers.select("taxon").distinct().join(F.broadcast(lists)).select("taxon", F.explode("all").alias("m")).select("taxon", "m.marker", "m.n")
+    lists = per.groupBy(F.pmod(F.xxhash64("marker"), F.lit(LISTS)).alias("list")).agg(F.collect_list(F.struct("marker", "n")).alias("all"))
+    taxa = markers.select("taxon").distinct().withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(LISTS - 1))).cast("long"))
+    grid = taxa.join(lists, "list").select("taxon", F.explode("all").alias("m")).select("taxon", "m.marker", "m.n")
     return grid.join(markers, ["taxon", "marker"], "left").select("taxon", "marker", F.coalesce("seq", F.repeat(F.lit("-"), F.col("n"))).alias("seq"))
 
 
