@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, staged
+from .common import quoted, read, staged
 
 #: FANOUT ** LEVELS records to a file.
 FANOUT, LEVELS = 16, 3
@@ -40,6 +40,18 @@ def archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     return rows.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long")).withColumn("offset", upto - F.col("length")).select("id", "file", "ordinal", "offset", "length", "digest")
 
 
+def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", fanout: int = FANOUT, levels: int = LEVELS) -> None:
+    """The records as uncompressed WARC files, path/file=<file>/part-*, in the order and at the offsets that archive() tells of them, through
+    Spark's text writer: a line's end is the second of the two that end a record. A task streams one file after another
+    and holds none whole. Nulls, repeated rows, long bodies and other columns as in archive(); an empty table gives no files."""
+    per = fanout**levels
+    text = record(quoted(url_col), quoted(id_col), quoted(body_col))
+    rows = pages.select(quoted(id_col).cast("long").alias("id"), text.alias("r")).withColumn("digest", F.sha2("r", 256))
+    rows = rows.withColumn("file", F.coalesce(F.floor(F.col("id") / F.lit(per)), -1 - F.pmod(F.xxhash64("digest"), F.lit(per))).cast("long"))
+    lines = rows.repartition("file").sortWithinPartitions("file", "id", "digest").select("file", F.left("r", F.length("r") - 2).alias("value"))
+    lines.write.partitionBy("file").option("lineSep", "\r\n").text(path)
+
+
 def _parents(nodes: DataFrame, fanout: int) -> DataFrame:
     """(file, node, offset, length, digest) of one level up. A node has at most `fanout` children, so its list is short."""
     child = F.struct("node", F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), "digest").alias("told"))

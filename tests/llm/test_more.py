@@ -2,6 +2,7 @@
 of no documents."""
 
 import base64
+import hashlib
 import math
 import os
 import sys
@@ -108,3 +109,15 @@ def test_joined_perplexities_of_odd_rows(spark):
     got = {r.uid: (r.n_bytes, r.perplexity) for r in kneser_ney.joined_perplexities(rows, model).collect()}
     assert got[1] == (None, None) and got[2] == (0, None) and got[3][0] == 4 and got[3][1] > 1
     assert kneser_ney.joined_perplexities(rows.limit(0), model).count() == 0
+
+
+def test_warc_files_hold_the_manifest(spark, tmp_path):
+    bodies = ["plain", None, "", "é\r\n\r\nWARC/1.0\r\n ends in breaks\r\n", "\n", "x" * 100_000, "\r\n" * 3]
+    rows = [(k, f"http://ä/{k}" if k % 3 else None, bodies[k % 7], "own") for k in range(60)] + [(7, "u", "again", "own"), (7, "http://ä/7", "plain", "own"), (None, None, None, "own"), (None, "u", "x", "own")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(5)
+    warc.write_warc(pages, str(tmp_path / "w"), fanout=3, levels=2)
+    data = {int(d.name.split("=")[1]): [f.read_bytes() for f in d.glob("part-*")] for d in (tmp_path / "w").glob("file=*")}
+    told = warc.archive(pages, fanout=3, levels=2).collect()
+    assert {r.file for r in told} == set(data) and all(len(f) == 1 for f in data.values()) and len(told) == 64
+    assert all(hashlib.sha256(data[r.file][0][r.offset : r.offset + r.length]).hexdigest() == r.digest for r in told)
+    assert sum(len(f[0]) for f in data.values()) == sum(r.length for r in told)
