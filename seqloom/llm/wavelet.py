@@ -19,7 +19,7 @@ from .vocab import default_path, groups, word_ids
 MAGIC = b"WVM2"
 #: Tokens of one shard, to the end of the document that reaches it.
 SHARD = 1 << 21
-#: Bits between two counts of a rank directory, bytes of a plane that are compressed together, lookups done at once.
+#: Bits between two counts of a rank directory, bytes of a plane (a multiple of 8) that are compressed together, lookups done at once.
 BLOCK, CHUNK, AT_ONCE = 512, 1 << 15, 1 << 12
 
 
@@ -28,12 +28,12 @@ class Plane:
 
     def __init__(self, size: int, chunks: list[bytes]):
         self.size, self.chunks = size, chunks
-        self.data, self.open = np.zeros(size, np.uint8), np.zeros(len(chunks), bool)
+        self.data, self.open = np.zeros(size + -size % 8, np.uint8), np.zeros(len(chunks), bool)
 
     @classmethod
     def of(cls, data: np.ndarray) -> Plane:
         out = cls(len(data), [])
-        out.data = data
+        out.data[: len(data)] = data
         return out
 
     def _inflate(self, which) -> None:
@@ -42,16 +42,24 @@ class Plane:
             self.data[c * CHUNK : c * CHUNK + len(part)] = np.frombuffer(part, np.uint8)
             self.open[c] = True
 
-    def take(self, at: np.ndarray) -> np.ndarray:
+    def _meet(self, at: np.ndarray) -> None:
         if not self.open.all():
             met = np.zeros(len(self.chunks), bool)
             met[at // CHUNK] = True
             self._inflate(np.flatnonzero(met & ~self.open))
-        return self.data[at]
+
+    def bits(self, i: np.ndarray) -> np.ndarray:
+        self._meet(i >> 3)
+        return (self.data[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1
+
+    def words(self, at: np.ndarray) -> np.ndarray:
+        """64 bits each, the first one highest."""
+        self._meet(at * 8)
+        return self.data.view(">u8")[at].astype(np.uint64)
 
     def whole(self) -> np.ndarray:
         self._inflate(np.flatnonzero(~self.open))
-        return self.data
+        return self.data[: self.size]
 
 
 class WaveletMatrix:
@@ -82,11 +90,13 @@ class WaveletMatrix:
         flat, plane = i.reshape(-1), self.planes[k]
         out = self.ranks[k][flat // BLOCK]
         for at in range(0, len(flat) if plane.size else 0, AT_ONCE):
-            x = flat[at : at + AT_ONCE, None]
-            byte = x // BLOCK * (BLOCK // 8) + np.arange(BLOCK // 8)
-            bits = np.bitwise_count(np.where(byte < x // 8, plane.take(np.minimum(byte, plane.size - 1)), 0)).sum(1, dtype=np.int64)
-            last = plane.take(np.minimum(x[:, 0] // 8, plane.size - 1))
-            out[at : at + AT_ONCE] += bits + np.where(x[:, 0] & 7, np.bitwise_count(last >> (8 - (x[:, 0] & 7)).astype(np.uint8)), 0)
+            x = flat[at : at + AT_ONCE]
+            last = np.minimum(x // 64, len(plane.data) // 8 - 1)
+            for back in range(1, BLOCK // 64):  # whole words between the block's start and i
+                some = np.flatnonzero(x // 64 - back >= x // BLOCK * (BLOCK // 64))
+                out[at + some] += np.bitwise_count(plane.words(x[some] // 64 - back))
+            odd = x & 63
+            out[at : at + AT_ONCE] += np.where(odd > 0, np.bitwise_count(plane.words(last) >> (64 - np.maximum(odd, 1)).astype(np.uint64)), 0)
         return out.reshape(i.shape)
 
     def access(self, i) -> np.ndarray:
@@ -94,7 +104,7 @@ class WaveletMatrix:
         i = np.atleast_1d(np.asarray(i, np.int64))
         out = np.zeros(len(i), np.int64)
         for k, plane in enumerate(self.planes):
-            bit, ones = (plane.take(i >> 3) >> (7 - (i & 7)).astype(np.uint8)) & 1, self._rank1(k, i)
+            bit, ones = plane.bits(i), self._rank1(k, i)
             out = (out << 1) | bit
             i = np.where(bit, self.zeros[k] + ones, i - ones)
         return out
@@ -113,6 +123,11 @@ class WaveletMatrix:
         lo, hi = self._down(symbol, np.zeros_like(i), i)
         return np.where(symbol >> len(self.planes) == 0, hi - lo, 0)[()]
 
+    def within(self, symbol, begin, end) -> np.ndarray:
+        """How often a symbol that occurs is in [begin, end)."""
+        begin, end = self._down(np.asarray(symbol, np.int64), np.asarray(begin, np.int64), np.asarray(end, np.int64))
+        return end - begin
+
     def count(self, symbol) -> np.ndarray:
         return self.rank(symbol, self.n)
 
@@ -244,7 +259,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     def told(matrix, ids, lengths, before):
         ends = np.cumsum(lengths)
         first = matrix.access(ends - lengths)
-        often = matrix.rank(first, ends) - matrix.rank(first, ends - lengths)
+        often = matrix.within(first, ends - lengths, ends)
         tokens = memoryview(matrix.decode().astype("<u4").tobytes())
         crcs = [zlib.crc32(tokens[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
         return ids, ends - lengths + before, lengths, crcs, first, often
