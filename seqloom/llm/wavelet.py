@@ -77,10 +77,9 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
         planes, counts, now = [], [], ids
         for b in range(width - 1, -1, -1):
-            bit = (now >> now.dtype.type(b)).astype(np.uint8) & 1
-            planes.append(np.packbits(bit))
+            ones = (now & now.dtype.type(1 << b)) != 0
+            planes.append(np.packbits(ones))
             counts.append(np.bitwise_count(np.pad(planes[-1], (0, -len(planes[-1]) % (BLOCK // 8)))).reshape(-1, BLOCK // 8).sum(1, dtype=np.uint16))
-            ones = bit.view(bool)
             now = np.concatenate([now[~ones], now[ones]])
         return cls(len(ids), [Plane.of(p) for p in planes], np.array(counts, np.uint16).reshape(width, -1))
 
