@@ -204,6 +204,13 @@ def p_distance_edges(aln: DataFrame, group: str, most: float = 0.3) -> DataFrame
     return both.select(group, F.least("a", "b").alias("accession"), F.greatest("a", "b").alias("accession_2"), "distance")
 
 
+def sequence_classes(records: DataFrame) -> DataFrame:
+    """(accession, sid): of each record (accession, seq) the least accession that has its sequence, in any case; texts are
+    told by digests, so none is shuffled. Nulls are a class."""
+    told = records.select("accession", F.coalesce(F.unhex(F.sha2(F.upper("seq"), 256)), F.lit(b"")).alias("_d"))
+    return told.join(told.groupBy("_d").agg(F.min("accession").alias("sid")), "_d").select("accession", "sid")
+
+
 def kmer_similarity(records: DataFrame, k: int, ambiguity: str = "drop") -> tuple[DataFrame, DataFrame]:
     """(pairs, members): sid, sid_2, shared and similarity of different sequences with common k-mers, the multisets'
     intersection by the smaller one's size; and the sequence, sid, of each accession (its least accession). Pairs without
@@ -216,9 +223,8 @@ def kmer_similarity(records: DataFrame, k: int, ambiguity: str = "drop") -> tupl
         raise ValueError("k must be 1 to 31, and ambiguity drop or expand")
     rows = records.select("accession", F.upper("seq").alias("seq"))
     sequences = rows.groupBy("seq").agg(F.min("accession").alias("sid"))
-    members = rows.join(sequences, "seq").select("accession", "sid")
     numbered = cut(sequences.withColumn("uid", F.monotonically_increasing_id()))
     counts = cut(compare.kmer_counts(numbered, k, ambiguity))
     size = counts.groupBy("uid").agg(F.sum("c").alias("n")).join(numbered.select("uid", "sid"), "uid")
     both = compare.shared_kmers(counts).join(size, "uid").join(size.toDF("uid_2", "n_2", "sid_2"), "uid_2")
-    return both.select(F.least("sid", "sid_2").alias("sid"), F.greatest("sid", "sid_2").alias("sid_2"), "shared", (F.col("shared") / F.least("n", "n_2")).alias("similarity")), members
+    return both.select(F.least("sid", "sid_2").alias("sid"), F.greatest("sid", "sid_2").alias("sid_2"), "shared", (F.col("shared") / F.least("n", "n_2")).alias("similarity")), sequence_classes(records)
