@@ -17,6 +17,8 @@ def chain(hits: DataFrame, max_len: int, query_len: Column) -> DataFrame:
     subject, and must be shifted against it the same way at both ends of the query, at both ends of the subject, and
     alike on both as the strands have it. The span widens greedily in that order while it stays within
     min(1.05 * query length, max_len); a query end follows only where the subject's end on its side does.
+
+    Seeds are found first, as a least row; then only the HSPs in line with theirs are sent and ordered.
     """
     row = F.struct(
         (-F.col("bit_score")).alias("r1"), (-F.col("alignment_length")).alias("r2"), (-F.col("n_identity")).alias("r3"),
@@ -25,9 +27,9 @@ def chain(hits: DataFrame, max_len: int, query_len: Column) -> DataFrame:
         F.col("alignment_length").alias("len"), F.col("bit_score").alias("score"),
     )
     limit = F.least(F.lit(1.05) * query_len, F.lit(float(max_len)))
-    ordered = F.array_sort(F.collect_list(row))
-    grouped = hits.withColumn("_limit", limit).groupBy("query_acc", "subject_acc").agg(ordered.alias("h"), F.max("_limit").alias("_limit"))
-    grouped = grouped.withColumn("seed", F.col("h")[0])
+    rows = hits.select("query_acc", "subject_acc", limit.alias("_limit"), row.alias("h"))
+    seeds = rows.groupBy(F.col("query_acc").alias("_q"), F.col("subject_acc").alias("_s")).agg(F.min("h").alias("seed"), F.max("_limit").alias("_most"))
+    met = rows.join(seeds, F.col("query_acc").eqNullSafe(F.col("_q")) & F.col("subject_acc").eqNullSafe(F.col("_s")))
 
     def shift(h, end):
         return F.signum(h[end] - F.col(f"seed.{end}"))
@@ -37,8 +39,7 @@ def chain(hits: DataFrame, max_len: int, query_len: Column) -> DataFrame:
         ends = (shift(h, "qs") == shift(h, "qe")) & (shift(h, "ss") == shift(h, "se"))
         return same & ends & (shift(h, "ss") * F.col("seed.s") * F.col("seed.q") == shift(h, "qs"))
 
-    kept = grouped.withColumn("kept", F.filter("h", in_line))
-    start = F.struct(*(F.col(f"seed.{c}").alias(c) for c in ("ss", "se", "qs", "qe")))
+    kept = met.groupBy("query_acc", "subject_acc").agg(F.array_sort(F.collect_list(F.when(in_line(F.col("h")), F.col("h")))).alias("kept"), F.min("seed").alias("seed"), F.max("_most").alias("_limit"))
 
     def width(span):
         return F.abs(span["ss"] - span["se"]) + 1
@@ -49,6 +50,8 @@ def chain(hits: DataFrame, max_len: int, query_len: Column) -> DataFrame:
         wide = F.struct(*(ends[c] for c in ("ss", "se", "qs", "qe")))
         return F.when(width(wide) <= F.col("_limit"), wide).otherwise(span)
 
+    start = F.struct(*(F.col(f"seed.{c}").alias(c) for c in ("ss", "se", "qs", "qe")))
+
     fits = F.abs(F.col("seed.ss") - F.col("seed.se")) + 1 <= F.col("_limit")
     out = kept.withColumn("span", F.when(fits, F.aggregate("kept", start, widen)).otherwise(start))
     length = F.aggregate("kept", F.lit(0).cast("bigint"), lambda a, h: a + h["len"])

@@ -24,3 +24,12 @@ def test_features_of_other_genomes_go_first(spark, monkeypatch):
     g = catalog.view(spark, SF, "genomes")
     chosen = genomes.newest_distinct(g.where(genomes.reject_reason(F.col("organism"), F.col("keywords")).isNull())).count()
     assert seen[0] <= chosen < g.count()
+
+
+def test_only_hits_in_line_are_sent(spark):
+    """A group's array holds what is in line with its seed; groups of null keys stay."""
+    columns = "query_acc string, subject_acc string, hsp_id string, q_start int, q_end int, s_start int, s_end int, alignment_length int, n_identity int, bit_score double"
+    rows = [("q", "s", "a", 10, 50, 110, 150, 41, 40, 9.0), ("q", "s", "b", 60, 90, 160, 190, 31, 30, 5.0), ("q", "s", "c", 60, 90, 190, 160, 31, 30, 6.0), (None, "s", "d", 1, 9, 1, 9, 9, 9, 1.0)]
+    found = hits.chain(spark.createDataFrame(rows, columns), 1000, F.lit(1000))
+    assert "collect_list(if" in found._jdf.queryExecution().optimizedPlan().toString().lower().replace("case when", "if")
+    assert {(r.query_acc, r.hsp_id, r.q_start, r.q_end, r.hits_num) for r in found.collect()} == {("q", "a", 10, 90, 2), (None, "d", 1, 9, 1)}
