@@ -33,3 +33,7 @@ def test_only_hits_in_line_are_sent(spark):
     found = hits.chain(spark.createDataFrame(rows, columns), 1000, F.lit(1000))
     assert "collect_list(if" in found._jdf.queryExecution().optimizedPlan().toString().lower().replace("case when", "if")
     assert {(r.query_acc, r.hsp_id, r.q_start, r.q_end, r.hits_num) for r in found.collect()} == {("q", "a", 10, 90, 2), (None, "d", 1, 9, 1)}
+
+
+def test_kept_records_are_made_once(spark):
+    assert not any("documents" in f for f in catalog.QUERIES["marker_runs"](spark, SF).inputFiles())
