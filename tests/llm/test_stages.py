@@ -200,6 +200,15 @@ def test_lm_does_not_depend_on_partitions(spark):
     assert two.keys() == seven.keys() and all(math.isclose(two[i], seven[i], rel_tol=1e-5) for i in two)
 
 
+def test_lm_counts_that_no_task_holds_count_too(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 120")
+    want = {r.id: (r.base_score, r.score) for r in attention.scored(docs).collect()}
+    monkeypatch.setattr(attention, "PAIRS", 300)
+    monkeypatch.setattr(attention, "WORDS", 60)
+    got = {r.id: (r.base_score, r.score) for r in attention.scored(docs).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(a, b, rel_tol=1e-5) for i in want for a, b in zip(got[i], want[i], strict=True))
+
+
 def test_lm_pruned_counts_leave_their_share(spark):
     rows = spark.createDataFrame([(i, 1 + i % 9) for i in range(1000)], "key long, c long")
     kept = attention.most(rows, 400)
