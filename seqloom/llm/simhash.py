@@ -54,7 +54,11 @@ def shingles(text: bytes, shingle: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
-    part = shingles(text, shingle)
+    return simhash(shingles(text, shingle))
+
+
+def simhash(part: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     n, total = len(part), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         total += np.unpackbits(part[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -180,22 +184,30 @@ def _unpack5(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _spread(own: np.ndarray) -> np.ndarray:
+    """64 bits of each of a set's 40-bit hashes."""
+    x = (own + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
+
+
 def _name(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes())
 
 
 def signatures(rows: DataFrame, shingle: int) -> DataFrame:
-    """(id, tk, v, keys) of rows (id, tk, t): a name of the text's set of shingles and its bands' keys."""
+    """(id, tk, v, fp, keys) of rows (id, tk, t): a name of the text's set of shingles, the set's fingerprint and its bands' keys."""
 
     def make(batches):
         for b in slices(batches, AT_ONCE):
             own = [shingle_set(t, shingle) for t in b["t"].to_pylist()]
+            fps = np.array([simhash(_spread(x)) for x in own], np.uint64).view(np.int64)
             name = np.array([_name(x) for x in own], np.uint64).view(np.int64)
             keys = np.array([_bands(x) for x in own], np.uint64).reshape(-1).view(np.int64)
             held = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * BANDS, pa.int32()), pa.array(keys, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b["id"], b["tk"], pa.array(name, pa.int64()), held], ["id", "tk", "v", "keys"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["tk"], pa.array(name, pa.int64()), pa.array(fps, pa.int64()), held], ["id", "tk", "v", "fp", "keys"])
 
-    return rows.mapInArrow(make, "id long, tk long, v long, keys array<long>")
+    return rows.mapInArrow(make, "id long, tk long, v long, fp long, keys array<long>")
 
 
 def sets_of(rows: DataFrame, shingle: int) -> DataFrame:
@@ -302,14 +314,29 @@ def _joined(members: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "u long, v long").distinct()
 
 
+def proposed(vertices: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """Of sets' names and fingerprints (v, fp): (key, v) of the groups that fingerprints within the radius link, of two sets or
+    more, and (u, v) of the links, each between the least names of two fingerprints, and of the sets of equal ones."""
+    least = vertices.groupBy("fp").agg(F.min("v").alias("v"))
+    near = staged(links(least.select("fp"), radius))
+    ends = near.join(least.toDF("u", "a"), "u").join(least.toDF("v", "b"), "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    equal = vertices.join(least.withColumnRenamed("v", "u"), "fp").where("u != v").select("u", "v")
+    roots = components(near).toDF("fp", "root")
+    groups = vertices.join(roots, "fp", "left").select(F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"), "v")
+    several = groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return groups.join(several, "key"), ends.unionByName(equal).where("u != v").distinct()
+
+
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, alike: float = ALIKE) -> DataFrame:
     """One row for every row of docs: id and component (the smallest id that a chain of documents reaches, each with a
     Jaccard similarity of `alike` or more to the next).
 
-    Equal sets are one vertex, so copies are never paired. Candidates are vertices that share a bucket. First a bucket's
-    members are compared with one of them, which makes a star of a group of near copies; then, in buckets whose members
-    are still apart, blocks of members against blocks. Every link is confirmed on the whole sets. Bounds of recall are
-    the bands'. Sets are made again for those vertices alone that share a bucket. Null and blank texts have the empty
+    Equal sets are one vertex, so copies are never paired. Candidates are vertices that share a bucket: first the groups that
+    SimHash fingerprints within RADIUS bits link, found by covering masks, whose links are compared as they are; then, as sets
+    of similarity 0.8 mostly differ in more bits than masks can cover, bands of least hashes. A bucket's members are
+    compared with one of them, which makes a star of a group of near copies; then, in buckets whose members
+    are still apart, blocks of members against blocks. Every link is confirmed on the whole sets. Fingerprints miss no pair
+    within the radius; beyond it, bounds of recall are the bands'. Sets are made again for those vertices alone that share a bucket. Null and blank texts have the empty
     set, and are copies of each other; very long texts count whole. A null id never names a component, and a component
     of null ids alone has none. Repeated rows have a row each. An empty table gives an empty result.
     """
@@ -317,13 +344,14 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     full = staged(signatures(rows, shingle))
     keyed = full.select("v", F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = staged(keyed.join(shared, "key"))
+    groups, near = proposed(staged(full.select("v", "fp").distinct()))
+    members = staged(keyed.join(shared, "key").unionByName(groups))
     one = full.join(members.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.min(F.struct("id", "tk")).alias("x")).select("x.id", "x.tk")
     asked = one.select(F.col("id").alias("_i"), F.col("tk").alias("_k")).distinct()
     sets = staged(sets_of(rows.join(asked, rows["id"].eqNullSafe(F.col("_i")) & (rows["tk"] == F.col("_k")), "left_semi"), shingle), "none")
     center = members.groupBy("key").agg(F.min_by("v", F.xxhash64("v")).alias("u"))
     met = members.join(center, "key").where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    stars = staged(_alike(met, sets, alike))
+    stars = staged(_alike(met.unionByName(near), sets, alike))
     named = members.join(components(stars).withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     apart = named.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("key")
     more = _joined(named.join(apart, "key", "left_semi"), sets, alike)

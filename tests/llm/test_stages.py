@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import SparkSession
 
 os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parents[2]}:{os.environ.get('PYTHONPATH', '')}"
@@ -69,6 +70,22 @@ def test_near_copies_of_the_stage(spark):
     assert got == want and len(want) < len(texts) - 100
 
 
+def test_near_copies_are_proposed_by_fingerprints(spark, monkeypatch):
+    """Without a band in common, pairs are found whose fingerprints differ in three bits or less, and no others."""
+    monkeypatch.setattr(simhash, "_bands", lambda own: [xxhash.xxh64_intdigest(own.tobytes(), i) for i in range(16)])
+    rng = np.random.default_rng(6)
+    texts, want = [], set()
+    for g in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 1500)]
+        own = list(words)
+        own[700] = "x"
+        texts += [" ".join(words), " ".join(own)]
+        one, two = (simhash.simhash(simhash._spread(simhash.shingle_set(t.encode(), 5))) for t in texts[-2:])
+        want |= {2 * g} if (one ^ two).bit_count() <= 3 else {2 * g, 2 * g + 1}
+    docs = spark.createDataFrame([(i, t, "en", "x", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    assert {r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()} == want and 30 <= len(want) < 50
+
+
 def test_toxic_documents_are_rejected(spark):
     rng = np.random.default_rng(8)
     vocab = [f"{a}{b}{c}" for a in "bdgklmnprst" for b in "aeiou" for c in ("n", "r", "st", "l")]
