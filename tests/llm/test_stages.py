@@ -9,6 +9,7 @@ from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import SparkSession
@@ -226,6 +227,37 @@ def test_lm_counts_that_no_task_holds_count_too(spark, monkeypatch):
     assert got.keys() == want.keys() and all(math.isclose(a, b, rel_tol=1e-5) for i in want for a, b in zip(got[i], want[i], strict=True))
 
 
+def test_lm_blocks_hold_words_once_and_no_texts(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 120").coalesce(1)
+    want = {r.id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in attention.scored(docs).collect()}
+    monkeypatch.setattr(attention, "BLOCK", 20_000)  # many blocks; scores don't depend on them
+    got = {r.id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in attention.scored(docs).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(a, b, rel_tol=1e-6) for i in want for a, b in zip(got[i], want[i], strict=True))
+    rows, counts = attention.prepared(docs, vocab.default_path(), id_col="doc_id", text_col="text")
+    found = rows.collect()
+    assert "t" not in rows.columns and len(found) > 2 and all(len(r.w) == len(set(r.w)) for r in found)
+    texts, often = {r.doc_id: r.text or "" for r in docs.collect()}, Counter()
+    for r in found:
+        no = np.frombuffer(r.no, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+        for i, held, part in zip(r.id, r.held_out, np.split(no, np.cumsum(r.size)[:-1]), strict=True):
+            words = re.findall(r"[^\x20\x09-\x0D]+", texts.pop(i).translate(LOW))
+            assert [bytes(r.w[n]).decode() for n in part] == [*words, ""]
+            often.update(words if not held else [])
+    assert not texts and {bytes(r.w).decode(): r.c for r in counts.collect()} == often
+
+
+def test_merges_give_the_librarys_ids():
+    texts = [r["text"] for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pylist()]
+    words = {w.encode() for t in texts[:300] if t for w in t.translate(LOW).split()}
+    words |= {w.encode() for w in "\u0130stanbul \ufb01ne \u03a3\u039f\u03a6\u038c\u03a3 stra\u00dfe STRASSE \u00c5NGSTR\u00d6M e\u0301te\u0301 \u0401\u043b\u043a\u0430 \u65e5\u672c \u00b5m \u0149a aaaa aaaaaaa abababab a hello, don't x'll (a) 123".split()}
+    words |= {w.capitalize() for w in words}
+    mine = vocab.WordIds(vocab.default_path(), merges=True)
+    order, some = sorted(words), [w for w in words if w.isalpha()]
+    want = [np.array(e.ids, "<u2").tobytes() for e in mine.library.encode_batch([w.decode() for w in order], add_special_tokens=False)]
+    assert mine.each(order) == want
+    assert mine._merged(some) and len(some) > 1000  # by merges alone
+
+
 def test_lm_pruned_counts_leave_their_share(spark):
     rows = spark.createDataFrame([(i, 1 + i % 9) for i in range(1000)], "key long, c long")
     kept = attention.most(rows, 400)
