@@ -80,7 +80,7 @@ class WaveletMatrix:
             ones = (now & now.dtype.type(1 << b)) != 0
             planes.append(np.packbits(ones))
             counts.append(np.bitwise_count(np.pad(planes[-1], (0, -len(planes[-1]) % (BLOCK // 8)))).reshape(-1, BLOCK // 8).sum(1, dtype=np.uint16))
-            now = np.concatenate([now[~ones], now[ones]])
+            now = np.concatenate([np.compress(~ones, now), np.compress(ones, now)])
         return cls(len(ids), [Plane.of(p) for p in planes], np.array(counts, np.uint16).reshape(width, -1))
 
     def _rank1(self, k: int, i) -> np.ndarray:
@@ -153,9 +153,9 @@ class WaveletMatrix:
         now = np.zeros(self.n, dtype)
         for k in range(len(self.planes) - 1, -1, -1):
             ones = np.unpackbits(self.planes[k].whole(), count=self.n).view(bool)
+            now[self.zeros[k] :] |= now.dtype.type(1 << (len(self.planes) - 1 - k))
             back = np.empty_like(now)
-            back[~ones] = now[: self.zeros[k]]
-            back[ones] = now[self.zeros[k] :] | now.dtype.type(1 << (len(self.planes) - 1 - k))
+            back[np.flatnonzero(~ones)], back[np.flatnonzero(ones)] = now[: self.zeros[k]], now[self.zeros[k] :]
             now = back
         return now
 
@@ -202,22 +202,24 @@ def write_shards(docs: DataFrame, *, path: str | None = None, id_col: str = "doc
         words, part, start, no = word_ids(path, None), TaskContext.get().partitionId(), 0, 0
         wide = width or max(end_id, len(words.ends) - 1).bit_length()
         held, ids, lengths, size = [], [], [], 0
-        end = np.array([end_id], words.dtype).tobytes()
 
         def out():
-            tokens = np.frombuffer(b"".join(held), words.dtype)
-            cells = [[part], [no], [start], [size], [to_file(tokens, ids, np.array(lengths), wide)]]
+            cells = [[part], [no], [start], [size], [to_file(np.concatenate(held), ids, np.concatenate(lengths), wide)]]
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["part", "shard", "start", "n_tokens", "file"])
 
         for b in batches:
             who, texts = b[0].to_pylist(), b[1].to_pylist()
-            for lo, hi in groups(texts):
-                for d, got in zip(who[lo:hi], words.encode(texts[lo:hi]), strict=True):
-                    held += [got, end]
-                    ids.append(d)
-                    lengths.append(len(got) // words.dtype.itemsize + 1)
-                    size += lengths[-1]
+            for lo, hi in groups(texts, 1 << 22):
+                got, many = words.ended(texts[lo:hi], end_id)
+                ends, at = np.cumsum(many), 0
+                while at < hi - lo:  # documents to the one that fills the shard, or all
+                    skip = ends[at] - many[at]
+                    z = min(int(np.searchsorted(ends, skip + shard - size)) + 1, hi - lo)
+                    held.append(got[skip : ends[z - 1]])
+                    ids += who[lo + at : lo + z]
+                    lengths.append(many[at:z])
+                    size, at = size + int(ends[z - 1] - skip), z
                     if size >= shard:
                         yield out()
                         start, no = start + size, no + 1
@@ -259,7 +261,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
         ends = np.cumsum(lengths)
         first = matrix.access(ends - lengths)
         often = matrix.within(first, ends - lengths, ends)
-        tokens = memoryview(matrix.decode().astype("<u4").tobytes())
+        tokens = memoryview(matrix.decode(np.uint16 if len(matrix.planes) <= 16 else np.uint32).astype("<u4").tobytes())
         crcs = [zlib.crc32(tokens[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
         return ids, ends - lengths + before, lengths, crcs, first, often
 

@@ -91,3 +91,27 @@ def test_wide_ids_and_chunks(monkeypatch):
 
 def test_width_of_ids():
     assert WordIds(P.path("word_bpe_49k.json"), None).dtype.itemsize == 2
+
+
+def test_words_are_looked_up_once():
+    """Ids and ends of texts as the library gives them, with one lookup for each different word of all texts and one for the ends."""
+
+    class Counted(dict):
+        n = 0
+
+        def __getitem__(self, word):
+            Counted.n += 1
+            return super().__getitem__(word)
+
+    rng = np.random.default_rng(5)
+    made = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(1, 12))) for _ in range(3000)]
+    odd = ["a.", "..", ".a", "a.b", "it's", "don't!!", "é", "É.", "é'", "naïve,", "x1", "1,", "a\tb", "İx", "é", "中文。", "ß$", "ǅ", "a b", "'", "a'", " ", "ab\x00"]
+    texts = [(" ".join(rng.choice(made + odd, 2000)) + "\n\n  The END. ").encode() for _ in range(20)] + [b"", b" ", b"the", b"\n"]
+    words = WordIds(P.path("word_bpe_49k.json"))
+    words.ended(texts, 1)
+    words.known = Counted(words.known)
+    ids, lengths = words.ended(texts, 1)
+    assert 0 < Counted.n <= len({w for t in texts for w in t.lower().replace(b"\n", b" ").split(b" ")}) + 1  # and the ends
+    want = [[*words.library.encode(t.decode(), add_special_tokens=False).ids, 1] for t in texts]
+    assert lengths.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert words.encode(texts) == [np.array(w[:-1], "<u2").tobytes() for w in want] and words.encode([]) == []
