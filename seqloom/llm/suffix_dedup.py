@@ -14,6 +14,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +81,21 @@ def _batches(texts: list, most: int = 1 << 19):
             start, size = i + 1, 0
 
 
+def _gathered(batches, most: int, column: int | str = -1):
+    """Batches put together to about `most` bytes of the texts in a column, and those of more cut: a slice tells of its
+    hashes, and packs a bucket's stretches, once, however few rows the session's batches have."""
+    held, size = [], 0
+    for b in slices(batches, most, column):
+        n = pc.sum(pc.binary_length(b.column(b.num_columns - 1 if column == -1 else column))).as_py() or 0
+        if held and size + n > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _all(texts: list, length: int, k: int):
     """(hash, text number, start, end) of all stretches of a batch."""
     parts = []
@@ -136,7 +152,7 @@ def _bitmaps(texts: DataFrame, found, bits: int, slice_bits: int, hot: int) -> t
     two documents."""
 
     def told(batches):
-        for b in slices(batches, AT_ONCE):
+        for b in _gathered(batches, AT_ONCE):
             key = b[0].to_numpy()
             h, doc = found(b[1].to_pylist())
             order = np.argsort(h, kind="stable")
@@ -168,13 +184,19 @@ def _bitmaps(texts: DataFrame, found, bits: int, slice_bits: int, hot: int) -> t
 
 def _strings(texts: list, doc: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, stretch number, start) of every string of stretches."""
-    begin = np.cumsum([0, *map(len, texts)])
     count = end - start - length + 1
     which = np.repeat(np.arange(len(doc)), count)
-    at = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    if not len(which):
-        return np.empty(0, np.uint64), which, at
-    return _grams(np.frombuffer(b"".join(texts), np.uint8), length)[begin[doc][which] + at] * MIX, which, at
+    within = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    hashes, least = [], 0
+    while least < len(doc):  # the stretches alone, about 1 MB at once
+        most = max(1, int(np.searchsorted(np.cumsum((end - start)[least : least + (1 << 15)]), 1 << 20)))
+        d, a, z = (x[least : least + most] for x in (doc, start, end))
+        data = np.frombuffer(b"".join([texts[i][j:k] for i, j, k in zip(d.tolist(), a.tolist(), z.tolist(), strict=True)]), np.uint8)
+        begin, n = np.cumsum(z - a) - (z - a), count[least : least + most]
+        skip = int(count[:least].sum())
+        hashes.append(_grams(data, length)[np.repeat(begin, n) + within[skip : skip + int(n.sum())]] * MIX)
+        least += most
+    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), which, start[which] + within
 
 
 def _narrowed(texts: list, h, doc, start, end, narrow: np.ndarray, test, length: int):
@@ -195,7 +217,7 @@ def _send(held, bits: int, slice_bits: int, length: int, k: int):
     def send(batches):
         shared, often, strings = (x and x.map for x in held.value)
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for b in slices(batches, AT_ONCE):
+        for b in _gathered(batches, AT_ONCE):
             key, row, texts = b["k"].to_numpy(), b["u"].to_numpy(), b["t"].to_pylist()
             h, doc, start, end = _all(texts, length, k)
             some = _lit(shared, h, bits, slice_bits)
@@ -203,17 +225,15 @@ def _send(held, bits: int, slice_bits: int, length: int, k: int):
             if strings is not None:
                 h, doc, start, end = _narrowed(texts, h, doc, start, end, _lit(often, h, bits, slice_bits), lambda g: _lit(strings, g, bits, slice_bits), length)
             bucket, rest = h >> np.uint64(64 - bits), _rest(h, bits)
-            keep = np.arange(len(h))
-            keep = keep[np.lexsort((key[doc[keep]], h[keep]))]
-            least: dict = {}
-            go, done = [], []
-            for i, d, s, e in zip(keep.tolist(), doc[keep].tolist(), start[keep].tolist(), end[keep].tolist(), strict=True):
-                if least.setdefault(texts[d][s:e], key[d]) < key[d]:
-                    done.append(i)
-                else:
-                    go.append(i)
+            keep = np.lexsort((key[doc], h))
+            least, gone = {}, np.zeros(len(h), bool)
+            more = np.r_[False, h[keep][1:] == h[keep][:-1], False]
+            several = keep[more[1:] | more[:-1]]  # those of one minimizer; none else are equal
+            for i, d, s, e, k_ in zip(*(x.tolist() for x in (several, doc[several], start[several], end[several], key[doc[several]])), strict=True):
+                if least.setdefault(texts[d][s:e], k_) < k_:
+                    gone[i] = True
             del least
-            go, cells = np.array(go, np.int64), [[], []]
+            go, done, cells = keep[~gone[keep]], keep[gone[keep]], [[], []]
             cuts = np.searchsorted(bucket[go], np.arange((1 << bits) + 1, dtype=np.uint64))
             for x in np.flatnonzero(np.diff(cuts)):
                 i = go[cuts[x] : cuts[x + 1]]
@@ -221,9 +241,8 @@ def _send(held, bits: int, slice_bits: int, length: int, k: int):
                 body = b"".join(texts[d][s:e] for d, s, e in zip(doc[i].tolist(), start[i].tolist(), end[i].tolist(), strict=True))
                 cells[0].append(x)
                 cells[1].append(squeeze(np.int64(len(i)).tobytes() + _pack5(rest[i]) + key[doc[i]].tobytes() + row[doc[i]].tobytes() + start[i].astype("<u4").tobytes() + size.tobytes() + body))
-            i = np.array(done, np.int64)
-            for at in range(0, len(i), 1 << 16):
-                j = i[at : at + (1 << 16)]
+            for at in range(0, len(done), 1 << 16):
+                j = done[at : at + (1 << 16)]
                 cells[0].append(-1)
                 cells[1].append(np.stack([key[doc[j]], row[doc[j]], start[j], end[j]], 1).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.binary())], ["bucket", "body"])
@@ -257,7 +276,7 @@ def common_prefix_intervals(text: np.ndarray, length: int) -> tuple[np.ndarray,
     code = padded[:n].copy()
     for i in range(1, 8):
         code = (code << np.uint64(8)) | padded[i : n + i]
-    order = np.argsort(code, kind="stable")
+    order = np.argsort(code)  # equal prefixes in any order: what follows asks for no more than where they begin
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.r_[False, code[order][1:] != code[order][:-1]])
     width = 8
@@ -266,7 +285,7 @@ def common_prefix_intervals(text: np.ndarray, length: int) -> tuple[np.ndarray,
         ahead = np.full(n, -1, np.int64)
         ahead[: n - step] = rank[step:]
         code = (rank << 32) + ahead + 1
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         now = code[order]
         rank[order] = np.cumsum(np.r_[False, now[1:] != now[:-1]])
         width += step
@@ -275,15 +294,23 @@ def common_prefix_intervals(text: np.ndarray, length: int) -> tuple[np.ndarray,
     before = np.r_[-1, by[:-1]]
     head = np.r_[True, bwt[by][1:] != bwt[by][:-1]]  # the first suffix of each first byte: common prefix 0
     reached = head.copy()
-    todo = np.flatnonzero(~reached)
-    place, prior = by[todo], before[todo]
+    todo, fresh = np.flatnonzero(~reached), np.flatnonzero(head)
+    one = by[todo] == before[todo] + 1  # a single place to look at, which most have
+    near, todo = todo[one], todo[~one]
+    at, place, prior = by[near], by[todo], before[todo]
     for _ in range(1, length):
-        upto = np.cumsum(reached, dtype=np.int32)
-        hit = upto[place] != upto[prior]
-        if not hit.any():
+        met = reached[at]
+        if 8 * len(todo) > n:
+            upto = np.cumsum(reached, dtype=np.int32)
+            hit = upto[place] != upto[prior]
+        else:  # older boundaries have told already
+            hit = np.searchsorted(fresh, place, "right") != np.searchsorted(fresh, prior, "right")
+        fresh = np.sort(np.concatenate([np.compress(met, near), np.compress(hit, todo)]))
+        if not len(fresh):
             break
-        reached[todo[hit]] = True
-        todo, place, prior = todo[~hit], place[~hit], prior[~hit]
+        reached[fresh] = True
+        rest, far = np.flatnonzero(~met), np.flatnonzero(~hit)
+        near, at, todo, place, prior = near[rest], at[rest], todo[far], place[far], prior[far]
     return order, reached
 
 
