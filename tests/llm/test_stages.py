@@ -272,3 +272,31 @@ def test_a_long_text_leaves_the_sample_to_others(spark):
     assert got == [90] * 11
     with pytest.raises(ValueError):
         kneser_ney.sample(docs, good, 100, 80, id_col="doc_id", text_col="text")
+
+
+def test_lm_classes_count_every_pair(monkeypatch):
+    """Ids whose neighbours are not frequent either get a class by these, and frequent ids are told apart by them too."""
+    monkeypatch.setattr(attention, "FREQUENT", 40)
+    rng, counts = np.random.default_rng(4), np.r_[np.arange(140, 100, -1), np.ones(60, int)]
+    near = rng.integers(0, 60, (40, 40))
+    x, y = np.divmod(np.flatnonzero(near), 40)
+    n = near[x, y]
+    pairs = lambda more: tuple(np.r_[a, b].astype(float if k == 2 else int) for k, (a, b) in enumerate(zip((x, y, n), zip(*more, strict=True), strict=True)))
+    model = attention.Model(counts, pairs([(5, 50, 9)]), 99, rng.random(100) < 0.4)
+    lead = int(np.flatnonzero(model.cls[:40])[0])
+    model = attention.Model(counts, pairs([(lead, 50, 9), (50, 51, 1), (51, 50, 1)]), 99, rng.random(100) < 0.4)
+    assert model.cls[50] == model.cls[lead] == model.cls[51]
+    order, rank = attention.frequent(counts)
+    a, b, c = pairs([(lead, 50, 4), (3, 51, 5), (52, 53, 2)])
+    one = attention.Model(counts, (a, b, c), 99, np.zeros(100, bool))
+    two = attention.Model(counts, (a, b, c), 99, np.zeros(100, bool), near=(attention.merged(rank, a), attention.merged(rank, b), c))
+    assert (one.cls[order] == two.cls[order]).all()
+
+
+def test_lm_classes_by_all_pairs_that_no_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(attention, "FREQUENT", 60)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 120")
+    want = {r.id: r.score for r in attention.scored(docs).collect()}
+    monkeypatch.setattr(attention, "PAIRS", 300)
+    got = {r.id: r.score for r in attention.scored(docs).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-5) for i in want)
